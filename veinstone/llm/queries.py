@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, simhash, urls
+from . import langid, lines, mixing, simhash, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,20 +22,30 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), n=3, radius=3)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
         "op3_url_filter": op3_url_filter,
+        "op4_line_dedup": op4_line_dedup,
         "op5_simhash": op5_simhash,
+        "op6_language_id": op6_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op3_url_filter": op3_sql()}
+    return {"op1_mix_sources": OP1_SQL, "op3_url_filter": op3_sql(), "op4_line_dedup": OP4_SQL}
 
 
 OP1_SQL = r"""
@@ -69,6 +79,33 @@ FROM r
 """
 
 
+OP4_SQL = r"""
+WITH l AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no
+  FROM documents),
+f AS (
+  SELECT doc_id, no, trim(line, ' ' || chr(9) || chr(13)) AS t FROM l WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no) - 1 AS k FROM f),
+w AS (
+  SELECT doc_id, k, t || chr(10) || lead(t, 1) OVER o || chr(10) || lead(t, 2) OVER o AS win
+  FROM n WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+r AS (SELECT doc_id, k FROM (SELECT *, row_number() OVER (PARTITION BY win ORDER BY doc_id, k) AS occurrence FROM w WHERE win IS NOT NULL) WHERE occurrence > 1),
+c AS (SELECT DISTINCT doc_id, k + i AS k FROM r, (SELECT unnest([0, 1, 2]) AS i)),
+g AS (SELECT n.doc_id, n.no, c.k IS NOT NULL AS gone FROM n LEFT JOIN c ON n.doc_id = c.doc_id AND n.k = c.k),
+-- A blank line goes if the lines before and after it both go.
+m AS (
+  SELECT l.doc_id, l.no, l.line, coalesce(g.gone,
+    last_value(g.gone IGNORE NULLS) OVER (PARTITION BY l.doc_id ORDER BY l.no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+    AND first_value(g.gone IGNORE NULLS) OVER (PARTITION BY l.doc_id ORDER BY l.no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), false) AS gone,
+    g.no IS NOT NULL AS counted
+  FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.no = g.no)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(x.text, '') END AS text, coalesce(x.lines_removed, 0) AS lines_removed
+FROM documents d LEFT JOIN (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY no) FILTER (NOT gone) AS text, CAST(count(*) FILTER (gone AND counted) AS BIGINT) AS lines_removed
+  FROM m GROUP BY doc_id) x ON d.doc_id = x.doc_id
+"""
+
+
 def op3_sql() -> str:
     ranked = sorted(urls.RULES, key=lambda r: (-len(r.name), r.name))
     fits = [(f"('.' || host) LIKE '%.{r.host}' AND starts_with(path, '{r.path}')", r) for r in ranked]
