@@ -15,7 +15,7 @@ stretch of `chars_per_row` characters from each. This is a bounded sample of lab
 bound is these parameters; every text is then parsed whole.
 
 The prediction is `und`, score 0, for null texts and texts without a letter, or if nothing is
-labelled. Ties go to the first language in alphabetical order (score 0). The score is the margin,
+labelled. Ties, up to a thousandth, go to the language with most labelled rows. The score is the margin,
 1 - best / second best (1 if there is one language only). Repeated rows are judged alike; an empty
 table gives an empty result; a null doc_id is never held out and never learnt from.
 """
@@ -41,7 +41,7 @@ CHUNK = 1_500_000
 class Model(NamedTuple):
     """Sorted (language, training text) pairs, already folded to the letters that count, and those letters."""
 
-    texts: tuple[tuple[str, str], ...]
+    texts: tuple[tuple[str, str], ...]  # languages with most labelled rows first
     letters: str
 
     @property
@@ -62,7 +62,8 @@ def train(labelled: DataFrame, rows_per_language: int = 256, chars_per_row: int
         parts.setdefault(r.lang, []).append(r.part.lower())
     seen = Counter(c for texts in parts.values() for t in texts for c in t if c.isalpha())
     letters = "".join(sorted(sorted(seen, key=lambda c: (-seen[c], c))[:alphabet]))
-    return Model(tuple((lang, "\n".join(texts)) for lang, texts in sorted(parts.items())), letters)
+    rows_of = {r.lang: r.n for r in labelled.where("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    return Model(tuple((lang, "\n".join(parts[lang])) for lang in sorted(parts, key=lambda x: (-rows_of[x], x))), letters)
 
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -160,7 +161,8 @@ class Parser:
         if full and self.tables:
             counts = self.phrases([made[k] for k in full])
             entropy = counts * np.log2(self.sizes) / np.array([len(made[k]) for k in full])[:, None]
-            best = entropy.argmin(axis=1)
+            # Within a thousandth it is a tie, which the language with most labelled rows wins.
+            best = (entropy <= entropy.min(axis=1, keepdims=True) * 1.001).argmax(axis=1)
             low = np.sort(entropy, axis=1)
             margin = 1 - low[:, 0] / low[:, 1] if entropy.shape[1] > 1 else np.ones(len(full))
             for k, b, m in zip(full, best, margin, strict=True):
