@@ -30,7 +30,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 256
@@ -51,18 +51,21 @@ class Model(NamedTuple):
 
 def train(labelled: DataFrame, rows_per_language: int = 256, chars_per_row: int = 192, alphabet: int = 60) -> Model:
     """A model of `labelled` (doc_id, text, lang); rows with a null among these are skipped."""
+    full = labelled.where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
+    rows_of = {r.lang: r.n for r in full.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     draw = F.xxhash64("doc_id", "text")
     begin = F.pmod(draw, F.greatest(F.length("text") - chars_per_row, F.lit(1)).cast("long")).cast("int") + 1
-    rows = labelled.where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").select("lang", draw.alias("draw"), F.substring("text", begin, F.lit(chars_per_row)).alias("part"))
-    # row_number below a constant is cut down inside each task before the shuffle.
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "part"))
-    picked = rows.withColumn("n", rank).where(F.col("n") <= rows_per_language).select("lang", "draw", "part").collect()
+    # Rows whose draw is below their language's share: some more than asked for, of which the lowest are kept.
+    share = F.create_map(*[F.lit(x) for lang, n in rows_of.items() for x in (lang, (rows_per_language + 6 * rows_per_language**0.5) / n)]) if rows_of else F.create_map().cast("map<string,double>")
+    low = (draw.cast("double") / 2.0**64 + 0.5) <= share[F.col("lang")]
+    rows = full.where(low).select("lang", draw.alias("draw"), F.substring("text", begin, F.lit(chars_per_row)).alias("part")).distinct()
     parts: dict[str, list] = {}
-    for r in sorted(picked, key=lambda r: (r.lang, r.draw, r.part)):
-        parts.setdefault(r.lang, []).append(r.part.lower())
+    for r in sorted(rows.collect(), key=lambda r: (r.lang, r.draw, r.part)):
+        own = parts.setdefault(r.lang, [])
+        if len(own) < rows_per_language:
+            own.append(r.part.lower())
     seen = Counter(c for texts in parts.values() for t in texts for c in t if c.isalpha())
     letters = "".join(sorted(sorted(seen, key=lambda c: (-seen[c], c))[:alphabet]))
-    rows_of = {r.lang: r.n for r in labelled.where("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n")).collect()}
     return Model(tuple((lang, "\n".join(parts[lang])) for lang in sorted(parts, key=lambda x: (-rows_of[x], x))), letters)
 
 
