@@ -1,8 +1,8 @@
 """Token ids in a word-aligned binary format (Simple-8b), and word-wise tokenization.
 
-The format. A file set is a Parquet folder; each row is one shard: `part` and `shard` (their order is
-the order of the documents), n_docs, n_ids, `ids` (the documents' keys, packed int64) and two binary
-streams in the same code, `lengths` (ids per document) and `body` (all ids).
+The format. A file set is a Parquet folder; each row is one shard: `part` and `before` (the ids of the part
+before the shard; their order is the order of the documents), n_docs, n_ids, `keys` (the documents' ids,
+packed int64) and two binary streams in one code, `lengths` (ids per document) and `body` (all ids).
 
 A stream is: magic, number of values, number of blocks; then for each block of 1024 values the offset
 of its first word and whether it has escapes; then 64-bit words. A word's upper 4 bits select how many
@@ -15,11 +15,12 @@ from __future__ import annotations
 
 import os
 import struct
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, written
@@ -37,24 +38,20 @@ def pack(values: np.ndarray) -> bytes:
     values = np.ascontiguousarray(values, np.uint64)
     n = len(values)
     blocks = -(-n // BLOCK)
-    width = np.zeros(n + 60, np.int64)
-    width[:n] = np.where(values >> np.uint64(60) > 0, 64, 0)
-    left, bits = values.copy(), width[:n]
-    for shift in (32, 16, 8, 4, 2, 1):  # bit lengths by halving
-        big = left >= np.uint64(1 << shift)
-        np.add(bits, shift, out=bits, where=big & (bits < 64))
-        left = np.where(big, left >> np.uint64(shift), left)
-    np.add(bits, 1, out=bits, where=(left > 0) & (bits < 64))
-    place = np.arange(n)
-    rest = np.minimum(n, (place // BLOCK + 1) * BLOCK) - place  # values up to the end of the block
-    # The widest of the next c values for each count c; the first selector under which they fit is the best.
-    widest, span, best = width[: n + 59].copy(), 1, np.full(n, ESCAPE, np.int64)
+    width = np.zeros(n + 60, np.uint8)
+    width[:n] = np.frexp(values.astype(np.float64))[1]  # bit lengths; rounding up to a power of two only widens
+    width[:n][values >> np.uint64(60) > 0] = 64
+    place = np.arange(n, dtype=np.int32)
+    rest = BLOCK - place % BLOCK  # values up to the end of the block
+    rest[n - n % BLOCK :] -= BLOCK - n % BLOCK if n % BLOCK else 0
+    # The widest of the next c values for each count c; the last selector under which they fit is the best.
+    widest, span, best = width[: n + 59].copy(), 1, np.full(n, ESCAPE, np.uint8)
     for s in range(LAST, 0, -1):
         while span < COUNTS[s]:
             grow = min(span, int(COUNTS[s]) - span)
             widest = np.maximum(widest[: len(widest) - grow], widest[grow:])
             span += grow
-        best = np.where((widest[:n] <= BITS[s]) & (rest >= COUNTS[s]), s, best)
+        np.copyto(best, np.uint8(s), where=(widest[:n] <= BITS[s]) & (rest >= COUNTS[s]))
     # Follow the chain of words through all blocks in step.
     at, ends = np.arange(blocks) * BLOCK, np.minimum(n, (np.arange(blocks) + 1) * BLOCK)
     block, starts, owners = np.arange(blocks), [], []
@@ -67,7 +64,7 @@ def pack(values: np.ndarray) -> bytes:
     start = np.concatenate(starts) if starts else np.empty(0, np.int64)
     start.sort()
     owner = start // BLOCK
-    chosen = best[start]
+    chosen = best[start].astype(np.int64)
     size = np.where(chosen == ESCAPE, 2, 1)
     word_at = np.cumsum(size) - size
     words = np.zeros(int(size.sum()), np.uint64)
@@ -128,29 +125,55 @@ def unpack(data: bytes) -> np.ndarray:
 class WordTokenizer:
     """Ids of whole texts by a tokenizer whose tokens never cross white space, word by word.
 
-    Words seen before come from a bounded cache; new ones go to the library in one batch.
+    Words seen before come from a bounded cache; new ones go to the library in one batch. Where the
+    tokenizer ignores the case of ASCII words, and cuts before `closers`, a new word is first looked up
+    without either.
     """
 
-    CACHED = 400_000
-    BLANKS = str.maketrans("\t\n\r", "   ")
+    CACHED = 500_000
+    CLOSERS = ".,"
+    #: Characters that str.split takes for blanks and the tokenizer may not.
+    ODD = "\x1c\x1d\x1e\x1f"
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(definition)
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
+        plain = lambda t: self.library.encode(t, add_special_tokens=False).ids
+        self.caseless = all(plain(t.upper()) == plain(t) for t in ("abcdefghijklm", "nopqrstuvwxyz"))
+        self.closers = "".join(c for c in self.CLOSERS if all(plain(w + c) == plain(w) + plain(c) for w in ("a", "word", "élan", "ß")))
+        self.closing = {c: np.array(plain(c), np.uint32).tobytes() for c in self.closers}
+
+    def split(self, text: str) -> list[str]:
+        if any(c in text for c in self.ODD):
+            return [w for w in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if w]
+        return text.split()
+
+    def core(self, word: str) -> tuple[str, bytes]:
+        """The word to look up instead, and the ids behind it."""
+        tail = b""
+        if word[-1] in self.closing and word[-2:-1].isalpha():
+            word, tail = word[:-1], self.closing[word[-1]]
+        if self.caseless and word.isascii() and word.isalpha():
+            word = word.lower()
+        return word, tail
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.translate(self.BLANKS).split(" ") for t in texts]
-        new = list(set().union(*split).difference(self.known)) if split else []
+        split = [self.split(t) for t in texts]
+        words = set().union(*split) if split else set()
+        new = words.difference(self.known)
         if len(self.known) + len(new) > self.CACHED:
-            self.known = {"": b""}
-            new = list(set().union(*split) - {""})
-        made = self.library.encode_batch_fast(new, add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, np.uint32).tobytes()) for w, e in zip(new, made, strict=True))
+            # What this batch needs is likelier to come again than the rest.
+            self.known = {w: self.known[w] for w in words.intersection(self.known)}
+        cores = {w: self.core(w) for w in new}
+        asked = list({c for c, _ in cores.values()}.difference(self.known))
+        made = self.library.encode_batch_fast(asked, add_special_tokens=False)
+        self.known.update((w, array("I", e.ids).tobytes()) for w, e in zip(asked, made, strict=True))
         get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), np.uint32) for words in split]
+        self.known.update([(w, get(c) + tail) for w, (c, tail) in cores.items() if w != c])
+        return [np.frombuffer(b"".join(map(get, own)), np.uint32) for own in split]
 
 
 _tokenizers: dict[int, WordTokenizer] = {}
@@ -166,7 +189,7 @@ def tokenizer(definition: str) -> WordTokenizer:
 
 #: Characters that are tokenized at once, and ids of a shard.
 CHARS, SHARD_IDS = 4_000_000, 1_000_000
-SHARD_SCHEMA = "shard int, doc_null boolean, n_docs long, n_ids long, keys binary, lengths binary, body binary"
+SHARD_SCHEMA = "before long, doc_null boolean, n_docs long, n_ids long, keys binary, lengths binary, body binary"
 
 
 def write_ids(docs: DataFrame, definition: str, end_id: int | None = 1, rows_per_part: int = 20_000) -> DataFrame:
@@ -179,15 +202,15 @@ def write_ids(docs: DataFrame, definition: str, end_id: int | None = 1, rows_per
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(sent.value)
-        number, keys, ids, size = 0, [], [], 0
+        before, keys, ids, size = 0, [], [], 0
         tail = np.array([] if end_id is None else [end_id], np.uint32)
 
         def close() -> pa.RecordBatch:
-            nonlocal number, keys, ids, size
+            nonlocal before, keys, ids, size
             missing = [k is None for k in keys]
-            row = [number, missing[0], len(keys), size, np.array([k or 0 for k in keys], "<i8").tobytes(), pack(np.array([len(x) for x in ids])), pack(np.concatenate(ids))]
-            number, keys, ids, size = number + 1, [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=[f.split()[0] for f in SHARD_SCHEMA.split(", ")])
+            row = [before, missing[0], len(keys), size, np.array([k or 0 for k in keys], "<i8").tobytes(), pack(np.array([len(x) for x in ids])), pack(np.concatenate(ids))]
+            before, keys, ids, size = before + size, [], [], 0
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=[f.split()[0] for f in SHARD_SCHEMA.split(", ")])
 
         for batch in batches:
             for part in _parts(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
@@ -223,16 +246,18 @@ def _parts(rows: Iterable[tuple]) -> Iterator[list[tuple]]:
 
 def read_ids(shards: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens and ids (little-endian unsigned 32-bit) of each document."""
-    # Two running sums: over the parts, then over the shards of a part.
-    parts = shards.groupBy("part").agg(F.sum("n_ids").alias("total"))
-    parts = parts.select(F.col("part").alias("p"), F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    starts = shards.select("part", "shard", F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("inside"))
-    starts = starts.join(parts, F.col("part") == F.col("p")).select(F.col("part").alias("p"), F.col("shard").alias("s"), (F.col("base") + F.col("inside")).alias("start"))
+    # One number per written part reaches the driver, as Spark itself keeps some per task.
+    totals = {r.part: r.total for r in shards.groupBy("part").agg(F.sum("n_ids").alias("total")).collect()}
+    base, at = {}, 0
+    for part in sorted(totals):
+        base[part], at = at, at + totals[part]
+    sent = shards.sparkSession.sparkContext.broadcast(base)
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                start, missing, keys, lengths, body = (batch.column(k)[row].as_py() for k in range(5))
+                part, before, missing, keys, lengths, body = (batch.column(k)[row].as_py() for k in range(6))
+                start = sent.value[part] + before
                 sizes = unpack(lengths).astype(np.int64)
                 ids = unpack(body).astype("<u4").tobytes()
                 ends = np.cumsum(sizes)
@@ -248,6 +273,4 @@ def read_ids(shards: DataFrame) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids"],
                 )
 
-    met = shards.join(starts, (F.col("part") == F.col("p")) & (F.col("shard") == F.col("s")))
-    return met.select("start", "doc_null", "keys", "lengths", "body").mapInArrow(documents, "doc_id long, start long, n_tokens long, ids binary")
-
+    return shards.select("part", "before", "doc_null", "keys", "lengths", "body").mapInArrow(documents, "doc_id long, start long, n_tokens long, ids binary")
