@@ -125,40 +125,62 @@ def unpack(data: bytes) -> np.ndarray:
 class WordTokenizer:
     """Ids of whole texts by a tokenizer whose tokens never cross white space, word by word.
 
-    Words seen before come from a bounded cache; new ones go to the library in one batch. Where the
-    tokenizer ignores the case of ASCII words, and cuts before `closers`, a new word is first looked up
-    without either.
+    Words seen before come from a bounded cache, new ones from the library. Latin-1 texts are handled as
+    bytes: if the tokenizer ignores case and cuts between a letter and a closing mark (both are tried
+    out first), they are lower-cased and cut there, so that fewer words differ. Words of Latin-1 letters
+    then go to the library's model as they are, byte by byte, if that is found to give what the whole
+    library gives. All other words go to the whole library, in one batch.
     """
 
     CACHED = 500_000
     CLOSERS = ".,"
     #: Characters that str.split takes for blanks and the tokenizer may not.
     ODD = "\x1c\x1d\x1e\x1f"
+    LETTERS = [chr(c) for c in range(0x100) if chr(c).isalpha()]
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(definition)
-        self.known: dict[str, bytes] = {}
+        self.model = self.library.model
+        self.known: dict[str | bytes, bytes] = {}
         plain = lambda t: self.library.encode(t, add_special_tokens=False).ids
-        self.caseless = all(plain(t.upper()) == plain(t) for t in ("abcdefghijklm", "nopqrstuvwxyz"))
-        self.closers = "".join(c for c in self.CLOSERS if all(plain(w + c) == plain(w) + plain(c) for w in ("a", "word", "élan", "ß")))
-        self.closing = {c: np.array(plain(c), np.uint32).tobytes() for c in self.closers}
-
-    def split(self, text: str) -> list[str]:
+        letters = self.LETTERS
+        samples = [*letters, "".join(letters), *("".join(letters[k::7]) for k in range(7)), *("".join(letters[k : k + 6]) for k in range(0, len(letters), 3))]
+        # Byte-level models write a byte as a character: printable Latin-1 as itself, others from U+0100 on.
+        printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        hidden = [b for b in range(0x100) if b not in printable]
+        self.byte_char = {b: chr(b) for b in printable} | {b: chr(0x100 + k) for k, b in enumerate(hidden)}
+        self.lower = bytes(ord(chr(b).lower()) for b in range(0x100))
+        caseless = all(plain(w.lower()) == plain(w) for w in samples)
+        closing = all(plain(w + c + x) == plain(w) + plain(c + x) for w in ("a", "word", "élan", "ß", "7", "x1") for c in self.CLOSERS for x in ("", "b", "!!", "..", "5"))
+        self.fast = caseless and closing and "." in self.CLOSERS
+        self.direct = self.fast and all(self.by_model(w.lower()) == plain(w) for w in samples)
+        # Where a mark follows another mark, a cut would change tokens.
+        self.kinds = bytes(ord("d") if chr(b) in self.CLOSERS else ord("w") if chr(b).isalpha() or chr(b) in "0123456789 \n\t\r" else ord("p") for b in range(0x100))
+
+    def split(self, text: str) -> list:
+        if self.fast and "<" not in text:
+            try:
+                data = text.encode("latin-1")
+            except UnicodeEncodeError:
+                data = None
+            if data is not None:
+                kinds = data.translate(self.kinds)
+                data = data.translate(self.lower)
+                if b"pd" not in kinds and b"dd" not in kinds:
+                    for c in self.CLOSERS.encode():
+                        data = data.replace(bytes([c]), bytes([32, c]))
+                return data.split()
         if any(c in text for c in self.ODD):
             return [w for w in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if w]
         return text.split()
 
-    def core(self, word: str) -> tuple[str, bytes]:
-        """The word to look up instead, and the ids behind it."""
-        tail = b""
-        if word[-1] in self.closing and word[-2:-1].isalpha():
-            word, tail = word[:-1], self.closing[word[-1]]
-        if self.caseless and word.isascii() and word.isalpha():
-            word = word.lower()
-        return word, tail
+    def by_model(self, word: str) -> list[int]:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.byte_char)
+        return [t.id for t in self.model.tokenize(word)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.split(t) for t in texts]
@@ -167,12 +189,15 @@ class WordTokenizer:
         if len(self.known) + len(new) > self.CACHED:
             # What this batch needs is likelier to come again than the rest.
             self.known = {w: self.known[w] for w in words.intersection(self.known)}
-        cores = {w: self.core(w) for w in new}
-        asked = list({c for c, _ in cores.values()}.difference(self.known))
-        made = self.library.encode_batch_fast(asked, add_special_tokens=False)
-        self.known.update((w, array("I", e.ids).tobytes()) for w, e in zip(asked, made, strict=True))
-        get = self.known.__getitem__
-        self.known.update([(w, get(c) + tail) for w, (c, tail) in cores.items() if w != c])
+        whole, known = [], self.known
+        for w in new:
+            if self.direct and isinstance(w, bytes) and (s := w.decode("latin-1")).isalpha():
+                known[w] = array("I", self.by_model(s)).tobytes()
+            else:
+                whole.append(w)
+        made = self.library.encode_batch_fast([w.decode("latin-1") if isinstance(w, bytes) else w for w in whole], add_special_tokens=False)
+        known.update((w, array("I", e.ids).tobytes()) for w, e in zip(whole, made, strict=True))
+        get = known.__getitem__
         return [np.frombuffer(b"".join(map(get, own)), np.uint32) for own in split]
 
 
