@@ -60,15 +60,15 @@ def fingerprint(text: bytes, n: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, n: int = 3) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) of every row."""
+    """doc_id, hash (xxhash64 of the text) and fp (the fingerprint as a signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary())
             made = np.fromiter((fingerprint(t.as_py() or b"", n) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(made.view(np.int64))], names=["doc_id", "hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("hash")).mapInArrow(run, "doc_id long, hash long, fp long")
 
 
 def masks(radius: int = 3, blocks: int = 4) -> list[tuple[int, int]]:
@@ -177,13 +177,32 @@ def near_links(fps: DataFrame, radius: int = 3, blocks: int = 4) -> DataFrame:
     return sent.repartition(buckets, "bucket").mapInArrow(meet, "a long, b long")
 
 
+def _components(own: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """g (a fingerprint of `own`) and root, a fingerprint of its component."""
+    distinct = written(own.select("fp").distinct(), "distinct")
+    roots = written(connected_components(near_links(distinct, radius, blocks)), "components")
+    return distinct.join(roots, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("g"), F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, n: int = 3, radius: int = 3, blocks: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of `docs`."""
-    own = written(fingerprints(docs, n), "fingerprints")
-    distinct = written(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = written(connected_components(near_links(distinct, radius, blocks)), "components")
-    grouped = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = grouped.select(F.col("fp").alias("g"), F.col("root").alias("r")).join(smallest, F.col("r") == F.col("root")).select("g", "component_id")
+    own = written(fingerprints(docs, n).drop("hash"), "fingerprints")
+    first = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    grouped = _components(own, radius, blocks).join(first, F.col("g") == F.col("fp")).select("g", "root", "first")
+    smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "r")
+    of = grouped.join(smallest, F.col("root") == F.col("r")).select("g", "component_id")
     out = own.join(of, F.col("fp") == F.col("g"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, n: int = 5, radius: int = 3, blocks: int = 4) -> DataFrame:
+    """The rows of `docs` that stay: of each component the one with the smallest doc_id (null last), ties by a hash of its text.
+
+    Of repeated rows one stays. Texts are shuffled once, to meet the keys of those that stay.
+    """
+    own = written(fingerprints(docs, n), "fingerprints")
+    first = own.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash")).alias("first"))
+    grouped = _components(own, radius, blocks).join(first, F.col("g") == F.col("fp"))
+    stay = grouped.groupBy("root").agg(F.min("first").alias("first")).select(F.xxhash64(F.col("first.doc_id"), F.col("first.hash")).alias("s"))
+    out = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    return out.join(stay, F.col("_row") == F.col("s"), "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
