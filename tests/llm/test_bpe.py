@@ -63,3 +63,14 @@ def test_decode_concatenates(monkeypatch):
     codec = bpe.Codec(RANKS, P.PATTERN)
     ids = np.array(codec.library.encode_ordinary("some text, été and more of it"), np.uint32)
     assert codec.decode(ids) == "some text, été and more of it".encode()
+
+
+def test_documents(docs, hard):
+    library = bpe.Codec(RANKS, P.PATTERN).library
+    table = docs(hard).selectExpr("*", "'clash' AS ids", "1 AS decoded")
+    both = bpe.round_trip(table, RANKS, P.PATTERN).collect()
+    apart = bpe.decode_documents(bpe.encode_documents(table, RANKS, P.PATTERN), RANKS, P.PATTERN).collect()
+    for rows in (both, apart):
+        assert sorted((r.doc_id or -1, r.text or "", bytes(r.ids)) for r in rows) == sorted((k or -1, t or "", np.array(library.encode_ordinary(t or ""), "<u4").tobytes()) for k, t in hard)
+        assert all(bytes(r.decoded) == (r.text or "").encode() for r in rows)
+    assert bpe.round_trip(docs([]), RANKS, P.PATTERN).collect() == []

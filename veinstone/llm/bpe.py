@@ -21,7 +21,7 @@ tokens. Repeated rows are encoded alike; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -157,34 +157,61 @@ def read_ranks(path: str) -> bytes:
 BATCH = 4_000_000
 
 
-def _mapped(df: DataFrame, column: str, make, out: str) -> DataFrame:
-    """`df` with the binary column `out` made from `column` value by value, in batches of bounded size."""
-    names = [c for c in df.columns if c != out]
+def _mapped(df: DataFrame, column: str, make: Callable[[], Callable[[object], tuple[bytes, ...]]], out: tuple[str, ...]) -> DataFrame:
+    """`df` with binary columns `out` made from `column` value by value, in batches of bounded size."""
+    names = [c for c in df.columns if c not in out]
     at = names.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = make()
         for batch in batches:
             begin, made, size = 0, [], 0
-            for k, value in enumerate(batch.column(at)):
+            for k, value in enumerate(batch.column(at), start=1):
                 made.append(own(value.as_py()))
-                size += len(made[-1])
-                if size >= BATCH:
-                    yield pa.RecordBatch.from_arrays([*batch.slice(begin, k + 1 - begin).columns, pa.array(made, pa.binary())], names=[*names, out])
-                    begin, made, size = k + 1, [], 0
-            if made:
-                yield pa.RecordBatch.from_arrays([*batch.slice(begin).columns, pa.array(made, pa.binary())], names=[*names, out])
+                size += sum(map(len, made[-1]))
+                if size >= BATCH or k == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(begin, k - begin).columns, *[pa.array(c, pa.binary()) for c in zip(*made, strict=True)]], names=[*names, *out])
+                    begin, made, size = k, [], 0
 
-    return df.select(*names).mapInArrow(run, df.select(*names).schema.add(out, "binary"))
+    schema = df.select(*names).schema
+    for c in out:
+        schema = schema.add(c, "binary")
+    return df.select(*names).mapInArrow(run, schema)
 
 
 def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """`docs` with `out`: the ids of each text as little-endian unsigned 32-bit integers."""
     sent = docs.sparkSession.sparkContext.broadcast(ranks)
-    return _mapped(docs, text, lambda: lambda t, c=codec(sent.value, pattern): c.encode(t or "").astype("<u4").tobytes(), out)
+
+    def make():
+        own = codec(sent.value, pattern)
+        return lambda t: (own.encode(t or "").astype("<u4").tobytes(),)
+
+    return _mapped(docs, text, make, (out,))
 
 
 def decode_documents(encoded: DataFrame, ranks: bytes, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """`encoded` with `out`: the bytes of its ids."""
     sent = encoded.sparkSession.sparkContext.broadcast(ranks)
-    return _mapped(encoded, ids, lambda: lambda b, c=codec(sent.value, pattern): c.decode(np.frombuffer(b or b"", "<u4")), out)
+
+    def make():
+        own = codec(sent.value, pattern)
+        return lambda b: (own.decode(np.frombuffer(b or b"", "<u4")),)
+
+    return _mapped(encoded, ids, make, (out,))
+
+
+def round_trip(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Both in one pass, so that a task needs one Python worker and not two: `docs` with its ids and their bytes."""
+    sent = docs.sparkSession.sparkContext.broadcast(ranks)
+
+    def make():
+        own = codec(sent.value, pattern)
+
+        def both(t: str | None) -> tuple[bytes, bytes]:
+            made = own.encode(t or "").astype("<u4").tobytes()
+            return made, own.decode(np.frombuffer(made, "<u4"))
+
+        return both
+
+    return _mapped(docs, text, make, (ids, decoded))
