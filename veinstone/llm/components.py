@@ -79,8 +79,9 @@ def connected_components(links: DataFrame) -> DataFrame:
     execution splits. Each round is written to the shared folder, so no lineage grows.
     """
     a, b = links.columns
-    edges = contract(links.where(f"`{a}` IS NOT NULL AND `{b}` IS NOT NULL AND `{a}` <> `{b}`").select(F.col(a).cast("long"), F.col(b).cast("long")))
-    edges = written(edges.distinct(), "links")
+    # Written before anything else in Python follows, so that a task needs one Python worker.
+    low, high = F.least(F.col(a), F.col(b)).cast("long"), F.greatest(F.col(a), F.col(b)).cast("long")
+    edges = written(links.where(f"`{a}` IS NOT NULL AND `{b}` IS NOT NULL AND `{a}` <> `{b}`").select(high.alias("u"), low.alias("v")).distinct(), "links")
     state = _state(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
