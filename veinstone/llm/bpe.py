@@ -30,6 +30,8 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 #: Characters (of a text), bytes (of a piece) and ids that are encoded or decoded at once.
 TEXT_LEAF, PIECE_LEAF, ID_LEAF = 8192, 512, 65536
 #: How far from the middle a border of a word is looked for.
@@ -159,6 +161,7 @@ BATCH = 4_000_000
 
 def _mapped(df: DataFrame, column: str, make: Callable[[], Callable[[object], tuple[bytes, ...]]], out: tuple[str, ...]) -> DataFrame:
     """`df` with binary columns `out` made from `column` value by value, in batches of bounded size."""
+    small_batches(df.sparkSession)
     names = [c for c in df.columns if c not in out]
     at = names.index(column)
 

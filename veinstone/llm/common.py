@@ -60,3 +60,14 @@ def word_count(text: Column) -> Column:
 def partitions(spark: SparkSession, rows: int, each: int) -> int:
     """How many partitions hold about `each` rows; at least the session's own number."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on the session sends at most `rows` rows to Python at once.
+
+    Whole texts of ten thousand documents in one batch, Spark's default, take hundreds of megabytes on
+    both sides of the pipe. The setting is only ever lowered.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))

@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 BLOCK = 256
 #: Characters that are parsed in step; bounds a worker's memory.
 CHUNK = 1_500_000
@@ -186,6 +188,7 @@ def parser(model: Model) -> Parser:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """Every row of `docs` with lang_pred and score added (in place of input columns of these names)."""
+    small_batches(docs.sparkSession)
     keep = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
     names = [f.name for f in keep]
     at = names.index("text")

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 
 BLANKS = " \t\r"
 KEY = ("_doc_null", "doc_id", "_text")
@@ -71,6 +71,8 @@ def dedup_lines(docs: DataFrame, window: int = 3) -> DataFrame:
     """Every row of `docs` with its shortened text; all columns stay, and lines_removed long is added
     (in place of an input column of that name)."""
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("struct<text:string,gone:long>")
     def shortened(texts: pd.Series, covered: pd.Series) -> pd.DataFrame:
         made = [(None, 0) if t is None else cut_lines(t, np.asarray(c, dtype=np.int64), window) for t, c in zip(texts, covered, strict=True)]

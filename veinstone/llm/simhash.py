@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import partitions, small_batches, written
 from .components import Forest, connected_components
 
 SEED = 42
@@ -61,6 +61,7 @@ def fingerprint(text: bytes, n: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, n: int = 3) -> DataFrame:
     """doc_id, hash (xxhash64 of the text) and fp (the fingerprint as a signed long) of every row."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

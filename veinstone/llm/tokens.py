@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import partitions, small_batches, written
 
 MAGIC = b"S8B1"
 BLOCK = 1024
@@ -223,6 +223,7 @@ def write_ids(docs: DataFrame, definition: str, end_id: int | None = 1, rows_per
     Null texts count as empty. Null doc_ids come first; rows with one doc_id are ordered by their text.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(definition)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
