@@ -49,10 +49,11 @@ def faults(v: Column, dims: int, tolerance: float = 1e-3) -> Column:
 
 def hash_embedding(text: Column, dims: int = 8, limit: int = 200) -> Column:
     """A deterministic stand-in for a model: characters add (code mod 97) / 97 to the bucket of their place."""
-    chars = F.split(F.substring(text, 1, limit), "")
-    value = lambda i: F.coalesce(F.ascii(F.get(chars, i)) % 97 / 97, F.lit(0.0))
-    places = lambda d: F.filter(F.sequence(F.lit(0), F.greatest(F.size(chars) - 1, F.lit(0))), lambda i: i % dims == d)
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.aggregate(places(d), F.lit(0.0), lambda s, i: s + value(i)))
+    value = lambda c: F.coalesce(F.ascii(c) % 97 / 97, F.lit(0.0))
+    bucket = lambda c, d: F.aggregate(F.when(d < F.size(c), F.sequence(d, F.size(c) - 1, F.lit(dims))).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda s, i: s + value(F.get(c, i)))
+    # The characters are split once, as the only element of an array that a lambda binds.
+    chars = F.array(F.split(F.substring(text, 1, limit), ""))
+    return F.get(F.transform(chars, lambda c: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: bucket(c, d))), F.lit(0))
 
 
 def score_batches(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int, id_col: str, vector_col: str, scope_col: str | None = None) -> DataFrame:

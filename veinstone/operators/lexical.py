@@ -1,7 +1,7 @@
 """Full-text retrieval: postings for the terms asked for, BM25 over fields, and their combination.
 
-Postings are never built for a whole corpus to answer a query: each document's token array is filtered
-to the query terms before it is exploded. What is broadcast are the terms of the queries at hand.
+Postings are never built for a whole corpus to answer a query: only tokens that a query asks for go on
+to be counted. Whether the terms are broadcast is left to Spark's check of their size.
 """
 
 from __future__ import annotations
@@ -29,9 +29,9 @@ def bm25(docs: DataFrame, terms: DataFrame, k1: float = K1, b: float = B) -> Dat
     idf is ln(1 + (N - df + 0.5) / (df + 0.5)), over all documents given, however many match.
     """
     stats = docs.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    wanted = terms.select("term").distinct().agg(F.collect_list("term").alias("wanted"))
-    # One row each: the corpus statistics and the terms asked for.
-    hits = docs.join(F.broadcast(wanted)).select("id", "length", F.explode(F.filter("tokens", lambda t: F.array_contains("wanted", t))).alias("term"))
+    wanted = terms.select("term").distinct()
+    # Tokens meet the terms asked for before anything is shuffled, if those are few enough to be sent around.
+    hits = docs.select("id", "length", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
     postings = hits.groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
     df = postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(stats))
     idf = df.select(F.col("term").alias("t"), "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
