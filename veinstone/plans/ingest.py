@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import identity, text
 from ..operators import chunking, state
@@ -66,7 +67,7 @@ def embedded(rows: DataFrame, dims: int, keys: tuple[str, ...] = ("fragment_id",
             made = made / np.where(length > 0, length, 1)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(list(made), pa.list_(pa.float64()))], names=[*keys, "embedding"])
 
-    return rows.select(*keys, column).mapInArrow(run, rows.select(*keys).schema.add("embedding", "array<double>"))
+    return rows.select(*keys, column).mapInArrow(run, rows.select(*keys).schema.add("embedding", T.ArrayType(T.DoubleType())))
 
 
 def terms(fragments: DataFrame) -> DataFrame:

@@ -59,7 +59,7 @@ def decode(data: bytes) -> str:
         except (UnicodeDecodeError, UnicodeError):
             continue
         head = text[:LOOKED_AT]
-        odd = sum(c in "�\0" or "" <= c <= "" for c in head)
+        odd = sum(c in "\ufffd\0" or "\ue000" <= c <= "\uf8ff" for c in head)
         if odd <= BAD_SHARE * len(head):
             return text
     return data.decode("utf-8", "replace")

@@ -1,6 +1,6 @@
 """Versioned tables of an index: written beside the old ones, then made current in one step.
 
-A version is a folder of Parquet tables; the file _CURRENT names the one that readers take. It is
+A version is a folder of Parquet tables; the file CURRENT names the one that readers take. It is
 replaced by a rename, so that a reader sees the old version or the new one, and a failed build neither.
 """
 
@@ -29,11 +29,11 @@ class Store:
 
     def current(self) -> str | None:
         """The version in force; None if there is none, or it has another schema, or its name can't be read."""
-        at = self._path(f"{self.root}/_CURRENT")
+        at = self._path(f"{self.root}/CURRENT")
         if not self._fs.exists(at):
             return None
         try:
-            found = json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.root}/_CURRENT").collect()))
+            found = json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.root}/CURRENT").collect()))
             return found["version"] if found["schema"] == SCHEMA_VERSION else None
         except (ValueError, KeyError, TypeError):
             return None
@@ -55,10 +55,10 @@ class Store:
 
     def commit(self, version: str) -> None:
         """Make `version` the current one."""
-        stream = self._fs.create(self._path(f"{self.root}/_CURRENT.{version}"), True)
+        stream = self._fs.create(self._path(f"{self.root}/CURRENT.{version}"), True)
         stream.write(bytearray(json.dumps({"version": version, "schema": SCHEMA_VERSION}).encode()))
         stream.close()
-        to = self._path(f"{self.root}/_CURRENT")
+        to = self._path(f"{self.root}/CURRENT")
         self._fs.delete(to, False)
-        if not self._fs.rename(self._path(f"{self.root}/_CURRENT.{version}"), to):
+        if not self._fs.rename(self._path(f"{self.root}/CURRENT.{version}"), to):
             raise OSError(f"{to} can't be replaced")
