@@ -117,11 +117,13 @@ class Parser:
         for _, text in model.texts:
             symbols = self.symbols(text)
             moves = suffix_automaton(symbols.tolist())
-            root = np.full(self.width, ~0, np.int64)  # a symbol that never occurs is a phrase
+            # The last state follows a symbol that never occurs, which is a phrase of its own.
+            first = np.full(self.width, len(moves) * self.width, np.int64)
             for c, s in moves[0].items():
-                root[c] = ~(s * self.width)
-            table = np.tile(root, (len(moves), 1))
-            for s, own in enumerate(moves):
+                first[c] = s * self.width
+            table = np.tile(~first, (len(moves) + 1, 1))
+            table[0] = first  # only a block begins there
+            for s, own in enumerate(moves[1:], start=1):
                 table[s, list(own)] = [t * self.width for t in own.values()]
             self.tables.append(table.ravel().astype(np.int32))
             self.sizes.append(max(2, len(symbols)))
