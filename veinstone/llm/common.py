@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import json
 import shutil
 import tempfile
 import uuid
@@ -71,3 +72,16 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, str(rows))
+
+
+def small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A few rows as part of the plan, so that Spark knows their size before it chooses a join.
+
+    Rows of a Python list have no known size: a join with them shuffles the other side first. Beyond
+    some thousands of rows that is what should happen.
+    """
+    if len(rows) > 5000:
+        names = [f.name for f in spark.createDataFrame([], schema).schema.fields]
+        return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], schema)
+    packed = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")
+    return spark.range(1).select(F.explode(packed).alias("row")).select("row.*")

@@ -25,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count, written
+from .common import small_table, word_count, written
 
 WEIGHTS = (5, 2, 1)
 SEED = 7
@@ -69,7 +69,8 @@ def _source_plan(sized: DataFrame, epochs_total: float, max_epochs: float, weigh
     weights = [float(weight_of(k, r.source)) for k, r in enumerate(sources)]
     targets = water_fill(sizes, weights, epochs_total * sum(sizes), max_epochs)
     rows = [(r.source, s, t, int(t // s) if s else 0, t - s * (t // s) if s else 0.0) for r, s, t in zip(sources, sizes, targets, strict=True)]
-    plan = spark.createDataFrame(rows, "p_source string, source_size long, target double, whole long, fraction double")
+    names = ("p_source", "source_size", "target", "whole", "fraction")
+    plan = small_table(spark, [dict(zip(names, r, strict=True)) for r in rows], "p_source string, source_size long, target double, whole long, fraction double")
     # The bucket of each source in which the fractional repetition ends.
     order = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     last = (
@@ -94,8 +95,9 @@ def _source_plan(sized: DataFrame, epochs_total: float, max_epochs: float, weigh
     for row in rows:
         in_bucket, at = cut.get(row[0], (None, None))
         # Without a document of its last bucket, the repetition ends before that bucket.
-        final.append((*row[:4], (at if at is not None else (in_bucket, None, None)) if in_bucket is not None else None))
-    return spark.createDataFrame(final, "p_source string, source_size long, target double, whole long, cut struct<_draw:string,doc_id:long,_size:long>")
+        parts = (in_bucket, None, None) if at is None else tuple(at)
+        final.append(dict(zip(names[:4], row[:4], strict=True)) | {"cut": None if in_bucket is None else dict(zip(("_draw", "doc_id", "_size"), parts, strict=True))})
+    return small_table(spark, final, "p_source string, source_size long, target double, whole long, cut struct<_draw:string,doc_id:long,_size:long>")
 
 
 def _with_repeats(sized: DataFrame, plan: DataFrame) -> DataFrame:
