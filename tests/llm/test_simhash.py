@@ -80,9 +80,42 @@ def test_query_against_brute_force(spark, docs, hard, n):
                 smallest[label[f]] = min(smallest.get(label[f], k), k)
     expected = sorted((-1 if k is None else k, f"{f:016x}", smallest.get(label[f], -1)) for f, ids in texts.items() for k in ids)
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.fingerprint, -1 if r.component_id is None else r.component_id) for r in out) == expected
-    kept = S.keep_one(docs(rows), n=n).collect()
-    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(set(smallest.values()))
-    assert len(kept) == len(set(label.values()))
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_one_of_each_group_stays(spark, docs, hard, seed):
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(3000)]
+    rows, near = list(hard), {}
+    for k in range(100, 130):
+        base = [rng.choice(words) for _ in range(rng.choice([60, 120, 900]))]
+        rows.append((k, " ".join(base)))
+        near[k] = {k}
+        for j in range(3):
+            edited = list(base)
+            for at in rng.sample(range(len(base)), max(1, len(base) // 80)):
+                edited[at] = "Changed"
+            rows.append((k * 10 + j, "  ".join(edited)))
+        half = base[: len(base) // 2] + [rng.choice(words) for _ in range(len(base) // 2)]
+        rows.append((k * 10 + 5, " ".join(half)))
+        near[k * 10 + 5] = {k * 10 + 5}
+    rows.append((100, rows[len(hard)][1]))
+    kept = sorted(r.doc_id if r.doc_id is not None else -1 for r in S.keep_one(docs(rows)).collect())
+    brute = sorted(near) + [-1, 1, 4, 5, 7, 8, 9]
+    assert kept == sorted(brute)
+    sets = {k: set(S.shingles(t.encode(), 5)) for k, t in rows if k in near or (k or 0) >= 1000}
+    assert all(len(sets[k] & sets[k * 10 + j]) / len(sets[k] | sets[k * 10 + j]) >= 0.8 for k in range(100, 130) for j in range(3))
+
+
+def test_views_of_similar_sets_meet():
+    rng = np.random.default_rng(1)
+    met = 0
+    for _ in range(100):
+        a = np.unique(rng.integers(0, 2**63, 300).astype(np.uint64))
+        b = np.unique(np.r_[a[33:], rng.integers(0, 2**63, 33).astype(np.uint64)])
+        met += bool((S.views(a) == S.views(b)).any())
+        assert abs(S.similarity(a[: S.SKETCH], b[: S.SKETCH], False) - 0.8) < 0.12
+    assert met >= 97
 
 
 def test_empty(docs):

@@ -47,18 +47,27 @@ def shingles(text: bytes, n: int) -> list[bytes]:
     return list(map(b" ".join, zip(*(words[k:] for k in range(n)), strict=False)))
 
 
-def fingerprint(text: bytes, n: int = 3) -> int:
-    """The unsigned 64-bit fingerprint of a text."""
+def hashes_of(text: bytes, n: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included."""
     parts = shingles(text, n)
-    if not parts:
+    return np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, len(parts))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes; 0 if there are none."""
+    if not len(hashes):
         return 0
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, len(parts))
     counts = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 4096):
         counts += np.unpackbits(hashes[k : k + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, n: int = 3) -> int:
+    """The unsigned 64-bit fingerprint of a text."""
+    return majority(hashes_of(text, n))
+
+
 def fingerprints(docs: DataFrame, n: int = 3) -> DataFrame:
     """doc_id, hash (xxhash64 of the text) and fp (the fingerprint as a signed long) of every row."""
     small_batches(docs.sparkSession)
@@ -196,14 +205,97 @@ def near_duplicates(docs: DataFrame, n: int = 3, radius: int = 3, blocks: int =
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, n: int = 5, radius: int = 3, blocks: int = 4) -> DataFrame:
-    """The rows of `docs` that stay: of each component the one with the smallest doc_id (null last), ties by a hash of its text.
+#: Samples of a document's shingles, shingles of each, and shingle hashes kept to verify with.
+VIEWS, SAMPLE, SKETCH = 12, 4, 256
+_SEEDS = np.array([xxhash.xxh64_intdigest(b"view", k) for k in range(VIEWS)], np.uint64)
+
+
+def views(hashes: np.ndarray) -> np.ndarray:
+    """The fingerprints of VIEWS samples of distinct shingle hashes: each of the SAMPLE lowest under its own scramble."""
+    mixed = _mixed(_mixed(hashes[:, None] ^ _SEEDS[None, :]))
+    if len(hashes) > SAMPLE:
+        picks = hashes[np.argpartition(mixed, SAMPLE - 1, axis=0)[:SAMPLE]]
+    else:
+        picks = np.resize(hashes, SAMPLE)[:, None].repeat(VIEWS, axis=1)
+    w, x, y, z = picks
+    return (w & x & (y | z)) | ((w | x) & y & z)
+
+
+def similarity(a: np.ndarray, b: np.ndarray, whole: bool) -> float:
+    """Jaccard of two sets of shingle hashes, or its estimate from their lowest SKETCH ones."""
+    union = np.union1d(a, b)
+    if not whole:
+        union = union[:SKETCH]
+    shared = np.intersect1d(np.intersect1d(a, b, assume_unique=True), union, assume_unique=True)
+    return len(shared) / len(union) if len(union) else 0.0
+
+
+def sketches(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, hash (of the text), fp, size (distinct shingles), views and sketch (lowest hashes) of every row."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, sizes, own, kept = np.empty(batch.num_rows, np.uint64), [], [], []
+            for k, text in enumerate(batch.column(1).cast(pa.large_binary())):
+                made = hashes_of(text.as_py() or b"", n)
+                fps[k] = majority(made)
+                distinct = np.unique(made)
+                sizes.append(len(distinct))
+                own.append(views(distinct).view(np.int64) if len(distinct) else np.empty(0, np.int64))
+                kept.append(distinct[:SKETCH].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64)), pa.array(sizes, pa.int64()), pa.array(own, pa.list_(pa.int64())), pa.array(kept, pa.binary())], names=["doc_id", "hash", "fp", "size", "views", "sketch"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("hash")).mapInArrow(run, "doc_id long, hash long, fp long, size long, views array<long>, sketch binary")
+
+
+def _similar_links(nodes: DataFrame, least: float) -> DataFrame:
+    """(a, b) links of nodes (hash, size, views, sketch) that share a sample's fingerprint and are similar enough.
+
+    Sets of a similarity s differ in size by the factor s at most, so a node goes to two of the classes of
+    such a factor. In each group of a sample's fingerprint and a class all members are compared with two
+    of them, others in each group; a group of common passages thus splits by size, and costs two
+    comparisons a member.
+    """
+    klass = F.floor(F.log(F.col("size").cast("double")) / -float(np.log(least)))
+    each = nodes.where("size > 0").select("hash", F.posexplode("views").alias("view", "key"), klass.alias("class")).select("hash", "view", "key", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"))
+    group = F.xxhash64("view", "key", "class")
+    each = each.select("hash", group.alias("group"))
+    draw = F.struct(F.xxhash64("hash", "group"), "hash")
+    ends = each.groupBy("group").agg(F.min(draw).alias("x"), F.max(draw).alias("y")).where("x <> y").select(F.col("group").alias("g"), F.explode(F.array("x.hash", "y.hash")).alias("a"))
+    pairs = each.join(ends, F.col("group") == F.col("g")).where("hash <> a").select(F.least("a", "hash").alias("a"), F.greatest("a", "hash").alias("b")).distinct()
+    side = lambda c: nodes.select(F.col("hash").alias(f"{c}_node"), F.col("size").alias(f"{c}_size"), F.col("sketch").alias(f"{c}_sketch"))
+    met = written(pairs, "candidates").join(side("a"), F.col("a") == F.col("a_node")).join(side("b"), F.col("b") == F.col("b_node"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.maximum(batch.column(2).to_numpy(), batch.column(3).to_numpy())
+            good = [similarity(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), bool(s <= SKETCH)) >= least for x, y, s in zip(batch.column(4), batch.column(5), sizes, strict=True)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+
+    return met.select("a", "b", "a_size", "b_size", "a_sketch", "b_sketch").mapInArrow(verify, "a long, b long")
+
+
+def keep_one(docs: DataFrame, n: int = 5, radius: int = 3, blocks: int = 4, least: float = 0.8) -> DataFrame:
+    """The rows of `docs` that stay: of each group of near-duplicates the one with the smallest doc_id (null last), ties by a hash of its text.
+
+    Fingerprints within `radius` bits link, which finds texts that share nearly all shingles. Texts that
+    share `least` of them (Jaccard) differ in some ten of 64 bits, and no ball of that size can be
+    emitted; for them samples of a few shingles each are fingerprinted too. Texts with an equal sample
+    fingerprint are verified, exactly if both have SKETCH shingles or fewer, else by an estimate.
 
     Of repeated rows one stays. Texts are shuffled once, to meet the keys of those that stay.
     """
-    own = written(fingerprints(docs, n), "fingerprints")
-    first = own.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash")).alias("first"))
-    grouped = _components(own, radius, blocks).join(first, F.col("g") == F.col("fp"))
-    stay = grouped.groupBy("root").agg(F.min("first").alias("first")).select(F.xxhash64(F.col("first.doc_id"), F.col("first.hash")).alias("s"))
+    own = written(sketches(docs, n), "sketches")
+    nodes = written(own.dropDuplicates(["hash"]).select("hash", "fp", "size", "views", "sketch"), "nodes")
+    links = _similar_links(nodes, least)
+    # Nodes of one component of fingerprints hang on the smallest of them.
+    roots = _components(nodes, radius, blocks)
+    rooted = nodes.select("hash", "fp").join(roots, F.col("fp") == F.col("g")).select("hash", "root")
+    smallest = rooted.groupBy("root").agg(F.min("hash").alias("a")).withColumnRenamed("root", "r")
+    by_bits = rooted.join(smallest, F.col("root") == F.col("r")).where("hash <> a").select("a", F.col("hash").alias("b"))
+    parts = written(connected_components(links.unionByName(by_bits)), "groups").withColumnRenamed("node", "p")
+    grouped = own.select("doc_id", "hash").join(parts, F.col("hash") == F.col("p"), "left").withColumn("group", F.coalesce("root", "hash"))
+    stay = grouped.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash")).alias("first")).select(F.xxhash64(F.col("first.doc_id"), F.col("first.hash")).alias("s"))
     out = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")))
     return out.join(stay, F.col("_row") == F.col("s"), "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
