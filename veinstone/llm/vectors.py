@@ -145,9 +145,9 @@ class Settings(NamedTuple):
     """Neighbours of a node, pruning factor and candidates; nodes aimed at and allowed in a shard; bounds of the
     k-means; vectors audited, centroids of each node at first and at most, and the recall aimed at."""
 
-    degree: int = 24
-    alpha: float = 1.2
-    pool: int = 64
+    degree: int = 32
+    alpha: float = 1.44  # of squared distances
+    pool: int = 96
     shard_rows: int = 1000
     shard_limit: int = 2000
     max_centroids: int = 2048
