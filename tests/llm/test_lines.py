@@ -29,7 +29,7 @@ def test_against_brute_force(docs):
     rows = [(k, "\n".join(rng.choice(["aa", "bb", "cc", "dd", "", " ", "aa\r", str(rng.random())]) for _ in range(rng.randint(0, 14)))) for k in range(150)]
     rows += [(3, rows[3][1]), (None, rows[5][1]), (500, None)]
     # Ties of one doc_id go by a hash of the text; here ids are distinct but for the repeated row.
-    out = L.dedup_lines(docs(rows).selectExpr("*", "7 AS lines_removed", "1 AS covered_x")).collect()
+    out = L.dedup_lines(docs(rows).selectExpr("*", "7 AS lines_removed", "1 AS covered", "2 AS at", "3 AS first", "4 AS c_text")).collect()
     expected = brute(rows)
     assert len(out) == len(rows)
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.text or "", r.lines_removed) for r in out)

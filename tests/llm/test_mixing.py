@@ -32,7 +32,7 @@ def test_mix(docs):
         assert abs(sum(r.taken for r in own) - own[0].target) <= 13
         assert all(r.taken <= 2 * r["size"] and r.taken == r.repeats * r["size"] for r in own)
     assert {r.target for r in out if r.source == "only empty"} == {0.0}
-    mixed = M.repeat_documents(docs(rows)).collect()
+    mixed = M.repeat_documents(docs(rows).selectExpr("*", "1 AS target", "2 AS cut", "3 AS repeats", "4 AS size", "5 AS p_source")).collect()
     assert len(mixed) == sum(r.repeats for r in out)
     assert M.mix_sources(docs([])).collect() == [] and M.repeat_documents(docs([])).collect() == []
 

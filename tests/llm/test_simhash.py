@@ -100,7 +100,7 @@ def test_one_of_each_group_stays(spark, docs, hard, seed):
         rows.append((k * 10 + 5, " ".join(half)))
         near[k * 10 + 5] = {k * 10 + 5}
     rows.append((100, rows[len(hard)][1]))
-    kept = sorted(r.doc_id if r.doc_id is not None else -1 for r in S.keep_one(docs(rows)).collect())
+    kept = sorted(r.doc_id if r.doc_id is not None else -1 for r in S.keep_one(docs(rows).selectExpr("*", "1 AS s", "2 AS fp", "3 AS hash", "4 AS root", "5 AS size")).collect())
     brute = sorted(near) + [-1, 1, 4, 5, 7, 8, 9]
     assert kept == sorted(brute)
     sets = {k: set(S.shingles(t.encode(), 5)) for k, t in rows if k in near or (k or 0) >= 1000}

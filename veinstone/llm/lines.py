@@ -79,10 +79,10 @@ def dedup_lines(docs: DataFrame, window: int = 3) -> DataFrame:
         return pd.DataFrame(made, columns=["text", "gone"])
 
     keyed = _keyed(docs)
-    covered = repeated_windows(keyed, window).select(*[F.col(k).alias(f"c{k}") for k in KEY], "covered")
-    met = keyed.join(covered, F.col("doc_id").eqNullSafe(F.col("cdoc_id")) & (F.col("_text") == F.col("c_text")), "left")
-    hit = F.col("covered").isNotNull()
+    covered = repeated_windows(keyed.select(*KEY, "text"), window).select(F.col("doc_id").alias("_c_doc"), F.col("_text").alias("_c_text"), F.col("covered").alias("_covered"))
+    met = keyed.join(covered, F.col("doc_id").eqNullSafe(F.col("_c_doc")) & (F.col("_text") == F.col("_c_text")), "left")
+    hit = F.col("_covered").isNotNull()
     # Only texts that lose lines go to Python.
-    made = met.withColumn("_cut", shortened(F.when(hit, F.col("text")), F.coalesce("covered", F.array().cast("array<int>"))))
+    made = met.withColumn("_cut", shortened(F.when(hit, F.col("text")), F.coalesce("_covered", F.array().cast("array<int>"))))
     out = made.withColumn("text", F.when(hit, F.col("_cut.text")).otherwise(F.col("text"))).withColumn("lines_removed", F.when(hit, F.col("_cut.gone")).otherwise(F.lit(0).cast("long")))
     return out.select(*[c for c in docs.columns if c != "lines_removed"], "lines_removed")

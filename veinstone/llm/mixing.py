@@ -102,9 +102,10 @@ def _source_plan(sized: DataFrame, epochs_total: float, max_epochs: float, weigh
 
 def _with_repeats(sized: DataFrame, plan: DataFrame) -> DataFrame:
     """Each row of `sized` with its source's plan and its repetitions; one small join, no shuffle of documents."""
-    more = F.coalesce(F.struct("_draw", "doc_id", "_size") <= F.col("cut"), F.lit(False))
-    joined = sized.join(plan, F.col("source").eqNullSafe(F.col("p_source")))
-    return joined.withColumn("repeats", F.when(F.col("_size") > 0, F.col("whole") + more.cast("long")).otherwise(F.lit(0).cast("long")))
+    own = plan.select(F.col("p_source").alias("_p_source"), F.struct("source_size", "target", "whole", "cut").alias("_plan"))
+    more = F.coalesce(F.struct("_draw", "doc_id", "_size") <= F.col("_plan.cut"), F.lit(False))
+    joined = sized.join(own, F.col("source").eqNullSafe(F.col("_p_source")))
+    return joined.withColumn("_repeats", F.when(F.col("_size") > 0, F.col("_plan.whole") + more.cast("long")).otherwise(F.lit(0).cast("long")))
 
 
 def mix_sources(
@@ -122,7 +123,7 @@ def mix_sources(
     """
     sized = written(_sized(docs.select("doc_id", "source", "text"), seed).drop("text"), "sizes")
     out = _with_repeats(sized, _source_plan(sized, epochs_total, max_epochs, weight_of, bucket_digits))
-    return out.select("doc_id", "source", F.col("_size").alias("size"), "source_size", "target", "repeats", (F.col("repeats") * F.col("_size")).alias("taken"))
+    return out.select("doc_id", "source", F.col("_size").alias("size"), "_plan.source_size", "_plan.target", F.col("_repeats").alias("repeats"), (F.col("_repeats") * F.col("_size")).alias("taken"))
 
 
 def repeat_documents(
@@ -136,5 +137,5 @@ def repeat_documents(
     """The mix itself: every row of `docs` as often as the mix takes it, all columns kept."""
     sized = written(_sized(docs.select("doc_id", "source", "text"), seed).drop("text"), "sizes")
     plan = _source_plan(sized, epochs_total, max_epochs, weight_of, bucket_digits)
-    out = _with_repeats(_sized(docs, seed), plan).where("repeats > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select(*[out[c] for c in docs.columns])
+    out = _with_repeats(_sized(docs, seed), plan).where("_repeats > 0")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_repeats").cast("int")))).select(*docs.columns)

@@ -296,6 +296,6 @@ def keep_one(docs: DataFrame, n: int = 5, radius: int = 3, blocks: int = 4, leas
     by_bits = rooted.join(smallest, F.col("root") == F.col("r")).where("hash <> a").select("a", F.col("hash").alias("b"))
     parts = written(connected_components(links.unionByName(by_bits)), "groups").withColumnRenamed("node", "p")
     grouped = own.select("doc_id", "hash").join(parts, F.col("hash") == F.col("p"), "left").withColumn("group", F.coalesce("root", "hash"))
-    stay = grouped.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash")).alias("first")).select(F.xxhash64(F.col("first.doc_id"), F.col("first.hash")).alias("s"))
+    stay = grouped.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash")).alias("first")).select(F.xxhash64(F.col("first.doc_id"), F.col("first.hash")).alias("_stays"))
     out = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    return out.join(stay, F.col("_row") == F.col("s"), "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    return out.join(stay, F.col("_row") == F.col("_stays"), "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
