@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, small_batches, written
+from .common import discard, partitions, small_batches, written
 from .components import Forest, connected_components
 
 SEED = 42
@@ -294,8 +294,10 @@ def keep_one(docs: DataFrame, n: int = 5, radius: int = 3, blocks: int = 4, leas
     rooted = nodes.select("hash", "fp").join(roots, F.col("fp") == F.col("g")).select("hash", "root")
     smallest = rooted.groupBy("root").agg(F.min("hash").alias("a")).withColumnRenamed("root", "r")
     by_bits = rooted.join(smallest, F.col("root") == F.col("r")).where("hash <> a").select("a", F.col("hash").alias("b"))
-    parts = written(connected_components(links.unionByName(by_bits)), "groups").withColumnRenamed("node", "p")
-    grouped = own.select("doc_id", "hash").join(parts, F.col("hash") == F.col("p"), "left").withColumn("group", F.coalesce("root", "hash"))
-    stay = grouped.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash")).alias("first")).select(F.xxhash64(F.col("first.doc_id"), F.col("first.hash")).alias("_stays"))
+    parts = written(connected_components(links.unionByName(by_bits)), "groups")
+    grouped = own.select("doc_id", "hash").join(parts, F.col("hash") == F.col("node"), "left").withColumn("group", F.coalesce("root", "hash"))
+    stay = written(grouped.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash")).alias("first")).select(F.xxhash64(F.col("first.doc_id"), F.col("first.hash")).alias("_stays")), "staying")
+    for table in (own, nodes, parts):
+        discard(table)
     out = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")))
     return out.join(stay, F.col("_row") == F.col("_stays"), "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
