@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import overlap
-from ..session import table
+from ..session import spread, table
 from .registry import Registry
 
 registry = Registry()
@@ -34,12 +34,12 @@ SELECT t.id, count(*) AS total, any_value(s.shared) AS shared, round(any_value(s
 @query("ngram_containment", _contained(8, _TOK))
 def ngram_containment(spark, sf):
     tokens = text.tokens(F.col("text"))
-    return overlap.containment(overlap.ngram_rows(table(spark, sf, "documents"), "doc_id", tokens, 8), overlap.ngram_rows(table(spark, sf, "benchmark"), "item_id", tokens, 8))
+    return overlap.containment(overlap.ngram_rows(spread(table(spark, sf, "documents")), "doc_id", tokens, 8), overlap.ngram_rows(table(spark, sf, "benchmark"), "item_id", tokens, 8))
 
 
 @query("doc_containment", _contained(12, _PROSE))
 def doc_containment(spark, sf):
-    return overlap.containment(overlap.ngram_rows(table(spark, sf, "documents"), "doc_id", _prose(), 12), overlap.ngram_rows(table(spark, sf, "benchmark"), "item_id", _prose(), 12))
+    return overlap.containment(overlap.ngram_rows(spread(table(spark, sf, "documents")), "doc_id", _prose(), 12), overlap.ngram_rows(table(spark, sf, "benchmark"), "item_id", _prose(), 12))
 
 
 @query("ngram_jaccard", f"""
@@ -48,7 +48,7 @@ n AS (SELECT (SELECT count(*) FROM t) AS target, (SELECT count(*) FROM r) AS ref
 SELECT *, round(shared / target::DOUBLE, 6) AS containment, round(shared / (target + reference - shared)::DOUBLE, 6) AS jaccard FROM n""")
 def ngram_jaccard(spark, sf):
     tokens = text.tokens(F.col("text"))
-    return overlap.jaccard(overlap.ngram_rows(table(spark, sf, "documents"), "doc_id", tokens, 8), overlap.ngram_rows(table(spark, sf, "benchmark"), "item_id", tokens, 8))
+    return overlap.jaccard(overlap.ngram_rows(spread(table(spark, sf, "documents")), "doc_id", tokens, 8), overlap.ngram_rows(table(spark, sf, "benchmark"), "item_id", tokens, 8))
 
 
 _RUNGS = " UNION ALL ".join(f"SELECT id, {n} AS run FROM ({_grams('documents', 'doc_id', n, _TOK)}) WHERE gram IN (SELECT gram FROM ({_grams('benchmark', 'item_id', n, _TOK)}))" for n in overlap.LADDER)
@@ -56,7 +56,7 @@ _RUNGS = " UNION ALL ".join(f"SELECT id, {n} AS run FROM ({_grams('documents', '
 
 @query("common_run_ladder", f"SELECT id, CAST(max(run) AS INT) AS run FROM ({_RUNGS}) GROUP BY id")
 def common_run_ladder(spark, sf):
-    return overlap.longest_rung(table(spark, sf, "documents"), table(spark, sf, "benchmark"), ("doc_id", "item_id"), text.tokens(F.col("text")))
+    return overlap.longest_rung(spread(table(spark, sf, "documents")), table(spark, sf, "benchmark"), ("doc_id", "item_id"), text.tokens(F.col("text")))
 
 
 def _lines(t: str, i: str) -> str:
@@ -147,7 +147,7 @@ UNION ALL SELECT 'blocks', CAST(longest AS BIGINT), longest >= 5 FROM b
 UNION ALL SELECT 'lines', count(*), count(*) > 0 FROM ({_COPIES})
 UNION ALL SELECT 'assets', count(*), count(*) > 0 FROM documents WHERE text IN (SELECT text FROM benchmark)""")
 def audit_report(spark, sf):
-    docs, ref = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    docs, ref = spread(table(spark, sf, "documents")), table(spark, sf, "benchmark")
     tokens = text.tokens(F.col("text"))
     contained = overlap.containment(overlap.ngram_rows(docs, "doc_id", tokens, 8), overlap.ngram_rows(ref, "item_id", tokens, 8))
     copies = _copies(spark, sf)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identity, structure, text
 from ..operators import chunking
-from ..session import table
+from ..session import spread, table
 from . import ask, ingest, models
 from .registry import Inline, Registry
 
@@ -27,7 +27,7 @@ def sentence_cases(spark, sf):
 
 @query("sentences")
 def sentences(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(chunking.sentences(F.col("text"))).alias("k", "sentence"))
+    return spread(table(spark, sf, "documents")).select("doc_id", F.posexplode(chunking.sentences(F.col("text"))).alias("k", "sentence"))
 
 
 @query("sentences_whole", "SELECT doc_id, length(regexp_replace(text, '[\\s\\x0b\\x1c-\\x1f\\x85]', '', 'g')) AS n_chars FROM documents")
@@ -67,7 +67,7 @@ def pack_whole(spark, sf):
 
 def _fragments(spark, sf):
     digest = identity.digest(F.col("text"))
-    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("source_key"), digest.alias("document_hash"), chunking.pages(F.col("text")).alias("pages"))
+    docs = spread(table(spark, sf, "documents")).select(F.col("doc_id").cast("string").alias("source_key"), digest.alias("document_hash"), chunking.pages(F.col("text")).alias("pages"))
     return chunking.fragments(docs)
 
 
@@ -116,7 +116,7 @@ def screen(spark, sf):
     from ..operators import dense, lexical
 
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    docs = lexical.documents(table(spark, sf, "documents"), "doc_id", text.tokens(F.col("text")))
+    docs = lexical.documents(spread(table(spark, sf, "documents")), "doc_id", text.tokens(F.col("text")))
     found = dense.ranked(lexical.bm25(docs, lexical.query_terms(items, text.tokens(F.col("query")))), 5)
     candidates = found.select("query_id", "id").join(items, "query_id").join(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
     return ask.screen(candidates, models.Extractive).select("query_id", "id", "summary", "relevance")
@@ -130,7 +130,7 @@ def ask_deterministic(spark, sf):
 @query("ingest")
 def ingest_documents(spark, sf):
     """Source fields and fragment counts of all documents, as a build records them."""
-    docs = table(spark, sf, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("rel_path"), identity.digest(F.col("text")).alias("hash"), F.struct(chunking.pages(F.col("text")).alias("pages")).alias("parsed"))
+    docs = spread(table(spark, sf, "documents")).select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("rel_path"), identity.digest(F.col("text")).alias("hash"), F.struct(chunking.pages(F.col("text")).alias("pages")).alias("parsed"))
     described = ingest.described(docs)
     counts = chunking.fragments(described.select("source_key", F.col("rel_path").alias("document_hash"), "parsed.pages")).groupBy(F.col("document_hash").alias("p")).agg(F.count("*").alias("fragment_count"))
     return described.join(counts, F.col("rel_path") == F.col("p"), "left").select("rel_path", "source_key", "title", "doi", F.coalesce("fragment_count", F.lit(0)).alias("fragment_count"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -34,7 +36,14 @@ class Inline:
         self.names = [f.strip().split(" ")[0] for f in schema.split(",") if f.strip()]
 
     def df(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, self.schema)
+        """The rows as part of the plan, so that their size is known where a join is chosen."""
+        rows = [dict(zip(self.names, r, strict=True)) for r in self.rows]
+        try:
+            packed = json.dumps(rows, allow_nan=False)
+        except ValueError:  # JSON has no NaN
+            return spark.createDataFrame(self.rows, self.schema)
+        typed = F.from_json(F.lit(packed), f"array<struct<{self.schema}>>")
+        return spark.range(1).select(F.explode(typed).alias("row")).select("row.*")
 
     @property
     def values(self) -> str:

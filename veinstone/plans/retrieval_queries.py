@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import dense, fusion, lexical
-from ..session import table
+from ..session import spread, table
 from .registry import Inline, Registry
 
 registry = Registry()
@@ -122,7 +122,7 @@ _BODY = f"SELECT doc_id AS id, {_TOK.format('text')} AS tok FROM documents"
 
 
 def _lexical(spark: SparkSession, sf: str, scope: DataFrame | None = None) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents"))
     if scope is not None:
         docs = docs.join(scope, "lang", "left_semi")
     made = lexical.documents(docs, "doc_id", text.tokens(F.col("text")))
@@ -147,7 +147,7 @@ def bm25_fields(spark, sf):
     """Body plus title, where the first line stands for the title; the CJK field gives the same terms here and so the same maximum."""
     body = _lexical(spark, sf)
     terms = lexical.query_terms(QUERIES.df(spark), text.tokens(F.col("query")))
-    title = lexical.bm25(lexical.documents(table(spark, sf, "documents"), "doc_id", text.tokens(F.get(F.split("text", "\n"), F.lit(0)))), terms)
+    title = lexical.bm25(lexical.documents(spread(table(spark, sf, "documents")), "doc_id", text.tokens(F.get(F.split("text", "\n"), F.lit(0)))), terms)
     return dense.ranked(lexical.combined([body], title), 10)
 
 
@@ -167,7 +167,7 @@ FROM (SELECT query_id, {_EMBED.format(t='query')} AS v FROM {QUERIES.values} WHE
 
 def _dense_text(spark, sf):
     queries = QUERIES.df(spark).where("query <> ''").select("query_id", dense.hash_embedding(F.col("query")).alias("qv"))
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), dense.hash_embedding(F.col("text")).alias("dv"))
+    docs = spread(table(spark, sf, "documents")).select(F.col("doc_id").alias("id"), dense.hash_embedding(F.col("text")).alias("dv"))
     # A handful of queries, as literals of a broadcast side.
     pairs = docs.join(F.broadcast(queries))
     cosine = dense.dot(F.col("qv"), F.col("dv")) / (dense.norm(F.col("qv")) * dense.norm(F.col("dv")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import citations, identity, text
-from ..session import table
+from ..session import spread, table
 from .registry import Inline, Registry
 
 registry = Registry()
@@ -53,7 +53,7 @@ def pages_split(spark, sf):
 
 @query("normalize_text", f"SELECT doc_id, {_tidy('text')} AS text FROM documents")
 def normalize_text(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.normalize(F.col("text")).alias("text"))
+    return spread(table(spark, sf, "documents")).select("doc_id", text.normalize(F.col("text")).alias("text"))
 
 
 MESSY = Inline("id long, text string", [(1, "ＡＢＣ　１２３"), (2, "a b​c﻿"), (3, "x\r\ny\rz"), (4, "many   blanks\t here"), (5, "a\n\n\n\n\nb"), (6, "  \n edges \t"), (7, "ﬁne ½ ①"), (8, ""), (9, None), (10, "𝟙 astral 🙂")])
@@ -82,7 +82,7 @@ def derive_keys(spark, sf):
 @query("tokenize", rf"SELECT doc_id, CAST(len(t) AS BIGINT) AS n, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct, {_hex('array_to_string(t, chr(32))')} AS terms_hash FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS t FROM documents)")
 def tokenize(spark, sf):
     t = text.tokens(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", t.alias("t")).select("doc_id", F.size("t").cast("long").alias("n"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), identity.digest(F.array_join("t", " ")).alias("terms_hash"))
+    return spread(table(spark, sf, "documents")).select("doc_id", t.alias("t")).select("doc_id", F.size("t").cast("long").alias("n"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), identity.digest(F.array_join("t", " ")).alias("terms_hash"))
 
 
 MIXED = Inline("id long, text string", [(1, "科研文献"), (2, "中"), (3, "BERT模型 works"), (4, "a-b"), (5, "?!…"), (6, "第3章 検索とは"), (7, "한국어 텍스트 42"), (8, ""), (9, "été Straße"), (10, "没有足够的信息")])
@@ -233,7 +233,7 @@ for _e, _c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), (
 
 @query("strip_markup", f"SELECT page_id, nullif({_tidy(f'regexp_replace({_UNESCAPED}, {chr(39)}</?[A-Za-z][^<>]*>{chr(39)}, {chr(39)} {chr(39)}, {chr(39)}g{chr(39)})')}, '') AS text FROM pages")
 def strip_markup(spark, sf):
-    return table(spark, sf, "pages").select("page_id", text.strip_markup(F.col("html")).alias("text"))
+    return spread(table(spark, sf, "pages")).select("page_id", text.strip_markup(F.col("html")).alias("text"))
 
 
 TITLES = Inline("id long, a string, b string", [(1, "Attention is all you need", "You need ATTENTION all"), (2, "Deep Learning for the Web", "Deep learning: web"), (3, "大模型 综述", "大模型 调查"), (4, "", "x"), (5, "the of", "the of"), (6, "Graph Neural Networks", "语言模型")])
@@ -291,4 +291,4 @@ def truncate_mid(spark, sf):
 @query("prose_tokens", r"SELECT doc_id, CAST(len(t) AS BIGINT) AS n, substr(sha256(array_to_string(t, chr(31))), 1, 16) AS hash FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_'']*|\d+(?:\.\d+)*|[^\sA-Za-z0-9_]') AS t FROM documents)")
 def prose_tokens(spark, sf):
     t = F.regexp_extract_all("text", F.lit(r"[A-Za-z_][A-Za-z0-9_']*|\d+(?:\.\d+)*|[^\sA-Za-z0-9_]"), F.lit(0))
-    return table(spark, sf, "documents").select("doc_id", t.alias("t")).select("doc_id", F.size("t").cast("long").alias("n"), identity.digest(F.array_join("t", "\x1f")).alias("hash"))
+    return spread(table(spark, sf, "documents")).select("doc_id", t.alias("t")).select("doc_id", F.size("t").cast("long").alias("n"), identity.digest(F.array_join("t", "\x1f")).alias("hash"))

@@ -24,3 +24,13 @@ def build_session(name: str = "veinstone", master: str | None = None, **conf: st
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder, by any path that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """`rows` in as many partitions as there are cores, if there are fewer.
+
+    A file of one row group is one partition, however costly its rows are to process. Tables of many files,
+    at any larger scale, are left as they are and not shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
