@@ -31,7 +31,8 @@ def bm25(docs: DataFrame, terms: DataFrame, k1: float = K1, b: float = B) -> Dat
     stats = docs.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     wanted = terms.select("term").distinct()
     # Tokens meet the terms asked for before anything is shuffled, if those are few enough to be sent around.
-    hits = docs.select("id", "length", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
+    # Outer, as otherwise a filter on the token array would be pushed down, and tokens be made twice; a null term meets nothing.
+    hits = docs.select("id", "length", F.explode_outer("tokens").alias("term")).join(wanted, "term", "left_semi")
     postings = hits.groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
     df = postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(stats))
     idf = df.select(F.col("term").alias("t"), "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))

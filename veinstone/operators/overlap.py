@@ -18,12 +18,13 @@ LADDER = (100, 60, 40, 25)
 def ngrams(tokens: Column, n: int) -> Column:
     """Distinct n-grams of a token array, as hashes."""
     count = F.size(tokens) - (n - 1)
-    return F.array_distinct(F.transform(F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>")), lambda i: F.xxhash64(F.array_join(F.slice(tokens, i, F.lit(n)), "\x1f"))))
+    return F.array_distinct(F.transform(F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>")), lambda i: F.xxhash64(F.slice(tokens, i, F.lit(n)))))
 
 
 def ngram_rows(docs: DataFrame, id_col: str, tokens: Column, n: int) -> DataFrame:
     """id, gram: the distinct n-grams of each document."""
-    return docs.select(F.col(id_col).alias("id"), tokens.alias("_t")).select("id", F.explode(ngrams(F.col("_t"), n)).alias("gram"))
+    # Outer, as otherwise a filter on the array would be pushed down, and n-grams be made twice.
+    return docs.select(F.col(id_col).alias("id"), tokens.alias("_t")).select("id", F.explode_outer(ngrams(F.col("_t"), n)).alias("gram")).where("gram IS NOT NULL")
 
 
 def containment(target: DataFrame, reference: DataFrame, small: int = 300) -> DataFrame:
