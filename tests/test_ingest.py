@@ -6,7 +6,8 @@ from dataclasses import replace
 import pytest
 
 from veinstone import cli
-from veinstone.plans import ask, ingest, models, settings
+from veinstone.operators import evaluation
+from veinstone.plans import ask, ingest, models, prompts, settings
 from veinstone.sources import files, records
 from veinstone.sources.store import Store
 
@@ -177,3 +178,32 @@ def test_command_line(spark, tmp_path, corpus, capsys):
     with pytest.raises(SystemExit) as wrong:
         cli.run(["nonsense"])
     assert wrong.value.code == 2
+
+
+def test_evaluation_run(spark, index):
+    cases = spark.createDataFrame([("a", "Graph search finds near neighbours", True, ["graph|tree"], ["banana"]), ("b", "zzz qqq", False, [], [])], "id string, question string, expected_answerable boolean, expected_keywords array<string>, forbidden_keywords array<string>")
+    results = ask.evaluated(index, cases, repeat=2)
+    row = evaluation.summary(results).first()
+    assert (row.total, row.behavior_correctness, row.answer_coverage, row.hallucination_rate, row.citation_resolution_rate) == (4, 1.0, 1.0, 0.0, 1.0)
+
+    class Broken(ask.Index):
+        @property
+        def fragments(self):
+            raise RuntimeError("gone")
+
+    failed = ask.evaluated(Broken(spark, index.store, CFG), cases).collect()
+    assert all(r.error and r.refused for r in failed)
+
+
+def test_presummary(spark):
+    rows = spark.createDataFrame([(1, "graph", k, f"About a graph {k}. More.", k) for k in range(1, 5)], "query_id long, query string, id long, text string, rank int")
+    out = {r.id: r for r in ask.presummarised(rows, 3, 5).collect()}
+    assert set(out) == {1, 2, 3} and [out[k].relevance for k in (1, 2, 3)] == [10, 7, 5] and all(r.summary for r in out.values())
+
+
+def test_prompts():
+    assert "why" in prompts.render("screen", "English", question="why", citation="c", text="t")
+    assert "问题" in prompts.render("answer", "中文", question="q", context="c")
+    for bad in (lambda: prompts.render("screen", question="q"), lambda: prompts.render("screen", "fr"), lambda: prompts.render("none")):
+        with pytest.raises(ValueError):
+            bad()

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import citations, identity, structure, text
-from ..operators import dense, evidence, fusion, lexical
+from ..operators import dense, evaluation, evidence, fusion, lexical
 from ..sources.store import Store
 from . import ingest, models
 from .settings import Settings
@@ -149,6 +149,48 @@ def _reply(content: Column) -> Column:
     return F.when(made["summary"].isNotNull(), made)
 
 
+def presummarised(candidates: DataFrame, n: int, least: int, make: Callable[[], models.Model] = models.Extractive) -> DataFrame:
+    """The cheap way to screen: the n best by rank go to the model for a summary only; relevance comes from the rank.
+
+    A reply that can't be read doesn't lose its candidate, whose text then stands for a summary.
+    """
+    w = dense.Window.partitionBy("query_id")
+    ranked = candidates.withColumn("rank", F.row_number().over(w.orderBy("rank", "id"))).where(F.col("rank") <= n).withColumn("n", F.count("*").over(w))
+    prompt = F.to_json(F.struct(F.col("query").alias("question"), "text"))
+    made = models.complete(ranked.withColumn("prompt", prompt), "prompt", make).withColumn("parsed", _reply(F.col("response.content")))
+    summary = F.coalesce(F.nullif(F.col("parsed.summary"), F.lit("")), F.substring("text", 1, 300))
+    return made.select("query_id", "query", "id", summary.alias("summary"), evidence.rank_relevance(F.col("rank"), F.col("n"), least).alias("relevance"))
+
+
+def evaluated(index: Index, cases: DataFrame, repeat: int = 1, make: Callable[[], models.Model] = models.Extractive) -> DataFrame:
+    """Results of all cases (id, question, ...), each asked `repeat` times, ready for evaluation.summary().
+
+    The cases of a run are one plan; a run that fails is recorded with an error for each of its cases.
+    """
+    numbered = cases.withColumn("query_id", F.xxhash64("id")).withColumnRenamed("question", "query")
+    out = None
+    for run in range(max(1, repeat)):
+        began = time.monotonic()
+        try:
+            answers = [tuple(r) for r in ask(index, numbered.select("query_id", "query"), make).select("query_id", "text", "citations", "refused").collect()]
+            failed = None
+        except Exception as error:  # noqa: BLE001 - recorded
+            answers, failed = [], f"{type(error).__name__}: {error}"
+        seconds = time.monotonic() - began
+        rows = index.spark.createDataFrame(answers, "q long, answer string, citations string, answer_refused boolean")
+        joined = numbered.join(rows, F.col("query_id") == F.col("q"), "left")
+        refused = F.coalesce("answer_refused", F.lit(True))
+        answer = F.coalesce("answer", F.lit(failed or ""))
+        made = joined.select(
+            F.col("id").alias("case_id"), F.lit(run).alias("run_index"), "expected_answerable", refused.alias("refused"), answer.alias("answer"),
+            evaluation.keyword_hit(answer, F.col("expected_keywords")).alias("keyword_hit"), evaluation.forbidden_hit(answer, refused, F.col("forbidden_keywords")).alias("forbidden_hit"),
+            F.size(F.filter(F.split(F.coalesce("citations", F.lit("")), ","), lambda c: c != "")).cast("long").alias("citation_count"), F.lit(0).cast("long").alias("dangling_citations"),
+            F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("tokens"), F.lit(seconds).alias("duration_s"), F.lit(failed).cast("string").alias("error"),
+        )
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
 def gather(index: Index, questions: DataFrame, found: DataFrame, make: Callable[[], models.Model] = models.Extractive) -> DataFrame:
     """Evidence of the fragments found: key, summary, relevance, citation."""
     s = index.settings
