@@ -91,6 +91,12 @@ def test_lexical_route_finds_the_words(spark, index):
     assert "pack small numbers" in own[best.id] and best.origin == "rerank"
 
 
+def test_stems_match(spark, index):
+    best = ask.search(index, asked(spark, "packing sizes"), 1, "hybrid_rrf").collect()
+    own = {r.fragment_id: r.text for r in index.fragments.collect()}
+    assert len(best) == 1 and "packed by size" in own[best[0].id]
+
+
 def test_unknown_strategy(spark, index):
     with pytest.raises(ValueError):
         ask.search(index, asked(spark, "x"), strategy="none")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import citations, identity, structure, text
+from ..functions import citations, identity, stem, structure, text
 from ..operators import dense, evaluation, evidence, fusion, lexical
 from ..sources.store import Store
 from . import ingest, models
@@ -99,9 +99,12 @@ def search(index: Index, questions: DataFrame, k: int | None = None, strategy: s
         out = chosen.join(names, (F.col("query_id") == F.col("q")) & (F.col("id") == F.col("m")))
         return out.select("query_id", F.col("fragment").alias("id"), "score", "rank", F.lit("mmr").alias("origin"))
     words = lexical.query_terms(asked, text.tokens(text.normalize(F.col("query"))))
-    body = lexical.bm25(_scoped(index.terms, allowed).select(F.col("fragment_id").alias("id"), "tokens", "length"), words)
+    scoped = _scoped(index.terms, allowed).withColumnRenamed("fragment_id", "id")
+    plain = lexical.bm25(scoped.select("id", "tokens", "length"), words)
+    stemmed = lexical.query_terms(asked, stem.text_stems(F.col("query")))
+    english = lexical.bm25(scoped.select("id", F.col("stems").alias("tokens"), F.col("stem_length").alias("length")), stemmed)
     title = _titles(index, words, allowed)
-    found = dense.ranked(lexical.combined([body], title), pool)
+    found = dense.ranked(lexical.combined([plain, english], title), pool)
     if strategy == "hybrid_rrf":
         return fusion.hybrid(near, found, k, s.rrf_k).withColumn("origin", F.lit("rrf"))
     fused = fusion.hybrid(near, found, pool, s.rrf_k).select("query_id", "id")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import identity, text
+from ..functions import identity, stem, text
 from ..operators import chunking, state
 from ..sources import files
 from ..sources.store import Store
@@ -21,7 +21,7 @@ MANIFEST = "rel_path string, hash string, source_key string, status string, erro
 FRAGMENTS = f"fragment_id string, {chunking.FRAGMENT}"
 SOURCES = "source_key string, content_hash string, rel_path string, title string, doi string, metadata_complete boolean"
 VECTORS = "fragment_id string, source_key string, embedding array<double>"
-TERMS = "fragment_id string, source_key string, tokens array<string>, length int"
+TERMS = "fragment_id string, source_key string, tokens array<string>, length int, stems array<string>, stem_length int"
 
 
 class Report(NamedTuple):
@@ -71,8 +71,9 @@ def embedded(rows: DataFrame, dims: int, keys: tuple[str, ...] = ("fragment_id",
 
 
 def terms(fragments: DataFrame) -> DataFrame:
-    tokens = text.tokens(text.normalize(F.col("text")))
-    return fragments.select("fragment_id", "source_key", tokens.alias("tokens")).withColumn("length", F.size("tokens"))
+    tokens = text.tokens(F.col("text"))  # fragments are in their canonical form
+    made = fragments.select("fragment_id", "source_key", tokens.alias("tokens")).withColumn("length", F.size("tokens"))
+    return made.withColumn("stems", stem.stems(F.col("tokens"))).withColumn("stem_length", F.size("stems"))
 
 
 def build(spark: SparkSession, root: str, roots: list[str], settings: Settings = Settings(), rebuild: bool = False, enrich: Column | None = None) -> Report:
