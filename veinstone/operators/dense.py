@@ -69,16 +69,17 @@ def score_batches(vectors: DataFrame, queries: list[tuple[int, list[float]]], k:
         for batch in batches:
             if not batch.num_rows or not len(ids):
                 continue
-            own = batch.column(0).to_numpy()
+            own = batch.column(0)
             made = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
             scores = rounded(made @ matrix.T)
             for j, query in enumerate(ids):
                 # All ties at the border leave the batch; the window cuts them by id.
                 border = np.partition(scores[:, j], -k)[-k] if len(own) > k else -np.inf
                 best = np.flatnonzero(scores[:, j] >= border)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), query)), pa.array(own[best]), pa.array(scores[best, j])], names=["query_id", "id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), query)), own.take(pa.array(best)), pa.array(scores[best, j])], names=["query_id", "id", "score"])
 
-    return vectors.select(*names).mapInArrow(run, "query_id long, id long, score double")
+    kind = vectors.schema[id_col].dataType.simpleString()
+    return vectors.select(*names).mapInArrow(run, f"query_id long, id {kind}, score double")
 
 
 def ranked(scores: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), score: str = "score", tie: str = "id") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -16,6 +17,7 @@ from ..sources.store import Store
 from . import ingest, models
 from .settings import Settings
 
+BLOCK = 500
 STRATEGIES = ("dense", "dense_mmr", "hybrid_rrf", "hybrid_rrf_rerank")
 
 
@@ -73,10 +75,7 @@ def _scoped(rows: DataFrame, allowed: DataFrame | None) -> DataFrame:
 
 
 def search(index: Index, questions: DataFrame, k: int | None = None, strategy: str | None = None, allowed: DataFrame | None = None) -> DataFrame:
-    """query_id, id (fragment), score, rank, origin for questions (query_id, query); blank ones find nothing.
-
-    Questions are a small table; it is joined to the fragments as a broadcast only below Spark's own size check.
-    """
+    """query_id, id (fragment), score, rank, origin for questions (query_id, query); blank ones find nothing."""
     s = index.settings.retrieval
     k, strategy = s.k if k is None else k, strategy or s.strategy
     if strategy not in STRATEGIES:
@@ -85,9 +84,12 @@ def search(index: Index, questions: DataFrame, k: int | None = None, strategy: s
     if k <= 0:
         asked = asked.where("false")
     pool = max(k, k * (s.fetch_factor if strategy == "dense_mmr" else s.pool_factor if strategy != "dense" else 1), 1)
-    # Each question against all fragments: a stated query set, cut to the pool by a ranked window.
-    pairs = _scoped(index.vectors, allowed).join(ingest.embedded(asked, index.settings.model.dims, ("query_id",), "query").withColumnRenamed("embedding", "qv"))
-    near = dense.ranked(pairs.select("query_id", F.col("fragment_id").alias("id"), F.round(dense.dot(F.col("qv"), F.col("embedding")), dense.DIGITS).alias("score")), pool)
+    # Questions are what a caller asks at once; their vectors go to the fragments in blocks, as a matrix.
+    vectors = ingest.embedded(asked, index.settings.model.dims, ("query_id",), "query")
+    asked_for = sorted((r.query_id, list(r.embedding)) for r in vectors.collect())
+    own = _scoped(index.vectors, allowed)
+    parts = [dense.score_batches(own, asked_for[k : k + BLOCK], pool, "fragment_id", "embedding") for k in range(0, max(1, len(asked_for)), BLOCK)]
+    near = dense.ranked(functools.reduce(DataFrame.unionByName, parts), pool)
     if strategy == "dense":
         return near.withColumn("origin", F.lit("dense"))
     if strategy == "dense_mmr":
