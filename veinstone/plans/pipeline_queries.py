@@ -12,6 +12,7 @@ from ..operators import chunking
 from ..session import spread, table
 from . import ask, ingest, models
 from .registry import Inline, Registry
+from .settings import Retrieval, Settings
 
 registry = Registry()
 query = registry.query
@@ -107,7 +108,7 @@ def _index(spark, sf):
     """Documents as an index: each is a source of its own, titled by its first line."""
     docs = table(spark, sf, "documents")
     sources = docs.select(F.col("doc_id").cast("string").alias("source_key"), identity.digest(F.col("text")).alias("content_hash"), F.col("source").alias("rel_path"), F.get(text.lines(F.col("text")), F.lit(0)).alias("title"), F.lit(None).cast("string").alias("doi"), F.lit(False).alias("metadata_complete"))
-    return ask.TableIndex(_fragments(spark, sf), sources)
+    return ask.TableIndex(_fragments(spark, sf), sources, Settings(retrieval=Retrieval(strategy="hybrid_rrf")))
 
 
 @query("screen")
