@@ -10,7 +10,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .structure import is_cjk, normalize
-from .text import CJK
 
 _DOUBLE = re.compile(r"([^aeioulsz])\1$")
 
@@ -77,15 +76,6 @@ def stem(word: str) -> str:
     return word
 
 
-def _stems(rows: pd.Series) -> pd.Series:
-    return rows.map(lambda words: None if words is None else [stem(w) for w in words])
-
-
-def stems(tokens: Column) -> Column:
-    """Stems of a token array; CJK tokens, which have none, are left out."""
-    return F.pandas_udf(_stems, "array<string>")(F.filter(tokens, lambda t: ~t.rlike(f"[{CJK}]")))
-
-
 def _text_stems(rows: pd.Series) -> pd.Series:
     return rows.map(lambda t: [stem(w) for w in re.findall(r"[^\W_]+", normalize(t or "").lower()) if not any(map(is_cjk, w))])
 

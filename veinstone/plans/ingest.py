@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import identity, stem, text
+from ..functions import identity, stem, structure, text
 from ..operators import chunking, state
 from ..sources import files
 from ..sources.store import Store
@@ -71,9 +71,16 @@ def embedded(rows: DataFrame, dims: int, keys: tuple[str, ...] = ("fragment_id",
 
 
 def terms(fragments: DataFrame) -> DataFrame:
-    tokens = text.tokens(F.col("text"))  # fragments are in their canonical form
-    made = fragments.select("fragment_id", "source_key", tokens.alias("tokens")).withColumn("length", F.size("tokens"))
-    return made.withColumn("stems", stem.stems(F.col("tokens"))).withColumn("stem_length", F.size("stems"))
+    """Tokens and English stems of each fragment, with their numbers; fragments are in their canonical form."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = batch.column(2).to_pylist()
+            made = [[stem.stem(t) for t in own if not structure.is_cjk(t[0])] for own in tokens]
+            sizes = [pa.array([len(x) for x in rows], pa.int32()) for rows in (tokens, made)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, sizes[0], pa.array(made, pa.list_(pa.string())), sizes[1]], names=[f.split()[0] for f in TERMS.split(", ")])
+
+    return fragments.select("fragment_id", "source_key", text.tokens(F.col("text")).alias("tokens")).mapInArrow(run, TERMS)
 
 
 def build(spark: SparkSession, root: str, roots: list[str], settings: Settings = Settings(), rebuild: bool = False, enrich: Column | None = None) -> Report:
