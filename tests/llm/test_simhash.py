@@ -118,6 +118,32 @@ def test_views_of_similar_sets_meet():
     assert met >= 97
 
 
+def with_jaccard(rng, size, shared, words):
+    """Two texts of `size` five-word shingles each, of which about `shared` are common."""
+    base = [rng.choice(words) for _ in range(size + 4)]
+    return base, base[: shared + 4] + [rng.choice(words) for _ in range(size - shared)]
+
+
+def jaccard(a, b):
+    a, b = (set(S.shingles(t.encode(), 5)) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_long_texts_are_verified_by_all_shingles(docs):
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(3000)]
+    rows, least = [], {}
+    for k in range(80):
+        a, b = with_jaccard(rng, 1000, 895 if k % 2 else 877, words)
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        least[k] = jaccard(rows[-2][1], rows[-1][1])
+    assert {least[k] >= 0.8 for k in least if k % 2} == {True} and {least[k] < 0.8 for k in least if k % 2 == 0} == {True}
+    kept = {r.doc_id for r in S.keep_one(docs(rows)).collect()}
+    assert {2 * k for k in least} <= kept
+    assert {2 * k + 1 for k in least if k % 2 == 0} <= kept
+    assert sum(2 * k + 1 in kept for k in least if k % 2) <= 2
+
+
 def test_empty(docs):
     assert S.near_duplicates(docs([])).collect() == []
     assert S.keep_one(docs([])).collect() == []

@@ -207,6 +207,8 @@ def near_duplicates(docs: DataFrame, n: int = 3, radius: int = 3, blocks: int =
 
 #: Samples of a document's shingles, shingles of each, and shingle hashes kept to verify with.
 VIEWS, SAMPLE, SKETCH = 12, 4, 256
+#: How far below the least similarity an estimate may be: six standard errors of a sketch.
+MARGIN = 0.15
 _SEEDS = np.array([xxhash.xxh64_intdigest(b"view", k) for k in range(VIEWS)], np.uint64)
 
 
@@ -249,13 +251,15 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("hash")).mapInArrow(run, "doc_id long, hash long, fp long, size long, views array<long>, sketch binary")
 
 
-def _similar_links(nodes: DataFrame, least: float) -> DataFrame:
+def _similar_links(nodes: DataFrame, docs: DataFrame, n: int, least: float) -> DataFrame:
     """(a, b) links of nodes (hash, size, views, sketch) that share a sample's fingerprint and are similar enough.
 
     Sets of a similarity s differ in size by the factor s at most, so a node goes to two of the classes of
     such a factor. In each group of a sample's fingerprint and a class all members are compared with two
     of them, others in each group; a group of common passages thus splits by size, and costs two
     comparisons a member.
+
+    Sketches only sort out: what they leave of longer texts is verified by `exact`.
     """
     klass = F.floor(F.log(F.col("size").cast("double")) / -float(np.log(least)))
     each = nodes.where("size > 0").select("hash", F.posexplode("views").alias("view", "key"), klass.alias("class")).select("hash", "view", "key", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"))
@@ -269,11 +273,36 @@ def _similar_links(nodes: DataFrame, least: float) -> DataFrame:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.maximum(batch.column(2).to_numpy(), batch.column(3).to_numpy())
-            good = [similarity(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), bool(s <= SKETCH)) >= least for x, y, s in zip(batch.column(4), batch.column(5), sizes, strict=True)]
+            whole = np.maximum(batch.column(2).to_numpy(), batch.column(3).to_numpy()) <= SKETCH
+            found = np.array([similarity(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), bool(w)) for x, y, w in zip(batch.column(4), batch.column(5), whole, strict=True)])
+            good = pa.array(found >= np.where(whole, least, least - MARGIN), pa.bool_())
+            yield pa.RecordBatch.from_arrays([c.filter(good) for c in (*batch.columns[:2], pa.array(whole, pa.bool_()))], names=["a", "b", "whole"])
+
+    left = written(met.select("a", "b", "a_size", "b_size", "a_sketch", "b_sketch").mapInArrow(verify, "a long, b long, whole boolean"), "left")
+    return left.where("whole").select("a", "b").unionByName(exact(left.where("NOT whole").select("a", "b"), docs, n, least))
+
+
+def exact(pairs: DataFrame, docs: DataFrame, n: int, least: float) -> DataFrame:
+    """Those of the pairs (a, b) of text hashes whose texts have a Jaccard of `least` or more, by all their shingles."""
+    wanted = pairs.select(F.col("a").alias("w")).union(pairs.select("b")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [np.unique(hashes_of(t.as_py() or b"", n)).tobytes() for t in batch.column(1).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["hash", "set"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [similarity(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), True) >= least for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    return met.select("a", "b", "a_size", "b_size", "a_sketch", "b_sketch").mapInArrow(verify, "a long, b long")
+    texts = docs.select(F.xxhash64("text").alias("hash"), "text").join(wanted, F.col("hash") == F.col("w"), "left_semi")
+    sets = written(texts.mapInArrow(run, "hash long, set binary").dropDuplicates(["hash"]), "sets")
+    side = lambda c: sets.select(F.col("hash").alias(f"{c}_node"), F.col("set").alias(f"{c}_set"))
+    met = pairs.join(side("a"), F.col("a") == F.col("a_node")).join(side("b"), F.col("b") == F.col("b_node"))
+    out = written(met.select("a", "b", "a_set", "b_set").mapInArrow(verify, "a long, b long"), "exact")
+    discard(sets)
+    return out
 
 
 def keep_one(docs: DataFrame, n: int = 5, radius: int = 3, blocks: int = 4, least: float = 0.8) -> DataFrame:
@@ -282,13 +311,13 @@ def keep_one(docs: DataFrame, n: int = 5, radius: int = 3, blocks: int = 4, leas
     Fingerprints within `radius` bits link, which finds texts that share nearly all shingles. Texts that
     share `least` of them (Jaccard) differ in some ten of 64 bits, and no ball of that size can be
     emitted; for them samples of a few shingles each are fingerprinted too. Texts with an equal sample
-    fingerprint are verified, exactly if both have SKETCH shingles or fewer, else by an estimate.
+    fingerprint are verified by all their shingles; sketches sort out those that are far from similar.
 
     Of repeated rows one stays. Texts are shuffled once, to meet the keys of those that stay.
     """
     own = written(sketches(docs, n), "sketches")
     nodes = written(own.dropDuplicates(["hash"]).select("hash", "fp", "size", "views", "sketch"), "nodes")
-    links = _similar_links(nodes, least)
+    links = _similar_links(nodes, docs, n, least)
     # Nodes of one component of fingerprints hang on the smallest of them.
     roots = _components(nodes, radius, blocks)
     rooted = nodes.select("hash", "fp").join(roots, F.col("fp") == F.col("g")).select("hash", "root")
