@@ -144,6 +144,42 @@ def test_long_texts_are_verified_by_all_shingles(docs):
     assert sum(2 * k + 1 in kept for k in least if k % 2) <= 2
 
 
+def test_pairs_that_share_a_passage_with_thousands(docs):
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(3000)]
+    passage = [rng.choice(words) for _ in range(170)]
+    rows = []
+    for k in range(1500):
+        own = [rng.choice(words) for _ in range(30)]
+        other = own[: rng.choice([8, 12, 20])]
+        other += [rng.choice(words) for _ in range(30 - len(other))]
+        rows += [(2 * k, " ".join(passage + own)), (2 * k + 1, " ".join(passage + other))]
+    similar = {k for k in range(1500) if jaccard(rows[2 * k][1], rows[2 * k + 1][1]) >= 0.8}
+    cross = max(jaccard(rows[2 * k][1], rows[2 * j][1]) for k, j in (rng.sample(range(1500), 2) for _ in range(500)))
+    assert len(similar) > 500 and cross < 0.8
+    kept = {r.doc_id for r in S.keep_one(docs(rows)).collect()}
+    # Of all pairs of texts only these are similar; fingerprints within three bits link too.
+    fps, forest = np.array([S.fingerprint(t.encode(), 5) for _, t in rows], np.uint64), S.Forest(3000)
+    for k in range(3000):
+        near = np.flatnonzero(np.bitwise_count(fps ^ fps[k]) <= 3)
+        forest.link(np.full(len(near), k), near)
+    pairs = np.array(sorted(similar))
+    forest.link(2 * pairs, 2 * pairs + 1)
+    assert kept == set(np.flatnonzero(forest.all_roots() == np.arange(3000)).tolist())
+
+
+def test_prefixes_find_every_similar_pair():
+    rng = np.random.default_rng(2)
+    often = (np.arange(50, dtype=np.uint64), rng.integers(3, 100, 50))
+    for _ in range(2000):
+        a = np.unique(rng.integers(0, 200, rng.integers(1, 60)).astype(np.uint64))
+        b = np.unique(np.r_[a[rng.random(len(a)) < 0.92], rng.integers(0, 200, rng.integers(0, 5)).astype(np.uint64)])
+        if len(b) and S.similarity(a, b, True) >= 0.8:
+            x, y = sorted((a, b), key=len)
+            index = S.prefixes(x, often, 0.8)[: len(x) - int(np.ceil(len(x) * (1.6 / 1.8) - 1e-9)) + 1]
+            assert np.intersect1d(index, S.prefixes(y, often, 0.8)).size
+
+
 def test_empty(docs):
     assert S.near_duplicates(docs([])).collect() == []
     assert S.keep_one(docs([])).collect() == []

@@ -209,6 +209,8 @@ def near_duplicates(docs: DataFrame, n: int = 3, radius: int = 3, blocks: int =
 VIEWS, SAMPLE, SKETCH = 12, 4, 256
 #: How far below the least similarity an estimate may be: six standard errors of a sketch.
 MARGIN = 0.15
+#: How many of the most frequent shingles have a place in the order of prefixes; the others are in that of their hashes.
+FREQUENT = 1 << 18
 _SEEDS = np.array([xxhash.xxh64_intdigest(b"view", k) for k in range(VIEWS)], np.uint64)
 
 
@@ -305,6 +307,90 @@ def exact(pairs: DataFrame, docs: DataFrame, n: int, least: float) -> DataFrame:
     return out
 
 
+def prefixes(distinct: np.ndarray, often: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """The shingle hashes that a text is found by, rarest first; `often` has sorted hashes and their counts."""
+    size = len(distinct)
+    keys, counts = often
+    at = np.minimum(np.searchsorted(keys, distinct), max(len(keys) - 1, 0))
+    seen = np.where(keys[at] == distinct, counts[at], 0) if len(keys) else np.zeros(size, np.int64)
+    return distinct[np.lexsort((distinct, seen))[: size - int(np.ceil(least * size - 1e-9)) + 1]]
+
+
+def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle hashes that are in most texts of a sample, and in how many. They only order the prefixes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).cast(pa.large_binary()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(hashes_of(text.as_py() or b"", n)).view(np.int64))], names=["token"])
+
+    made = docs.where(F.pmod(F.xxhash64("text"), F.lit(16)) == 0).select("text").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("c")).where("c > 2")
+    found = made.orderBy(F.desc("c"), "token").limit(FREQUENT).toArrow()
+    keys, counts = found["token"].to_numpy().view(np.uint64), found["c"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], counts[order]
+
+
+def _prefix_pairs(docs: DataFrame, groups: DataFrame, n: int, least: float) -> DataFrame:
+    """(a, b) of all texts' hashes that may have a Jaccard of `least` and are in different groups (node, root).
+
+    With all shingles in one order, a text x that has no more shingles than y shares, if they are similar
+    enough, one of its first |x| - ceil(2t/(1+t)|x|) + 1 with the first |y| - ceil(t|y|) + 1 of y. At
+    the first that they share, what is left of both must do for the overlap. No pair is lost by this.
+    Rare shingles come first, so a passage of many texts is looked at only in texts of little else.
+    """
+    spark = docs.sparkSession
+    often = spark.sparkContext.broadcast(frequent(docs, n))
+    buckets = partitions(spark, 0, 1)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
+        for batch in batches:
+            made = []
+            for text, own in zip(batch.column(0).cast(pa.large_binary()), batch.column(1).to_numpy(), strict=True):
+                if own in done:
+                    continue
+                done.add(own)
+                distinct = np.unique(hashes_of(text.as_py() or b"", n))
+                if len(distinct):
+                    first = prefixes(distinct, often.value, least)
+                    rows = np.empty((len(first), 3), np.uint64)
+                    rows[:, 0], rows[:, 1] = first, np.int64(own).view(np.uint64)
+                    rows[:, 2] = (np.uint64(len(distinct)) << np.uint64(32)) | np.arange(len(first), dtype=np.uint64)
+                    made.append(rows)
+            if made:
+                rows = np.concatenate(made)
+                to = (_mixed(rows[:, 0]) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+                order = np.argsort(to, kind="stable")
+                cuts = np.searchsorted(to[order], np.arange(buckets + 1))
+                rows, used = rows[order], np.flatnonzero(np.diff(cuts))
+                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([rows[cuts[j] : cuts[j + 1]].tobytes() for j in used], pa.binary())], names=["bucket", "packed"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [p.as_py() for batch in batches for p in batch.column(1)]
+        rows = np.frombuffer(b"".join(parts), np.uint64).reshape(-1, 3)
+        del parts
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        # Copies that several tasks have sent are one; shingles of one text alone find nothing.
+        rows = rows[np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]] if len(rows) else rows
+        same = rows[1:, 0] == rows[:-1, 0]
+        rows = rows[np.r_[False, same] | np.r_[same, False]] if len(rows) else rows
+        for k in range(0, len(rows), 100_000):
+            part = rows[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(part[:, c]).view(np.int64)) for c in (0, 1)), pa.array((part[:, 2] >> np.uint64(32)).astype(np.int64)), pa.array((part[:, 2] & np.uint64(0xFFFFFFFF)).astype(np.int64))], names=["token", "hash", "size", "at"])
+
+    sent = docs.select("text", F.xxhash64("text").alias("hash")).mapInArrow(emit, "bucket long, packed binary")
+    shared = written(sent.repartition(buckets, "bucket").mapInArrow(meet, "token long, hash long, size long, at long"), "shared")
+    shared = shared.join(groups, F.col("hash") == F.col("node"), "left").select("token", "hash", "size", "at", F.coalesce("root", "hash").alias("root"))
+    mixed = shared.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(F.col("token").alias("t"))
+    shared = written(shared.join(mixed, F.col("token") == F.col("t"), "left_semi"), "mixed")
+    x = shared.where(F.col("at") < F.col("size") - F.ceil(F.col("size") * (2 * least / (1 + least)) - 1e-9) + 1).select(*(F.col(c).alias(f"x_{c}") for c in shared.columns))
+    fits = (F.col("x_root") != F.col("root")) & (F.col("x_size") <= F.col("size")) & (F.col("x_size") >= F.col("size") * least - 1e-9)
+    enough = F.least(F.col("x_size") - F.col("x_at"), F.col("size") - F.col("at")) >= (F.col("x_size") + F.col("size")) * (least / (1 + least)) - 1e-9
+    met = shared.join(x, (F.col("token") == F.col("x_token")) & fits & enough)
+    return written(met.select(F.least("x_hash", "hash").alias("a"), F.greatest("x_hash", "hash").alias("b")).distinct(), "pairs")
+
+
 def keep_one(docs: DataFrame, n: int = 5, radius: int = 3, blocks: int = 4, least: float = 0.8) -> DataFrame:
     """The rows of `docs` that stay: of each group of near-duplicates the one with the smallest doc_id (null last), ties by a hash of its text.
 
@@ -312,6 +398,8 @@ def keep_one(docs: DataFrame, n: int = 5, radius: int = 3, blocks: int = 4, leas
     share `least` of them (Jaccard) differ in some ten of 64 bits, and no ball of that size can be
     emitted; for them samples of a few shingles each are fingerprinted too. Texts with an equal sample
     fingerprint are verified by all their shingles; sketches sort out those that are far from similar.
+    This joins most groups at a few comparisons a text. A prefix join then finds every pair of texts in
+    different groups that may be similar enough, and they are verified too.
 
     Of repeated rows one stays. Texts are shuffled once, to meet the keys of those that stay.
     """
@@ -323,7 +411,10 @@ def keep_one(docs: DataFrame, n: int = 5, radius: int = 3, blocks: int = 4, leas
     rooted = nodes.select("hash", "fp").join(roots, F.col("fp") == F.col("g")).select("hash", "root")
     smallest = rooted.groupBy("root").agg(F.min("hash").alias("a")).withColumnRenamed("root", "r")
     by_bits = rooted.join(smallest, F.col("root") == F.col("r")).where("hash <> a").select("a", F.col("hash").alias("b"))
-    parts = written(connected_components(links.unionByName(by_bits)), "groups")
+    links = written(links.unionByName(by_bits), "near")
+    parts = written(connected_components(links), "found")
+    more = exact(_prefix_pairs(docs, parts, n, least), docs, n, least)
+    parts = written(connected_components(links.unionByName(more)), "groups")
     grouped = own.select("doc_id", "hash").join(parts, F.col("hash") == F.col("node"), "left").withColumn("group", F.coalesce("root", "hash"))
     stay = written(grouped.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash")).alias("first")).select(F.xxhash64(F.col("first.doc_id"), F.col("first.hash")).alias("_stays")), "staying")
     for table in (own, nodes, parts):
