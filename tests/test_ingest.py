@@ -31,6 +31,16 @@ def texts(spark, index):
     return {r.text for r in ask.Index.open(spark, index, CFG).fragments.collect()}
 
 
+def test_whole_texts_are_embedded(spark):
+    text = "".join(chr(97 + k * k % 26) for k in range(3000)) + "é" * 7
+    vector = [0.0] * 16
+    for k, c in enumerate(text):
+        vector[k % 16] += ord(c) % 97 / 97
+    length = sum(x * x for x in vector) ** 0.5
+    row = ingest.embedded(spark.createDataFrame([("f", "s", text)], "fragment_id string, source_key string, text string"), 16).first()
+    assert row.embedding == pytest.approx([x / length for x in vector])
+
+
 def test_increments(spark, tmp_path, corpus):
     index = str(tmp_path / "index")
     first = ingest.build(spark, index, [str(corpus), str(tmp_path / "missing")], CFG)

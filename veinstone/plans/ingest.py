@@ -51,8 +51,8 @@ def described(parsed: DataFrame) -> DataFrame:
     return made.withColumn("source_key", identity.source_key(F.col("doi"), F.col("hash")))
 
 
-def embedded(rows: DataFrame, dims: int, keys: tuple[str, ...] = ("fragment_id", "source_key"), column: str = "text", limit: int = 2000) -> DataFrame:
-    """Key columns and `embedding`: the offline embedding of a text's first `limit` characters, of unit length.
+def embedded(rows: DataFrame, dims: int, keys: tuple[str, ...] = ("fragment_id", "source_key"), column: str = "text") -> DataFrame:
+    """Key columns and `embedding`: the offline embedding of a whole text, of unit length.
 
     It stands for a model, and like one it is called with batches; vectors stay apart from the fragments.
     """
@@ -61,7 +61,7 @@ def embedded(rows: DataFrame, dims: int, keys: tuple[str, ...] = ("fragment_id",
         for batch in batches:
             made = np.zeros((batch.num_rows, dims))
             for k, value in enumerate(batch.column(len(keys))):
-                codes = np.frombuffer((value.as_py() or "")[:limit].encode("utf-32-le", "replace"), np.uint32) % 97 / 97
+                codes = np.frombuffer((value.as_py() or "").encode("utf-32-le", "replace"), np.uint32) % 97 / 97
                 made[k] = np.bincount(np.arange(len(codes)) % dims, codes, dims)
             length = np.sqrt((made * made).sum(axis=1, keepdims=True))
             made = made / np.where(length > 0, length, 1)
