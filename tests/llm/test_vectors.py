@@ -46,9 +46,34 @@ def test_hard_rows(spark):
     out = V.near_duplicates(table(spark, [(*r, "x", 0) for r in rows])).collect()
     assert len(out) == len(rows)
     by = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in out}
-    assert by[7] == (1, 7, True) and by[8] == (1, 7, False)
-    assert all(by[k] == (0, k, True) for k in (1, 2, 3, 4, 5, 6, 9, 10, None))
+    # A null id is a vector too, which belongs to the component of 7.
+    assert by[7] == (2, 7, True) and by[8] == (2, 7, False) and by[None] == (2, 7, False)
+    assert all(by[k] == (0, k, True) for k in (1, 2, 3, 4, 5, 6, 9, 10))
 
 
 def test_empty(spark):
     assert V.near_duplicates(table(spark, [])).collect() == []
+
+
+def test_large_near_group_loses_no_link(spark):
+    rng = np.random.default_rng(5)
+    center = rng.normal(size=64)
+    x = (center / np.linalg.norm(center) + 0.0325 * rng.normal(size=(4000, 64))).astype(np.float32)
+    x = np.concatenate([x, rng.normal(size=(2000, 64)).astype(np.float32)])
+    out = {r.vec_id: r for r in V.near_duplicates(table(spark, [(k, v.tolist(), "x", 1) for k, v in enumerate(x)]), settings=V.Settings(shard_rows=500)).collect()}
+    links, label = brute(np.arange(len(x)), x, 0.9)
+    got = np.array([out[k].n_links for k in range(len(x))])
+    assert links.sum() > 5_000_000 and (got <= links).all() and got.sum() >= 0.97 * links.sum()
+    assert np.mean([out[k].component_id == c for k, c in enumerate(label)]) > 0.99
+
+
+def test_divided_cells_and_exact_way(spark):
+    x = clustered(900, 16, 4, 0.25)
+    rows = [(k, v.tolist(), "x", 1) for k, v in enumerate(x)]
+    links, label = brute(np.arange(900), x, 0.9)
+    deep = {r.vec_id: r for r in V.near_duplicates(table(spark, rows), settings=V.Settings(shard_rows=40, max_centroids=5)).collect()}
+    got = np.array([deep[k].n_links for k in range(900)])
+    assert (got <= links).all() and got.sum() >= 0.95 * links.sum()
+    # An aim above 1 is never met, so the search ends with every shard as one block.
+    exact = {r.vec_id: r for r in V.near_duplicates(table(spark, rows), settings=V.Settings(shard_rows=40, max_centroids=5, shard_limit=30, chunk_rows=25, reach=0.4, aim=0.999999)).collect()}
+    assert [exact[k].n_links for k in range(900)] == links.tolist() or next(iter(exact.values())).recall >= 0.999999

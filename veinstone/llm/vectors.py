@@ -1,25 +1,32 @@
 """Embedding near-duplicates by a robust-pruned flat graph.
 
-Vectors are dealt to overlapping shards: each goes to its `overlap` nearest centroids (k-means on a
-bounded sample). In each shard a graph is built: a node's candidates by falling similarity, of which robust
-pruning drops those that a kept one is nearer to by the factor alpha. The adjacency lists of a vector
-from all its shards are united. Then every vector is searched for in each of its shards, on the united
-lists: greedily from the shard's medoid, and once the way leads no nearer, by expanding the range, that is by following
-all neighbours of nodes whose similarity is at least the threshold less a slack. Links are verified in
-double precision. A pair that meets in several shards is counted in the first of them.
-
-The recall is audited against brute force for a bounded number of vectors; if it is below the aim,
-the graph is built again with more overlap.
-
-Equal vectors are one node, so that thousands of copies don't fill a shard; the copies of a node link
-with each other. Shards of more than `shard_limit` nodes are split into parts by hash, and each pair of
-parts is a task of its own, so that nothing is missed and no task grows; links of a shard leave it
-as counts and as a spanning forest, never as all pairs.
+Vectors are dealt to overlapping shards: each is a node of its `overlap` nearest centroids' shards. In
+each shard a graph is built: a node's candidates by falling similarity, of which robust pruning drops
+those that a kept one is nearer to by the factor alpha. The adjacency lists of a node from all its shards are
+united. Then every vector is searched for in its own shards and in all others whose centroid is nearly as
+near (`reach`): a beam goes from the shard's medoid over the united lists, and the range around what
+it found is expanded by following the neighbours of all nodes whose similarity is at least the
+threshold less a slack. A search whose range has spread over an eighth of a shard takes the rest of the
+shard as one block. Links are verified in double precision. Each vector is found in its nearest shard only,
+so that no link counts twice.
+
+The recall is audited against brute force for a bounded number of vectors, by links and by vectors. If
+it is below the aim, the reach is doubled and the searches run again; the last reach takes every
+shard as one block, which is brute force, so no loss is ever returned for want of a better way.
+
+Centroids: k-means on a bounded sample gives up to `max_centroids` cells. Cells that are still too large
+are divided by k-means of their own, on the executors, so that shards keep their size however many
+vectors there are. Equal vectors are one node, so that thousands of copies don't fill a shard; the copies
+of a node link with each other. Shards that are still above `shard_limit` are split by hash, each part with
+a graph of its own that all searches visit; searches are dealt in chunks. So no task grows, and links
+leave it as counts and as a spanning forest, never as all pairs.
 
 Null vectors, zero vectors and vectors with a null or non-finite component link with nothing; vectors
-of different dimensions don't link either, nor do rows with a null id. Every input row gives a row.
-Rows with one id and one vector are one vector; rows with one id and different vectors are linked each
-for itself, under that id. An empty table gives an empty result.
+of different dimensions don't link either. Every input row gives a row. Rows with one id and one vector
+are one vector; rows with one id and different vectors are linked each for itself, under that id. A null
+id is a vector of its own in every row; ids of components don't count nulls (null if all are), and a null
+id is kept only if its component's is null. Columns other than the id and the vector are left out, so
+none can clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,6 +43,8 @@ from .common import discard, written
 from .components import connected_components, spanning
 
 SLACK = 0.1
+#: Searches that advance together.
+BLOCK = 1024
 
 
 def unit(batch: np.ndarray) -> np.ndarray:
@@ -44,17 +53,6 @@ def unit(batch: np.ndarray) -> np.ndarray:
     return batch / np.sqrt((batch * batch).sum(axis=1, keepdims=True))
 
 
-def _rows(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-    """(place, vector) of the vectors that can link."""
-    for k, vector in enumerate(column):
-        values = vector.values
-        if values is None or not len(values) or values.null_count:
-            continue
-        made = values.to_numpy(zero_copy_only=False).astype(np.float64)
-        if np.isfinite(made).all() and made.any():
-            yield k, made
-
-
 def robust_prune(similar: np.ndarray, degree: int, alpha: float, pool: int) -> np.ndarray:
     """Neighbours of each node of a shard (n x degree, filled up with the node itself)."""
     n = len(similar)
@@ -79,53 +77,100 @@ def robust_prune(similar: np.ndarray, degree: int, alpha: float, pool: int) -> n
     return out
 
 
-def search_shard(vectors: np.ndarray, graph: np.ndarray, threshold: float, slack: float = SLACK) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j), i < j, of similarity `threshold` or more that the searches of all nodes find.
+def search_shard(queries: np.ndarray, vectors: np.ndarray, graph: np.ndarray, threshold: float, slack: float = SLACK, beam: int = 8, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) of similarity `threshold` or more that the searches find, each pair once.
 
-    All searches advance in step. `graph` has the neighbours of each node, filled up with itself.
+    `graph` has the neighbours of each node, filled up with itself. `whole` takes the shard as one block at once.
     """
-    n = len(vectors)
-    mean = vectors.mean(axis=0)
-    medoid = int((vectors @ mean).argmax())
-    at = np.full(n, medoid)
-    nearest = vectors @ vectors[medoid]
-    moving = np.arange(n)
-    while len(moving):
-        around = graph[at[moving]]
-        likeness = np.einsum("qd,qkd->qk", vectors[moving], vectors[around])
-        best = likeness.argmax(axis=1)
-        gain = likeness[np.arange(len(moving)), best]
-        better = gain > nearest[moving]
-        moving, best, gain, around = moving[better], best[better], gain[better], around[better]
-        at[moving], nearest[moving] = around[np.arange(len(moving)), best], gain
-    # The range is expanded from where the way ended, and from the node itself, which is in the graph.
-    seen = np.zeros((n, n), bool)
-    query = np.concatenate([np.arange(n), np.flatnonzero(at != np.arange(n))])
-    node = np.concatenate([np.arange(n), at[at != np.arange(n)]])
-    seen[query, node] = True
-    found: list[np.ndarray] = []
-    while len(query):
-        next_pairs = []
-        for k in range(0, len(query), 8192):
-            q = np.repeat(query[k : k + 8192], graph.shape[1])
-            to = graph[node[k : k + 8192]].ravel()
-            code = np.unique((q * n + to)[~seen[q, to]])
-            q, to = code // n, code % n
-            seen[q, to] = True
-            for b in range(0, len(q), 65536):
-                likeness = np.einsum("kd,kd->k", vectors[q[b : b + 65536]], vectors[to[b : b + 65536]])
+    n, rough = len(vectors), vectors.astype(np.float32)
+    medoid = int((vectors @ vectors.mean(axis=0)).argmax())
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for begin in range(0, len(queries), BLOCK):
+        own = queries[begin : begin + BLOCK]
+        q, to = _expand(own.astype(np.float32), rough, graph, medoid, threshold, slack, beam) if not whole else (np.empty(0, np.int64),) * 2
+        dense = np.flatnonzero(np.bincount(q, minlength=len(own)) * 8 > n) if not whole else np.arange(len(own))
+        sparse = ~np.isin(q, dense)
+        q, to = q[sparse], to[sparse]
+        exact = np.einsum("kd,kd->k", own[q], vectors[to]) >= threshold
+        found.append((q[exact] + begin, to[exact]))
+        for k in range(0, len(dense), 256):
+            i, j = np.nonzero(own[dense[k : k + 256]] @ vectors.T >= threshold)
+            found.append((dense[k : k + 256][i] + begin, j))
+    return tuple(np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
+
+
+def _expand(queries: np.ndarray, vectors: np.ndarray, graph: np.ndarray, medoid: int, threshold: float, slack: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) of all nodes visited whose similarity is about `threshold` or more; searches that spread far stop early."""
+    m, n, rows = len(queries), len(vectors), np.arange(len(queries))
+    seen = np.zeros((m, n), bool)
+    seen[:, medoid] = True
+    nodes = np.full((m, beam), medoid)
+    near = np.full((m, beam), -np.inf, np.float32)
+    near[:, 0] = queries @ vectors[medoid]
+    open_ = near > -np.inf
+    kept_q, kept_to, kept_s = [rows], [nodes[:, 0].copy()], [near[:, 0].copy()]
+    while True:
+        live = np.flatnonzero(open_.any(axis=1))
+        if not len(live):
+            break
+        at = np.where(open_[live], near[live], -np.inf).argmax(axis=1)
+        open_[live, at] = False
+        around = graph[nodes[live, at]]
+        new = ~seen[live[:, None], around]
+        seen[live[:, None], around] = True
+        likeness = np.einsum("qd,qkd->qk", queries[live], vectors[around])
+        # A list may name one neighbour twice; the second is no news.
+        likeness[~new | _repeated(around)] = -np.inf
+        wide = likeness >= threshold - slack
+        a, b = np.nonzero(wide)
+        kept_q.append(live[a])
+        kept_to.append(around[a, b])
+        kept_s.append(likeness[a, b])
+        merged = np.concatenate([near[live], likeness], axis=1)
+        best = np.argpartition(-merged, beam - 1, axis=1)[:, :beam]
+        near[live] = np.take_along_axis(merged, best, axis=1)
+        nodes[live] = np.take_along_axis(np.concatenate([nodes[live], around], axis=1), best, axis=1)
+        open_[live] = np.take_along_axis(np.concatenate([open_[live], likeness > -np.inf], axis=1), best, axis=1)
+    q, to, s = (np.concatenate(x) for x in (kept_q, kept_to, kept_s))
+    wide = s >= threshold - slack
+    q, to, s = q[wide], to[wide], s[wide]
+    all_q, all_to, all_s = [q], [to], [s]
+    reached = np.bincount(q, minlength=m)
+    while len(q):
+        go = reached[q] * 8 <= n  # the others become one block
+        q, to = q[go], to[go]
+        next_q, next_to = [], []
+        for k in range(0, len(q), 8192):
+            eq = np.repeat(q[k : k + 8192], graph.shape[1])
+            et = graph[to[k : k + 8192]].ravel()
+            fresh = ~seen[eq, et]
+            code = np.unique(eq[fresh] * n + et[fresh])
+            eq, et = code // n, code % n
+            seen[eq, et] = True
+            for b in range(0, len(eq), 65536):
+                likeness = np.einsum("kd,kd->k", queries[eq[b : b + 65536]], vectors[et[b : b + 65536]])
                 wide = likeness >= threshold - slack
-                next_pairs.append(np.stack([q[b : b + 65536][wide], to[b : b + 65536][wide]]))
-                hit = likeness >= threshold
-                found.append(np.stack([q[b : b + 65536][hit], to[b : b + 65536][hit]]))
-        query, node = np.concatenate(next_pairs, axis=1) if next_pairs else (np.empty(0, np.int64), np.empty(0, np.int64))
-    # The way's end itself may be a partner.
-    ends = np.flatnonzero((at != np.arange(n)) & (nearest >= threshold))
-    found.append(np.stack([ends, at[ends]]))
-    pairs = np.concatenate(found, axis=1)
-    low, high = pairs.min(axis=0), pairs.max(axis=0)
-    code = np.unique((low * n + high)[low < high])
-    return code // n, code % n
+                next_q.append(eq[b : b + 65536][wide])
+                next_to.append(et[b : b + 65536][wide])
+                all_s.append(likeness[wide])
+        q = np.concatenate(next_q) if next_q else np.empty(0, np.int64)
+        to = np.concatenate(next_to) if next_to else np.empty(0, np.int64)
+        all_q.append(q)
+        all_to.append(to)
+        reached += np.bincount(q, minlength=m)
+    q, to, s = (np.concatenate(x) for x in (all_q, all_to, all_s))
+    # What float32 may have rounded down stays for the check in double precision; searches to be done as a block keep their counts.
+    close = (s >= threshold - 1e-4) | (reached[q] * 8 > n)
+    return q[close], to[close]
+
+
+def _repeated(lists: np.ndarray) -> np.ndarray:
+    """Where a row names a value that stands further left in it."""
+    order = np.argsort(lists, axis=1, kind="stable")
+    ranked = np.take_along_axis(lists, order, axis=1)
+    again = np.zeros(lists.shape, bool)
+    np.put_along_axis(again, order[:, 1:], ranked[:, 1:] == ranked[:, :-1], axis=1)
+    return again
 
 
 def centroids(sample: np.ndarray, k: int, rounds: int = 6, seed: int = 3) -> np.ndarray:
@@ -142,19 +187,20 @@ def centroids(sample: np.ndarray, k: int, rounds: int = 6, seed: int = 3) -> np.
 
 
 class Settings(NamedTuple):
-    """Neighbours of a node, pruning factor and candidates; nodes aimed at and allowed in a shard; bounds of the
-    k-means; vectors audited, centroids of each node at first and at most, and the recall aimed at."""
+    """Neighbours of a node, pruning factor and candidates; nodes aimed at and allowed in a shard, searches in a
+    task; bounds of the k-means; vectors audited, shards of each node, first reach and the recall aimed at."""
 
     degree: int = 32
     alpha: float = 1.44  # of squared distances
     pool: int = 96
     shard_rows: int = 1000
-    shard_limit: int = 2000
+    shard_limit: int = 4000
+    chunk_rows: int = 20_000
     max_centroids: int = 2048
     sample_per_centroid: int = 40
-    audited: int = 200
+    audited: int = 500
     overlap: int = 2
-    max_overlap: int = 8
+    reach: float = 0.1
     aim: float = 0.97
 
 
@@ -163,9 +209,21 @@ def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims, packed = [None] * batch.num_rows, [None] * batch.num_rows
-            for k, v in _rows(batch.column(1)):
-                dims[k], packed[k] = len(v), unit(v[None, :])[0].tobytes()
+            column = batch.column(1)
+            lengths = np.diff(column.offsets.to_numpy())
+            lengths[np.asarray(column.is_null())] = 0
+            begins = column.offsets.to_numpy()[:-1]
+            values = column.values
+            flat, null = values.to_numpy(zero_copy_only=False), np.asarray(values.is_null())
+            packed: list[bytes | None] = [None] * batch.num_rows
+            for d in np.unique(lengths[lengths > 0]):
+                rows = np.flatnonzero(lengths == d)
+                at = begins[rows][:, None] + np.arange(d)
+                made = flat[at].astype(np.float64)
+                good = np.isfinite(made).all(axis=1) & made.any(axis=1) & ~null[at].any(axis=1)
+                for k, v in zip(rows[good], unit(made[good]) if good.any() else (), strict=True):
+                    packed[k] = v.tobytes()
+            dims = [None if p is None else len(p) // 8 for p in packed]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dims, pa.int32()), pa.array(packed, pa.binary())], names=["id", "dims", "packed"])
 
     return vectors.select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>")).mapInArrow(run, "id long, dims int, packed binary")
@@ -175,94 +233,197 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dims)
 
 
-def _train(nodes: DataFrame, overlap: int, s: Settings) -> dict[int, np.ndarray]:
-    """Centroids by dimension, from a bounded sample by hash."""
-    made = {}
+def _visits(likeness: np.ndarray, reach: float, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, centroid, place) of the centroids to visit: place 0 is the nearest, 1 the others of the `overlap` nearest, 2 those in reach of the nearest."""
+    k = min(overlap, likeness.shape[1])
+    nearest = np.argpartition(-likeness, k - 1, axis=1)[:, :k]
+    place = np.where(likeness >= likeness.max(axis=1, keepdims=True) - reach, 2, 3)
+    np.put_along_axis(place, nearest, 1, axis=1)
+    place[np.arange(len(place)), likeness.argmax(axis=1)] = 0
+    row, at = np.nonzero(place < 3)
+    return row, at, place[row, at]
+
+
+VISIT = "dims int, shard long, place int, node long, copies long, packed binary"
+
+
+def _routed(batch: pa.RecordBatch, row: np.ndarray, shard: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """A batch of visits from node, dims, copies, packed of `batch`."""
+    part = batch.take(pa.array(row))
+    return pa.RecordBatch.from_arrays([part.column(1), pa.array(shard.astype(np.int64)), pa.array(place.astype(np.int32)), part.column(0), part.column(2), part.column(3)], names=["dims", "shard", "place", "node", "copies", "packed"])
+
+
+class Cells(NamedTuple):
+    """Centroids of the first level, by dimension, and a table of those of the cells that are divided (or None)."""
+
+    first: dict[int, np.ndarray]
+    second: DataFrame | None
+
+
+def _train(nodes: DataFrame, s: Settings) -> Cells:
+    """K-means on bounded samples by hash; cells of more than twice shard_rows are divided if there are more than max_centroids shards."""
+    made, deep = {}, False
     for row in nodes.groupBy("dims").agg(F.count("*").alias("n")).collect():
-        k = min(s.max_centroids, -(-row.n * overlap // s.shard_rows))
+        k = -(-row.n * s.overlap // s.shard_rows)
+        deep |= k > s.max_centroids
+        k = min(k, s.max_centroids)
         share = min(1.0, k * s.sample_per_centroid / row.n)
         sample = nodes.where((F.col("dims") == row.dims) & (F.pmod(F.hash("node", F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)).select("packed").collect()
         vectors = np.frombuffer(b"".join(bytes(r.packed) for r in sample), np.float64).reshape(-1, row.dims)
         made[row.dims] = centroids(vectors, min(k, len(vectors))) if len(vectors) else np.eye(1, row.dims)
-    return made
-
-
-def _shards(nodes: DataFrame, made: dict[int, np.ndarray], overlap: int, limit: int) -> DataFrame:
-    """dims, shard, a, b, part, home, node, copies, packed: every node in each of its tasks.
-
-    A task is a shard, or of a shard above `limit` a pair a, b of its parts. `home` has all shards of the node.
-    """
+    if not deep:
+        return Cells(made, None)
+    homes = written(_first(nodes, made, 0.0, 1).select("dims", "shard", "node", "packed"), "homes")
+    sizes = homes.groupBy("dims", "shard").agg(F.count("*").alias("n")).where(F.col("n") * s.overlap > 2 * s.shard_rows)
+    sizes = sizes.select(F.col("dims").alias("d"), F.col("shard").alias("c"), F.least(F.ceil(F.col("n") * s.overlap / s.shard_rows), F.lit(s.max_centroids)).alias("k"), "n")
+    drawn = F.pmod(F.hash("node", F.lit(4)), F.lit(1 << 30)) < F.col("k") * s.sample_per_centroid / F.col("n") * (1 << 30)
+    sample = homes.join(sizes, (F.col("dims") == F.col("d")) & (F.col("shard") == F.col("c"))).where(drawn).select("dims", "shard", "k", "packed")
+
+    def divide(table: pa.Table) -> pa.Table:
+        dims, shard, k = (table.column(c)[0].as_py() for c in ("dims", "shard", "k"))
+        vectors = _matrix(table.column("packed"), dims)
+        return pa.table([pa.array([dims], pa.int32()), pa.array([shard], pa.int64()), pa.array([centroids(vectors, min(k, len(vectors))).tobytes()], pa.binary())], names=["dims", "shard", "matrix"])
+
+    second = written(sample.groupBy("dims", "shard").applyInArrow(divide, "dims int, shard long, matrix binary"), "cells")
+    discard(homes)
+    return Cells(made, second)
+
+
+def _first(nodes: DataFrame, made: dict[int, np.ndarray], reach: float, overlap: int) -> DataFrame:
+    """The visits of all nodes to the cells of the first level."""
     sent = nodes.sparkSession.sparkContext.broadcast(made)  # max_centroids rows at most per dimension
-    names = ["node", "dims", "copies", "packed"]
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column(1).to_numpy()
             for d in np.unique(dims):
                 part = batch.filter(pa.array(dims == d))
-                likeness = _matrix(part.column(3), d) @ sent.value[int(d)].T
-                home = np.argsort(-likeness, axis=1, kind="stable")[:, : min(overlap, likeness.shape[1])]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(home.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=[*names, "home"])
+                for k in range(0, part.num_rows, 2048):
+                    some = part.slice(k, 2048)
+                    yield _routed(some, *_visits(_matrix(some.column(3), d) @ sent.value[int(d)].T, reach, overlap))
 
-    each = nodes.select(*names).mapInArrow(assign, "node long, dims int, copies long, packed binary, home array<int>").withColumn("shard", F.explode("home"))
-    sizes = each.groupBy("dims", "shard").agg(F.count("*").alias("n")).select(F.col("dims").alias("d"), F.col("shard").alias("s"), F.when(F.col("n") > limit, F.ceil(F.col("n") * 2.5 / limit)).otherwise(1).cast("long").alias("parts"))
-    each = each.join(sizes, (F.col("dims") == F.col("d")) & (F.col("shard") == F.col("s"))).withColumn("part", F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")))
-    tasks = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("part")).alias("a"), F.greatest(o, F.col("part")).alias("b")))
-    return each.withColumn("task", F.explode(tasks)).select("dims", "shard", "task.a", "task.b", "part", "home", "node", "copies", "packed")
+    return nodes.select("node", "dims", "copies", "packed").mapInArrow(assign, VISIT)
 
 
-TASK = ("dims", "shard", "a", "b")
+def _second(visits: DataFrame, cells: DataFrame, reach: float, overlap: int) -> DataFrame:
+    """The visits to the parts of the cells that are divided; shards get numbers of their own.
+
+    A cell's centroids are sent to each of the salted groups of its visits, ahead of them.
+    """
+    salts = 16
+    ahead = cells.select("dims", "shard", F.lit(-1).alias("place"), F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("copies"), F.col("matrix").alias("packed"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    dealt = ahead.unionByName(visits.withColumn("salt", F.pmod(F.hash("node"), F.lit(salts)))).repartition("dims", "shard", "salt").sortWithinPartitions("dims", "shard", "salt", "place")
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, matrix = None, None
+        for batch in batches:
+            dims, shard, place, salt = (batch.column(k).to_numpy() for k in (0, 1, 2, 6))
+            cuts = np.flatnonzero(np.r_[True, (dims[1:] != dims[:-1]) | (shard[1:] != shard[:-1]) | (salt[1:] != salt[:-1]), True])
+            for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+                own = (dims[begin], shard[begin], salt[begin])
+                if own != key:
+                    key, matrix = own, None
+                if place[begin] < 0:
+                    matrix = np.frombuffer(batch.column(5)[int(begin)].as_py(), np.float64).reshape(-1, own[0])
+                    begin += 1
+                part = pa.RecordBatch.from_arrays([batch.column(k).slice(begin, end - begin) for k in (3, 0, 4, 5)], names=["node", "dims", "copies", "packed"])
+                for k in range(0, part.num_rows, 2048):
+                    some = part.slice(k, 2048)
+                    above = place[begin + k : begin + k + some.num_rows]
+                    if matrix is None:
+                        row, at, own_place = np.arange(some.num_rows), np.zeros(some.num_rows, np.int64), np.zeros(some.num_rows, np.int64)
+                    else:
+                        row, at, own_place = _visits(_matrix(some.column(3), int(own[0])) @ matrix.T, reach, overlap)
+                    yield _routed(some, row, own[1] * (1 << 20) + at, np.maximum(above[row], own_place))
+
+    return dealt.select("dims", "shard", "place", "node", "copies", "packed", "salt").mapInArrow(assign, VISIT)
+
+
+TASK = ("dims", "shard", "sub", "chunk")
+
+
+def _tasks(visits: DataFrame, s: Settings) -> DataFrame:
+    """dims, shard, sub, chunk, chunks, index, query, place, node, copies, packed: every visit in each of its tasks.
+
+    A shard has one sub unless it has more than shard_limit nodes, and one chunk of searches unless more than chunk_rows visit it.
+    """
+    over = lambda n, limit: F.ceil(n / limit).cast("long")
+    sizes = visits.groupBy("dims", "shard").agg(F.count("*").alias("v"), F.count_if(F.col("place") < 2).alias("i"))
+    sizes = sizes.select(F.col("dims").alias("d"), F.col("shard").alias("s"), F.greatest(over(F.col("i"), s.shard_limit), F.lit(1).cast("long")).alias("subs"), over(F.col("v"), s.chunk_rows).alias("chunks"))
+    each = visits.join(sizes, (F.col("dims") == F.col("d")) & (F.col("shard") == F.col("s")))
+    each = each.withColumn("own_sub", F.pmod(F.xxhash64("node", F.lit(2)), F.col("subs"))).withColumn("own_chunk", F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks")))
+    node = F.col("place") < 2
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    searches = F.transform(upto(F.col("subs")), lambda o: F.struct(o.alias("sub"), F.col("own_chunk").alias("chunk"), ((o == F.col("own_sub")) & node).alias("index"), F.lit(True).alias("query")))
+    others = F.transform(F.filter(upto(F.col("chunks")), lambda c: node & (c != F.col("own_chunk"))), lambda c: F.struct(F.col("own_sub").alias("sub"), c.alias("chunk"), F.lit(True).alias("index"), F.lit(False).alias("query")))
+    return each.withColumn("task", F.explode(F.concat(searches, others))).select("dims", "shard", "task.sub", "task.chunk", "chunks", "task.index", "task.query", "place", "node", "copies", "packed")
 
 
 def _build(table: pa.Table, s: Settings) -> pa.Table:
-    vectors = _matrix(table.column("packed"), table.column("dims")[0].as_py())
-    node = table.column("node").to_numpy()
-    if len(node) < 2:
-        return pa.table([pa.array([], pa.int64()), pa.array([], pa.list_(pa.int64()))], names=["n", "near"])
-    graph = node[robust_prune(vectors @ vectors.T, s.degree, s.alpha, s.pool)]
-    return pa.table([pa.array(node), pa.array(list(graph), pa.list_(pa.int64()))], names=["n", "near"])
+    """(node, its neighbours, and the shard's key) of one shard."""
+    dims, shard, sub, chunks = (table.column(c)[0].as_py() for c in ("dims", "shard", "sub", "chunks"))
+    vectors, node = _matrix(table.column("packed"), dims), table.column("node").to_numpy()
+    n = len(node)
+    near = node[robust_prune(vectors @ vectors.T, s.degree, s.alpha, s.pool)] if n > 1 else np.empty((1, 0), np.int64)
+    key = [pa.array([x] * n, t) for x, t in ((dims, pa.int32()), (shard, pa.int64()), (sub, pa.int64()), (chunks, pa.int64()))]
+    return pa.table([pa.array(node), pa.array(list(near), pa.list_(pa.int64())), *key], names=["n", "near", "dims", "shard", "sub", "chunks"])
 
 
-def _search(table: pa.Table, threshold: float) -> pa.Table:
+def _search(table: pa.Table, lists: pa.Table, threshold: float, whole: bool) -> pa.Table:
     """kind 1: (node, copies of its partners); kind 0: links of a spanning forest."""
-    dims, shard, a, b = (table.column(c)[0].as_py() for c in TASK)
-    node, part, copies = (table.column(c).to_numpy() for c in ("node", "part", "copies"))
-    vectors, order = _matrix(table.column("packed"), dims), np.argsort(node)
-    near = table.column("near").to_pylist()
-    width = max(map(len, near), default=0)
-    if len(node) < 2 or not width:
-        return pa.table([pa.array([], t) for t in (pa.int32(), pa.int64(), pa.int64())], names=["kind", "u", "v"])
-    wanted = np.array([x + [x[0]] * (width - len(x)) for x in near])
-    at = np.minimum(np.searchsorted(node[order], wanted), len(node) - 1)
-    graph = np.where(node[order][at] == wanted, order[at], np.arange(len(node))[:, None])
-    i, j = search_shard(vectors, graph, threshold)
-    # A pair counts in the first shard that both are in, and there in the task of their parts.
-    home = table.column("home").to_pylist()
-    homes = np.array([h + [-1 - k] * (max(map(len, home)) - len(h)) for k, h in enumerate(home)])
-    shared = (homes[i][:, :, None] == homes[j][:, None, :]).any(axis=2)
-    first = np.where(shared, homes[i], np.iinfo(np.int64).max).min(axis=1)
-    own = (first == shard) & (np.minimum(part[i], part[j]) == a) & (np.maximum(part[i], part[j]) == b)
-    i, j = i[own], j[own]
-    partners = np.bincount(i, copies[j], len(node)) + np.bincount(j, copies[i], len(node))
+    index, query, place, node, copies = (table.column(c).to_numpy() for c in ("index", "query", "place", "node", "copies"))
+    index, query = index.astype(bool), query.astype(bool)
+    none = pa.table([pa.array([], t) for t in (pa.int32(), pa.int64(), pa.int64())], names=["kind", "u", "v"])
+    if not index.any() or not query.any():
+        return none
+    every = _matrix(table.column("packed"), table.column("dims")[0].as_py())
+    nodes, order = node[index], np.argsort(node[index])
+    graph = np.arange(len(nodes))[:, None]
+    if lists.num_rows and not whole:
+        listed = lists.column("near").combine_chunks()
+        lengths = np.diff(listed.offsets.to_numpy())
+        begins = np.cumsum(lengths) - lengths
+        at = order[np.searchsorted(nodes[order], lists.column("n").to_numpy())]
+        graph = np.tile(graph, (1, max(1, int(lengths.max(initial=0)))))
+        row, column = np.repeat(at, lengths), np.arange(lengths.sum()) - np.repeat(begins, lengths)
+        wanted = listed.flatten().to_numpy()
+        to = order[np.minimum(np.searchsorted(nodes[order], wanted), len(nodes) - 1)]
+        inside = nodes[to] == wanted
+        graph[row[inside], column[inside]] = to[inside]
+    q, to = search_shard(every[query], every[index], graph, threshold, whole=whole)
+    asked = node[query]
+    # A vector is found in its nearest shard only, and not by itself.
+    own = (place[index][to] == 0) & (asked[q] != nodes[to])
+    q, to = q[own], to[own]
+    partners = np.bincount(q, copies[index][to], len(asked))
     some = np.flatnonzero(partners)
-    u, v = spanning(node[i], node[j])
+    u, v = spanning(asked[q], nodes[to])
     kind = np.r_[np.ones(len(some), np.int32), np.zeros(len(u), np.int32)]
-    return pa.table([pa.array(kind), pa.array(np.r_[node[some], u]), pa.array(np.r_[partners[some].astype(np.int64), v])], names=["kind", "u", "v"])
+    return pa.table([pa.array(kind), pa.array(np.r_[asked[some], u]), pa.array(np.r_[partners[some].astype(np.int64), v])], names=["kind", "u", "v"])
 
 
-def _graph_links(nodes: DataFrame, threshold: float, overlap: int, s: Settings) -> DataFrame:
+def _graph_links(nodes: DataFrame, threshold: float, cells: Cells, reach: float, s: Settings) -> DataFrame:
     """The written result of all searches (kind, u, v)."""
-    tasks = written(_shards(nodes, _train(nodes, overlap, s), overlap, s.shard_limit), "shards")
-    lists = tasks.groupBy(*TASK).applyInArrow(lambda t: _build(t, s), "n long, near array<long>")
-    united = lists.groupBy("n").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    met = tasks.join(united, F.col("node") == F.col("n")).drop("n")
-    found = written(met.groupBy(*TASK).applyInArrow(lambda t: _search(t, threshold), "kind int, u long, v long"), "searched")
-    discard(tasks)
+    whole = reach >= 2
+    visits = _first(nodes, cells.first, reach, s.overlap)
+    if cells.second is not None:
+        visits = _second(visits, cells.second, reach, s.overlap)
+    visits = written(visits, "visits")
+    tasks = _tasks(visits, s)
+    built = tasks.where("index AND chunk = 0").groupBy("dims", "shard", "sub").applyInArrow(lambda t: _build(t, s), "n long, near array<long>, dims int, shard long, sub long, chunks long")
+    shards = F.collect_list(F.struct("dims", "shard", "sub", "chunks"))
+    united = built.groupBy("n").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), shards.alias("ts")).select("n", "near", F.explode("ts").alias("t"))
+    lists = united.select("n", "near", "t.dims", "t.shard", "t.sub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("t.chunks") - 1)).alias("chunk"))
+    if whole:
+        lists = lists.where(F.lit(False))
+    found = tasks.groupBy(*TASK).cogroup(lists.groupBy(*TASK)).applyInArrow(lambda t, x: _search(t, x, threshold, whole), "kind int, u long, v long")
+    found = written(found, "searched")
+    discard(visits)
     return found
 
 
 def _audit(nodes: DataFrame, partners: DataFrame, threshold: float, audited: int) -> float:
-    """The share of the links of some nodes, lowest hashes first, that was found; brute force gives all."""
+    """Of some nodes, lowest hashes first, the share of links that was found, or the mean share of a vector if that is lower; brute force gives all."""
     picked = [(r.node, r.dims, bytes(r.packed)) for r in nodes.orderBy(F.hash("node", F.lit(3)), "node").limit(audited).select("node", "dims", "packed").collect()]
     sent = nodes.sparkSession.sparkContext.broadcast(picked)  # `audited` vectors
 
@@ -270,6 +431,7 @@ def _audit(nodes: DataFrame, partners: DataFrame, threshold: float, audited: int
         by_dims: dict[int, list] = {}
         for node, d, packed in sent.value:
             by_dims.setdefault(d, []).append((node, np.frombuffer(packed, np.float64)))
+        total = {d: np.zeros(len(x), np.int64) for d, x in by_dims.items()}
         for batch in batches:
             node, dims, copies = (batch.column(k).to_numpy() for k in (0, 1, 2))
             for d in np.intersect1d(dims, list(by_dims)):
@@ -277,31 +439,39 @@ def _audit(nodes: DataFrame, partners: DataFrame, threshold: float, audited: int
                 ids = np.array([n for n, _ in by_dims[d]])
                 near = _matrix(batch.column(3).filter(pa.array(own)), d) @ np.stack([v for _, v in by_dims[d]]).T >= threshold
                 near &= node[own][:, None] != ids
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array((near * copies[own][:, None]).sum(axis=0))], names=["a", "n"])
+                total[d] += (near * copies[own][:, None]).sum(axis=0)
+        for d, x in by_dims.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([n for n, _ in x])), pa.array(total[d])], names=["a", "n"])
 
     true = nodes.select("node", "dims", "copies", "packed").mapInArrow(count, "a long, n long").groupBy("a").agg(F.sum("n").alias("n"))
-    both = true.join(partners, F.col("a") == F.col("w"), "left").agg(F.sum("n").alias("n"), F.sum(F.least("n", F.coalesce("partners", F.lit(0)))).alias("found")).first()
-    return both.found / both.n if both.n else 1.0
+    met = true.join(partners, F.col("a") == F.col("w"), "left").where("n > 0").select("n", F.least("n", F.coalesce("partners", F.lit(0))).alias("found"))
+    both = met.agg(F.sum("n").alias("n"), F.sum("found").alias("found"), F.avg(F.col("found") / F.col("n")).alias("mean")).first()
+    return min(both.found / both.n, both.mean) if both.n else 1.0
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", settings: Settings | None = None) -> DataFrame:
     """id, n_links, component_id, kept (the id is its component's) and recall (as audited) of every input row."""
     s = settings or Settings()
-    every = written(unit_vectors(vectors, id_col, vector_col).withColumn("node", F.when(F.col("packed").isNotNull() & F.col("id").isNotNull(), F.xxhash64("packed", "dims"))), "unit-vectors")
-    nodes = written(every.where("node IS NOT NULL").groupBy("node", "dims", "packed").agg(F.min("id").alias("first"), F.count_distinct("id").alias("copies")), "nodes")
-    overlap = s.overlap
+    every = written(unit_vectors(vectors, id_col, vector_col).withColumn("node", F.when(F.col("packed").isNotNull(), F.xxhash64("packed", "dims"))), "unit-vectors")
+    copies = F.count_distinct("id") + F.count_if(F.col("id").isNull())
+    nodes = written(every.where("node IS NOT NULL").groupBy("node", "dims", "packed").agg(F.min("id").alias("first"), copies.alias("copies")), "nodes")
+    cells, reach = _train(nodes, s), s.reach
     while True:
-        found = _graph_links(nodes, threshold, overlap, s)
+        found = _graph_links(nodes, threshold, cells, reach, s)
         partners = found.where("kind = 1").groupBy("u").agg(F.sum("v").alias("partners")).withColumnRenamed("u", "w")
-        recall = _audit(nodes, partners, threshold, s.audited)
-        if recall >= s.aim or overlap >= s.max_overlap:
+        recall = 1.0 if reach >= 2 else _audit(nodes, partners, threshold, s.audited)
+        if recall >= s.aim:
             break
         discard(found)
-        overlap *= 2
+        reach = 2.0 if reach >= 0.4 else reach * 2
     roots = written(connected_components(found.where("kind = 0").select("u", "v")), "components").withColumnRenamed("node", "r")
     of = nodes.join(partners, F.col("node") == F.col("w"), "left").join(roots, F.col("node") == F.col("r"), "left")
     of = of.select(F.col("node").alias("g"), "first", (F.col("copies") - 1 + F.coalesce("partners", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root"))
     smallest = of.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "c")
-    of = of.join(smallest, F.col("root") == F.col("c")).select("g", "n_links", "component_id")
-    out = every.join(of, F.col("node") == F.col("g"), "left").select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    return out.select("*", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)).alias("kept"), F.lit(recall).alias("recall"))
+    of = written(of.join(smallest, F.col("root") == F.col("c")).select("g", "n_links", "component_id"), "linked")
+    for table in (nodes, found, roots):
+        discard(table)
+    out = every.drop("packed").join(of, F.col("node") == F.col("g"), "left")
+    component = F.when(F.col("g").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    out = out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
+    return out.select("*", F.col(id_col).eqNullSafe(F.col("component_id")).alias("kept"), F.lit(recall).alias("recall"))
