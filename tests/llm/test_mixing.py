@@ -39,3 +39,28 @@ def test_mix(docs):
 
 def test_hard_rows(docs, hard):
     assert len(M.mix_sources(docs(hard)).collect()) == len(hard)
+
+
+@pytest.mark.parametrize("make", [lambda k: (None, f"a b c d e{k}"), lambda k: (7, f"a b c d e{k}"), lambda k: (7, "a b c d e"), lambda k: (None, "a b c d e"), lambda k: (k // 3, "a b c d e")])
+def test_equal_ids_and_equal_rows_meet_the_target(docs, make):
+    rows = [(*make(k), "en", "a") for k in range(1000)] + [(5000 + k, "x y z", "en", "b") for k in range(1500)]
+    table = docs(rows).repartition(7)
+    out = M.mix_sources(table, limit=10).collect()
+    assert len(out) == len(rows)
+    for source in "ab":
+        own = [r for r in out if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 5 and all(r.taken <= 2 * r["size"] for r in own)
+    assert M.repeat_documents(table, limit=10).count() == sum(r.repeats for r in out)
+
+
+def test_border_against_the_whole_order(docs):
+    """Every document before the border is in, and the cut is where the running sum says."""
+    rows = [(k, "w " * (k % 9 + 1), "en", "ab"[k % 2]) for k in range(500)]
+    one, other = (sorted(map(tuple, M.mix_sources(docs(rows), limit=limit, digits=digits).collect())) for limit, digits in ((1, 1), (10_000, 3)))
+    assert one == other
+
+
+def test_clashing_names(docs):
+    table = docs([(k, "a b", "en", "s") for k in range(10)]).selectExpr("*", "1 AS size", "2 AS key", "3 AS row", "4 AS repeats", "5 AS _size", "6 AS col", "7 AS cut", "8 AS number")
+    out = M.repeat_documents(table)
+    assert out.columns == table.columns and {(r["size"], r.key, r.row, r.repeats, r._size, r.col) for r in out.collect()} == {(1, 2, 3, 4, 5, 6)}

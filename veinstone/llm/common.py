@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     key = spark.sparkContext.applicationId
     if key not in _own:
@@ -75,13 +75,14 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
-    """A few rows as part of the plan, so that Spark knows their size before it chooses a join.
+    """A row per source or language as part of the plan, so that Spark knows their size before it chooses a join.
 
-    Rows of a Python list have no known size: a join with them shuffles the other side first. Beyond
-    some thousands of rows that is what should happen.
+    Rows of a Python list have no known size: a join with them shuffles the other side first.
     """
-    if len(rows) > 5000:
-        names = [f.name for f in spark.createDataFrame([], schema).schema.fields]
-        return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], schema)
-    packed = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")
-    return spark.range(1).select(F.explode(packed).alias("row")).select("row.*")
+    made = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")
+    return spark.range(1).select(F.explode(made).alias("row")).select("row.*")
+
+
+def packed(df: DataFrame) -> Column:
+    """All columns of `df` as one struct, so that no name of theirs can clash with an internal one."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])

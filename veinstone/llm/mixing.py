@@ -8,13 +8,14 @@ random order up to the missing number of words. The document on that border is t
 lies before the border than behind, so a source misses its target by half a document at most.
 
 Sizes are words between ASCII blanks; null and empty texts have size 0 and are taken 0 times. A null
-source is a source of its own, after all others. Rows that agree in doc_id and size are taken
-alike; ties of the random order go by doc_id and size, so that reruns agree. An empty table
-gives an empty result. Other columns of the input don't matter and can't clash.
-
-Scale: the sizes are counted once and written as a narrow table. The running sum of a source is
-two-level: over the buckets of the random order, then inside the one bucket where the repetition ends,
-so a source with a third of all rows never meets in one task. One row per source reaches the driver;
+source is a source of its own, after all others. The random order is that of md5 of the seed and doc_id
+(of the text where the id is null); ties go by size, then by a hash of the row, so that reruns agree. Of
+rows that are equal in all of these and lie on the border, as many are taken as the target wants. An empty table
+gives an empty result. Other columns of the input don't matter and can't clash. Very long texts are one row like any other.
+
+Scale: the sizes are counted once and written as a narrow table. Where a source's repetition ends is found digit by
+digit of the order's keys, from sums that every task adds up first, so neither a source with a third of
+all rows nor an id with as many meets in one task. One row per source reaches the driver;
 documents are not shuffled.
 """
 
@@ -22,10 +23,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_table, word_count, written
+from .common import discard, packed, small_table, word_count, written
 
 WEIGHTS = (5, 2, 1)
 SEED = 7
@@ -53,59 +54,83 @@ def water_fill(sizes: list[int], weights: list[float], total: float, max_epochs:
         clamped.update(above)
 
 
+def _key(seed: int) -> Column:
+    """A row's place in the random order, 64 hex digits: md5 of the seed and doc_id (of the text for a null id), the size, and a hash of the row."""
+    digits = lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))
+    drawn = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.coalesce(F.col("text"), F.lit(""))))
+    return F.concat(F.md5(F.concat(F.lit(f"{seed}:"), drawn)), digits(word_count(F.col("text"))), digits(F.xxhash64("doc_id", "text")))
+
+
 def _sized(docs: DataFrame, seed: int) -> DataFrame:
-    """docs with size and draw, the document's place in the random order."""
-    return docs.withColumn("_size", word_count(F.col("text"))).withColumn("_draw", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _key(seed).alias("key"))
+
 
+PLAN = "p_source string, source_size long, target double, whole long, fraction double, cut string, some long, among long"
 
-def _source_plan(sized: DataFrame, epochs_total: float, max_epochs: float, weight_of: Callable, bucket_digits: int) -> DataFrame:
-    """One row per source: its size, target, whole repetitions and `cut`, the last document of the fractional one."""
+
+def _source_plan(sized: DataFrame, epochs_total: float, max_epochs: float, weight_of: Callable, digits: int, limit: int) -> list[dict]:
+    """One row per source: its size, target, whole repetitions, and the end of the fractional one.
+
+    That takes all rows with a key below `cut`, and `some` of the `among` equal rows that have it. The cut is
+    found by the digits of the keys: sums of the buckets of the next `digits` digits, in the one bucket
+    where the repetition ends, until that has `limit` rows at most or its rows are equal.
+    """
     spark = sized.sparkSession
-    bucket = F.substring("_draw", 1, bucket_digits)
-    buckets = written(sized.groupBy("source", bucket.alias("bucket")).agg(F.sum("_size").alias("bucket_size")), "buckets")
-    sources = buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")).collect()
-    sources.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
-    sizes = [r.source_size for r in sources]
-    weights = [float(weight_of(k, r.source)) for k, r in enumerate(sources)]
-    targets = water_fill(sizes, weights, epochs_total * sum(sizes), max_epochs)
-    rows = [(r.source, s, t, int(t // s) if s else 0, t - s * (t // s) if s else 0.0) for r, s, t in zip(sources, sizes, targets, strict=True)]
-    names = ("p_source", "source_size", "target", "whole", "fraction")
-    plan = small_table(spark, [dict(zip(names, r, strict=True)) for r in rows], "p_source string, source_size long, target double, whole long, fraction double")
-    # The bucket of each source in which the fractional repetition ends.
-    order = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    last = (
-        buckets.withColumn("begin", F.coalesce(F.sum("bucket_size").over(order), F.lit(0)))
-        .join(plan, F.col("source").eqNullSafe(F.col("p_source")))
-        .where((F.col("begin") <= F.col("fraction")) & (F.col("fraction") < F.col("begin") + F.col("bucket_size")))
-        .select("p_source", "bucket", "begin", "fraction")
-    )
-    inside = Window.partitionBy("source").orderBy("_draw", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("begin") + F.coalesce(F.sum("_size").over(inside), F.lit(0))
-    ends = (
-        sized.withColumn("bucket", bucket)
-        .join(last.withColumnRenamed("bucket", "b"), F.col("source").eqNullSafe(F.col("p_source")) & (F.col("bucket") == F.col("b")))
+    totals = sized.groupBy("source").agg(F.sum("size").alias("size")).collect()
+    totals.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
+    targets = water_fill([r.size for r in totals], [float(weight_of(k, r.source)) for k, r in enumerate(totals)], epochs_total * sum(r.size for r in totals), max_epochs)
+    plan = []
+    for r, target in zip(totals, targets, strict=True):
+        whole = int(target // r.size) if r.size else 0
+        plan.append({"p_source": r.source, "source_size": r.size, "target": target, "whole": whole, "fraction": target - r.size * whole, "cut": "", "some": 0, "among": 0})
+    by_source = {row["p_source"]: row for row in plan}
+    ends = [{"p_source": row["p_source"], "prefix": "", "begin": 0, "fraction": row["fraction"]} for row in plan if row["source_size"]]
+    last = []
+    for length in range(digits, 64 + digits, digits):
+        if not ends:
+            break
+        state = small_table(spark, ends, "p_source string, prefix string, begin long, fraction double")
+        inside = sized.join(state, F.col("source").eqNullSafe(F.col("p_source")) & F.col("key").startswith(F.col("prefix")))
+        buckets = inside.groupBy("p_source", "begin", "fraction", F.substring("key", 1, length).alias("prefix")).agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+        before = Window.partitionBy("p_source").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
+        buckets = buckets.withColumn("begin", F.col("begin") + F.coalesce(F.sum("size").over(before), F.lit(0)))
+        found = buckets.where((F.col("begin") <= F.col("fraction")) & (F.col("fraction") < F.col("begin") + F.col("size"))).collect()
+        ends = []
+        for r in found:
+            row = {"p_source": r.p_source, "prefix": r.prefix, "begin": r.begin, "fraction": r.fraction}
+            (last if r.n <= limit or length >= 64 else ends).append(row)
+    if last:
+        state = small_table(spark, last, "p_source string, prefix string, begin long, fraction double")
+        inside = sized.join(state, F.col("source").eqNullSafe(F.col("p_source")) & F.col("key").startswith(F.col("prefix")))
+        equal = inside.groupBy("p_source", "prefix", "begin", "fraction", "key").agg(F.max("size").alias("size"), F.count("*").alias("n"))
+        before = Window.partitionBy("p_source").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+        begin = F.col("begin") + F.coalesce(F.sum(F.col("size") * F.col("n")).over(before), F.lit(0))
         # A document on the border is taken if more of it lies before the border than behind.
-        .withColumn("more", before + F.col("_size") / 2.0 <= F.col("fraction"))
-        .groupBy("source", "bucket")
-        .agg(F.max(F.when(F.col("more"), F.struct("_draw", "doc_id", "_size"))).alias("cut"))
-        .collect()
-    )
-    cut = {r.source: (r.bucket, r.cut) for r in ends}
-    final = []
-    for row in rows:
-        in_bucket, at = cut.get(row[0], (None, None))
-        # Without a document of its last bucket, the repetition ends before that bucket.
-        parts = (in_bucket, None, None) if at is None else tuple(at)
-        final.append(dict(zip(names[:4], row[:4], strict=True)) | {"cut": None if in_bucket is None else dict(zip(("_draw", "doc_id", "_size"), parts, strict=True))})
-    return small_table(spark, final, "p_source string, source_size long, target double, whole long, cut struct<_draw:string,doc_id:long,_size:long>")
-
-
-def _with_repeats(sized: DataFrame, plan: DataFrame) -> DataFrame:
-    """Each row of `sized` with its source's plan and its repetitions; one small join, no shuffle of documents."""
-    own = plan.select(F.col("p_source").alias("_p_source"), F.struct("source_size", "target", "whole", "cut").alias("_plan"))
-    more = F.coalesce(F.struct("_draw", "doc_id", "_size") <= F.col("_plan.cut"), F.lit(False))
-    joined = sized.join(own, F.col("source").eqNullSafe(F.col("_p_source")))
-    return joined.withColumn("_repeats", F.when(F.col("_size") > 0, F.col("_plan.whole") + more.cast("long")).otherwise(F.lit(0).cast("long")))
+        some = F.greatest(F.lit(0), F.least(F.col("n"), F.floor(F.try_divide(F.col("fraction") - begin, F.col("size")) + 0.5)))
+        cuts = equal.withColumn("some", F.coalesce(some, F.lit(0))).groupBy("p_source", "prefix").agg(F.max(F.when(F.col("some") > 0, F.struct("key", "some", "n"))).alias("cut")).collect()
+        for r in cuts:
+            # Without a document of its last bucket, the repetition ends before that bucket.
+            by_source[r.p_source] |= {"cut": r.prefix, "some": 0, "among": 0} if r.cut is None else {"cut": r.cut.key, "some": r.cut.some, "among": r.cut.n}
+    return plan
+
+
+def _with_repeats(rows: DataFrame, plan: list[dict]) -> DataFrame:
+    """`rows` (source, size, key and others) with their source's plan and their `repeats`; no shuffle but of equal rows at a cut."""
+    own = small_table(rows.sparkSession, plan, PLAN)
+    joined = rows.join(own, F.col("source").eqNullSafe(F.col("p_source")))
+    tied = (F.col("key") == F.col("cut")) & (F.col("some") < F.col("among")) & (F.col("size") > 0)
+    repeats = F.when(F.col("size") > 0, F.col("whole") + ((F.col("key") < F.col("cut")) | ((F.col("key") == F.col("cut")) & (F.col("some") > 0))).cast("long")).otherwise(F.lit(0).cast("long"))
+    if not any(0 < row["some"] < row["among"] for row in plan):
+        return joined.withColumn("repeats", repeats)
+    # Equal rows are told apart by numbers that stay, as the rows are written with them; each partition is dealt its part.
+    numbered = written(joined.where(tied).withColumn("number", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id()), "tied")
+    counts = numbered.groupBy("p_source", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("p_source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col("p_source").alias("c_source"), F.col("part").alias("c_part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    place = F.row_number().over(Window.partitionBy("p_source", "part").orderBy("number"))
+    dealt = numbered.withColumn("place", place).join(counts, F.col("p_source").eqNullSafe(F.col("c_source")) & (F.col("part") == F.col("c_part")))
+    dealt = dealt.withColumn("repeats", F.col("whole") + (F.col("earlier") + F.col("place") <= F.col("some")).cast("long"))
+    return joined.where(~tied).withColumn("repeats", repeats).unionByName(dealt.select(*joined.columns, "repeats"))
 
 
 def mix_sources(
@@ -114,16 +139,16 @@ def mix_sources(
     max_epochs: float = 2.0,
     weight_of: Callable[[int, str | None], float] = by_rank,
     seed: int = SEED,
-    bucket_digits: int = 3,
+    digits: int = 3,
+    limit: int = 10_000,
 ) -> DataFrame:
     """doc_id, source, size, source_size, target (of the source), repeats and taken of every document.
 
     `weight_of` gets the place of a source in code-point order, null last, and the source.
-    The random order is that of md5("seed:doc_id"); its first `bucket_digits` hex digits name the bucket.
     """
-    sized = written(_sized(docs.select("doc_id", "source", "text"), seed).drop("text"), "sizes")
-    out = _with_repeats(sized, _source_plan(sized, epochs_total, max_epochs, weight_of, bucket_digits))
-    return out.select("doc_id", "source", F.col("_size").alias("size"), "_plan.source_size", "_plan.target", F.col("_repeats").alias("repeats"), (F.col("_repeats") * F.col("_size")).alias("taken"))
+    sized = written(_sized(docs.select("doc_id", "source", "text"), seed), "sizes")
+    out = _with_repeats(sized, _source_plan(sized, epochs_total, max_epochs, weight_of, digits, limit))
+    return out.select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"))
 
 
 def repeat_documents(
@@ -132,10 +157,13 @@ def repeat_documents(
     max_epochs: float = 2.0,
     weight_of: Callable[[int, str | None], float] = by_rank,
     seed: int = SEED,
-    bucket_digits: int = 3,
+    digits: int = 3,
+    limit: int = 10_000,
 ) -> DataFrame:
-    """The mix itself: every row of `docs` as often as the mix takes it, all columns kept."""
-    sized = written(_sized(docs.select("doc_id", "source", "text"), seed).drop("text"), "sizes")
-    plan = _source_plan(sized, epochs_total, max_epochs, weight_of, bucket_digits)
-    out = _with_repeats(_sized(docs, seed), plan).where("_repeats > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_repeats").cast("int")))).select(*docs.columns)
+    """The mix itself: every row of `docs` as often as the mix takes it, all columns kept, whatever their names."""
+    sized = written(_sized(docs.select("doc_id", "source", "text"), seed), "sizes")
+    plan = _source_plan(sized, epochs_total, max_epochs, weight_of, digits, limit)
+    discard(sized)
+    rows = docs.select("source", word_count(F.col("text")).alias("size"), _key(seed).alias("key"), packed(docs).alias("row"))
+    out = _with_repeats(rows, plan).where("repeats > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select("row.*")

@@ -91,7 +91,7 @@ def oracle_sql() -> dict[str, str]:
 OP1_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS draw
+         md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || coalesce(text, ''))) AS draw
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS source_size FROM sized GROUP BY source),
 w AS (
