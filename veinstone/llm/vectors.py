@@ -53,31 +53,39 @@ def unit(batch: np.ndarray) -> np.ndarray:
     return batch / np.sqrt((batch * batch).sum(axis=1, keepdims=True))
 
 
-def robust_prune(similar: np.ndarray, degree: int, alpha: float, pool: int) -> np.ndarray:
-    """Neighbours of each node of a shard (n x degree, filled up with the node itself)."""
+def robust_prune(similar: np.ndarray, candidates: np.ndarray, degree: int, alpha: float) -> np.ndarray:
+    """Neighbours of each node out of its candidates (n x degree, filled up with the node itself)."""
     n = len(similar)
-    pool = min(pool, n - 1)
-    distance = 2.0 - 2.0 * similar
-    np.fill_diagonal(distance, np.inf)
-    near = np.argpartition(distance, pool - 1, axis=1)[:, :pool] if pool < n - 1 else np.argsort(distance, axis=1)[:, :pool]
-    near = np.take_along_axis(near, np.argsort(np.take_along_axis(distance, near, axis=1), axis=1, kind="stable"), axis=1)
-    own = np.take_along_axis(distance, near, axis=1)
-    alive, rows = np.ones((n, pool), bool), np.arange(n)
-    out = np.tile(rows[:, None], (1, degree))
-    for k in range(min(degree, pool)):
+    rows, distance = np.arange(n), 2.0 - 2.0 * similar
+    own = np.where(candidates == rows[:, None], np.inf, np.take_along_axis(distance, candidates, axis=1))
+    order = np.argsort(own, axis=1, kind="stable")
+    candidates, own = np.take_along_axis(candidates, order, axis=1), np.take_along_axis(own, order, axis=1)
+    alive, out = own < np.inf, np.tile(rows[:, None], (1, degree))
+    for k in range(degree):
         pick = alive.argmax(axis=1)
         some = alive[rows, pick]
-        best = near[rows, pick]
+        if not some.any():
+            break
+        best = candidates[rows, pick]
         out[some, k] = best[some]
         # What the kept neighbour is nearer to, by alpha, is reached through it.
-        alive &= alpha * distance[best[:, None], near] > own
+        alive &= alpha * distance[best[:, None], candidates] > own
         alive[rows, pick] = False
-        if not alive.any():
-            break
     return out
 
 
-def search_shard(queries: np.ndarray, vectors: np.ndarray, graph: np.ndarray, threshold: float, slack: float = SLACK, beam: int = 8, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def graph_of(vectors: np.ndarray, degree: int, far: int, pool: int, alpha: float) -> np.ndarray:
+    """The lists of a shard: `degree` pruned out of the `pool` nearest nodes, and `far` out of as many at random, without which a
+    tight group larger than the pool would have no way out, nor the medoid one that lies in it."""
+    n = len(vectors)
+    similar = vectors @ vectors.T
+    pool = min(pool, n)
+    near = np.argpartition(-similar, pool - 1, axis=1)[:, :pool] if pool < n else np.tile(np.arange(n), (n, 1))
+    some = np.random.default_rng(0).integers(0, n, (n, pool))
+    return np.concatenate([robust_prune(similar, near, degree, alpha), robust_prune(similar, some, far, 1.0)], axis=1)
+
+
+def search_shard(queries: np.ndarray, vectors: np.ndarray, graph: np.ndarray, threshold: float, slack: float = SLACK, beam: int = 12, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(query, node) of similarity `threshold` or more that the searches find, each pair once.
 
     `graph` has the neighbours of each node, filled up with itself. `whole` takes the shard as one block at once.
@@ -90,7 +98,8 @@ def search_shard(queries: np.ndarray, vectors: np.ndarray, graph: np.ndarray, th
         q, to = _expand(own.astype(np.float32), rough, graph, medoid, threshold, slack, beam) if not whole else (np.empty(0, np.int64),) * 2
         dense = np.flatnonzero(np.bincount(q, minlength=len(own)) * 8 > n) if not whole else np.arange(len(own))
         sparse = ~np.isin(q, dense)
-        q, to = q[sparse], to[sparse]
+        code = np.unique(q[sparse] * n + to[sparse])
+        q, to = code // n, code % n
         exact = np.einsum("kd,kd->k", own[q], vectors[to]) >= threshold
         found.append((q[exact] + begin, to[exact]))
         for k in range(0, len(dense), 256):
@@ -116,11 +125,11 @@ def _expand(queries: np.ndarray, vectors: np.ndarray, graph: np.ndarray, medoid:
         at = np.where(open_[live], near[live], -np.inf).argmax(axis=1)
         open_[live, at] = False
         around = graph[nodes[live, at]]
-        new = ~seen[live[:, None], around]
+        # A list names no neighbour twice, and the node itself, which fills it up, has been seen.
+        old = seen[live[:, None], around]
         seen[live[:, None], around] = True
-        likeness = np.einsum("qd,qkd->qk", queries[live], vectors[around])
-        # A list may name one neighbour twice; the second is no news.
-        likeness[~new | _repeated(around)] = -np.inf
+        likeness = np.matmul(vectors[around], queries[live][:, :, None])[:, :, 0]
+        likeness[old] = -np.inf
         wide = likeness >= threshold - slack
         a, b = np.nonzero(wide)
         kept_q.append(live[a])
@@ -164,15 +173,6 @@ def _expand(queries: np.ndarray, vectors: np.ndarray, graph: np.ndarray, medoid:
     return q[close], to[close]
 
 
-def _repeated(lists: np.ndarray) -> np.ndarray:
-    """Where a row names a value that stands further left in it."""
-    order = np.argsort(lists, axis=1, kind="stable")
-    ranked = np.take_along_axis(lists, order, axis=1)
-    again = np.zeros(lists.shape, bool)
-    np.put_along_axis(again, order[:, 1:], ranked[:, 1:] == ranked[:, :-1], axis=1)
-    return again
-
-
 def centroids(sample: np.ndarray, k: int, rounds: int = 6, seed: int = 3) -> np.ndarray:
     """Spherical k-means; `sample` has unit rows."""
     rng = np.random.default_rng(seed)
@@ -187,12 +187,13 @@ def centroids(sample: np.ndarray, k: int, rounds: int = 6, seed: int = 3) -> np.
 
 
 class Settings(NamedTuple):
-    """Neighbours of a node, pruning factor and candidates; nodes aimed at and allowed in a shard, searches in a
+    """Near and far neighbours of a node, pruning factor and candidates; nodes aimed at and allowed in a shard, searches in a
     task; bounds of the k-means; vectors audited, shards of each node, first reach and the recall aimed at."""
 
-    degree: int = 32
+    degree: int = 18
+    far: int = 6
     alpha: float = 1.44  # of squared distances
-    pool: int = 96
+    pool: int = 54
     shard_rows: int = 1000
     shard_limit: int = 4000
     chunk_rows: int = 20_000
@@ -200,7 +201,7 @@ class Settings(NamedTuple):
     sample_per_centroid: int = 40
     audited: int = 500
     overlap: int = 2
-    reach: float = 0.1
+    reach: float = 0.05
     aim: float = 0.97
 
 
@@ -233,14 +234,17 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dims)
 
 
+HOME, NODE, SEARCH = 4, 2, 1
+
+
 def _visits(likeness: np.ndarray, reach: float, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, centroid, place) of the centroids to visit: place 0 is the nearest, 1 the others of the `overlap` nearest, 2 those in reach of the nearest."""
+    """(row, centroid, place) of the centroids to visit. Place has bits: HOME for the nearest, NODE for the `overlap` nearest, SEARCH for those in reach of the nearest."""
     k = min(overlap, likeness.shape[1])
     nearest = np.argpartition(-likeness, k - 1, axis=1)[:, :k]
-    place = np.where(likeness >= likeness.max(axis=1, keepdims=True) - reach, 2, 3)
-    np.put_along_axis(place, nearest, 1, axis=1)
-    place[np.arange(len(place)), likeness.argmax(axis=1)] = 0
-    row, at = np.nonzero(place < 3)
+    place = np.where(likeness >= likeness.max(axis=1, keepdims=True) - reach, SEARCH, 0)
+    np.put_along_axis(place, nearest, np.take_along_axis(place, nearest, axis=1) | NODE, axis=1)
+    place[np.arange(len(place)), likeness.argmax(axis=1)] = HOME | NODE | SEARCH
+    row, at = np.nonzero(place)
     return row, at, place[row, at]
 
 
@@ -331,10 +335,10 @@ def _second(visits: DataFrame, cells: DataFrame, reach: float, overlap: int) ->
                     some = part.slice(k, 2048)
                     above = place[begin + k : begin + k + some.num_rows]
                     if matrix is None:
-                        row, at, own_place = np.arange(some.num_rows), np.zeros(some.num_rows, np.int64), np.zeros(some.num_rows, np.int64)
+                        row, at, own_place = np.arange(some.num_rows), np.zeros(some.num_rows, np.int64), np.full(some.num_rows, HOME | NODE | SEARCH)
                     else:
                         row, at, own_place = _visits(_matrix(some.column(3), int(own[0])) @ matrix.T, reach, overlap)
-                    yield _routed(some, row, own[1] * (1 << 20) + at, np.maximum(above[row], own_place))
+                    yield _routed(some, row, own[1] * (1 << 20) + at, above[row] & own_place)
 
     return dealt.select("dims", "shard", "place", "node", "copies", "packed", "salt").mapInArrow(assign, VISIT)
 
@@ -347,16 +351,16 @@ def _tasks(visits: DataFrame, s: Settings) -> DataFrame:
 
     A shard has one sub unless it has more than shard_limit nodes, and one chunk of searches unless more than chunk_rows visit it.
     """
+    node, search = F.col("place").bitwiseAND(NODE) > 0, F.col("place").bitwiseAND(SEARCH) > 0
     over = lambda n, limit: F.ceil(n / limit).cast("long")
-    sizes = visits.groupBy("dims", "shard").agg(F.count("*").alias("v"), F.count_if(F.col("place") < 2).alias("i"))
+    sizes = visits.groupBy("dims", "shard").agg(F.count("*").alias("v"), F.count_if(node).alias("i"))
     sizes = sizes.select(F.col("dims").alias("d"), F.col("shard").alias("s"), F.greatest(over(F.col("i"), s.shard_limit), F.lit(1).cast("long")).alias("subs"), over(F.col("v"), s.chunk_rows).alias("chunks"))
     each = visits.join(sizes, (F.col("dims") == F.col("d")) & (F.col("shard") == F.col("s")))
     each = each.withColumn("own_sub", F.pmod(F.xxhash64("node", F.lit(2)), F.col("subs"))).withColumn("own_chunk", F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks")))
-    node = F.col("place") < 2
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-    searches = F.transform(upto(F.col("subs")), lambda o: F.struct(o.alias("sub"), F.col("own_chunk").alias("chunk"), ((o == F.col("own_sub")) & node).alias("index"), F.lit(True).alias("query")))
+    searches = F.transform(upto(F.col("subs")), lambda o: F.struct(o.alias("sub"), F.col("own_chunk").alias("chunk"), ((o == F.col("own_sub")) & node).alias("index"), search.alias("query")))
     others = F.transform(F.filter(upto(F.col("chunks")), lambda c: node & (c != F.col("own_chunk"))), lambda c: F.struct(F.col("own_sub").alias("sub"), c.alias("chunk"), F.lit(True).alias("index"), F.lit(False).alias("query")))
-    return each.withColumn("task", F.explode(F.concat(searches, others))).select("dims", "shard", "task.sub", "task.chunk", "chunks", "task.index", "task.query", "place", "node", "copies", "packed")
+    return each.withColumn("task", F.explode(F.filter(F.concat(searches, others), lambda t: t.index | t.query))).select("dims", "shard", "task.sub", "task.chunk", "chunks", "task.index", "task.query", "place", "node", "copies", "packed")
 
 
 def _build(table: pa.Table, s: Settings) -> pa.Table:
@@ -364,7 +368,7 @@ def _build(table: pa.Table, s: Settings) -> pa.Table:
     dims, shard, sub, chunks = (table.column(c)[0].as_py() for c in ("dims", "shard", "sub", "chunks"))
     vectors, node = _matrix(table.column("packed"), dims), table.column("node").to_numpy()
     n = len(node)
-    near = node[robust_prune(vectors @ vectors.T, s.degree, s.alpha, s.pool)] if n > 1 else np.empty((1, 0), np.int64)
+    near = node[graph_of(vectors, s.degree, s.far, s.pool, s.alpha)] if n > 1 else np.empty((1, 0), np.int64)
     key = [pa.array([x] * n, t) for x, t in ((dims, pa.int32()), (shard, pa.int64()), (sub, pa.int64()), (chunks, pa.int64()))]
     return pa.table([pa.array(node), pa.array(list(near), pa.list_(pa.int64())), *key], names=["n", "near", "dims", "shard", "sub", "chunks"])
 
@@ -390,10 +394,13 @@ def _search(table: pa.Table, lists: pa.Table, threshold: float, whole: bool) ->
         to = order[np.minimum(np.searchsorted(nodes[order], wanted), len(nodes) - 1)]
         inside = nodes[to] == wanted
         graph[row[inside], column[inside]] = to[inside]
+        # Neighbours that are not in this shard leave gaps, which go to the end and are cut off.
+        graph = np.take_along_axis(graph, np.argsort(graph == np.arange(len(nodes))[:, None], axis=1, kind="stable"), axis=1)
+        graph = graph[:, : max(1, int((graph != np.arange(len(nodes))[:, None]).sum(axis=1).max()))]
     q, to = search_shard(every[query], every[index], graph, threshold, whole=whole)
     asked = node[query]
     # A vector is found in its nearest shard only, and not by itself.
-    own = (place[index][to] == 0) & (asked[q] != nodes[to])
+    own = (place[index][to] >= HOME) & (asked[q] != nodes[to])
     q, to = q[own], to[own]
     partners = np.bincount(q, copies[index][to], len(asked))
     some = np.flatnonzero(partners)
@@ -410,7 +417,7 @@ def _graph_links(nodes: DataFrame, threshold: float, cells: Cells, reach: float,
         visits = _second(visits, cells.second, reach, s.overlap)
     visits = written(visits, "visits")
     tasks = _tasks(visits, s)
-    built = tasks.where("index AND chunk = 0").groupBy("dims", "shard", "sub").applyInArrow(lambda t: _build(t, s), "n long, near array<long>, dims int, shard long, sub long, chunks long")
+    built = tasks.where((F.col("index")) & (F.col("chunk") == F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks")))).groupBy("dims", "shard", "sub").applyInArrow(lambda t: _build(t, s), "n long, near array<long>, dims int, shard long, sub long, chunks long")
     shards = F.collect_list(F.struct("dims", "shard", "sub", "chunks"))
     united = built.groupBy("n").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), shards.alias("ts")).select("n", "near", F.explode("ts").alias("t"))
     lists = united.select("n", "near", "t.dims", "t.shard", "t.sub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("t.chunks") - 1)).alias("chunk"))
@@ -463,7 +470,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
         if recall >= s.aim:
             break
         discard(found)
-        reach = 2.0 if reach >= 0.4 else reach * 2
+        reach = 2.0 if reach >= 0.3 else reach * 2
     roots = written(connected_components(found.where("kind = 0").select("u", "v")), "components").withColumnRenamed("node", "r")
     of = nodes.join(partners, F.col("node") == F.col("w"), "left").join(roots, F.col("node") == F.col("r"), "left")
     of = of.select(F.col("node").alias("g"), "first", (F.col("copies") - 1 + F.coalesce("partners", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root"))
