@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,19 +48,21 @@ def faults(v: Column, dims: int, tolerance: float = 1e-3) -> Column:
     )
 
 
-def hash_embedding(text: Column, dims: int = 8, limit: int = 200) -> Column:
-    """A deterministic stand-in for a model: characters add (code mod 97) / 97 to the bucket of their place."""
-    value = lambda c: F.coalesce(F.ascii(c) % 97 / 97, F.lit(0.0))
-    bucket = lambda c, d: F.aggregate(F.when(d < F.size(c), F.sequence(d, F.size(c) - 1, F.lit(dims))).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda s, i: s + value(F.get(c, i)))
-    # The characters are split once, as the only element of an array that a lambda binds.
-    chars = F.array(F.split(F.substring(text, 1, limit), ""))
-    return F.get(F.transform(chars, lambda c: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: bucket(c, d))), F.lit(0))
+def hash_embedding(text: Column, dims: int = 8) -> Column:
+    """A deterministic stand-in for a model, over whole texts: characters add (code mod 97) / 97 to the bucket of their place."""
+
+    def made(texts: pd.Series) -> pd.Series:
+        codes = (np.frombuffer((t or "").encode("utf-32-le", "replace"), np.uint32) % 97 / 97 for t in texts)
+        return pd.Series([np.bincount(np.arange(len(c)) % dims, c, dims).astype(np.float64) for c in codes])
+
+    return F.pandas_udf(made, "array<double>")(text)
 
 
 def score_batches(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int, id_col: str, vector_col: str, scope_col: str | None = None) -> DataFrame:
     """query_id, id, score (and scope): of each batch of rows the k best for each query, by matrix products.
 
-    What leaves a batch is bounded by k for each query, so the ranked window behind it is small.
+    What leaves a batch is bounded by k for each query, so the ranked window behind it is small. Vectors that
+    are null, of another dimension than the queries, or hold a null take no part.
     """
     names = [id_col, vector_col] + ([scope_col] if scope_col else [])
     ids = np.array([q for q, _ in queries], np.int64)
@@ -79,6 +82,7 @@ def score_batches(vectors: DataFrame, queries: list[tuple[int, list[float]]], k:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), query)), own.take(pa.array(best)), pa.array(scores[best, j])], names=["query_id", "id", "score"])
 
     kind = vectors.schema[id_col].dataType.simpleString()
+    vectors = vectors.where((F.size(vector_col) == matrix.shape[1]) & ~F.exists(vector_col, lambda x: x.isNull())) if len(ids) else vectors
     return vectors.select(*names).mapInArrow(run, f"query_id long, id {kind}, score double")
 
 

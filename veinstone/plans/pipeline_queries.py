@@ -17,8 +17,8 @@ from .settings import Retrieval, Settings
 registry = Registry()
 query = registry.query
 
-TEXTS = Inline("id long, text string", [(1, "第一句。第二句！还有……完"), (2, "See Fig. 3 for details. It works."), (3, "Pi is 3.14 here. J. Smith et al. agree! \"Yes.\" he said. No?"), (4, "e.g. this one. next goes on. Next ends"), (5, ""), (6, "中文。English follows. 再来")])
-_SENTENCES = Inline("id long, k int, sentence string", [(1, 0, "第一句。"), (1, 1, "第二句！"), (1, 2, "还有……"), (1, 3, "完"), (2, 0, "See Fig. 3 for details."), (2, 1, "It works."), (3, 0, "Pi is 3.14 here."), (3, 1, "J. Smith et al. agree!"), (3, 2, '"Yes." he said.'), (3, 3, "No?"), (4, 0, "e.g. this one. next goes on."), (4, 1, "Next ends"), (6, 0, "中文。"), (6, 1, "English follows."), (6, 2, "再来")])
+TEXTS = Inline("id long, text string", [(1, "雨停了。天晴了！后来……完"), (2, "Compare Fig. 7 with this. Both agree."), (3, "Rain fell 2.75 mm. K. Brandt et al. agree! \"Yes.\" he said. No?"), (4, "e.g. this one. next goes on. Next ends"), (5, ""), (6, "中文。English follows. 再来")])
+_SENTENCES = Inline("id long, k int, sentence string", [(1, 0, "雨停了。"), (1, 1, "天晴了！"), (1, 2, "后来……"), (1, 3, "完"), (2, 0, "Compare Fig. 7 with this."), (2, 1, "Both agree."), (3, 0, "Rain fell 2.75 mm."), (3, 1, "K. Brandt et al. agree!"), (3, 2, '"Yes." he said.'), (3, 3, "No?"), (4, 0, "e.g. this one. next goes on."), (4, 1, "Next ends"), (6, 0, "中文。"), (6, 1, "English follows."), (6, 2, "再来")])
 
 
 @query("sentence_cases", f"SELECT CAST(id AS BIGINT) AS id, CAST(k AS INT) AS k, sentence FROM {_SENTENCES.values}")

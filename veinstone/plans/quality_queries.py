@@ -55,8 +55,8 @@ def retraction_flag(spark, sf):
 
 
 @query("title_match", r"""
-WITH t AS (SELECT doc_id AS id, list_distinct(list_filter(regexp_extract_all(lower(string_split(text, chr(10))[1]), '[\p{L}\p{N}]+'), lambda x: length(x) > 2 AND NOT list_contains(""" + str(metadata.text.TITLE_STOP) + r""", x))) AS a FROM documents),
-b AS (SELECT item_id AS candidate, list_distinct(list_filter(regexp_extract_all(lower(string_split(text, chr(10))[1]), '[\p{L}\p{N}]+'), lambda x: length(x) > 2 AND NOT list_contains(""" + str(metadata.text.TITLE_STOP) + r""", x))) AS b FROM benchmark),
+WITH t AS (SELECT doc_id AS id, list_distinct(list_filter(regexp_extract_all(lower(string_split(text, chr(10))[1]), '[\p{L}\p{N}]+'), lambda x: length(x) > 2 AND NOT list_contains(""" + str(list(metadata.text.TITLE_STOP)) + r""", x))) AS a FROM documents),
+b AS (SELECT item_id AS candidate, list_distinct(list_filter(regexp_extract_all(lower(string_split(text, chr(10))[1]), '[\p{L}\p{N}]+'), lambda x: length(x) > 2 AND NOT list_contains(""" + str(list(metadata.text.TITLE_STOP)) + r""", x))) AS b FROM benchmark),
 s AS (SELECT id, candidate, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE, 6) AS similarity FROM t, b WHERE len(a) > 0 AND len(b) > 0)
 SELECT id, candidate, similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, candidate) AS n FROM s WHERE similarity >= 0.8) WHERE n = 1""")
 def title_match(spark, sf):

@@ -40,7 +40,12 @@ def l2_normalize(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", v.alias("v")).select("vec_id", F.round(dense.dot(F.col("v"), F.col("v")), 9).alias("norm"), F.round(F.get("v", F.lit(0)), 9).alias("first"), F.round(F.get("v", F.lit(1)), 9).alias("second"))
 
 
-@query("hash_embed", "SELECT doc_id, list_transform(range(0, 8), lambda d: round(coalesce(list_sum(list_transform(list_filter(range(0, length(t)), lambda i: i % 8 = d), lambda i: (unicode(substr(t, CAST(i + 1 AS INT), 1)) % 97) / 97.0::DOUBLE)), 0), 9)) AS embedding FROM (SELECT doc_id, substr(text, 1, 200) AS t FROM documents)")
+# The values of a whole text's characters, and their sums by place.
+_VALUES = "list_transform(string_split({t}, ''), lambda c: (unicode(c) % 97) / 97.0::DOUBLE)"
+_SUMS = "list_transform(range(0, 8), lambda d: coalesce(list_sum(list_slice({v}, d + 1, len({v}), 8)), 0))"
+
+
+@query("hash_embed", f"SELECT doc_id, list_transform({_SUMS.format(v='v')}, lambda x: round(x, 9)) AS embedding FROM (SELECT doc_id, {_VALUES.format(t='text')} AS v FROM documents)")
 def hash_embed(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.transform(dense.hash_embedding(F.col("text")), lambda x: F.round(x, 9)).alias("embedding"))
 
@@ -160,9 +165,9 @@ def rrf_fusion(spark, sf):
     return fusion.reciprocal_rank([routes.where("route = 'a'"), routes.where("route = 'b'")])
 
 
-_EMBED = "list_transform(range(0, 8), lambda d: coalesce(list_sum(list_transform(list_filter(range(0, length({t})), lambda i: i % 8 = d), lambda i: (unicode(substr({t}, CAST(i + 1 AS INT), 1)) % 97) / 97.0::DOUBLE)), 0))"
 _DENSE_TEXT = f"""SELECT q.query_id, d.id, round({_DOT.format(a='q.v', b='d.v')} / (sqrt({_DOT.format(a='q.v', b='q.v')}) * sqrt({_DOT.format(a='d.v', b='d.v')})), 6) AS score
-FROM (SELECT query_id, {_EMBED.format(t='query')} AS v FROM {QUERIES.values} WHERE query <> '') q, (SELECT doc_id AS id, {_EMBED.format(t='substr(text, 1, 200)')} AS v FROM documents) d"""
+FROM (SELECT query_id, {_SUMS.format(v='x')} AS v FROM (SELECT query_id, {_VALUES.format(t='query')} AS x FROM {QUERIES.values} WHERE query <> '')) q,
+(SELECT id, {_SUMS.format(v='x')} AS v FROM (SELECT doc_id AS id, {_VALUES.format(t='text')} AS x FROM documents)) d"""
 
 
 def _dense_text(spark, sf):

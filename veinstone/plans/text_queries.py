@@ -154,8 +154,8 @@ def split_authors(spark, sf):
     return AUTHORS.df(spark).select("id", F.array_join(text.split_authors(F.col("authors")), "|").alias("names"), F.lit(0).cast("long").alias("zero"))
 
 
-LINES = Inline("id long, line string, next_blank boolean", [(1, "## Method", False), (2, "# Title #", False), (3, "2.1 Retrieval", False), (4, "3 samples were used", False), (5, "IV. Results", False), (6, "A) Proofs", False), (7, "第三章 方法", False), (8, "二、实验", False), (9, "INTRODUCTION", True), (10, "INTRODUCTION", False), (11, "1. This ends with a stop.", False), (12, "plain text here", True), (13, "", True), (14, "x" * 130, True), (15, "3.4.1 Deep Level", False), (16, "1) first, second,", False)])
-_HEAD_OUT = Inline("id long, level int, title string", [(1, 2, "Method"), (2, 1, "Title"), (3, 2, "2.1 Retrieval"), (4, None, None), (5, 1, "IV. Results"), (6, 1, "A) Proofs"), (7, 1, "第三章 方法"), (8, 1, "二、实验"), (9, 1, "INTRODUCTION"), (10, None, None), (11, None, None), (12, None, None), (13, None, None), (14, None, None), (15, 3, "3.4.1 Deep Level"), (16, None, None)])
+LINES = Inline("id long, line string, next_blank boolean", [(1, "## Method", False), (2, "# Title #", False), (3, "4.2 Sampling", False), (4, "3 samples were used", False), (5, "IV. Results", False), (6, "A) Proofs", False), (7, "第三章 方法", False), (8, "二、实验", False), (9, "INTRODUCTION", True), (10, "INTRODUCTION", False), (11, "1. This ends with a stop.", False), (12, "plain text here", True), (13, "", True), (14, "x" * 130, True), (15, "3.4.1 Deep Level", False), (16, "1) first, second,", False)])
+_HEAD_OUT = Inline("id long, level int, title string", [(1, 2, "Method"), (2, 1, "Title"), (3, 2, "4.2 Sampling"), (4, None, None), (5, 1, "IV. Results"), (6, 1, "A) Proofs"), (7, 1, "第三章 方法"), (8, 1, "二、实验"), (9, 1, "INTRODUCTION"), (10, None, None), (11, None, None), (12, None, None), (13, None, None), (14, None, None), (15, 3, "3.4.1 Deep Level"), (16, None, None)])
 
 
 @query("headings", f"SELECT CAST(id AS BIGINT) AS id, CAST(level AS INT) AS level, title FROM {_HEAD_OUT.values}")
@@ -192,9 +192,9 @@ def page_label(spark, sf):
 SOURCES = Inline(
     "id long, title string, authors array<string>, year int, doi string, venue string, oa_url string, retracted boolean",
     [
-        (1, "Attention Is All You Need", ["Ashish Vaswani", "Noam Shazeer"], 2017, "10.1/a", "NeurIPS & Friends", None, False),
-        (2, "A Survey of RAG", ["Gao, Yunfan"], 2023, None, None, "https://x.org/a_b", False),
-        (3, "大规模语言模型综述", ["赵 鑫"], None, None, "软件学报", None, True),
+        (1, "Rivers Carry More Than Water", ["Mira Okafor", "Jon Lindqvist"], 2017, "10.1/a", "Hydrology & Friends", None, False),
+        (2, "A Census of MOSS", ["Ferro, Iris"], 2023, None, None, "https://x.org/a_b", False),
+        (3, "高原湖泊水质变化", ["林 远"], None, None, "湖泊科学", None, True),
         (4, "of the", [], 1999, None, None, None, False),
         (5, "Costs 50% {less} ~ #1", ["O'Neil-Smith"], 2020, "10.2/b_c", "J^2", "u", False),
     ],
@@ -227,8 +227,8 @@ def bibtex(spark, sf):
 
 
 _UNESCAPED = "html"
-for _e, _c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
-    _UNESCAPED = f"replace({_UNESCAPED}, '{_e}', '{_c}')"
+for _e, _c in (("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;", "''"), ("&middot;?", "·"), ("&copy;?", "©"), ("&amp;?", "&")):
+    _UNESCAPED = f"regexp_replace({_UNESCAPED}, '{_e}', '{_c}', 'g')"
 
 
 @query("strip_markup", f"SELECT page_id, nullif({_tidy(f'regexp_replace({_UNESCAPED}, {chr(39)}</?[A-Za-z][^<>]*>{chr(39)}, {chr(39)} {chr(39)}, {chr(39)}g{chr(39)})')}, '') AS text FROM pages")
@@ -236,7 +236,7 @@ def strip_markup(spark, sf):
     return spread(table(spark, sf, "pages")).select("page_id", text.strip_markup(F.col("html")).alias("text"))
 
 
-TITLES = Inline("id long, a string, b string", [(1, "Attention is all you need", "You need ATTENTION all"), (2, "Deep Learning for the Web", "Deep learning: web"), (3, "大模型 综述", "大模型 调查"), (4, "", "x"), (5, "the of", "the of"), (6, "Graph Neural Networks", "语言模型")])
+TITLES = Inline("id long, a string, b string", [(1, "Rivers carry your water", "Water carry RIVERS all"), (2, "Deep Learning for the Web", "Deep learning: web"), (3, "大模型 综述", "大模型 调查"), (4, "", "x"), (5, "the of", "the of"), (6, "Graph Neural Networks", "语言模型")])
 _TSTOP = "[" + ", ".join(f"'{w}'" for w in text.TITLE_STOP) + "]"
 
 

@@ -58,7 +58,11 @@ class Store:
         stream = self._fs.create(self._path(f"{self.root}/CURRENT.{version}"), True)
         stream.write(bytearray(json.dumps({"version": version, "schema": SCHEMA_VERSION}).encode()))
         stream.close()
-        to = self._path(f"{self.root}/CURRENT")
-        self._fs.delete(to, False)
-        if not self._fs.rename(self._path(f"{self.root}/CURRENT.{version}"), to):
-            raise OSError(f"{to} can't be replaced")
+        # Renamed over the old one in one step: readers find the old version or the new one at any time.
+        jvm = self.spark._jvm
+        kind = jvm.org.apache.hadoop.fs.Options.Rename
+        options = self.spark.sparkContext._gateway.new_array(kind, 1)
+        options[0] = kind.OVERWRITE
+        at = self._path(f"{self.root}/CURRENT.{version}")
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._fs.getConf())
+        context.rename(self._fs.makeQualified(at), self._fs.makeQualified(self._path(f"{self.root}/CURRENT")), options)
