@@ -38,7 +38,9 @@ def test_labels_are_not_read(docs, rows):
     assert sorted(plain) == sorted(swapped)
 
 
-def test_phrases_are_longest_matches():
+@pytest.mark.parametrize("block", [256, 7, 1, 2])
+def test_phrases_are_longest_matches(block, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK", block)
     model = L.Model((("a", "abcabd bca"), ("b", "ddd")), "abcd")
     p = L.Parser(model)
     rng = random.Random(2)
@@ -64,3 +66,13 @@ def test_nothing_labelled_and_empty(docs):
 
 def test_hard_rows(docs, hard):
     assert len(L.identify(docs([(k, t, "en") for k, t in hard])).collect()) == len(hard)
+
+
+def test_any_letter_counts(docs):
+    """Scripts with many letters: every letter of the training texts is a symbol of its own."""
+    rng = random.Random(4)
+    script = {"zh": [chr(0x4E00 + k) for k in range(0, 3000, 2)], "ja": [chr(0x4E00 + k) for k in range(1, 3000, 2)], "ru": list("абвгдежзиклмнопрстуфхцчшщыэюя")}
+    words = {lang: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 4))) for _ in range(600)] for lang, letters in script.items()}
+    rows = [(k, "".join(rng.choice(words[lang]) for _ in range(120)), lang) for k in range(240) for lang in [("zh", "ja", "ru")[k % 3]]]
+    by = {r.doc_id: r for r in L.identify(docs(rows)).collect()}
+    assert all(by[k].lang_pred == lang for k, _, lang in rows)

@@ -47,3 +47,11 @@ def test_hard_rows(docs, hard):
     assert [r.text for r in out if r.doc_id == 6] == [""]
     assert {r.text for r in out if r.doc_id == 5} == {hard[5][1]}
     assert L.dedup_lines(docs([])).collect() == []
+
+
+def test_clashing_names(docs):
+    rows = [(k, "a\nb\nc\nd") for k in range(3)]
+    table = docs(rows).selectExpr("*", "'t' AS _text", "1 AS _covered", "2 AS covered", "3 AS row", "4 AS cut", "5 AS hit", "true AS _doc_null", "6 AS c_doc")
+    out = L.dedup_lines(table)
+    assert out.columns == [*table.columns, "lines_removed"]
+    assert {(r._text, r._covered, r.covered, r.row, r.cut, r.hit, r._doc_null, r.c_doc) for r in out.collect()} == {("t", 1, 2, 3, 4, 5, True, 6)}

@@ -15,7 +15,8 @@ until its outer token and the next token outside encode to themselves when put t
 tokens is the encoding of its bytes if all its neighbours do so; so the tokens outside stand.
 
 Decoding concatenates up the same kind of tree. Null texts count as empty, and empty texts have no
-tokens. Repeated rows are encoded alike; an empty table gives an empty result.
+tokens. Very long texts and pieces are halved like any other, in memory linear in their length. Repeated rows are
+encoded alike; other columns stay; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,10 +34,12 @@ from pyspark.sql import DataFrame
 from .common import small_batches
 
 #: Characters (of a text), bytes (of a piece) and ids that are encoded or decoded at once.
-TEXT_LEAF, PIECE_LEAF, ID_LEAF = 8192, 512, 65536
+TEXT_LEAF, PIECE_LEAF, ID_LEAF = 512, 512, 4096
 #: How far from the middle a border of a word is looked for.
-NEAR = 256
+NEAR = 64
 BORDER = regex.compile(r"\p{L}(?= \p{L})")
+#: What makes a border of a word one of the pattern: runs of letters with one blank before them, and no longer look-ahead than a sign behind blanks.
+WORDS, BLANKS = r" ?\p{L}+", r"\s+(?!\S)"
 #: The longest alternative of the pattern that needs characters behind its end; the last pieces that hold so many characters are uncertain.
 LOOKAHEAD = 3
 
@@ -45,6 +48,8 @@ class Codec:
     """Ranks and pattern, with the tree encoder."""
 
     def __init__(self, ranks: bytes, pattern: str):
+        if not {WORDS, BLANKS} <= set(pattern.split("|")):
+            raise ValueError("the borders and look-ahead here hold for patterns with these alternatives only")
         table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
         self.library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
         self.pattern = regex.compile(pattern)

@@ -4,15 +4,17 @@ For each language a suffix automaton of labelled text gives, at any place of ano
 match that begins there. Cross-parsing cuts a text into such longest matches; a language's entropy
 estimate is phrases * log2(size of its training text) / length, and the lowest one wins.
 
-The automaton is turned into one table, next[state, symbol], whose entry is marked where no longer
-match exists: there a phrase ends and the next begins with that symbol. Parsing is then one lookup a
-symbol, done for thousands of blocks of the texts in step. Blocks have `block` symbols; a phrase ends
-with its block, which costs all languages alike. Symbols are the letters of the training texts,
-lower-cased, one symbol for any other letter, and one for each run of anything else.
-
-Training: of the labelled rows of each language, the `rows_per_language` with the lowest hashes, one
-stretch of `chars_per_row` characters from each. This is a bounded sample of labelled rows, and the
-bound is these parameters; every text is then parsed whole.
+The automaton is turned into one table: a state is a place in it, and its transition by a symbol stands that
+many entries on, if the entry says that it belongs to the state; if not, no longer match exists: there a phrase ends
+and the next begins with that symbol. Parsing is then one lookup a symbol, done for thousands of blocks of the texts in
+step. A block is first parsed as if a phrase began with it, and then corrected from the state
+in which the block before it ended, up to where both begin a phrase, so that phrases are those of
+the whole text. Symbols are the letters of the training texts, lower-cased, one symbol for any other
+letter, and one for each run of anything else.
+
+Training: of the labelled rows of each language with at most `longest` characters, the `rows_per_language`
+with the lowest hashes, whole. This is a bounded sample of labelled rows, and the bound is these
+parameters; a language with longer rows only is not learnt. Every text is parsed whole, very long ones too.
 
 The prediction is `und`, score 0, for null texts and texts without a letter, or if nothing is
 labelled. Ties, up to a thousandth, go to the language with most labelled rows. The score is the margin,
@@ -24,7 +26,6 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -51,23 +52,21 @@ class Model(NamedTuple):
         return hashlib.sha256(repr(tuple(self)).encode()).hexdigest()
 
 
-def train(labelled: DataFrame, rows_per_language: int = 256, chars_per_row: int = 192, alphabet: int = 60) -> Model:
+def train(labelled: DataFrame, rows_per_language: int = 48, longest: int = 4000) -> Model:
     """A model of `labelled` (doc_id, text, lang); rows with a null among these are skipped."""
-    full = labelled.where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
+    full = labelled.where(F.expr("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL") & (F.length("text") <= longest))
     rows_of = {r.lang: r.n for r in full.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     draw = F.xxhash64("doc_id", "text")
-    begin = F.pmod(draw, F.greatest(F.length("text") - chars_per_row, F.lit(1)).cast("long")).cast("int") + 1
     # Rows whose draw is below their language's share: some more than asked for, of which the lowest are kept.
     share = F.create_map(*[F.lit(x) for lang, n in rows_of.items() for x in (lang, (rows_per_language + 6 * rows_per_language**0.5) / n)]) if rows_of else F.create_map().cast("map<string,double>")
     low = (draw.cast("double") / 2.0**64 + 0.5) <= share[F.col("lang")]
-    rows = full.where(low).select("lang", draw.alias("draw"), F.substring("text", begin, F.lit(chars_per_row)).alias("part")).distinct()
+    rows = full.where(low).select("lang", draw.alias("draw"), "text").distinct()
     parts: dict[str, list] = {}
-    for r in sorted(rows.collect(), key=lambda r: (r.lang, r.draw, r.part)):
+    for r in sorted(rows.collect(), key=lambda r: (r.lang, r.draw, r.text)):
         own = parts.setdefault(r.lang, [])
         if len(own) < rows_per_language:
-            own.append(r.part.lower())
-    seen = Counter(c for texts in parts.values() for t in texts for c in t if c.isalpha())
-    letters = "".join(sorted(sorted(seen, key=lambda c: (-seen[c], c))[:alphabet]))
+            own.append(r.text.lower())
+    letters = "".join(sorted({c for texts in parts.values() for t in texts for c in t if c.isalpha()}))
     return Model(tuple((lang, "\n".join(parts[lang])) for lang in sorted(parts, key=lambda x: (-rows_of[x], x))), letters)
 
 
@@ -101,31 +100,73 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return moves
 
 
+def packed_table(moves: list[dict[int, int]], width: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The transitions in one table, and the place of each state in it.
+
+    The transition of a state at place p by symbol c is entry p + c; its upper half has p, its lower half the place it leads to.
+    Places are drawn at random until no two transitions want one entry; states with many transitions first.
+    """
+    rng = np.random.default_rng(seed)
+    degree = np.array([len(m) for m in moves], np.int64)
+    source = np.repeat(np.arange(len(moves)), degree)
+    symbol = np.array([c for m in moves for c in m], np.int64)
+    target = np.array([t for m in moves for t in m.values()], np.int64)
+    size = 1 << max(10, int(4 * max(len(source), len(moves))).bit_length())
+    place, taken, used = np.zeros(len(moves), np.int64), np.zeros(size + width, bool), np.zeros(size, bool)
+    for low, high in ((9, width + 1), (3, 9), (0, 3)):
+        pending = np.flatnonzero((degree >= low) & (degree < high))
+        while len(pending):
+            place[pending] = rng.integers(0, size, len(pending))
+            own = np.flatnonzero(np.isin(source, pending))
+            slots = place[source[own]] + symbol[own]
+            _, first = np.unique(slots, return_index=True)
+            bad = np.ones(len(own), bool)
+            bad[first] = False
+            bad |= taken[slots]
+            _, alone = np.unique(place[pending], return_index=True)
+            good = np.zeros(len(moves), bool)
+            good[pending[alone]] = True
+            good[pending[used[place[pending]]]] = False
+            good[source[own[bad]]] = False
+            done = good[source[own]]
+            taken[slots[done]] = True
+            used[place[good]] = True
+            pending = pending[~good[pending]]
+    table = np.full(size + width, -1, np.int64)
+    table[place[source] + symbol] = place[source] << 32 | place[target]
+    return table, place
+
+
+def _advance(table: np.ndarray, first: np.ndarray, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The states after one more symbol, and where it begins a phrase."""
+    got = table[state + symbol]
+    new = (got >> 32) != state
+    return np.where(new, first[symbol], got & 0xFFFFFFFF), new
+
+
 class Parser:
     """The lookup tables of a model; made once in each Python worker."""
 
     def __init__(self, model: Model):
         self.languages = [lang for lang, _ in model.texts]
-        self.symbol = np.zeros(0x110000, np.uint8)
+        self.symbol = np.zeros(0x110000, np.int32)
         for cp in range(0x110000):
             if unicodedata.category(chr(cp))[0] == "L":
                 self.symbol[cp] = 1
         for k, c in enumerate(model.letters):
             self.symbol[ord(c)] = k + 2
         self.width = len(model.letters) + 2
-        self.tables, self.sizes = [], []
+        self.tables, self.firsts, self.sizes = [], [], []
         for _, text in model.texts:
             symbols = self.symbols(text)
-            moves = suffix_automaton(symbols.tolist())
             # The last state follows a symbol that never occurs, which is a phrase of its own.
-            first = np.full(self.width, len(moves) * self.width, np.int64)
-            for c, s in moves[0].items():
-                first[c] = s * self.width
-            table = np.tile(~first, (len(moves) + 1, 1))
-            table[0] = first  # only a block begins there
-            for s, own in enumerate(moves[1:], start=1):
-                table[s, list(own)] = [t * self.width for t in own.values()]
-            self.tables.append(table.ravel().astype(np.int32))
+            moves = [*suffix_automaton(symbols.tolist()), {}]
+            table, place = packed_table(moves, self.width)
+            first = np.full(self.width, place[-1], np.int64)
+            for c, state in moves[0].items():
+                first[c] = place[state]
+            self.tables.append(table)
+            self.firsts.append(first)
             self.sizes.append(max(2, len(symbols)))
 
     def symbols(self, text: str) -> np.ndarray:
@@ -137,32 +178,65 @@ class Parser:
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each text by each language."""
         lengths = np.array([len(t) for t in texts], np.int64)
-        every = np.concatenate([*texts, np.zeros(BLOCK, np.uint8)])
+        every = np.concatenate([*texts, np.zeros(BLOCK, np.int32)])
         blocks = -(-lengths // BLOCK)
         of = np.repeat(np.arange(len(texts)), blocks)
         within = np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         start = np.repeat(np.cumsum(lengths) - lengths, blocks) + within * BLOCK
         size = np.minimum(BLOCK, np.repeat(lengths, blocks) - within * BLOCK)
         order = np.argsort(-size, kind="stable")
+        follows = np.full(len(of), -1)  # the block behind each, by place in that order
+        place = np.argsort(order, kind="stable")
+        inner = np.flatnonzero(within > 0)
+        follows[place[inner - 1]] = place[inner]
         of, start, size = of[order], start[order], size[order]
         grid = every[np.arange(BLOCK)[:, None] + start[None, :]]
         active = np.searchsorted(-size, -np.arange(BLOCK), side="left")  # blocks longer than each step
         out = np.zeros((len(texts), len(self.tables)), np.int64)
-        for k, table in enumerate(self.tables):
-            state, ends = np.zeros(len(of), np.int32), np.zeros(len(of), np.int32)
-            for step in range(BLOCK):
+        for k, (table, first) in enumerate(zip(self.tables, self.firsts, strict=True)):
+            begins = np.zeros((BLOCK, len(of)), bool)
+            begins[0] = True
+            state = first[grid[0]]
+            for step in range(1, BLOCK):
                 n = active[step]
                 if not n:
                     break
-                got = table.take(state[:n] + grid[step, :n])
-                mark = got >> 31
-                ends[:n] -= mark
-                np.bitwise_xor(got, mark, out=state[:n])
-            out[:, k] = np.bincount(of, ends + 1, minlength=len(texts))
+                state[:n], begins[step, :n] = _advance(table, first, state[:n], grid[step, :n])
+            counts = self._corrected(table, first, grid, size, state, begins, follows)
+            out[:, k] = np.bincount(of, counts, minlength=len(texts))
         return out
 
+    @staticmethod
+    def _corrected(table: np.ndarray, first: np.ndarray, grid: np.ndarray, size: np.ndarray, end: np.ndarray, begins: np.ndarray, follows: np.ndarray) -> np.ndarray:
+        """Phrases that begin in each block, if it is entered in the state in which the block before it ends."""
+        sums = np.concatenate([np.zeros((1, len(size)), np.int32), np.cumsum(begins, axis=0, dtype=np.int32)])
+        plain, counts = end, sums[-1].astype(np.int64)
+        end = end.copy()
+        changed = np.flatnonzero(follows >= 0)
+        while len(changed):
+            lane = follows[changed]
+            state, made = end[changed], np.zeros(len(lane), np.int64)
+            lanes, at = lane, np.arange(len(lane))
+            final = plain[lane]  # where both parses meet, the rest is the plain one
+            for step in range(len(grid)):
+                if not len(lanes):
+                    break
+                state, new = _advance(table, first, state, grid[step, lanes])
+                met = new & begins[step, lanes]
+                counts[lanes[met]] = made[at[met]] + sums[-1, lanes[met]] - sums[step, lanes[met]]
+                made[at] += new
+                over = ~met & (size[lanes] == step + 1)
+                counts[lanes[over]] = made[at[over]]
+                final[at[over]] = state[over]
+                go = ~(met | over)
+                lanes, at, state = lanes[go], at[go], state[go]
+            moved = final != end[lane]
+            end[lane] = final
+            changed = lane[moved & (follows[lane] >= 0)]
+        return counts
+
     def judge(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        made = [self.symbols(t) if t else np.empty(0, np.uint8) for t in texts]
+        made = [self.symbols(t) if t else np.empty(0, np.int32) for t in texts]
         full = [k for k, m in enumerate(made) if len(m)]
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
         if full and self.tables:

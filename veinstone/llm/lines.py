@@ -7,7 +7,7 @@ are covered, overlapping ones merge, and covered lines are removed with the blan
 
 Null texts stay null; texts with fewer lines than a window stay whole, and so do empty ones. Repeated
 rows with one doc_id and text are one document: they lose the same lines. Documents that lose every
-line keep an empty text. An empty table gives an empty result.
+line keep an empty text. Other columns stay as they are, whatever their names. An empty table gives an empty result.
 
 Scale: only a hash of each window is shuffled (96 bits, so that 10**12 windows have hardly a chance
 collision), pre-aggregated to its first occurrence, and only later occurrences are joined back. A very
@@ -22,16 +22,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import packed, small_batches, written
 
 BLANKS = " \t\r"
 KEY = ("_doc_null", "doc_id", "_text")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_doc_null", F.col("doc_id").isNull()).withColumn("_text", F.xxhash64("text"))
-
-
 def windows(docs: DataFrame, window: int = 3) -> DataFrame:
     """One row per window: the document's key, `at` (its number among the document's windows) and hashes h1, h2."""
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: x != "")
@@ -78,11 +74,13 @@ def dedup_lines(docs: DataFrame, window: int = 3) -> DataFrame:
         made = [(None, 0) if t is None else cut_lines(t, np.asarray(c, dtype=np.int64), window) for t, c in zip(texts, covered, strict=True)]
         return pd.DataFrame(made, columns=["text", "gone"])
 
-    keyed = _keyed(docs)
-    covered = repeated_windows(keyed.select(*KEY, "text"), window).select(F.col("doc_id").alias("_c_doc"), F.col("_text").alias("_c_text"), F.col("covered").alias("_covered"))
-    met = keyed.join(covered, F.col("doc_id").eqNullSafe(F.col("_c_doc")) & (F.col("_text") == F.col("_c_text")), "left")
-    hit = F.col("_covered").isNotNull()
+    keyed = docs.select("doc_id", "text", packed(docs).alias("row")).withColumn("_doc_null", F.col("doc_id").isNull()).withColumn("_text", F.xxhash64("text"))
+    covered = repeated_windows(keyed.select(*KEY, "text"), window).select(F.col("doc_id").alias("c_doc"), F.col("_text").alias("c_text"), "covered")
+    met = keyed.join(covered, F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("_text") == F.col("c_text")), "left")
+    hit = F.col("covered").isNotNull()
     # Only texts that lose lines go to Python.
-    made = met.withColumn("_cut", shortened(F.when(hit, F.col("text")), F.coalesce("_covered", F.array().cast("array<int>"))))
-    out = made.withColumn("text", F.when(hit, F.col("_cut.text")).otherwise(F.col("text"))).withColumn("lines_removed", F.when(hit, F.col("_cut.gone")).otherwise(F.lit(0).cast("long")))
-    return out.select(*[c for c in docs.columns if c != "lines_removed"], "lines_removed")
+    cut = shortened(F.when(hit, F.col("text")), F.coalesce("covered", F.array().cast("array<int>")))
+    made = met.select("row", cut.alias("cut"), hit.alias("hit"))
+    field = lambda c: F.col(f"row.`{c}`")
+    kept = [F.when(F.col("hit"), F.col("cut.text")).otherwise(field(c)).alias(c) if c == "text" else field(c).alias(c) for c in docs.columns if c != "lines_removed"]
+    return made.select(*kept, F.when(F.col("hit"), F.col("cut.gone")).otherwise(F.lit(0).cast("long")).alias("lines_removed"))

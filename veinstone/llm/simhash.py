@@ -26,10 +26,10 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, partitions, small_batches, written
+from .common import discard, packed, partitions, small_batches, written
 from .components import Forest, connected_components
 
 SEED = 42
@@ -205,10 +205,10 @@ def near_duplicates(docs: DataFrame, n: int = 3, radius: int = 3, blocks: int =
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Samples of a document's shingles, shingles of each, and shingle hashes kept to verify with.
-VIEWS, SAMPLE, SKETCH = 12, 4, 256
+#: Samples of a document's shingles, shingles of each, and shingle hashes (32 bits of each) kept to sort out with.
+VIEWS, SAMPLE, SKETCH = 12, 4, 64
 #: How far below the least similarity an estimate may be: six standard errors of a sketch.
-MARGIN = 0.15
+MARGIN = 0.3
 #: How many of the most frequent shingles have a place in the order of prefixes; the others are in that of their hashes.
 FREQUENT = 1 << 18
 _SEEDS = np.array([xxhash.xxh64_intdigest(b"view", k) for k in range(VIEWS)], np.uint64)
@@ -225,11 +225,9 @@ def views(hashes: np.ndarray) -> np.ndarray:
     return (w & x & (y | z)) | ((w | x) & y & z)
 
 
-def similarity(a: np.ndarray, b: np.ndarray, whole: bool) -> float:
-    """Jaccard of two sets of shingle hashes, or its estimate from their lowest SKETCH ones."""
-    union = np.union1d(a, b)
-    if not whole:
-        union = union[:SKETCH]
+def similarity(a: np.ndarray, b: np.ndarray, lowest: int | None = None) -> float:
+    """Jaccard of two sets of hashes, or its estimate from their `lowest` ones."""
+    union = np.union1d(a, b)[:lowest]
     shared = np.intersect1d(np.intersect1d(a, b, assume_unique=True), union, assume_unique=True)
     return len(shared) / len(union) if len(union) else 0.0
 
@@ -247,41 +245,43 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
                 distinct = np.unique(made)
                 sizes.append(len(distinct))
                 own.append(views(distinct).view(np.int64) if len(distinct) else np.empty(0, np.int64))
-                kept.append(distinct[:SKETCH].tobytes())
+                kept.append(np.unique((distinct[:SKETCH] >> np.uint64(32)).astype(np.uint32)).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64)), pa.array(sizes, pa.int64()), pa.array(own, pa.list_(pa.int64())), pa.array(kept, pa.binary())], names=["doc_id", "hash", "fp", "size", "views", "sketch"])
 
     return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("hash")).mapInArrow(run, "doc_id long, hash long, fp long, size long, views array<long>, sketch binary")
 
 
-def _similar_links(nodes: DataFrame, docs: DataFrame, n: int, least: float) -> DataFrame:
-    """(a, b) links of nodes (hash, size, views, sketch) that share a sample's fingerprint and are similar enough.
+def _similar_pairs(nodes: DataFrame, least: float) -> DataFrame:
+    """(a, b) of nodes (hash, root, size, views, sketch) that share a sample's fingerprint, have different roots and may be similar enough.
 
     Sets of a similarity s differ in size by the factor s at most, so a node goes to two of the classes of
     such a factor. In each group of a sample's fingerprint and a class all members are compared with two
     of them, others in each group; a group of common passages thus splits by size, and costs two
-    comparisons a member.
-
-    Sketches only sort out: what they leave of longer texts is verified by `exact`.
+    comparisons a member. What is lost here is found by the prefix join. Sketches only sort out.
     """
     klass = F.floor(F.log(F.col("size").cast("double")) / -float(np.log(least)))
-    each = nodes.where("size > 0").select("hash", F.posexplode("views").alias("view", "key"), klass.alias("class")).select("hash", "view", "key", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"))
+    each = nodes.where("size > 0").select("hash", "root", F.posexplode("views").alias("view", "key"), klass.alias("class")).select("hash", "root", "view", "key", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"))
     group = F.xxhash64("view", "key", "class")
-    each = each.select("hash", group.alias("group"))
-    draw = F.struct(F.xxhash64("hash", "group"), "hash")
-    ends = each.groupBy("group").agg(F.min(draw).alias("x"), F.max(draw).alias("y")).where("x <> y").select(F.col("group").alias("g"), F.explode(F.array("x.hash", "y.hash")).alias("a"))
-    pairs = each.join(ends, F.col("group") == F.col("g")).where("hash <> a").select(F.least("a", "hash").alias("a"), F.greatest("a", "hash").alias("b")).distinct()
-    side = lambda c: nodes.select(F.col("hash").alias(f"{c}_node"), F.col("size").alias(f"{c}_size"), F.col("sketch").alias(f"{c}_sketch"))
-    met = written(pairs, "candidates").join(side("a"), F.col("a") == F.col("a_node")).join(side("b"), F.col("b") == F.col("b_node"))
+    each = each.select("hash", "root", group.alias("group"))
+    draw = F.struct(F.xxhash64("hash", "group"), "hash", "root")
+    ends = each.groupBy("group").agg(F.min(draw).alias("x"), F.max(draw).alias("y"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    ends = ends.select(F.col("group").alias("g"), F.explode(F.array("x", "y")).alias("end")).select("g", F.col("end.hash").alias("a"), F.col("end.root").alias("a_root"))
+    pairs = each.join(ends, (F.col("group") == F.col("g")) & (F.col("root") != F.col("a_root"))).select(F.least("a", "hash").alias("a"), F.greatest("a", "hash").alias("b")).distinct()
+    return written(pairs, "candidates")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _sorted_out(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) without those whose sketches are farther below `least` than MARGIN."""
+
+    def sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole = np.maximum(batch.column(2).to_numpy(), batch.column(3).to_numpy()) <= SKETCH
-            found = np.array([similarity(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), bool(w)) for x, y, w in zip(batch.column(4), batch.column(5), whole, strict=True)])
-            good = pa.array(found >= np.where(whole, least, least - MARGIN), pa.bool_())
-            yield pa.RecordBatch.from_arrays([c.filter(good) for c in (*batch.columns[:2], pa.array(whole, pa.bool_()))], names=["a", "b", "whole"])
+            found = np.array([similarity(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32), SKETCH) for x, y in zip(batch.column(2), batch.column(3), strict=True)])
+            good = pa.array(found >= least - MARGIN, pa.bool_())
+            yield pa.RecordBatch.from_arrays([c.filter(good) for c in batch.columns[:2]], names=["a", "b"])
 
-    left = written(met.select("a", "b", "a_size", "b_size", "a_sketch", "b_sketch").mapInArrow(verify, "a long, b long, whole boolean"), "left")
-    return left.where("whole").select("a", "b").unionByName(exact(left.where("NOT whole").select("a", "b"), docs, n, least))
+    side = lambda c: nodes.select(F.col("hash").alias(f"{c}_node"), F.col("sketch").alias(f"{c}_sketch"))
+    met = pairs.join(side("a"), F.col("a") == F.col("a_node")).join(side("b"), F.col("b") == F.col("b_node"))
+    return written(met.select("a", "b", "a_sketch", "b_sketch").mapInArrow(sort_out, "a long, b long"), "left")
 
 
 def exact(pairs: DataFrame, docs: DataFrame, n: int, least: float) -> DataFrame:
@@ -295,7 +295,7 @@ def exact(pairs: DataFrame, docs: DataFrame, n: int, least: float) -> DataFrame:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [similarity(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), True) >= least for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            good = [similarity(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) >= least for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
     texts = docs.select(F.xxhash64("text").alias("hash"), "text").join(wanted, F.col("hash") == F.col("w"), "left_semi")
@@ -380,15 +380,18 @@ def _prefix_pairs(docs: DataFrame, groups: DataFrame, n: int, least: float) -> D
             yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(part[:, c]).view(np.int64)) for c in (0, 1)), pa.array((part[:, 2] >> np.uint64(32)).astype(np.int64)), pa.array((part[:, 2] & np.uint64(0xFFFFFFFF)).astype(np.int64))], names=["token", "hash", "size", "at"])
 
     sent = docs.select("text", F.xxhash64("text").alias("hash")).mapInArrow(emit, "bucket long, packed binary")
-    shared = written(sent.repartition(buckets, "bucket").mapInArrow(meet, "token long, hash long, size long, at long"), "shared")
-    shared = shared.join(groups, F.col("hash") == F.col("node"), "left").select("token", "hash", "size", "at", F.coalesce("root", "hash").alias("root"))
+    shared_table = written(sent.repartition(buckets, "bucket").mapInArrow(meet, "token long, hash long, size long, at long"), "shared")
+    shared = shared_table.join(groups, F.col("hash") == F.col("node"), "left").select("token", "hash", "size", "at", F.coalesce("root", "hash").alias("root"))
     mixed = shared.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(F.col("token").alias("t"))
-    shared = written(shared.join(mixed, F.col("token") == F.col("t"), "left_semi"), "mixed")
+    all_shared, shared = shared_table, written(shared.join(mixed, F.col("token") == F.col("t"), "left_semi"), "mixed")
+    discard(all_shared)
     x = shared.where(F.col("at") < F.col("size") - F.ceil(F.col("size") * (2 * least / (1 + least)) - 1e-9) + 1).select(*(F.col(c).alias(f"x_{c}") for c in shared.columns))
     fits = (F.col("x_root") != F.col("root")) & (F.col("x_size") <= F.col("size")) & (F.col("x_size") >= F.col("size") * least - 1e-9)
     enough = F.least(F.col("x_size") - F.col("x_at"), F.col("size") - F.col("at")) >= (F.col("x_size") + F.col("size")) * (least / (1 + least)) - 1e-9
     met = shared.join(x, (F.col("token") == F.col("x_token")) & fits & enough)
-    return written(met.select(F.least("x_hash", "hash").alias("a"), F.greatest("x_hash", "hash").alias("b")).distinct(), "pairs")
+    pairs = written(met.select(F.least("x_hash", "hash").alias("a"), F.greatest("x_hash", "hash").alias("b")).distinct(), "pairs")
+    discard(shared)
+    return pairs
 
 
 def keep_one(docs: DataFrame, n: int = 5, radius: int = 3, blocks: int = 4, least: float = 0.8) -> DataFrame:
@@ -401,23 +404,43 @@ def keep_one(docs: DataFrame, n: int = 5, radius: int = 3, blocks: int = 4, leas
     This joins most groups at a few comparisons a text. A prefix join then finds every pair of texts in
     different groups that may be similar enough, and they are verified too.
 
-    Of repeated rows one stays. Texts are shuffled once, to meet the keys of those that stay.
+    Of repeated rows one stays. Only rows that go, or that are repeated, are looked up among the texts, so
+    that texts are shuffled only where those are too many to be sent around. Null and empty texts are one group; columns may
+    have any names.
     """
     own = written(sketches(docs, n), "sketches")
-    nodes = written(own.dropDuplicates(["hash"]).select("hash", "fp", "size", "views", "sketch"), "nodes")
-    links = _similar_links(nodes, docs, n, least)
     # Nodes of one component of fingerprints hang on the smallest of them.
-    roots = _components(nodes, radius, blocks)
-    rooted = nodes.select("hash", "fp").join(roots, F.col("fp") == F.col("g")).select("hash", "root")
-    smallest = rooted.groupBy("root").agg(F.min("hash").alias("a")).withColumnRenamed("root", "r")
-    by_bits = rooted.join(smallest, F.col("root") == F.col("r")).where("hash <> a").select("a", F.col("hash").alias("b"))
-    links = written(links.unionByName(by_bits), "near")
+    roots = _components(own, radius, blocks)
+    smallest = own.select("hash", "fp").distinct().join(roots, F.col("fp") == F.col("g")).groupBy("root").agg(F.min("hash").alias("least")).withColumnRenamed("root", "r")
+    rooted = own.dropDuplicates(["hash"]).join(roots, F.col("fp") == F.col("g")).join(smallest, F.col("root") == F.col("r"))
+    nodes = written(rooted.select("hash", F.col("least").alias("root"), "size", "views", "sketch"), "nodes")
+    rows = written(own.select("doc_id", "hash"), "rows")
+    discard(own)
+    by_bits = nodes.where("hash <> root").select(F.col("root").alias("a"), F.col("hash").alias("b"))
+    candidates = _similar_pairs(nodes, least)
+    left = _sorted_out(candidates, nodes, least)
+    links = written(by_bits.unionByName(exact(left, docs, n, least)), "near")
+    discard(candidates)
+    discard(left)
     parts = written(connected_components(links), "found")
-    more = exact(_prefix_pairs(docs, parts, n, least), docs, n, least)
+    pairs = _prefix_pairs(docs, parts, n, least)
+    left = _sorted_out(pairs, nodes, least)
+    more = exact(left, docs, n, least)
+    discard(left)
+    discard(parts)
     parts = written(connected_components(links.unionByName(more)), "groups")
-    grouped = own.select("doc_id", "hash").join(parts, F.col("hash") == F.col("node"), "left").withColumn("group", F.coalesce("root", "hash"))
-    stay = written(grouped.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash")).alias("first")).select(F.xxhash64(F.col("first.doc_id"), F.col("first.hash")).alias("_stays")), "staying")
-    for table in (own, nodes, parts):
+    grouped = rows.join(parts, F.col("hash") == F.col("node"), "left").withColumn("group", F.coalesce("root", "hash"))
+    first = grouped.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("group").alias("g"), "first.doc_id", "first.hash")
+    met = grouped.select("doc_id", "hash", "group").join(first.select("g", F.col("doc_id").alias("first_id"), F.col("hash").alias("first_hash")), F.col("group") == F.col("g"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("hash") == F.col("first_hash"))
+    keys = written(met.groupBy(_row_key(F.col("doc_id"), F.col("hash")).alias("gone")).agg(F.bool_or(stays).alias("stays"), F.count("*").alias("n")).where("NOT stays OR n > 1"), "gone")
+    for table in (rows, nodes, links, more, pairs, parts):
         discard(table)
-    out = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    return out.join(stay, F.col("_row") == F.col("_stays"), "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    every = docs.select(_row_key(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("key"), packed(docs).alias("row"))
+    alone = every.join(keys, F.col("key") == F.col("gone"), "left_anti")
+    again = every.join(keys.where("stays"), F.col("key") == F.col("gone"), "left_semi").dropDuplicates(["key"])
+    return alone.unionByName(again).select("row.*")
+
+
+def _row_key(doc_id: Column, text_hash: Column) -> Column:
+    return F.xxhash64(doc_id, text_hash)

@@ -253,7 +253,9 @@ def write_ids(docs: DataFrame, definition: str, end_id: int | None = 1, rows_per
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     parts = partitions(spark, rows.count(), rows_per_part)
-    ordered = rows.repartitionByRange(parts, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    # Rows that share an id, or have none, are spread by a hash of their texts.
+    order = (F.asc_nulls_first("doc_id"), F.xxhash64("text"))
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text")
     return written(ordered.mapInArrow(shards, SHARD_SCHEMA).select(F.spark_partition_id().alias("part"), "*"), "token-ids")
 
 
