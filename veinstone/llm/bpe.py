@@ -31,7 +31,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import released, small_batches
 
 #: Characters (of a text), bytes (of a piece) and ids that are encoded or decoded at once.
 TEXT_LEAF, PIECE_LEAF, ID_LEAF = 512, 512, 4096
@@ -184,7 +184,7 @@ def _mapped(df: DataFrame, column: str, make: Callable[[], Callable[[object], tu
     schema = df.select(*names).schema
     for c in out:
         schema = schema.add(c, "binary")
-    return df.select(*names).mapInArrow(run, schema)
+    return df.select(*names).mapInArrow(released(run), schema)
 
 
 def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:

@@ -34,11 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import released, small_batches
 
 BLOCK = 256
 #: Characters that are parsed in step; bounds a worker's memory.
-CHUNK = 1_500_000
+CHUNK = 600_000
 
 
 class Model(NamedTuple):
@@ -286,7 +286,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
 
     schema = docs.select(*names).schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(*names).mapInArrow(run, schema)
+    return docs.select(*names).mapInArrow(released(run), schema)
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, packed, partitions, small_batches, written
+from .common import discard, packed, partitions, released, small_batches, written
 from .components import Forest, connected_components
 
 SEED = 42
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, n: int = 3) -> DataFrame:
             made = np.fromiter((fingerprint(t.as_py() or b"", n) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(made.view(np.int64))], names=["doc_id", "hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("hash")).mapInArrow(run, "doc_id long, hash long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("hash")).mapInArrow(released(run), "doc_id long, hash long, fp long")
 
 
 def masks(radius: int = 3, blocks: int = 4) -> list[tuple[int, int]]:
@@ -183,8 +183,8 @@ def near_links(fps: DataFrame, radius: int = 3, blocks: int = 4) -> DataFrame:
         a, b = linked(np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]), radius)
         yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    sent = fps.select("fp").mapInArrow(emit, "bucket long, packed binary")
-    return sent.repartition(buckets, "bucket").mapInArrow(meet, "a long, b long")
+    sent = fps.select("fp").mapInArrow(released(emit), "bucket long, packed binary")
+    return sent.repartition(buckets, "bucket").mapInArrow(released(meet), "a long, b long")
 
 
 def _components(own: DataFrame, radius: int, blocks: int) -> DataFrame:
@@ -248,7 +248,7 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
                 kept.append(np.unique((distinct[:SKETCH] >> np.uint64(32)).astype(np.uint32)).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64)), pa.array(sizes, pa.int64()), pa.array(own, pa.list_(pa.int64())), pa.array(kept, pa.binary())], names=["doc_id", "hash", "fp", "size", "views", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("hash")).mapInArrow(run, "doc_id long, hash long, fp long, size long, views array<long>, sketch binary")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("hash")).mapInArrow(released(run), "doc_id long, hash long, fp long, size long, views array<long>, sketch binary")
 
 
 def _similar_pairs(nodes: DataFrame, least: float) -> DataFrame:
@@ -281,7 +281,7 @@ def _sorted_out(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 
     side = lambda c: nodes.select(F.col("hash").alias(f"{c}_node"), F.col("sketch").alias(f"{c}_sketch"))
     met = pairs.join(side("a"), F.col("a") == F.col("a_node")).join(side("b"), F.col("b") == F.col("b_node"))
-    return written(met.select("a", "b", "a_sketch", "b_sketch").mapInArrow(sort_out, "a long, b long"), "left")
+    return written(met.select("a", "b", "a_sketch", "b_sketch").mapInArrow(released(sort_out), "a long, b long"), "left")
 
 
 def exact(pairs: DataFrame, docs: DataFrame, n: int, least: float) -> DataFrame:
@@ -299,10 +299,10 @@ def exact(pairs: DataFrame, docs: DataFrame, n: int, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
     texts = docs.select(F.xxhash64("text").alias("hash"), "text").join(wanted, F.col("hash") == F.col("w"), "left_semi")
-    sets = written(texts.mapInArrow(run, "hash long, set binary").dropDuplicates(["hash"]), "sets")
+    sets = written(texts.mapInArrow(released(run), "hash long, set binary").dropDuplicates(["hash"]), "sets")
     side = lambda c: sets.select(F.col("hash").alias(f"{c}_node"), F.col("set").alias(f"{c}_set"))
     met = pairs.join(side("a"), F.col("a") == F.col("a_node")).join(side("b"), F.col("b") == F.col("b_node"))
-    out = written(met.select("a", "b", "a_set", "b_set").mapInArrow(verify, "a long, b long"), "exact")
+    out = written(met.select("a", "b", "a_set", "b_set").mapInArrow(released(verify), "a long, b long"), "exact")
     discard(sets)
     return out
 
@@ -324,14 +324,14 @@ def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
             for text in batch.column(0).cast(pa.large_binary()):
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(hashes_of(text.as_py() or b"", n)).view(np.int64))], names=["token"])
 
-    made = docs.where(F.pmod(F.xxhash64("text"), F.lit(16)) == 0).select("text").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("c")).where("c > 2")
+    made = docs.where(F.pmod(F.xxhash64("text"), F.lit(16)) == 0).select("text").mapInArrow(released(run), "token long").groupBy("token").agg(F.count("*").alias("c")).where("c > 2")
     found = made.orderBy(F.desc("c"), "token").limit(FREQUENT).toArrow()
     keys, counts = found["token"].to_numpy().view(np.uint64), found["c"].to_numpy()
     order = np.argsort(keys)
     return keys[order], counts[order]
 
 
-def _prefix_pairs(docs: DataFrame, groups: DataFrame, n: int, least: float) -> DataFrame:
+def _prefix_pairs(docs: DataFrame, nodes: DataFrame, groups: DataFrame, n: int, least: float) -> DataFrame:
     """(a, b) of all texts' hashes that may have a Jaccard of `least` and are in different groups (node, root).
 
     With all shingles in one order, a text x that has no more shingles than y shares, if they are similar
@@ -341,7 +341,8 @@ def _prefix_pairs(docs: DataFrame, groups: DataFrame, n: int, least: float) -> D
     """
     spark = docs.sparkSession
     often = spark.sparkContext.broadcast(frequent(docs, n))
-    buckets = partitions(spark, 0, 1)
+    entries = int((nodes.agg(F.sum("size").alias("n")).first().n or 0) * (1 - least))
+    buckets = partitions(spark, entries, TASK_VARIANTS // 2)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
@@ -379,8 +380,8 @@ def _prefix_pairs(docs: DataFrame, groups: DataFrame, n: int, least: float) -> D
             part = rows[k : k + 100_000]
             yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(part[:, c]).view(np.int64)) for c in (0, 1)), pa.array((part[:, 2] >> np.uint64(32)).astype(np.int64)), pa.array((part[:, 2] & np.uint64(0xFFFFFFFF)).astype(np.int64))], names=["token", "hash", "size", "at"])
 
-    sent = docs.select("text", F.xxhash64("text").alias("hash")).mapInArrow(emit, "bucket long, packed binary")
-    shared_table = written(sent.repartition(buckets, "bucket").mapInArrow(meet, "token long, hash long, size long, at long"), "shared")
+    sent = docs.select("text", F.xxhash64("text").alias("hash")).mapInArrow(released(emit), "bucket long, packed binary")
+    shared_table = written(sent.repartition(buckets, "bucket").mapInArrow(released(meet), "token long, hash long, size long, at long"), "shared")
     shared = shared_table.join(groups, F.col("hash") == F.col("node"), "left").select("token", "hash", "size", "at", F.coalesce("root", "hash").alias("root"))
     mixed = shared.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(F.col("token").alias("t"))
     all_shared, shared = shared_table, written(shared.join(mixed, F.col("token") == F.col("t"), "left_semi"), "mixed")
@@ -423,7 +424,7 @@ def keep_one(docs: DataFrame, n: int = 5, radius: int = 3, blocks: int = 4, leas
     discard(candidates)
     discard(left)
     parts = written(connected_components(links), "found")
-    pairs = _prefix_pairs(docs, parts, n, least)
+    pairs = _prefix_pairs(docs, nodes, parts, n, least)
     left = _sorted_out(pairs, nodes, least)
     more = exact(left, docs, n, least)
     discard(left)
