@@ -59,7 +59,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=4, least=20)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
