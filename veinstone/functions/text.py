@@ -203,6 +203,28 @@ def clean_title(text: Column) -> Column:
     return F.when((F.length(first) > 0) & (F.length(first) <= 300), first)
 
 
+# What programs write where a title should be.
+NO_TITLE = ("untitled", "unknown", "document", "microsoft word")
+NO_TITLE_ENDS = (".doc", ".docx", ".tex", ".indd")
+
+
+def is_placeholder_title(title: Column, stem: Column | None = None) -> Column:
+    """Whether a file's own title says nothing: a program's default, a file name, or the name `stem` of this file."""
+    own = F.lower(strip(title))
+    tests = [own.isin(*NO_TITLE), own.contains("untitled"), *(own.endswith(e) for e in NO_TITLE_ENDS)]
+    if stem is not None:
+        tests.append(own == F.lower(strip(stem)))
+    found = F.lit(False)
+    for test in tests:
+        found = found | F.coalesce(test, F.lit(False))
+    return found
+
+
+def is_key_stem(stem: Column) -> Column:
+    """Whether a file name may be a citation key: eight characters or more, letters and digits, no blank."""
+    return F.coalesce((F.length(stem) >= 8) & stem.rlike(r"\p{Nd}") & stem.rlike(r"\p{L}") & ~stem.contains(" "), F.lit(False))
+
+
 def truncate_middle(text: Column, limit: int = 4000) -> Column:
     """Head and tail of an observation that is too long, with the number of characters left out."""
     head, tail = limit // 2, limit - limit // 2

@@ -234,6 +234,13 @@ class State:
     evidence: dict[str, dict] = field(default_factory=dict)
     answer: dict | None = None
     tokens: int = 0
+    in_scope: int | None = None
+
+    def line(self, total: int, cost: float = 0.0, currency: str = "USD") -> str:
+        """Sources in scope of all, pieces of evidence and cost, for the next prompt of a model."""
+        # Fixed value: the word for all.
+        papers = "全部" if self.in_scope is None else f"{self.in_scope}/{total}"
+        return f"papers={papers} evidence={len(self.evidence)} cost={cost:.4f} {currency}"
 
 
 class Agent:
@@ -256,6 +263,7 @@ class Agent:
         sources = found.join(self.index.fragments.select(F.col("fragment_id").alias("id"), "source_key"), "id").groupBy("source_key").agg(F.count("*").alias("hits")).orderBy(F.desc("hits"), "source_key").limit(10)
         state.scope = sources.select("source_key")
         rows = sources.collect()
+        state.in_scope = len(rows)
         return f"{len(rows)} sources, {sum(r.hits for r in rows)} hits"
 
     def gather(self, state: State, query: str | None = None) -> str:
@@ -276,7 +284,7 @@ class Agent:
         return f"answer with {len(best)} citations"
 
     def reset(self, state: State) -> str:
-        state.scope = None
+        state.scope = state.in_scope = None
         return "all sources are in scope"
 
     def finish(self, state: State, reason: str = "done") -> str:
@@ -286,6 +294,7 @@ class Agent:
     def run(self, question: str) -> tuple[State, str]:
         """The state at the end and the status of the session."""
         limits, state, began, idle = self.index.settings.agent, State(question), time.monotonic(), 0
+        total = self.index.fragments.select("source_key").distinct().count()
         for step in range(limits.max_steps + 1):
             if any(n.startswith("finish:") for n in state.notes):
                 break
@@ -309,7 +318,7 @@ class Agent:
                     seen = f"bad arguments: {error}"
                 if name == "gather_evidence":
                     idle = idle + 1 if len(state.evidence) == before else 0
-                state.actions.append({"step": step, "tool": name, "observation": seen, "seconds": time.monotonic() - started})
+                state.actions.append({"step": step, "tool": name, "observation": seen, "status": state.line(total), "seconds": time.monotonic() - started})
                 continue
             break
         if state.answer is None:
