@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lines, mixing, quality, simhash, tokens, topk, urls, vectors
+from . import bpe, kmeans, langid, lines, mixing, quality, simhash, tokens, topk, urls, vectors, whitening, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=4, least=20)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=8, offset=100_000)
+
+
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), words=10).drop("spans")
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, seed=3)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,12 +92,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_ids": op8_token_ids,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_quality_classifier": op10_quality_classifier,
+        "op11_whitening": op11_whitening,
+        "op12_decontaminate": op12_decontaminate,
+        "op13_centroids": op13_centroids,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op2_exact_top_k": OP2_SQL, "op3_url_filter": op3_sql(), "op4_line_dedup": OP4_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op2_exact_top_k": OP2_SQL, "op3_url_filter": op3_sql(), "op4_line_dedup": OP4_SQL, "op12_decontaminate": OP12_SQL, "op13_centroids": op13_sql()}
 
 
 OP1_SQL = r"""
@@ -175,3 +190,38 @@ SELECT page_id, host, path, CASE {rule} END AS rule,
        CASE {verdict} WHEN {strict} >= 1 OR {soft} >= {urls.SOFT_LIMIT} THEN 'block' ELSE 'allow' END AS verdict
 FROM q
 """
+
+
+OP12_SQL = r"""
+WITH fold AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+item AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+sized AS (SELECT *, least(len(w), 10) AS size FROM item WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, size, list_aggregate(w[p : p + size - 1], 'string_agg', ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS p FROM sized)),
+sizes AS (SELECT DISTINCT size FROM windows),
+places AS (SELECT r, size, p, list_aggregate(w[p : p + size - 1], 'string_agg', ' ') AS win FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM fold, sizes WHERE len(w) >= size)),
+hit AS (SELECT r, size, p, win FROM places WHERE win IN (SELECT win FROM windows)),
+n AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(p, p + size)) AS k FROM hit) GROUP BY r),
+i AS (SELECT r, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS sha FROM (SELECT DISTINCT r, item FROM hit JOIN windows USING (win) WHERE item IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM fold LEFT JOIN n USING (r) LEFT JOIN i USING (r)
+"""
+
+
+def op13_sql() -> str:
+    """Ten rounds of exact assignment to all centroids, one after the other."""
+    nearest = "SELECT n, min(struct_pack(d := d, c := c)) AS best FROM (SELECT v.n, c.c, list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, {at} c) GROUP BY n"
+    steps = ["c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x FROM (SELECT sha256('3:' || vec_id) AS h, x FROM v ORDER BY h, x LIMIT 8))"]
+    for k in range(11):
+        steps.append(f"a{k} AS MATERIALIZED ({nearest.format(at=f'c{k}')})")
+        if k < 10:
+            steps.append(f"s{k} AS MATERIALIZED (SELECT best.c AS c, i, sum(x[i])::HUGEINT AS s, count(*)::HUGEINT AS m FROM a{k} JOIN v USING (n), range(1, 65) t(i) GROUP BY ALL)")
+            steps.append(f"c{k + 1} AS MATERIALIZED (SELECT c, coalesce(y, x) AS x FROM c{k} LEFT JOIN (SELECT c, list(((s - ((s % m) + m) % m) // m)::BIGINT ORDER BY i) AS y FROM s{k} GROUP BY c) USING (c))")
+    return f"""
+WITH raw AS (SELECT vec_id, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS e FROM embeddings WHERE len(embedding) = 64),
+v AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, list_transform(e, lambda y: CAST(floor(1024 * y) AS BIGINT)) AS x FROM raw WHERE len(list_filter(e, lambda y: y IS NOT NULL AND isfinite(y))) = 64),
+{", ".join(steps)}
+SELECT vec_id, CAST(best.c AS INT) AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c10.x, ',')) AS centroid_sha256
+FROM a10 JOIN v USING (n) JOIN c10 ON best.c = c10.c
+"""
