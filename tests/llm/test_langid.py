@@ -76,3 +76,44 @@ def test_any_letter_counts(docs):
     rows = [(k, "".join(rng.choice(words[lang]) for _ in range(120)), lang) for k in range(240) for lang in [("zh", "ja", "ru")[k % 3]]]
     by = {r.doc_id: r for r in L.identify(docs(rows)).collect()}
     assert all(by[k].lang_pred == lang for k, _, lang in rows)
+
+
+def test_long_rows_are_learnt(docs):
+    rng = random.Random(6)
+    rows = [(k, text("en", rng, 20), "en") for k in range(40)] + [(100 + k, text("de", rng, 700), "de") for k in range(40)]
+    assert min(len(t) for _, t, lang in rows if lang == "de") > 4000
+    by = {r.doc_id: r.lang_pred for r in L.identify(docs(rows)).collect()}
+    assert all(by[k] == lang for k, _, lang in rows)
+
+
+@pytest.mark.parametrize("together", [1, 3, 1000])
+@pytest.mark.parametrize("block", [5, 16])
+def test_long_phrases(block, together, monkeypatch):
+    """Copies and periods of training texts, whose phrases span many blocks, among other texts."""
+    monkeypatch.setattr(L, "BLOCK", block)
+    monkeypatch.setattr(L, "TOGETHER", together)
+    rng = random.Random(block)
+    learnt = "".join(rng.choice("abcd") for _ in range(300)) + "ab" * 150
+    p = L.Parser(L.Model((("a", learnt), ("b", "dcb")), "abcd"))
+    for _ in range(12):
+        texts = [p.symbols(t) for t in ["ab" * rng.randint(1, 700), learnt[rng.randint(0, 100) :] * 2, "".join(rng.choice("abcd") for _ in range(rng.randint(1, 90))), "b" + learnt + "d" * rng.randint(0, 9), "a"]]
+        got = p.phrases(texts)
+        for k, (table, first) in enumerate(zip(p.tables, p.firsts)):
+            for j, symbols in enumerate(texts):
+                state, phrases = int(first[symbols[0]]), 1
+                for c in symbols[1:].tolist():
+                    entry = int(table[state + c])
+                    if entry >> 32 == state:
+                        state = entry & 0xFFFFFFFF
+                    else:
+                        state, phrases = int(first[c]), phrases + 1
+                assert got[j, k] == phrases
+
+
+def test_time_of_long_phrases():
+    import time
+
+    p = L.Parser(L.Model((("x", "ab" * 1900), ("en", "the quick brown fox " * 100)), "abcdefghiknoqrtuwx"))
+    began = time.perf_counter()
+    p.judge(["ab" * 200_000])
+    assert time.perf_counter() - began < 2

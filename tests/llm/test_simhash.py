@@ -159,14 +159,33 @@ def test_pairs_that_share_a_passage_with_thousands(docs):
     cross = max(jaccard(rows[2 * k][1], rows[2 * j][1]) for k, j in (rng.sample(range(1500), 2) for _ in range(500)))
     assert len(similar) > 500 and cross < 0.8
     kept = {r.doc_id for r in S.keep_one(docs(rows)).collect()}
-    # Of all pairs of texts only these are similar; fingerprints within three bits link too.
-    fps, forest = np.array([S.fingerprint(t.encode(), 5) for _, t in rows], np.uint64), S.Forest(3000)
-    for k in range(3000):
-        near = np.flatnonzero(np.bitwise_count(fps ^ fps[k]) <= 3)
-        forest.link(np.full(len(near), k), near)
-    pairs = np.array(sorted(similar))
-    forest.link(2 * pairs, 2 * pairs + 1)
-    assert kept == set(np.flatnonzero(forest.all_roots() == np.arange(3000)).tolist())
+    # Of all pairs of texts only these are similar.
+    assert kept == set(range(3000)) - {2 * k + 1 for k in similar}
+
+
+def test_texts_of_one_template_stay(docs):
+    """Fingerprints of these are near, by chains of hundreds, but no two texts are similar enough."""
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(5000)]
+    template = [rng.choice(words) for _ in range(170)]
+    rows = [(k, " ".join(template + [rng.choice(words) for _ in range(30)])) for k in range(4000)]
+    assert max(jaccard(rows[k][1], rows[j][1]) for k, j in (rng.sample(range(4000), 2) for _ in range(500))) < 0.8
+    assert S.keep_one(docs(rows)).count() == 4000
+
+
+@pytest.mark.parametrize("run", [40, 1500])
+def test_edges_are_near_pairs_that_join_all(run):
+    rng = np.random.default_rng(run)
+    base = rng.integers(0, 2**63, 3).astype(np.uint64)
+    fps = np.unique(np.r_[base, np.array([base[rng.integers(3)] ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 30, 4).astype(np.uint64)) for _ in range(run)], np.uint64)])
+    keys = np.zeros(len(fps), np.uint64)
+    a, b = S.linked(keys, fps, 3, edges=True)
+    assert (np.bitwise_count(a ^ b) <= 3).all() and len(a) < 4 * len(fps)
+    u, v = S.linked(keys, fps, 3)
+    forest, plain = S.Forest(len(fps)), S.Forest(len(fps))
+    forest.link(np.searchsorted(fps, a), np.searchsorted(fps, b))
+    plain.link(np.searchsorted(fps, u), np.searchsorted(fps, v))
+    assert (forest.all_roots() == plain.all_roots()).all()
 
 
 def test_prefixes_find_every_similar_pair():

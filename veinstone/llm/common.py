@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import json
 import shutil
@@ -38,15 +39,34 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own[key]}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: lineage ends there, and lost executors cost no recomputation."""
+def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Write `df` to the shared folder and read it back: lineage ends there, and lost executors cost no recomputation.
+
+    scratch() leaves it alone if `keep`.
+    """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_path = path
+    if _open and not keep:
+        _open[-1].append(out)
     return out
 
 
+_open: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """What written() makes inside is removed at the end; the caller has stored by then what it needs of it."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for table in _open.pop():
+            discard(table)
+
+
 def discard(df: DataFrame) -> None:
     """Remove a table that written() made, once nothing reads it any more."""
     path = getattr(df, "_written_path", None)

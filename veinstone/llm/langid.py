@@ -9,12 +9,13 @@ many entries on, if the entry says that it belongs to the state; if not, no long
 and the next begins with that symbol. Parsing is then one lookup a symbol, done for thousands of blocks of the texts in
 step. A block is first parsed as if a phrase began with it, and then corrected from the state
 in which the block before it ended, up to where both begin a phrase, so that phrases are those of
-the whole text. Symbols are the letters of the training texts, lower-cased, one symbol for any other
+the whole text. Two rounds of that do for nearly all blocks; where phrases are longer, blocks are parsed again in the order of their text,
+each once. Symbols are the letters of the training texts, lower-cased, one symbol for any other
 letter, and one for each run of anything else.
 
-Training: of the labelled rows of each language with at most `longest` characters, the `rows_per_language`
-with the lowest hashes, whole. This is a bounded sample of labelled rows, and the bound is these
-parameters; a language with longer rows only is not learnt. Every text is parsed whole, very long ones too.
+Training: of the labelled rows of each language those with the lowest hashes, until they have `characters`
+characters or are `rows_per_language`; of a row at most `longest` characters are learnt. This is a
+bounded sample of labelled rows, and the bound is these parameters. Every text is parsed whole, very long ones too.
 
 The prediction is `und`, score 0, for null texts and texts without a letter, or if nothing is
 labelled. Ties, up to a thousandth, go to the language with most labelled rows. The score is the margin,
@@ -39,6 +40,8 @@ from .common import released, small_batches
 BLOCK = 256
 #: Characters that are parsed in step; bounds a worker's memory.
 CHUNK = 600_000
+#: From so many texts on it is cheaper to correct their blocks in step than one by one.
+TOGETHER = 48
 
 
 class Model(NamedTuple):
@@ -52,19 +55,19 @@ class Model(NamedTuple):
         return hashlib.sha256(repr(tuple(self)).encode()).hexdigest()
 
 
-def train(labelled: DataFrame, rows_per_language: int = 48, longest: int = 4000) -> Model:
+def train(labelled: DataFrame, rows_per_language: int = 128, characters: int = 48_000, longest: int = 4000) -> Model:
     """A model of `labelled` (doc_id, text, lang); rows with a null among these are skipped."""
-    full = labelled.where(F.expr("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL") & (F.length("text") <= longest))
+    full = labelled.where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
     rows_of = {r.lang: r.n for r in full.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     draw = F.xxhash64("doc_id", "text")
     # Rows whose draw is below their language's share: some more than asked for, of which the lowest are kept.
     share = F.create_map(*[F.lit(x) for lang, n in rows_of.items() for x in (lang, (rows_per_language + 6 * rows_per_language**0.5) / n)]) if rows_of else F.create_map().cast("map<string,double>")
     low = (draw.cast("double") / 2.0**64 + 0.5) <= share[F.col("lang")]
-    rows = full.where(low).select("lang", draw.alias("draw"), "text").distinct()
+    rows = full.where(low).select("lang", draw.alias("draw"), F.left("text", F.lit(longest)).alias("text")).distinct()
     parts: dict[str, list] = {}
     for r in sorted(rows.collect(), key=lambda r: (r.lang, r.draw, r.text)):
         own = parts.setdefault(r.lang, [])
-        if len(own) < rows_per_language:
+        if len(own) < rows_per_language and sum(map(len, own)) < characters:
             own.append(r.text.lower())
     letters = "".join(sorted({c for texts in parts.values() for t in texts for c in t if c.isalpha()}))
     return Model(tuple((lang, "\n".join(parts[lang])) for lang in sorted(parts, key=lambda x: (-rows_of[x], x))), letters)
@@ -202,21 +205,23 @@ class Parser:
                 if not n:
                     break
                 state[:n], begins[step, :n] = _advance(table, first, state[:n], grid[step, :n])
-            counts = self._corrected(table, first, grid, size, state, begins, follows)
+            counts = self._corrected(table, first, grid, size, state, begins, follows, place)
             out[:, k] = np.bincount(of, counts, minlength=len(texts))
         return out
 
     @staticmethod
-    def _corrected(table: np.ndarray, first: np.ndarray, grid: np.ndarray, size: np.ndarray, end: np.ndarray, begins: np.ndarray, follows: np.ndarray) -> np.ndarray:
-        """Phrases that begin in each block, if it is entered in the state in which the block before it ends."""
+    def _corrected(table: np.ndarray, first: np.ndarray, grid: np.ndarray, size: np.ndarray, end: np.ndarray, begins: np.ndarray, follows: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Phrases that begin in each block, if it is entered in the state in which the block before it ends.
+
+        `follows` has the block behind each, `place` the blocks in the order of the texts.
+        """
         sums = np.concatenate([np.zeros((1, len(size)), np.int32), np.cumsum(begins, axis=0, dtype=np.int32)])
-        plain, counts = end, sums[-1].astype(np.int64)
-        end = end.copy()
-        changed = np.flatnonzero(follows >= 0)
-        while len(changed):
-            lane = follows[changed]
-            state, made = end[changed], np.zeros(len(lane), np.int64)
-            lanes, at = lane, np.arange(len(lane))
+        plain, counts, end = end, sums[-1].astype(np.int64), end.copy()
+        moves, starts = memoryview(table), first.tolist()
+
+        def together(lane: np.ndarray, state: np.ndarray) -> np.ndarray:
+            """Parse blocks again, all in step; their ends."""
+            made, lanes, at = np.zeros(len(lane), np.int64), lane, np.arange(len(lane))
             final = plain[lane]  # where both parses meet, the rest is the plain one
             for step in range(len(grid)):
                 if not len(lanes):
@@ -230,9 +235,55 @@ class Parser:
                 final[at[over]] = state[over]
                 go = ~(met | over)
                 lanes, at, state = lanes[go], at[go], state[go]
+            return final
+
+        def alone(lane: int, state: int) -> int:
+            made = 0
+            for step, c in enumerate(grid[: size[lane], lane].tolist()):
+                got = moves[state + c]
+                if got >> 32 == state:
+                    state = got & 0xFFFFFFFF
+                    continue
+                if begins[step, lane]:
+                    counts[lane] = made + sums[-1, lane] - sums[step, lane]
+                    return int(plain[lane])
+                made, state = made + 1, starts[c]
+            counts[lane] = made
+            return state
+
+        changed = np.flatnonzero(follows >= 0)
+        for _ in range(2):
+            if not len(changed):
+                return counts
+            lane = follows[changed]
+            final = together(lane, end[changed])
             moved = final != end[lane]
             end[lane] = final
             changed = lane[moved & (follows[lane] >= 0)]
+        # What is left goes in the order of the texts, the first open block of each at a time.
+        order, open_ = np.argsort(place, kind="stable"), np.zeros(len(size) + 1, bool)
+        open_[order[follows[changed]]] = True
+        text = np.cumsum(np.r_[1, follows[place[:-1]] < 0])
+        while open_.any():
+            at = np.flatnonzero(open_)
+            at = at[np.unique(text[at], return_index=True)[1]]
+            if len(at) >= TOGETHER:
+                lane = place[at]
+                final = together(lane, end[place[at - 1]])
+                moved = (final != end[lane]) & (follows[lane] >= 0)
+                end[lane] = final
+                open_[at] = False
+                open_[at[moved] + 1] = True
+                continue
+            for k in at.tolist():
+                while k < len(size) and follows[place[k - 1]] == place[k]:
+                    if open_[k]:
+                        open_[k] = False
+                        final = alone(place[k], int(end[place[k - 1]]))
+                        if final != end[place[k]] and follows[place[k]] >= 0:
+                            open_[k + 1] = True
+                        end[place[k]] = final
+                    k += 1
         return counts
 
     def judge(self, texts: list[str | None]) -> tuple[list[str], list[float]]:

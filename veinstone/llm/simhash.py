@@ -26,7 +26,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, packed, partitions, released, small_batches, written
@@ -104,12 +104,23 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def linked(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest of all pairs that share a key and differ in `radius` bits or fewer."""
+def linked(keys: np.ndarray, fps: np.ndarray, radius: int, edges: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest of all pairs that share a key and differ in `radius` bits or fewer.
+
+    The links lead to the roots of the forest; with `edges` they are such pairs themselves, hardly more of them.
+    """
     order = np.argsort(keys, kind="stable")
     keys, fps = keys[order], fps[order]
     values, node = np.unique(fps, return_inverse=True)
     forest = Forest(len(values))
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def link(a: np.ndarray, b: np.ndarray) -> None:
+        if edges:
+            new = forest.roots(a) != forest.roots(b)
+            pairs.append((values[a[new]], values[b[new]]))
+        forest.link(a, b)
+
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
     lengths = np.diff(np.r_[starts, len(keys)])
     # Short runs: compare each member with the one `step` places on, all runs at once.
@@ -121,7 +132,7 @@ def linked(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray,
         keep = left > step
         at, left = at[keep], left[keep]
         near = np.bitwise_count(fps[at] ^ fps[at + step]) <= radius
-        forest.link(node[at[near]], node[at[near] + step])
+        link(node[at[near]], node[at[near] + step])
         step += 1
     # Long runs: look each member's whole ball up among the members.
     ball = np.array([_bits(c) for f in range(1, radius + 1) for c in combinations(range(64), f)], np.uint64) if (lengths > PAIR_RUN).any() else None
@@ -141,7 +152,11 @@ def linked(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray,
                 to = (part[:, None] ^ reach[None, :]).ravel()
                 found = own[np.minimum(np.searchsorted(own, to), len(own) - 1)] == to
                 a, b = part[i[found]], to[found]
-            forest.link(np.searchsorted(values, a), np.searchsorted(values, b))
+            a, b = np.searchsorted(values, a), np.searchsorted(values, b)
+            for rows in np.split(np.arange(len(a)), np.flatnonzero(a[1:] != a[:-1]) + 1) if edges else (slice(None),):
+                link(a[rows], b[rows])
+    if edges:
+        return tuple(np.concatenate([np.empty(0, np.uint64), *side]) for side in zip(*pairs, strict=True)) if pairs else (values[:0], values[:0])
     roots = forest.all_roots()
     own = roots != np.arange(len(values))
     return values[own], values[roots[own]]
@@ -153,8 +168,8 @@ def _within(lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
-def near_links(fps: DataFrame, radius: int = 3, blocks: int = 4) -> DataFrame:
-    """(a, b) links between distinct fingerprints (column fp) that join all pairs within `radius` bits."""
+def near_links(fps: DataFrame, radius: int = 3, blocks: int = 4, edges: bool = False) -> DataFrame:
+    """(a, b) links between distinct fingerprints (column fp) that join all pairs within `radius` bits; with `edges` such pairs only."""
     spark = fps.sparkSession
     variants = masks(radius, blocks)
     visible, flips = (np.array(x, np.uint64) for x in zip(*variants, strict=True))
@@ -180,7 +195,7 @@ def near_links(fps: DataFrame, radius: int = 3, blocks: int = 4) -> DataFrame:
         parts = [p.as_py() for batch in batches for p in batch.column(1)]
         pairs = np.frombuffer(b"".join(parts), np.uint64).reshape(-1, 2)
         del parts
-        a, b = linked(np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]), radius)
+        a, b = linked(np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]), radius, edges)
         yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     sent = fps.select("fp").mapInArrow(released(emit), "bucket long, packed binary")
@@ -395,34 +410,49 @@ def _prefix_pairs(docs: DataFrame, nodes: DataFrame, groups: DataFrame, n: int,
     return pairs
 
 
+def _bit_pairs(nodes: DataFrame, near: DataFrame) -> DataFrame:
+    """(a, b) of nodes (hash, fp) with one fingerprint, each with the first of them, and of the first of fingerprints that are near."""
+    lead = nodes.groupBy("fp").agg(F.min("hash").alias("lead")).withColumnRenamed("fp", "f")
+    same = nodes.join(lead, F.col("fp") == F.col("f")).where("hash <> lead").select(F.col("lead").alias("a"), F.col("hash").alias("b"))
+    side = lambda c: lead.select(F.col("f").alias(f"{c}_fp"), F.col("lead").alias(f"{c}_lead"))
+    across = near.join(side("a"), F.col("a") == F.col("a_fp")).join(side("b"), F.col("b") == F.col("b_fp"))
+    return same.unionByName(across.select(F.col("a_lead").alias("a"), F.col("b_lead").alias("b")))
+
+
 def keep_one(docs: DataFrame, n: int = 5, radius: int = 3, blocks: int = 4, least: float = 0.8) -> DataFrame:
     """The rows of `docs` that stay: of each group of near-duplicates the one with the smallest doc_id (null last), ties by a hash of its text.
 
-    Fingerprints within `radius` bits link, which finds texts that share nearly all shingles. Texts that
-    share `least` of them (Jaccard) differ in some ten of 64 bits, and no ball of that size can be
-    emitted; for them samples of a few shingles each are fingerprinted too. Texts with an equal sample
-    fingerprint are verified by all their shingles; sketches sort out those that are far from similar.
-    This joins most groups at a few comparisons a text. A prefix join then finds every pair of texts in
-    different groups that may be similar enough, and they are verified too.
+    Texts link if they share `least` of their distinct shingles (Jaccard), and every link is verified by
+    all shingles of both. Candidates come cheaply first: fingerprints within `radius` bits, which finds texts that
+    share nearly all shingles, and, as texts at `least` differ in some ten of 64 bits and no ball of that
+    size can be emitted, fingerprints of samples of a few shingles. This joins most groups at a few
+    comparisons a text; sketches sort out pairs that are far from similar. A prefix join then finds every
+    pair of texts in different groups that may be similar enough, and they are verified too.
 
     Of repeated rows one stays. Only rows that go, or that are repeated, are looked up among the texts, so
-    that texts are shuffled only where those are too many to be sent around. Null and empty texts are one group; columns may
-    have any names.
+    that texts are shuffled only where those are too many to be sent around. Null and empty texts and those without words are one
+    group; very long texts are hashed whole; columns may have any names, and an empty table stays empty.
     """
     own = written(sketches(docs, n), "sketches")
-    # Nodes of one component of fingerprints hang on the smallest of them.
-    roots = _components(own, radius, blocks)
+    distinct = written(own.select("fp").distinct(), "distinct")
+    near = written(near_links(distinct, radius, blocks, edges=True), "bits")
+    found = written(connected_components(near), "components")
+    # Nodes of one component of fingerprints hang on the smallest of them: views needn't compare them.
+    roots = distinct.join(found, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("g"), F.coalesce("root", "fp").alias("root"))
     smallest = own.select("hash", "fp").distinct().join(roots, F.col("fp") == F.col("g")).groupBy("root").agg(F.min("hash").alias("least")).withColumnRenamed("root", "r")
     rooted = own.dropDuplicates(["hash"]).join(roots, F.col("fp") == F.col("g")).join(smallest, F.col("root") == F.col("r"))
-    nodes = written(rooted.select("hash", F.col("least").alias("root"), "size", "views", "sketch"), "nodes")
+    nodes = written(rooted.select("hash", "fp", F.col("least").alias("root"), "size", "views", "sketch"), "nodes")
     rows = written(own.select("doc_id", "hash"), "rows")
-    discard(own)
-    by_bits = nodes.where("hash <> root").select(F.col("root").alias("a"), F.col("hash").alias("b"))
+    for table in (own, distinct, found):
+        discard(table)
     candidates = _similar_pairs(nodes, least)
-    left = _sorted_out(candidates, nodes, least)
-    links = written(by_bits.unionByName(exact(left, docs, n, least)), "near")
-    discard(candidates)
-    discard(left)
+    left = _sorted_out(candidates.unionByName(_bit_pairs(nodes.where("size > 0"), near)), nodes, least)
+    empty = nodes.where("size = 0").select("hash")
+    void = empty.join(empty.agg(F.min("hash").alias("a"))).where("a <> hash").select("a", F.col("hash").alias("b"))
+    verified = exact(left, docs, n, least)
+    links = written(verified.unionByName(void), "near")
+    for table in (near, candidates, left, verified):
+        discard(table)
     parts = written(connected_components(links), "found")
     pairs = _prefix_pairs(docs, nodes, parts, n, least)
     left = _sorted_out(pairs, nodes, least)
@@ -434,14 +464,13 @@ def keep_one(docs: DataFrame, n: int = 5, radius: int = 3, blocks: int = 4, leas
     first = grouped.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("group").alias("g"), "first.doc_id", "first.hash")
     met = grouped.select("doc_id", "hash", "group").join(first.select("g", F.col("doc_id").alias("first_id"), F.col("hash").alias("first_hash")), F.col("group") == F.col("g"))
     stays = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("hash") == F.col("first_hash"))
-    keys = written(met.groupBy(_row_key(F.col("doc_id"), F.col("hash")).alias("gone")).agg(F.bool_or(stays).alias("stays"), F.count("*").alias("n")).where("NOT stays OR n > 1"), "gone")
+    # A row is known by its doc_id and the hash of its text.
+    keys = met.groupBy("doc_id", "hash").agg(F.bool_or(stays).alias("stays"), F.count("*").alias("n")).where("NOT stays OR n > 1")
+    keys = written(keys.select(F.col("doc_id").alias("gone_id"), F.col("hash").alias("gone_hash"), "stays"), "gone")
     for table in (rows, nodes, links, more, pairs, parts):
         discard(table)
-    every = docs.select(_row_key(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("key"), packed(docs).alias("row"))
-    alone = every.join(keys, F.col("key") == F.col("gone"), "left_anti")
-    again = every.join(keys.where("stays"), F.col("key") == F.col("gone"), "left_semi").dropDuplicates(["key"])
+    every = docs.select(F.col("doc_id").cast("long").alias("key_id"), F.xxhash64("text").alias("key_hash"), packed(docs).alias("row"))
+    same = F.col("key_id").eqNullSafe(F.col("gone_id")) & (F.col("key_hash") == F.col("gone_hash"))
+    alone = every.join(keys, same, "left_anti")
+    again = every.join(keys.where("stays"), same, "left_semi").dropDuplicates(["key_id", "key_hash"])
     return alone.unionByName(again).select("row.*")
-
-
-def _row_key(doc_id: Column, text_hash: Column) -> Column:
-    return F.xxhash64(doc_id, text_hash)
