@@ -9,7 +9,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veinstone.llm import bpe, langid, lines, mixing, simhash
-from veinstone.llm.common import shared_dir
+from veinstone.llm.common import discard, scratch, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -64,10 +63,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents table; of what they write in the shared folder only the last result stays."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch():
+            made = written(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
+        if before is not None:
+            discard(before)
+        docs = before = made
     return docs
