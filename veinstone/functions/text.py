@@ -48,6 +48,11 @@ def normalize(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-cased words and numbers; of a run of CJK characters its overlapping pairs (or the only character)."""
+    plain = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.when(text.rlike(f"[{CJK}]"), _mixed_tokens(text)).otherwise(plain)
+
+
+def _mixed_tokens(text: Column) -> Column:
     runs = F.regexp_extract_all(F.lower(text), F.lit(f"[{CJK}]+|[[\\p{{L}}\\p{{N}}]&&[^{CJK}]]+"), F.lit(0))
     pair = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))
     return F.flatten(F.transform(runs, lambda r: F.when(r.rlike(f"^[{CJK}]") & (F.length(r) > 1), pair(r)).otherwise(F.array(r))))

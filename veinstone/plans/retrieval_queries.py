@@ -5,12 +5,15 @@ The tables stand for fragments: `embeddings` has the vectors (label plays the so
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import dense, fusion, lexical
-from ..session import spread, table
+from ..operators.postings import Postings
+from ..session import shared_dir, spread, stamp, table
 from .registry import Inline, Registry
 
 registry = Registry()
@@ -126,22 +129,53 @@ SELECT query_id, id, round(sum(part), 6) AS score FROM w JOIN qt USING (term) GR
 _BODY = f"SELECT doc_id AS id, {_TOK.format('text')} AS tok FROM documents"
 
 
-def _lexical(spark: SparkSession, sf: str, scope: DataFrame | None = None) -> DataFrame:
-    docs = spread(table(spark, sf, "documents"))
-    if scope is not None:
-        docs = docs.join(scope, "lang", "left_semi")
-    made = lexical.documents(docs, "doc_id", text.tokens(F.col("text")))
-    return lexical.bm25(made, lexical.query_terms(QUERIES.df(spark), text.tokens(F.col("query"))))
+_built: dict[tuple, Postings] = {}
+
+
+def index_of(spark: SparkSession, sf: str, name: str, tokens: Column) -> Postings:
+    """The full-text index of a field of `documents`, kept in the shared folder for as long as the session lasts and the table is the same."""
+    key = (spark.sparkContext.applicationId, name, stamp(spark, f"{sf}/documents.parquet"))
+    if key not in _built:
+        docs = spread(table(spark, sf, "documents")).select(F.col("doc_id").alias("id"), tokens.alias("tokens"))
+        _built[key] = Postings.built(docs, f"{shared_dir(spark)}/postings-{uuid.uuid4().hex}")
+    return _built[key]
+
+
+def _body(spark: SparkSession, sf: str) -> Postings:
+    return index_of(spark, sf, "body", text.tokens(F.col("text")))
+
+
+def _asked(spark: SparkSession) -> DataFrame:
+    return lexical.query_terms(QUERIES.df(spark), text.tokens(F.col("query")))
+
+
+def _lexical(spark: SparkSession, sf: str, k: int) -> DataFrame:
+    return dense.ranked(_body(spark, sf).best(_asked(spark), k), k)
 
 
 @query("bm25_topk", f"SELECT query_id, id, score, rank FROM ({_ranked('(' + _bm25_sql(_BODY) + ')', 10)})")
 def bm25_topk(spark, sf):
-    return dense.ranked(_lexical(spark, sf), 10)
+    return _lexical(spark, sf, 10)
+
+
+@query("bm25_pruned", f"SELECT query_id, id, score, rank FROM ({_ranked('(' + _bm25_sql(_BODY) + ')', 3)})")
+def bm25_pruned(spark, sf):
+    """The three best, with proof that stripes left closed hold none of them, however small the index."""
+    return dense.ranked(_body(spark, sf).best(_asked(spark), 3, few=0), 3)
+
+
+@query("index_postings", f"SELECT term, CAST(count(*) AS BIGINT) AS df, CAST(sum(tf) AS BIGINT) AS total, CAST(max(tf) AS INT) AS most, CAST(min(len) AS INT) AS shortest, CAST(sum(id) AS BIGINT) AS ids FROM (SELECT id, len(tok) AS len, term, count(*) AS tf FROM (SELECT id, tok, unnest(tok) AS term FROM ({_BODY})) GROUP BY ALL) GROUP BY term")
+def index_postings(spark, sf):
+    """What the blocks of each term hold together."""
+    blocks = _body(spark, sf).rows.where("term IS NOT NULL")
+    ids = F.sum(F.aggregate("ids", F.lit(0).cast("long"), lambda s, x: s + x))
+    return blocks.groupBy("term").agg(F.sum("n").alias("df"), F.sum("total").alias("total"), F.max("most").alias("most"), F.min("shortest").alias("shortest"), ids.alias("ids"))
 
 
 @query("bm25_scoped", f"SELECT query_id, id, score, rank FROM ({_ranked('(' + _bm25_sql(_BODY + chr(32) + 'WHERE lang = ' + chr(39) + 'fr' + chr(39)) + ')', 10)})")
 def bm25_scoped(spark, sf):
-    return dense.ranked(_lexical(spark, sf, spark.createDataFrame([("fr",)], "lang string")), 10)
+    french = table(spark, sf, "documents").where("lang = 'fr'").select(F.col("doc_id").alias("id"))
+    return dense.ranked(_body(spark, sf).scores(_asked(spark), french), 10)
 
 
 _TITLE = f"SELECT doc_id AS id, {_TOK.format('string_split(text, chr(10))[1]')} AS tok FROM documents"
@@ -150,10 +184,8 @@ _TITLE = f"SELECT doc_id AS id, {_TOK.format('string_split(text, chr(10))[1]')}
 @query("bm25_fields", f"SELECT query_id, id, score, rank FROM ({_ranked('(SELECT query_id, id, round(sum(score), 6) AS score FROM (SELECT * FROM (' + _bm25_sql(_BODY) + ') UNION ALL SELECT * FROM (' + _bm25_sql(_TITLE) + ')) GROUP BY query_id, id)', 10)})")
 def bm25_fields(spark, sf):
     """Body plus title, where the first line stands for the title; the CJK field gives the same terms here and so the same maximum."""
-    body = _lexical(spark, sf)
-    terms = lexical.query_terms(QUERIES.df(spark), text.tokens(F.col("query")))
-    title = lexical.bm25(lexical.documents(spread(table(spark, sf, "documents")), "doc_id", text.tokens(F.get(F.split("text", "\n"), F.lit(0)))), terms)
-    return dense.ranked(lexical.combined([body], title), 10)
+    title = index_of(spark, sf, "title", text.tokens(F.get(F.split("text", "\n"), F.lit(0))))
+    return dense.ranked(lexical.combined([_body(spark, sf).scores(_asked(spark))], title.scores(_asked(spark))), 10)
 
 
 ROUTES = Inline("route string, query_id long, id long, rank int", [("a", 1, 11, 1), ("a", 1, 12, 2), ("a", 1, 13, 3), ("b", 1, 13, 1), ("b", 1, 14, 2), ("b", 1, 11, 3), ("a", 2, 5, 1), ("b", 2, 4, 1), ("b", 2, 5, 9)])
@@ -187,7 +219,7 @@ SELECT query_id, id, score, rank FROM ({_ranked('f', K)}) UNION ALL SELECT query
 
 @query("hybrid_rrf", _HYBRID)
 def hybrid_rrf(spark, sf):
-    return fusion.hybrid(dense.ranked(_dense_text(spark, sf), 3 * K), dense.ranked(_lexical(spark, sf), 3 * K), K)
+    return fusion.hybrid(dense.ranked(_dense_text(spark, sf), 3 * K), _lexical(spark, sf, 3 * K), K)
 
 
 @query("rerank", f"""
@@ -195,12 +227,12 @@ WITH p AS (SELECT query_id, id FROM ({_ranked('(' + _bm25_sql(_BODY) + ')', 3 *
 c AS (SELECT p.query_id, p.id, list_distinct({_TOK.format('q.query')}) AS asked, list_distinct({_TOK.format('d.text')}) AS has FROM p JOIN (SELECT * FROM {QUERIES.values}) q ON p.query_id = q.query_id JOIN documents d ON p.id = d.doc_id)
 SELECT query_id, id, score, rank FROM ({_ranked('(SELECT query_id, id, round(len(list_intersect(asked, has)) / len(asked)::DOUBLE, 6) AS score FROM c)', K)})""")
 def rerank(spark, sf):
-    pool = dense.ranked(_lexical(spark, sf), 3 * K).select("query_id", "id")
+    pool = _lexical(spark, sf, 3 * K).select("query_id", "id")
     texts = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     return fusion.rerank(pool.join(QUERIES.df(spark), "query_id").join(texts, "id"), K)
 
 
 @query("papers_by_hits", f"SELECT source, CAST(count(*) AS BIGINT) AS hits FROM ({_ranked('(' + _bm25_sql(_BODY) + ')', 50)}) h JOIN documents d ON h.id = d.doc_id GROUP BY source ORDER BY hits DESC, source LIMIT 10")
 def papers_by_hits(spark, sf):
-    found = dense.ranked(_lexical(spark, sf), 50).join(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source"), "id")
+    found = _lexical(spark, sf, 50).join(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source"), "id")
     return found.groupBy("source").agg(F.count("*").alias("hits")).orderBy(F.desc("hits"), "source").limit(10)
