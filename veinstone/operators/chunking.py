@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -15,10 +15,12 @@ from ..functions.structure import Chunking
 FRAGMENT = "source_key string, document_hash string, chunk_index int, text string, section_path array<string>, page_start int, page_end int, char_count int"
 
 
-def fragments(docs: DataFrame, chunking: Chunking = Chunking()) -> DataFrame:
+def fragments(docs: DataFrame, chunking: Chunking = Chunking(), walk_pages: Callable = structure.chunks, guarded: bool = False) -> DataFrame:
     """fragment_id and FRAGMENT columns of documents (source_key, document_hash, pages: array<struct<page_number, text>>).
 
-    Each document is walked in one task; nothing is shuffled. An empty document gives no row.
+    Each document is walked in one task; nothing is shuffled. An empty document gives no row. `walk_pages` makes the
+    units of a document's pages. With `guarded` there is a column `error` too: a document that fails is one
+    row with it and without a fragment, and the others go on.
     """
     chunking.checked()
 
@@ -26,14 +28,22 @@ def fragments(docs: DataFrame, chunking: Chunking = Chunking()) -> DataFrame:
         for batch in batches:
             rows = []
             for key, digest, pages in zip(*(c for c in batch.columns), strict=True):
-                made = structure.chunks([(p["page_number"], p["text"] or "") for p in pages.as_py() or []], chunking)
-                rows += [(key.as_py(), digest.as_py(), k, u.text, list(u.path), u.first, u.last, len(u.text)) for k, u in enumerate(made)]
-            columns = list(zip(*rows, strict=True)) or [()] * 8
-            types = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in FRAGMENT.split(", ")])
-
-    made = docs.select("source_key", "document_hash", "pages").mapInArrow(walk, FRAGMENT)
-    return made.select(identity.fragment_id(F.col("source_key"), F.col("document_hash"), F.col("section_path"), F.col("chunk_index")).alias("fragment_id"), "*")
+                try:
+                    made = walk_pages([(p["page_number"], p["text"] or "") for p in pages.as_py() or []], chunking)
+                    rows += [(key.as_py(), digest.as_py(), k, u.text, list(u.path), u.first, u.last, len(u.text), None) for k, u in enumerate(made)]
+                except Exception as error:  # noqa: BLE001 - recorded with the document
+                    if not guarded:
+                        raise
+                    rows.append((key.as_py(), digest.as_py(), *[None] * 6, f"{type(error).__name__}: {error}"))
+            columns = list(zip(*rows, strict=True)) or [()] * 9
+            types = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in schema.split(", ")])
+
+    schema = f"{FRAGMENT}, error string"
+    made = docs.select("source_key", "document_hash", "pages").mapInArrow(walk, schema)
+    named = F.when(F.col("error").isNull(), identity.fragment_id(F.col("source_key"), F.col("document_hash"), F.col("section_path"), F.col("chunk_index")))
+    made = made.select(named.alias("fragment_id"), "*")
+    return made if guarded else made.drop("error")
 
 
 def pages(text: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import citations, identity, stem, structure, text
 from ..operators import dense, evaluation, evidence, fusion, lexical
-from ..sources.store import Store
+from ..sources.segments import Segments
 from . import ingest, models
 from .settings import Settings
 
@@ -26,12 +26,12 @@ class Index:
     """The tables of an index's current version."""
 
     spark: SparkSession
-    store: Store
+    store: Segments
     settings: Settings
 
     @classmethod
     def open(cls, spark: SparkSession, root: str, settings: Settings = Settings()) -> Index:
-        return cls(spark, Store(spark, f"{root}/{settings.fingerprint()}"), settings)
+        return cls(spark, ingest.opened(spark, root, settings), settings)
 
     @property
     def fragments(self) -> DataFrame:
@@ -45,9 +45,10 @@ class Index:
     def vectors(self) -> DataFrame:
         return self.store.read("vectors", ingest.VECTORS)
 
-    @property
-    def terms(self) -> DataFrame:
-        return self.store.read("terms", ingest.TERMS)
+    def lexical(self, field: str, words: DataFrame, allowed: DataFrame | None) -> DataFrame:
+        """query_id, id, score of all fragments with a hit in a full-text field; statistics are those of the scope."""
+        scope = None if allowed is None else _scoped(self.fragments, allowed).select(F.col("fragment_id").alias("id"))
+        return ingest.postings_of(self.store, field).scores(words, scope)
 
     def status(self) -> dict:
         """Counts of the current version; never raises for a missing one."""
@@ -63,10 +64,14 @@ class TableIndex(Index):
         self.spark, self.settings = fragments.sparkSession, settings
         self._tables = (fragments, sources, ingest.embedded(fragments, settings.model.dims), ingest.terms(fragments))
 
+    def lexical(self, field: str, words: DataFrame, allowed: DataFrame | None) -> DataFrame:
+        column, length = (("tokens", "length"), ("stems", "stem_length"))[field == "english"]
+        rows = _scoped(self._tables[3], allowed)
+        return lexical.bm25(rows.select(F.col("fragment_id").alias("id"), F.col(column).alias("tokens"), F.col(length).alias("length")), words)
+
     fragments = property(lambda self: self._tables[0])
     sources = property(lambda self: self._tables[1])
     vectors = property(lambda self: self._tables[2])
-    terms = property(lambda self: self._tables[3])
 
 
 def _scoped(rows: DataFrame, allowed: DataFrame | None) -> DataFrame:
@@ -101,10 +106,8 @@ def search(index: Index, questions: DataFrame, k: int | None = None, strategy: s
         out = chosen.join(names, (F.col("query_id") == F.col("q")) & (F.col("id") == F.col("m")))
         return out.select("query_id", F.col("fragment").alias("id"), "score", "rank", F.lit("mmr").alias("origin"))
     words = lexical.query_terms(asked, text.tokens(text.normalize(F.col("query"))))
-    scoped = _scoped(index.terms, allowed).withColumnRenamed("fragment_id", "id")
-    plain = lexical.bm25(scoped.select("id", "tokens", "length"), words)
-    stemmed = lexical.query_terms(asked, stem.text_stems(F.col("query")))
-    english = lexical.bm25(scoped.select("id", F.col("stems").alias("tokens"), F.col("stem_length").alias("length")), stemmed)
+    plain = index.lexical("words", words, allowed)
+    english = index.lexical("english", lexical.query_terms(asked, stem.text_stems(F.col("query"))), allowed)
     title = _titles(index, words, allowed)
     found = dense.ranked(lexical.combined([plain, english], title), pool)
     if strategy == "hybrid_rrf":

@@ -1,7 +1,8 @@
 """Versioned tables of an index: written beside the old ones, then made current in one step.
 
-A version is a folder of Parquet tables; the file CURRENT names the one that readers take. It is
-replaced by a rename, so that a reader sees the old version or the new one, and a failed build neither.
+The file CURRENT names the version that readers take. It is replaced by a rename, so that a reader sees the old
+version or the new one, and a failed build neither. On an object store, where a rename is a copy, the pointer is one
+small object: readers see the old one or the new one there too.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import hashlib
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 SCHEMA_VERSION = 1
 
@@ -38,21 +39,9 @@ class Store:
         except (ValueError, KeyError, TypeError):
             return None
 
-    def read(self, name: str, schema: str) -> DataFrame:
-        """A table of the current version; empty without one."""
-        version = self.current()
-        if version is None or not self._fs.exists(self._path(f"{self.root}/{version}/{name}")):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{version}/{name}")
-
     def begin(self) -> str:
         return f"v-{uuid.uuid4().hex[:12]}"
 
-    def write(self, version: str, name: str, rows: DataFrame) -> DataFrame:
-        path = f"{self.root}/{version}/{name}"
-        rows.write.parquet(path)
-        return self.spark.read.schema(rows.schema).parquet(path)
-
     def commit(self, version: str) -> None:
         """Make `version` the current one."""
         stream = self._fs.create(self._path(f"{self.root}/CURRENT.{version}"), True)
