@@ -411,7 +411,13 @@ def _prefix_pairs(docs: DataFrame, nodes: DataFrame, groups: DataFrame, n: int,
 
 
 def _bit_pairs(nodes: DataFrame, near: DataFrame) -> DataFrame:
-    """(a, b) of nodes (hash, fp) with one fingerprint, each with the first of them, and of the first of fingerprints that are near."""
+    """(a, b) of nodes (hash, fp) with one fingerprint, each with the first of them, and of the first of fingerprints that are near.
+
+    Each fingerprint is paired with the smallest and the greatest that it is known to be near, so pairs are no more than twice the nodes.
+    """
+    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    ends = both.groupBy("a").agg(F.array(F.min("b"), F.max("b")).alias("b")).select("a", F.explode("b").alias("b"))
+    near = ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     lead = nodes.groupBy("fp").agg(F.min("hash").alias("lead")).withColumnRenamed("fp", "f")
     same = nodes.join(lead, F.col("fp") == F.col("f")).where("hash <> lead").select(F.col("lead").alias("a"), F.col("hash").alias("b"))
     side = lambda c: lead.select(F.col("f").alias(f"{c}_fp"), F.col("lead").alias(f"{c}_lead"))
@@ -446,7 +452,7 @@ def keep_one(docs: DataFrame, n: int = 5, radius: int = 3, blocks: int = 4, leas
     for table in (own, distinct, found):
         discard(table)
     candidates = _similar_pairs(nodes, least)
-    left = _sorted_out(candidates.unionByName(_bit_pairs(nodes.where("size > 0"), near)), nodes, least)
+    left = _sorted_out(candidates.unionByName(_bit_pairs(nodes.where("size > 0"), near)).distinct(), nodes, least)
     empty = nodes.where("size = 0").select("hash")
     void = empty.join(empty.agg(F.min("hash").alias("a"))).where("a <> hash").select("a", F.col("hash").alias("b"))
     verified = exact(left, docs, n, least)
