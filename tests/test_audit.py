@@ -1,8 +1,8 @@
 import difflib
+import random
+import re
 
-import pytest
-
-from veinstone.operators import audit, vector_store
+from veinstone.operators import audit
 
 
 def test_dependencies(spark):
@@ -36,12 +36,38 @@ def test_nearest_strings(spark):
     assert out == brute and out
 
 
-def test_vector_store(spark):
-    schema = "id long, source_key string, embedding array<double>"
-    table = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "b", [0.0, 1.0])], schema)
-    new = vector_store.added(table, spark.createDataFrame([(2, "b", [0.6, 0.8]), (3, "a", [1.0, 0.0])], schema), 2)
-    assert {r.id: r.embedding for r in new.collect()} == {1: [1.0, 0.0], 2: [0.6, 0.8], 3: [1.0, 0.0]}
-    with pytest.raises(vector_store.InvalidVectors, match="4: not unit"):
-        vector_store.added(table, spark.createDataFrame([(4, "a", [2.0, 0.0])], schema), 2)
-    left, n = vector_store.removed(new, "a")
-    assert n == 2 and vector_store.removed(left, "a")[1] == 0
+def test_nearest_strings_are_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(audit, "STRINGS", 60)
+    rng = random.Random(3)
+    words = ["ab", "cd", "ef", "gh", "screen", "evidence", "中文", "10.1234/x"]
+    say = lambda: rng.choice("-_ ").join(rng.choice(words) for _ in range(rng.randint(1, 12)))
+    t, r = [*(say() for _ in range(250)), "ab-cd-ef-gh-ij-kl-mn", "ab"], [*(say() for _ in range(250)), "ab_cd_ef_gh_ij_kl_mn", "abc"]
+    found = audit.nearest_strings(spark.createDataFrame([(x,) for x in t], "s string"), spark.createDataFrame([(x,) for x in r], "s string"), 0.6, 20)
+    expected = {}
+    for a in set(t):
+        scored = [(difflib.SequenceMatcher(None, a, b, autojunk=False), b) for b in set(r)]
+        scored = [(m.ratio(), b, sum(x.size for x in m.get_matching_blocks())) for m, b in scored]
+        good = [x for x in scored if x[0] >= 0.6]
+        if good:
+            expected[a] = (*max(good), any(x[2] >= 20 for x in good))
+    out = {x.s: (x.similarity, x.r, x.matched, x.violation) for x in found.collect()}
+    assert out == expected and "ab-cd-ef-gh-ij-kl-mn" in out and out["ab"]
+    listed = audit.worst_first(found, 30).collect()
+    assert [(not x.violation, -x.similarity, -x.matched, x.s) for x in listed] == sorted((not v[3], -v[0], -v[2], s) for s, v in out.items())[:30]
+
+
+def test_the_bound_spares_most_pairs():
+    rng = random.Random(4)
+    strings = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(30)) for _ in range(200)]
+    found, done = audit.compared(strings[:100], [*strings[100:], strings[0]], 0.6, 20)
+    assert [f[0] for f in found] == [strings[0]] and done < 0.3 * 100 * 101
+
+
+def test_names_by_one_automaton(spark):
+    names = ["he", "she", "hers", "his", "a.b", "x_y", "Straße", "中"]
+    texts = ["She said he is hers, not his; SHE-he", "ushers he_ _he he1 he", "a.b A.B axb a.bc", "x_y x_yz", "straße STRASSE", "中文 中 x中", "", None]
+    rows = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "id long, text string, n int")
+    out = {(r.id, r["name"], r.hits) for r in audit.name_hits(rows, names).collect()}
+    expected = {(k, n, c) for k, t in enumerate(texts) if t for n in names if (c := len(re.findall(rf"(?<![A-Za-z0-9_])(?={re.escape(n.lower())}(?![A-Za-z0-9_]))", t.lower())))}
+    assert out == expected
+    assert audit.name_hits(rows, []).collect() == []

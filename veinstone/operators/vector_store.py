@@ -1,26 +1,26 @@
-"""Changes to a table of vectors (id, source_key, embedding); each returns the new table."""
+"""A table of unit vectors (id, source_key, embedding) by id."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import state
-from .dense import faults, norm
+from ..sources.keyed import KeyedTable, Refused
+from .dense import faults
 
+InvalidVectors = Refused
 
-class InvalidVectors(ValueError):
-    """A batch that can't be added; names the first bad ids."""
 
+class VectorStore(KeyedTable):
+    """Vectors of one dimension; a batch with one that is empty, of another dimension, not finite or not of length 1 is refused."""
 
-def added(table: DataFrame, batch: DataFrame, dims: int, tolerance: float = 1e-3) -> DataFrame:
-    """The batch's vectors in place of those with their ids. One bad vector and nothing is added."""
-    bad = batch.select("id", faults(F.col("embedding"), dims, tolerance).alias("fault"), norm(F.col("embedding")).alias("norm")).where("fault IS NOT NULL").orderBy("id").limit(5).collect()
-    if bad:
-        raise InvalidVectors("; ".join(f"{r.id}: {r.fault} (norm {r.norm})" for r in bad))
-    return state.upsert(table, batch, "id")
+    def __init__(self, spark: SparkSession, root: str, dims: int, kind: str = "bigint", tolerance: float = 1e-3, buckets: int = 16):
+        super().__init__(spark, root, "id", f"id {kind}, source_key string, embedding array<double>", buckets, lambda: faults(F.col("embedding"), dims, tolerance))
 
-
-def removed(table: DataFrame, source_key: str) -> tuple[DataFrame, int]:
-    """The table without a source's vectors, and how many those were; none the second time."""
-    return table.where(F.col("source_key") != source_key), table.where(F.col("source_key") == source_key).count()
+    def remove_source(self, source_key: str) -> int:
+        """Remove a source's vectors; how many those were, none the second time."""
+        gone: DataFrame = self.read().where(F.col("source_key") == source_key).select("id")
+        n = gone.count()
+        if n:
+            self.delete(gone)
+        return n

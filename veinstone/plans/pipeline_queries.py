@@ -11,19 +11,19 @@ from ..functions import identity, structure, text
 from ..operators import chunking
 from ..session import spread, table
 from . import ask, ingest, models
-from .registry import Inline, Registry
+from .registry import Inline, Registry, Templates
 from .settings import Retrieval, Settings
 
 registry = Registry()
 query = registry.query
 
-TEXTS = Inline("id long, text string", [(1, "雨停了。天晴了！后来……完"), (2, "Compare Fig. 7 with this. Both agree."), (3, "Rain fell 2.75 mm. K. Brandt et al. agree! \"Yes.\" he said. No?"), (4, "e.g. this one. next goes on. Next ends"), (5, ""), (6, "中文。English follows. 再来")])
-_SENTENCES = Inline("id long, k int, sentence string", [(1, 0, "雨停了。"), (1, 1, "天晴了！"), (1, 2, "后来……"), (1, 3, "完"), (2, 0, "Compare Fig. 7 with this."), (2, 1, "Both agree."), (3, 0, "Rain fell 2.75 mm."), (3, 1, "K. Brandt et al. agree!"), (3, 2, '"Yes." he said.'), (3, 3, "No?"), (4, 0, "e.g. this one. next goes on."), (4, 1, "Next ends"), (6, 0, "中文。"), (6, 1, "English follows."), (6, 2, "再来")])
+TEXTS = Templates("id long, text string", [(1, "雨停了@id@。天晴了！后来……完"), (2, "Compare Fig. @id@ with this. Both agree."), (3, "Rain fell 2.75 mm. K. Brandt et al. agree! \"Yes.\" he said. No?"), (4, "e.g. this one. next goes on. Next ends"), (5, ""), (6, "中文。English follows @id@. 再来")])
+_SENTENCES = Templates("id long, k int, sentence string", [(1, 0, "雨停了@id@。"), (1, 1, "天晴了！"), (1, 2, "后来……"), (1, 3, "完"), (2, 0, "Compare Fig. @id@ with this."), (2, 1, "Both agree."), (3, 0, "Rain fell 2.75 mm."), (3, 1, "K. Brandt et al. agree!"), (3, 2, '"Yes." he said.'), (3, 3, "No?"), (4, 0, "e.g. this one. next goes on."), (4, 1, "Next ends"), (6, 0, "中文。"), (6, 1, "English follows @id@."), (6, 2, "再来")], n=6)
 
 
-@query("sentence_cases", f"SELECT CAST(id AS BIGINT) AS id, CAST(k AS INT) AS k, sentence FROM {_SENTENCES.values}")
+@query("sentence_cases", f"SELECT id, k, sentence FROM {_SENTENCES.values}")
 def sentence_cases(spark, sf):
-    return TEXTS.df(spark).select("id", F.posexplode(chunking.sentences(F.col("text"))).alias("k", "sentence"))
+    return TEXTS.df(spark, sf).select("id", F.posexplode(chunking.sentences(F.col("text"))).alias("k", "sentence"))
 
 
 @query("sentences")
@@ -88,17 +88,17 @@ def chunk_invariants(spark, sf):
     )
 
 
-REPLIES = Inline("id long, content string", [(1, '{"relevance_score": 8, "summary": "s"}'), (2, '```json\n{"score": "7/10", "text": "t"}\n```'), (3, "<think>no {</think> so: {\"relevance\": 3, \"summary\": \"a } b\"} end"), (4, "{relevance: 4, summary: \"x\",}"), (5, "nothing"), (6, ""), (7, None), (8, "[1, 2]")])
-_PARSED = Inline("id long, parsed string", [(1, '{"relevance_score": 8, "summary": "s"}'), (2, '{"score": "7/10", "text": "t"}'), (3, '{"relevance": 3, "summary": "a } b"}'), (4, '{"relevance": 4, "summary": "x"}'), (5, None), (6, None), (7, None), (8, None)])
+REPLIES = Templates("id long, content string", [(1, '{"relevance_score": 8, "summary": "s@id@"}'), (2, '```json\n{"score": "7/10", "text": "t@id@"}\n```'), (3, "<think>no {</think> so: {\"relevance\": 3, \"summary\": \"a } b\"} end"), (4, "{relevance: 4, summary: \"x\",}"), (5, "nothing"), (6, ""), (7, None), (8, "[1, 2]")])
+_PARSED = Templates("id long, parsed string", [(1, '{"relevance_score": 8, "summary": "s@id@"}'), (2, '{"score": "7/10", "text": "t@id@"}'), (3, '{"relevance": 3, "summary": "a } b"}'), (4, '{"relevance": 4, "summary": "x"}'), (5, None), (6, None), (7, None), (8, None)])
 
 
-@query("json_parse", f"SELECT CAST(id AS BIGINT) AS id, parsed FROM {_PARSED.values}")
+@query("json_parse", f"SELECT id, parsed FROM {_PARSED.values}")
 def json_parse(spark, sf):
     def run(contents: pd.Series) -> pd.Series:
         found = (structure.json_object(c) for c in contents)
         return pd.Series([None if f is None else json.dumps(f, sort_keys=True) for f in found], dtype=object)
 
-    return REPLIES.df(spark).select("id", F.pandas_udf(run, "string")("content").alias("parsed"))
+    return REPLIES.df(spark, sf).select("id", F.pandas_udf(run, "string")("content").alias("parsed"))
 
 
 QUESTIONS = Inline("query_id long, query string", [(1, "there with ension"), (2, "License version"), (3, "")])

@@ -8,27 +8,27 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation, metadata
 from ..session import table
-from .registry import Inline, Registry
+from .registry import Inline, Registry, Templates
 
 registry = Registry()
 query = registry.query
 
 FIELDS = ["title", "year", "venue", "doi", "citation_count", "is_oa", "quality_tier", "retracted"]
-MATCHES = Inline(
-    "source_key string, provider string, confidence string, score double, title string, year int, venue string, doi string, citation_count int, is_oa boolean, quality_tier int, retracted boolean",
+MATCHES = Templates(
+    "source long, provider string, confidence string, score double, title string, year int, venue string, doi string, citation_count int, is_oa boolean, quality_tier int, retracted boolean",
     [
-        ("s1", "crossref", "doi", 1.0, "Title C", 2020, None, "10.1/a", 5, None, None, None),
-        ("s1", "semantic_scholar", "title", 0.9, "Title S", 2019, "Venue S", None, 9, None, None, None),
-        ("s1", "openalex", "doi", 1.0, "Title O", None, "Venue O", None, 7, True, 2, None),
-        ("s2", "crossref", "title", 0.5, "Wrong", 1999, "W", None, 1, None, None, None),
-        ("s2", "openalex", "title", 0.8, "Right", 2001, None, None, None, False, 0, None),
-        ("s3", "retraction", "doi", 1.0, None, None, None, None, None, None, None, True),
-        ("s3", "zeta", "none", 0.0, "Z", 1990, None, None, None, None, None, False),
-        ("s3", "alpha", "none", 0.0, "A", 1991, None, None, None, None, None, None),
-        ("s4", "crossref", "title", 0.1, "Low", None, None, None, None, None, None, None),
+        (1, "crossref", "doi", 1.0, "Title C @id@", 2020, None, "10.1/a@id@", 5, None, None, None),
+        (1, "semantic_scholar", "title", 0.9, "Title S @id@", 2019, "Venue S", None, 9, None, None, None),
+        (1, "openalex", "doi", 1.0, "Title O", None, "Venue O @source@", None, 7, True, 2, None),
+        (2, "crossref", "title", 0.5, "Wrong", 1999, "W", None, 1, None, None, None),
+        (2, "openalex", "title", 0.8, "Right @id@", 2001, None, None, None, False, 0, None),
+        (3, "retraction", "doi", 1.0, None, None, None, None, None, None, None, True),
+        (3, "zeta", "none", 0.0, "Z", 1990, None, None, None, None, None, False),
+        (3, "alpha", "none", 0.0, "A", 1991, None, None, None, None, None, None),
+        (4, "crossref", "title", 0.1, "Low", None, None, None, None, None, None, None),
     ],
 )
-BASE = Inline("source_key string, title string, year int, venue string, doi string, citation_count int, is_oa boolean, quality_tier int, retracted boolean", [("s1", "Own title", None, None, None, None, None, None, False), ("s2", None, None, None, None, None, None, None, True), ("s3", None, 2005, None, None, None, None, None, None), ("s4", None, None, None, None, None, None, None, None), ("s5", "Alone", 1, None, None, None, None, None, None)])
+BASE = Templates("source long, title string, year int, venue string, doi string, citation_count int, is_oa boolean, quality_tier int, retracted boolean", [(1, "Own title @id@", None, None, None, None, None, None, False), (2, None, None, None, None, None, None, None, True), (3, None, 2005, None, None, None, None, None, None), (4, None, None, None, None, None, None, None, None), (5, "Alone", 1, None, None, None, None, None, None)])
 
 
 def _pick(f: str) -> str:
@@ -39,10 +39,11 @@ def _pick(f: str) -> str:
 
 
 @query("metadata_merge", f"""
-WITH m AS (SELECT source_key, {', '.join(map(_pick, FIELDS))} FROM {MATCHES.values} WHERE confidence <> 'title' OR score >= 0.8 GROUP BY source_key)
-SELECT b.source_key, {', '.join(f'coalesce(b.{f}, false) OR coalesce(m.{f}, false) AS {f}' if f == 'retracted' else f'coalesce(b.{f}, m.{f}) AS {f}' for f in FIELDS)} FROM (SELECT * FROM {BASE.values}) b LEFT JOIN m ON b.source_key = m.source_key""")
+WITH m AS (SELECT source_key, {', '.join(map(_pick, FIELDS))} FROM (SELECT CAST(source AS VARCHAR) AS source_key, * EXCLUDE (source) FROM {MATCHES.values}) WHERE confidence <> 'title' OR score >= 0.8 GROUP BY source_key)
+SELECT b.source_key, {', '.join(f'coalesce(b.{f}, false) OR coalesce(m.{f}, false) AS {f}' if f == 'retracted' else f'coalesce(b.{f}, m.{f}) AS {f}' for f in FIELDS)} FROM (SELECT CAST(source AS VARCHAR) AS source_key, * EXCLUDE (source) FROM {BASE.values}) b LEFT JOIN m ON b.source_key = m.source_key""")
 def metadata_merge(spark, sf):
-    return metadata.fill(BASE.df(spark), metadata.merge(MATCHES.df(spark), FIELDS), FIELDS)
+    keyed = lambda rows: rows.withColumn("source_key", F.col("source").cast("string")).drop("source")
+    return metadata.fill(keyed(BASE.df(spark, sf)), metadata.merge(keyed(MATCHES.df(spark, sf)), FIELDS), FIELDS)
 
 
 RETRACTED = Inline("doi string", [("https://doi.org/10.5/7",), ("DOI:10.5/12",), (" 10.5/X1 ",), (None,)])
@@ -64,30 +65,33 @@ def title_match(spark, sf):
     return metadata.best_titles(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), first), table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), first))
 
 
-def _payloads(rows: list[tuple[int, object]]) -> Inline:
-    return Inline("id long, payload string", [(i, p if isinstance(p, str) else json.dumps(p)) for i, p in rows])
+def _payloads(rows: list[tuple[int, object]]) -> Templates:
+    return Templates("id long, payload string", [(i, p if isinstance(p, str) else json.dumps(p)) for i, p in rows])
 
 
 CROSSREF = _payloads([
-    (1, {"title": ["", "<i>Deep</i> Nets"], "author": [{"given": "Ada", "family": "Lovelace"}, {"family": "Turing"}, {"name": "A Group"}], "issued": {"date-parts": [[2019, 3]]}, "DOI": "10.1/ABC", "container-title": ["J. Tests"], "is-referenced-by-count": 12}),
+    (1, {"title": ["", "<i>Deep</i> Nets @id@"], "author": [{"given": "Ada", "family": "Lovelace"}, {"family": "Turing"}, {"name": "A Group"}], "issued": {"date-parts": [[2019, 3]]}, "DOI": "10.1/ABC@id@", "container-title": ["J. Tests"], "is-referenced-by-count": 12}),
     (2, {"title": [], "author": [], "DOI": None}),
     (3, "not json"),
 ])
 
 
-@query("map_crossref", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'Deep Nets', 'Ada Lovelace|Turing|A Group', CAST(2019 AS INT), '10.1/abc', 'J. Tests', CAST(12 AS INT)), (2, NULL, '', NULL, NULL, NULL, NULL), (3, NULL, NULL, NULL, NULL, NULL, NULL)) AS t(id, title, authors, year, doi, venue, citation_count)")
+_WORKS = Templates("id long, title string, authors string, year int, doi string, venue string, citation_count int", [(1, "Deep Nets @id@", "Ada Lovelace|Turing|A Group", 2019, "10.1/abc@id@", "J. Tests", 12), (2, None, "", None, None, None, None), (3, None, None, None, None, None, None)])
+
+
+@query("map_crossref", f"SELECT * FROM {_WORKS.values}")
 def map_crossref(spark, sf):
-    made = CROSSREF.df(spark).select("id", metadata.crossref(F.col("payload")).alias("p")).select("id", "p.*")
+    made = CROSSREF.df(spark, sf).select("id", metadata.crossref(F.col("payload")).alias("p")).select("id", "p.*")
     return made.withColumn("authors", F.array_join("authors", "|"))
 
 
-S2 = _payloads([(1, {"title": "T", "authors": [{"name": "A B"}, {"name": None}], "year": 2021, "externalIds": {"DOI": "10.2/X"}, "citationCount": 3}), (2, {"title": None, "externalIds": None}), (3, {})])
+S2 = _payloads([(1, {"title": "T @id@", "authors": [{"name": "A B@id@"}, {"name": None}], "year": 2021, "externalIds": {"DOI": "10.2/X@id@"}, "citationCount": 3}), (2, {"title": None, "externalIds": None}), (3, {})])
 
 
 @query("map_s2", """SELECT id, payload ->> '$.title' AS title, CASE WHEN json_exists(payload, '$.authors') THEN array_to_string(list_filter(json_extract_string(payload, '$.authors[*].name'), lambda x: x IS NOT NULL), '|') END AS authors,
 CAST(payload ->> '$.year' AS INT) AS year, lower(payload ->> '$.externalIds.DOI') AS doi, CAST(payload ->> '$.citationCount' AS INT) AS citation_count FROM """ + S2.values)
 def map_s2(spark, sf):
-    made = S2.df(spark).select("id", metadata.semantic_scholar(F.col("payload")).alias("p")).select("id", "p.*")
+    made = S2.df(spark, sf).select("id", metadata.semantic_scholar(F.col("payload")).alias("p")).select("id", "p.*")
     return made.withColumn("authors", F.array_join("authors", "|"))
 
 
@@ -98,15 +102,15 @@ OPENALEX = _payloads([(1, _loc(type="journal", is_in_doaj=True)), (2, _loc(type=
 @query("quality_tier", """SELECT id, CAST(CASE WHEN s IS NULL OR s = 'null' THEN NULL WHEN k IS NULL OR k = 'repository' THEN 0 WHEN k IN ('conference', 'proceedings') THEN 1 WHEN k = 'journal' AND d = 'true' THEN 3 WHEN k = 'journal' THEN 2 END AS INT) AS tier
 FROM (SELECT id, CAST(payload -> '$.primary_location.source' AS VARCHAR) AS s, lower(payload ->> '$.primary_location.source.type') AS k, payload ->> '$.primary_location.source.is_in_doaj' AS d FROM """ + OPENALEX.values + ")")
 def quality_tier(spark, sf):
-    return OPENALEX.df(spark).select("id", metadata.openalex_tier(F.col("payload")).alias("tier"))
+    return OPENALEX.df(spark, sf).select("id", metadata.openalex_tier(F.col("payload")).alias("tier"))
 
 
-CASES = Inline("id long, answer string, refused boolean, expected array<string>, forbidden array<string>", [(1, "The BERT model wins", False, ["bert|roberta", "model"], ["gpt"]), (2, "GPT is better", False, ["bert"], ["gpt"]), (3, "GPT", True, [], ["gpt"]), (4, "", True, ["x"], [])])
+CASES = Templates("id long, answer string, refused boolean, expected array<string>, forbidden array<string>", [(1, "@text@ The BERT model wins", False, ["bert|roberta", "model"], ["gpt"]), (2, "GPT is better @text@", False, ["bert"], ["gpt"]), (3, "GPT", True, [], ["gpt"]), (4, "", True, ["x"], [])])
 
 
 @query("keyword_hit", f"SELECT id, len(list_filter(expected, lambda k: len(list_filter(string_split(lower(k), '|'), lambda v: contains(lower(answer), v))) = 0)) = 0 AS hit, NOT refused AND len(list_filter(forbidden, lambda w: contains(lower(answer), lower(w)))) > 0 AS forbidden_hit FROM {CASES.values}")
 def keyword_hit(spark, sf):
-    return CASES.df(spark).select("id", evaluation.keyword_hit(F.col("answer"), F.col("expected")).alias("hit"), evaluation.forbidden_hit(F.col("answer"), F.col("refused"), F.col("forbidden")).alias("forbidden_hit"))
+    return CASES.df(spark, sf).select("id", evaluation.keyword_hit(F.col("answer"), F.col("expected")).alias("hit"), evaluation.forbidden_hit(F.col("answer"), F.col("refused"), F.col("forbidden")).alias("forbidden_hit"))
 
 
 _RESULTS = """SELECT user_id AS case_id, event_type AS strategy, user_id % 4 <> 0 AS expected_answerable, event_type = 'error' AS refused, event_id % 3 <> 0 AS keyword_hit, event_type <> 'error' AND event_id % 29 = 0 AS forbidden_hit,

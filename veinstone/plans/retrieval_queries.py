@@ -188,13 +188,15 @@ def bm25_fields(spark, sf):
     return dense.ranked(lexical.combined([_body(spark, sf).scores(_asked(spark))], title.scores(_asked(spark))), 10)
 
 
-ROUTES = Inline("route string, query_id long, id long, rank int", [("a", 1, 11, 1), ("a", 1, 12, 2), ("a", 1, 13, 3), ("b", 1, 13, 1), ("b", 1, 14, 2), ("b", 1, 11, 3), ("a", 2, 5, 1), ("b", 2, 4, 1), ("b", 2, 5, 9)])
+_ROUTES = "(SELECT label AS query_id, vec_id AS id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) AS INT) AS rank FROM embeddings UNION ALL SELECT label, vec_id, CAST(row_number() OVER (PARTITION BY label ORDER BY embedding[1] DESC, vec_id) AS INT) FROM embeddings WHERE vec_id % 3 <> 1)"
 
 
-@query("rrf_fusion", f"SELECT query_id, id, score, rank FROM ({_ranked('(SELECT query_id, id, round(sum(1 / (60.0::DOUBLE + rank)), 8) AS score FROM ' + ROUTES.values + ' GROUP BY query_id, id)', 100)})")
+@query("rrf_fusion", f"SELECT query_id, id, score, rank FROM ({_ranked('(SELECT query_id, id, round(sum(1 / (60.0::DOUBLE + rank)), 8) AS score FROM ' + _ROUTES + ' GROUP BY query_id, id)', 100)})")
 def rrf_fusion(spark, sf):
-    routes = ROUTES.df(spark)
-    return fusion.reciprocal_rank([routes.where("route = 'a'"), routes.where("route = 'b'")])
+    """Of each label's vectors two rankings, by id and, of two thirds, by their first number."""
+    rows = table(spark, sf, "embeddings").select(F.col("label").alias("query_id"), F.col("vec_id").alias("id"), F.get("embedding", F.lit(0)).alias("score"))
+    by_id = dense.ranked(rows.withColumn("score", -F.col("id")), 2**31 - 1)
+    return fusion.reciprocal_rank([by_id, dense.ranked(rows.where("id % 3 <> 1"), 2**31 - 1)], top_n=100)
 
 
 _DENSE_TEXT = f"""SELECT q.query_id, d.id, round({_DOT.format(a='q.v', b='d.v')} / (sqrt({_DOT.format(a='q.v', b='q.v')}) * sqrt({_DOT.format(a='d.v', b='d.v')})), 6) AS score

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import identity, text
 from ..operators import evidence, state
 from ..session import table
-from .registry import Inline, Registry
+from .registry import Inline, Registry, Templates
 
 registry = Registry()
 query = registry.query
@@ -160,38 +160,38 @@ def evidence_citation(spark, sf):
     return evidence.cited(rows, sources).select("key", "citation")
 
 
-ANSWERS = Inline("answer_id long, raw string", [(1, "A (ev-aaaaaaaa, ev-bbbbbbbb). B [ev-cccccccc] ev-dddddddd ."), (2, "Only (ev-dddddddd) gone  (ev-eeeeeeee)."), (3, "none"), (4, "INSUFFICIENT_EVIDENCE (ev-aaaaaaaa)"), (5, "(kept text) and ev-aaaaaaaa twice (ev-aaaaaaaa)")])
+ANSWERS = Templates("answer_id long, raw string", [(1, "A@id@ (ev-aaaaaaaa, ev-bbbbbbbb). B [ev-cccccccc] ev-dddddddd ."), (2, "Only @id@ (ev-dddddddd) gone  (ev-eeeeeeee)."), (3, "none @id@"), (4, "INSUFFICIENT_EVIDENCE (ev-aaaaaaaa)"), (5, "(kept text @id@) and ev-aaaaaaaa twice (ev-aaaaaaaa)")])
 EVIDENCE = Inline("key string, inline string, reference string", [("ev-aaaaaaaa", "smith2020rag page 3", "smith2020rag"), ("ev-bbbbbbbb", "li2021graph", "li2021graph"), ("ev-cccccccc", "unknown", "unknown")])
 
 
 @query("dangling_citations", f"SELECT answer_id, count(e.key) AS valid, count(*) FILTER (k IS NOT NULL AND e.key IS NULL) AS dangling FROM (SELECT answer_id, unnest(CASE WHEN len(ks) = 0 THEN [NULL] ELSE ks END) AS k FROM (SELECT answer_id, list_distinct(regexp_extract_all(raw, '\\bev-[0-9a-f]{{8}}\\b')) AS ks FROM {ANSWERS.values})) LEFT JOIN (SELECT key FROM (VALUES ('ev-aaaaaaaa'), ('ev-bbbbbbbb'), ('ev-cccccccc')) AS v(key)) e ON k = e.key GROUP BY answer_id")
 def dangling_citations(spark, sf):
-    return evidence.citation_counts(ANSWERS.df(spark), EVIDENCE.df(spark))
+    return evidence.citation_counts(ANSWERS.df(spark, sf), EVIDENCE.df(spark))
 
 
-BOUND = Inline(
+BOUND = Templates(
     "answer_id long, text string, keys string, refused boolean, uncited boolean",
     [
-        (1, "A (smith2020rag page 3, li2021graph). B (unknown).", "ev-aaaaaaaa,ev-bbbbbbbb,ev-cccccccc", False, False),
-        (2, "Only gone.", "", True, True),
-        (3, "none", "", True, True),
+        (1, "A@id@ (smith2020rag page 3, li2021graph). B (unknown).", "ev-aaaaaaaa,ev-bbbbbbbb,ev-cccccccc", False, False),
+        (2, "Only @id@ gone.", "", True, True),
+        (3, "none @id@", "", True, True),
         (4, "INSUFFICIENT_EVIDENCE (ev-aaaaaaaa)", "", True, False),
-        (5, "(kept text) and (smith2020rag page 3) twice (smith2020rag page 3)", "ev-aaaaaaaa", False, False),
+        (5, "(kept text @id@) and (smith2020rag page 3) twice (smith2020rag page 3)", "ev-aaaaaaaa", False, False),
     ],
 )
 
 
-@query("bind_citations", f"SELECT CAST(answer_id AS BIGINT) AS answer_id, text, keys, refused, uncited FROM {BOUND.values}")
+@query("bind_citations", f"SELECT answer_id, text, keys, refused, uncited FROM {BOUND.values}")
 def bind_citations(spark, sf):
-    return evidence.bound(ANSWERS.df(spark), EVIDENCE.df(spark))
+    return evidence.bound(ANSWERS.df(spark, sf), EVIDENCE.df(spark))
 
 
-STATES = Inline("id long, notes array<string>, answered boolean, refused boolean, uncited boolean", [(1, ["synthesis_failed", "timeout"], True, False, True), (2, ["timeout"], True, True, True), (3, ["budget_exceeded", "finish:done"], True, False, False), (4, ["finish:done"], True, False, False), (5, ["finish:no"], True, True, False), (6, [], True, True, False), (7, [], False, None, None), (8, ["finish:x"], False, None, None), (9, ["other"], True, False, False)])
+STATES = Templates("id long, notes array<string>, answered boolean, refused boolean, uncited boolean", [(1, ["synthesis_failed", "timeout"], True, False, True), (2, ["timeout"], True, True, True), (3, ["budget_exceeded", "finish:done"], True, False, False), (4, ["finish:done"], True, False, False), (5, ["finish:no"], True, True, False), (6, [], True, True, False), (7, [], False, None, None), (8, ["finish:x"], False, None, None), (9, ["other"], True, False, False)])
 
 
 @query("session_status", f"SELECT id, CASE WHEN list_contains(notes, 'synthesis_failed') THEN 'FAIL' WHEN answered AND uncited THEN 'UNCITED' WHEN len(list_intersect(notes, ['timeout', 'budget_exceeded', 'max_steps_exceeded', 'no_new_evidence'])) > 0 THEN 'TRUNCATED' WHEN len(list_filter(notes, lambda n: starts_with(n, 'finish:'))) > 0 THEN CASE WHEN answered AND NOT refused THEN 'SUCCESS' ELSE 'UNSURE' END WHEN answered AND refused THEN 'REFUSED' ELSE 'UNSURE' END AS status FROM {STATES.values}")
 def session_status(spark, sf):
-    return STATES.df(spark).select("id", evidence.status(F.col("notes"), F.col("answered"), F.col("refused"), F.col("uncited"), fallback="UNSURE").alias("status"))
+    return STATES.df(spark, sf).select("id", evidence.status(F.col("notes"), F.col("answered"), F.col("refused"), F.col("uncited"), fallback="UNSURE").alias("status"))
 
 
 @query("compact_history", "SELECT conv_id, turn, CASE WHEN total > 100 AND k >= 2 AND k < greatest(2, n - 4) AND role = 'assistant' AND length(text) > 200 THEN role || ' (compacted): ' || substr(string_split(text, chr(10))[1], 1, 200) ELSE text END AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, count(*) OVER (PARTITION BY conv_id) AS n, sum(floor(length(text) / 4.0)) OVER (PARTITION BY conv_id) AS total FROM conversations)")
