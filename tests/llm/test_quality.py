@@ -8,11 +8,12 @@ import pytest
 from veinstone.llm import quality as Q
 
 
-def brute(texts, table, scored):
+def brute(texts, scored, order=Q.ORDER):
     """Perplexities by plain dictionaries."""
-    symbols = lambda t: [Q.BEFORE] * 3 + [int(x) for x in table[Q.fold(t)]]
-    grams = {4: Counter(tuple(s[i : i + 4]) for t in texts for s in [symbols(t)] for i in range(len(s) - 3))}
-    for k in (3, 2, 1):
+    symbols = lambda t: [0] * (order - 1) + [int(x) + 1 for x in Q.fold(t)]
+    windows = lambda t: [tuple(s[i : i + order]) for s in [symbols(t)] for i in range(len(s) - order + 1)]
+    grams = {order: Counter(w for t in texts if t for w in windows(t))}
+    for k in range(order - 1, 0, -1):
         grams[k] = Counter(g[1:] for g in grams[k + 1])
 
     def discount(k):
@@ -30,41 +31,39 @@ def brute(texts, table, scored):
     def p(g):
         k = len(g)
         if not k:
-            return 1 / Q.SYMBOLS
+            return 1 / (len(grams[1]) + 1)
         if (k, g[:-1]) not in total:
             return p(g[1:])
         c = grams[k].get(g, 0)
-        return ((c - d[k](c)) if c else 0) / total[k, g[:-1]] + freed[k, g[:-1]] / total[k, g[:-1]] * p(g[1:])
+        return ((c - d[k](c)) if c else 0) / total[k, g[:-1]] + max(freed[k, g[:-1]] / total[k, g[:-1]], Q.LEAST_SHARE) * p(g[1:])
 
-    out = []
-    for t in scored:
-        s = symbols(t)
-        out.append(2 ** -np.mean([math.log2(p(tuple(s[i : i + 4]))) for i in range(len(s) - 3)]) if t else None)
-    return out
+    return [2 ** -np.mean([math.log2(p(w)) for w in windows(t)]) if t else None for t in scored]
 
 
 def labels(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int, text string, lang string")
 
 
-def test_against_dictionaries(spark, docs):
+@pytest.mark.parametrize("order", [1, 2, 3, 5])
+def test_against_dictionaries(spark, docs, order, monkeypatch):
+    monkeypatch.setattr(Q, "BLOCK_ROWS", 17)
+    monkeypatch.setattr(Q, "CHUNK", 900)
     rng = random.Random(1)
     words = ["tion", "the", "and", "été", "or", "Not", "12", "x?"]
     rows = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(1, 40))), "a" if k % 2 else "b") for k in range(120)]
     rows += [(200, "#$%&" * 20, "a"), (201, None, "a"), (202, "", "b"), (203, "zzz", None), (None, "the and", "b"), (5, rows[5][1], "b")]
     good = [(k, 1, 0, "clash", "q") for k in range(0, 120)] + [(3, 0, 0, "", ""), (7, 1, 1, "", ""), (None, 1, 0, "", ""), (999, 1, 0, "", "")]
     table = docs(rows)
-    out = Q.classify(table, labels(spark, good), least=5).collect()
+    out = Q.classify(table.repartition(3), labels(spark, good), least=5, order=order).collect()
     assert len(out) == len(rows)
-    symbol_table = Q.alphabet(table)
     trusted = [t for k, t, _ in rows if k is not None and k < 120 and (k, 1, 0, "clash", "q") in good]
-    expected = dict(zip([t for _, t, _ in rows], brute(trusted, symbol_table, [t or "" for _, t, _ in rows])))
+    expected = dict(zip([t for _, t, _ in rows], brute(trusted, [t or "" for _, t, _ in rows], order)))
     by = {}
     for r in out:
         by.setdefault(r.doc_id, r)
     for k, t, _ in rows:
         assert by[k].perplexity == (pytest.approx(expected[t], rel=1e-4) if t else None), t
-    assert not by[200].kept and not by[201].kept and not by[202].kept
+    assert (order == 1 or not by[200].kept) and not by[201].kept and not by[202].kept
     assert np.mean([by[k].kept for k in range(120)]) > 0.95
 
 
@@ -87,8 +86,7 @@ def test_thresholds_from_a_held_out_part(spark, docs):
     held = {r.t for r in spark.range(90).selectExpr("id AS t").where("pmod(xxhash64(t), 3) = 0").collect()}
     trusted = {k: t for k, t, _ in rows if k < 90}
     learned = [t for k, t in trusted.items() if k not in held]
-    table = Q.alphabet(docs([r for r in rows if r[0] < 90 and r[0] not in held]))
-    perplexity = brute(learned, table, [t for _, t, _ in rows])
+    perplexity = brute(learned, [t for _, t, _ in rows])
     bits = [math.log2(p) * len(t) if p else 0.0 for p, (_, t, _) in zip(perplexity, rows)]
     judges = [i for i, (k, _, _) in enumerate(rows) if k in held]
     mean = sum(bits[i] for i in judges) / sum(len(rows[i][1]) for i in judges)
@@ -115,3 +113,31 @@ def test_nothing_left_to_hold_out(spark, docs):
     for folds in (1, 2, 10**9):
         out = Q.classify(table, good, folds=folds).collect()
         assert len(out) == 3 and len({(r.perplexity, r.kept) for r in out}) == 1
+
+
+def test_counts_are_packed_and_summed():
+    texts = ["abcabc", "", "bca", "ab" * 500, "\U0001f600é"]
+    rng = np.random.default_rng(1)
+    value = {}
+    of = lambda h: value.setdefault(h, tuple(rng.normal(size=2)))
+    expected = np.zeros(len(texts))
+    for d, t in enumerate(texts):
+        if t:
+            seq = Q.symbols(t, 3)
+            for k in (1, 2, 3):
+                own = Q.hashes(seq[3 - k :], k).tolist()
+                assert len(own) == len(t)
+                expected[d] += sum(of(h)[0] for h in own) + sum(of(h)[1] for h in own[:-1])
+    keys = np.array(sorted(value), np.uint64)
+    gain, share = np.array([value[int(h)] for h in keys]).T
+    got = np.zeros(len(texts))
+    for shard, *data in Q.packed_shards(texts, 3, 7):
+        assert all(int(h) * 7 >> 64 == shard or (int(h) >> 32) * 7 >> 32 == shard for h in np.frombuffer(data[0], np.uint64))
+        docs, sums = Q.block_sums(keys, gain, share, *data)
+        got[docs] += sums
+    assert got == pytest.approx(expected)
+
+
+def test_the_model_grows_with_the_alphabet(spark):
+    counts = Q.ngram_counts(spark.createDataFrame([("".join(map(chr, range(0x4E00, 0x4E00 + 5000))),)], "text string"))
+    assert counts.count() == 5000 and Q.kneser_ney(counts).values.count() > 10_000
