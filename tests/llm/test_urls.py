@@ -30,9 +30,21 @@ def test_cases(spark, url, host, path, rule, verdict):
 
 
 def test_counts():
-    v = U.Vocabulary(("bad",), ("a", "ab"))
-    assert v.hits("bad.bad-xbad a ab a") == (2, 2)
-    assert v.hits("aab") == (0, 0) and U.Vocabulary((), ()).hits("bad") == (0, 0)
+    v = U.Vocabulary([U.Term("bad", 2, "x"), U.Term("a", 1, "x"), U.Term("ab", 1, "x")])
+    assert v.hits("bad.bad-xbad a ab a") == (2, 2, 2)
+    assert v.hits("aab") == (0, 0, 0) and U.Vocabulary([]).hits("bad") == (0, 0, 0)
+
+
+def test_weights_add_up(spark):
+    terms = [U.Term("one", 1, "x"), U.Term("two", 2, "x"), U.Term("five", 5, "x")]
+    rows = spark.createDataFrame([(1, "a://h.net/one/two"), (2, "a://h.net/two/two"), (3, "a://h.net/five"), (4, "a://h.net/one/two/other")], "page_id long, url string")
+    out = {r.page_id: (r.verdict, r.strict_hits, r.soft_hits) for r in U.filter_urls(rows, terms=terms, limit=3).collect()}
+    assert out == {1: ("block", 0, 2), 2: ("allow", 0, 1), 3: ("block", 1, 0), 4: ("block", 0, 2)}
+
+
+def test_vocabulary_is_a_table():
+    terms = U.read_terms()
+    assert len({t.term for t in terms}) == len(terms) > 150 and len({t.language for t in terms}) >= 8 and {t.weight for t in terms} == {1, 2}
 
 
 def test_long_repeated_and_empty(spark):

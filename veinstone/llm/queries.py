@@ -175,8 +175,7 @@ def op3_sql() -> str:
     fits = [(f"('.' || host) LIKE '%.{r.host}' AND starts_with(path, '{r.path}')", r) for r in ranked]
     rule = " ".join(f"WHEN {f} THEN '{r.name}'" for f, r in fits)
     verdict = " ".join(f"WHEN {f} THEN '{r.verdict}'" for f, r in fits)
-    hit = lambda t: f"CAST(regexp_matches(u, '(^|[^a-z0-9]){t}([^a-z0-9]|$)') AS INT)"
-    strict, soft = (" + ".join(hit(t) for t in terms) for terms in (urls.STRICT, urls.SOFT))
+    terms = ", ".join(f"('{t.term}', {t.weight})" for t in urls.read_terms())
     return rf"""
 WITH p AS (
   SELECT page_id, lower(coalesce(url, '')) AS u,
@@ -185,10 +184,12 @@ WITH p AS (
 q AS (
   SELECT page_id, u, translate(regexp_extract(after, '^[^/?#]*'), '{urls.UPPER}', '{urls.LOWER}') AS host,
          regexp_extract(after, '^[^/?#]*([^?#]*)', 1) AS path
-  FROM p)
+  FROM p),
+t AS (SELECT * FROM (VALUES {terms}) AS v(term, weight)),
+h AS (SELECT u, sum(weight) AS weight FROM (SELECT DISTINCT u FROM p), t WHERE regexp_matches(u, '(^|[^a-z0-9])' || term || '([^a-z0-9]|$)') GROUP BY u)
 SELECT page_id, host, path, CASE {rule} END AS rule,
-       CASE {verdict} WHEN {strict} >= 1 OR {soft} >= {urls.SOFT_LIMIT} THEN 'block' ELSE 'allow' END AS verdict
-FROM q
+       CASE {verdict} WHEN coalesce(h.weight, 0) >= {urls.LIMIT} THEN 'block' ELSE 'allow' END AS verdict
+FROM q LEFT JOIN h USING (u)
 """
 
 
