@@ -2,7 +2,11 @@ import difflib
 import random
 import re
 
+from pyspark.sql import functions as F
+
+from veinstone.functions.text import from_bytes
 from veinstone.operators import audit
+from veinstone.sources.files import source_tree
 
 
 def test_dependencies(spark):
@@ -71,3 +75,29 @@ def test_names_by_one_automaton(spark):
     expected = {(k, n, c) for k, t in enumerate(texts) if t for n in names if (c := len(re.findall(rf"(?<![A-Za-z0-9_])(?={re.escape(n.lower())}(?![A-Za-z0-9_]))", t.lower())))}
     assert out == expected
     assert audit.name_hits(rows, []).collect() == []
+
+
+def test_spans_and_trees(spark, tmp_path):
+    root = tmp_path / "tree"
+    for name, data in {"a.py": b'x = "lit"  # note\n', "b.html": b"<p class='x'>hi<!-- no --> there</p>", "bin.dat": b"a\0b", "node_modules/skip.js": b"x", ".git/y": b"x", "sub/build/z.c": b"x", "sub/ok.c": "é".encode("latin-1"), "big.txt": b"y" * 6_000_000}.items():
+        at = root / name
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_bytes(data)
+    tree = source_tree(spark, [str(root)])
+    assert {r.rel_path for r in tree.collect()} == {"tree/a.py", "tree/b.html", "tree/sub/ok.c"}
+    rows = {(r.rel_path, r.kind, r.place): r.part for r in audit.spanned(tree, "text", "f.suffix").collect()}
+    assert {k[1]: v for k, v in rows.items() if k[0] == "tree/a.py"}["string"] == '"lit"'
+    assert [v for k, v in sorted(rows.items(), key=lambda x: x[0][2]) if k[0] == "tree/b.html"] == ["<p class='x'>", "hi", "<!-- no -->", " there", "</p>"]
+    assert [r.kind for r in audit.spanned(spark.createDataFrame([(1, "a\0b"), (2, None), (3, "<!-- open")], "id int, t string"), "t", "'.html'").orderBy("id").collect()] == ["binary", "comment"]
+
+
+def test_bytes_to_text(spark):
+    rows = [(b"ok \xc3\xa9", "ok é"), (b"\xff\xfea", "��a"), (b"x\xed\xa0\x80y", "x���y"), (b"cut \xe4\xb8", "cut �"), (b"", ""), (None, "")]
+    got = spark.createDataFrame([(k, d) for k, (d, _) in enumerate(rows)], "id int, d binary").select("id", from_bytes(F.col("d")).alias("t")).collect()
+    assert {r.id: r.t for r in got} == {k: t for k, (_, t) in enumerate(rows)}
+
+
+def test_rules_meet_packages_by_their_beginnings(spark):
+    found = spark.createDataFrame([("f", p) for p in ["scikit-learn", "scikitlearn2", "os", "osmium", "num_py", "pandas-stubs"]], "rel_path string, package string")
+    rules = spark.createDataFrame([("scikit_learn", "a"), ("os", "b"), ("numpy", "c"), ("pandas", "d"), ("pan", "e")], "rule string, level string")
+    assert {(r.package, r.level) for r in audit.dependency_hits(found, rules).collect()} == {("scikit-learn", "a"), ("scikitlearn2", "a"), ("os", "b"), ("num_py", "c"), ("pandas-stubs", "d")}

@@ -1,15 +1,16 @@
 """Errors worth another attempt, tool calls, messages, placeholder titles, validators, the status line."""
 
+import itertools
 import json
-from types import SimpleNamespace as Made
 
 import pytest
 from pyspark.sql import functions as F
 
 from veinstone.functions import text
-from veinstone.operators import validation
-from veinstone.plans import models, toolcalls
+from veinstone.operators import toolcalls, validation
+from veinstone.plans import models
 from veinstone.plans.ask import State
+from veinstone.sources import retry
 
 
 def failing(words="", **fields):
@@ -35,12 +36,12 @@ def failing(words="", **fields):
     ],
 )
 def test_errors_worth_another_attempt(error, again):
-    assert models.transient(error) is again
+    assert retry.worth_another(error) is again
 
 
-def test_pauses_double_up_to_a_bound():
-    assert [models.pause(k, 1, 5, 0) for k in (1, 2, 3, 4)] == [1, 2, 4, 5]
-    assert all(0.75 <= models.pause(1, 1, 5) <= 1.25 for _ in range(100))
+def test_waits_double_up_to_a_bound():
+    assert list(itertools.islice(retry.waits(1, 5, 0), 4)) == [1, 2, 4, 5]
+    assert all(0.75 <= next(retry.waits(1, 5)) <= 1.25 for _ in range(100))
     waits, calls = [], []
 
     def busy(prompts):
@@ -52,29 +53,13 @@ def test_pauses_double_up_to_a_bound():
     assert models.with_retries(busy, 1, 1, waits.append)(["a"])[0].error and len(waits) == 2
 
 
-def test_arguments():
-    assert toolcalls.arguments(None) == toolcalls.arguments("  ") == {}
-    assert toolcalls.arguments('{"query": "salt",}') == {"query": "salt"}
-    assert toolcalls.arguments("{“k”: 3}") == {"k": 3}
-    assert toolcalls.arguments("```json\n[1, 2]\n```") == toolcalls.arguments("<think>so</think>[1, 2]") == {"value": [1, 2]}
-    assert toolcalls.arguments("no json") is None
-
-
-def test_calls_of_every_shape():
+def test_tool_calls(spark):
     wrapped = {"id": "a", "function": {"name": "search", "arguments": '{"k": 1}'}}
-    made = Made(id=None, function=Made(name="gather", arguments="["))
-    flat = {"name": "finish", "arguments": None}
-    ready = Made(id=7, name="reset", arguments={"x": 1})
-    assert toolcalls.decoded([wrapped, made, flat, ready]) == [("a", "search", {"k": 1}, None), ("call-1", "gather", {}, "["), ("call-2", "finish", {}, None), ("7", "reset", {"x": 1}, None)]
-    assert toolcalls.decoded(None) == []
-
-
-def test_messages():
-    call = toolcalls.Call("c", "search", {"q": "sel été"})
-    sent = toolcalls.encoded([toolcalls.Message("user", "<think>kept</think>?"), toolcalls.Message("assistant", "<think>no</think>yes", (call,)), toolcalls.Message("tool", "3 hits", call_id="c", name="search"), toolcalls.Message("assistant", "<reasoning>x</reasoning>done"), toolcalls.Message("assistant", None, (call,))])
-    assert [m["content"] for m in sent] == ["<think>kept</think>?", "yes", "3 hits", "done", ""]
-    assert json.loads(sent[1]["tool_calls"][0]["function"]["arguments"]) == {"q": "sel été"}
-    assert sent[2] == {"role": "tool", "content": "3 hits", "tool_call_id": "c", "name": "search"}
+    replies = [[wrapped, {"function": {"name": "gather", "arguments": "["}}, {"id": "7", "name": "reset", "arguments": {"x": 1}}, {"name": "finish"}], [{"function": {"name": "f", "arguments": '{"query": "salt",}'}}, {"function": {"name": "g", "arguments": "[1, 2]"}}], None, []]
+    rows = spark.createDataFrame([(k, json.dumps({"tool_calls": r})) for k, r in enumerate(replies)] + [(9, "no json"), (10, None)], "id int, reply string")
+    each = rows.select("id", F.explode(toolcalls.calls(F.col("reply"))).alias("c")).select("id", F.col("c.id").alias("call"), "c.name", toolcalls.read(F.col("c.raw")).alias("r"))
+    out = [(r.id, r.call, r.name, json.loads(r.r.arguments), r.r.unread) for r in each.collect()]
+    assert out == [(0, "a", "search", {"k": 1}, None), (0, "call-1", "gather", {}, "["), (0, "7", "reset", {"x": 1}, None), (0, "call-3", "finish", {}, None), (1, "call-0", "f", {"query": "salt"}, None), (1, "call-1", "g", {"value": [1, 2]}, None)]
 
 
 def test_placeholder_titles_and_key_stems(spark):

@@ -42,10 +42,15 @@ def tidy_space(text: Column) -> Column:
 
 
 def normalize(text: Column) -> Column:
-    """The canonical form of a text; null becomes empty. Invalid surrogates can't occur in a Spark string."""
+    """The canonical form of a text; null becomes empty. For bytes of unknown worth there is from_bytes()."""
     return tidy_space(F.coalesce(nfkc(text), F.lit("")))
 
 
+def from_bytes(data: Column) -> Column:
+    """The canonical form of UTF-8 bytes; each part that is not valid, lone surrogates too, becomes the replacement character."""
+    return normalize(F.make_valid_utf8(data.cast("string")))
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased words and numbers; of a run of CJK characters its overlapping pairs (or the only character)."""
     plain = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))

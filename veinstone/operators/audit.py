@@ -75,6 +75,42 @@ def spans(text: str) -> list[dict]:
     return [{"kind": k, "text": " ".join(v)} for k, v in out.items() if v]
 
 
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|</?[A-Za-z][^<>]*>", re.DOTALL)
+
+
+def span_rows(text: str | None, suffix: str) -> list[tuple[str, int, str]]:
+    """(kind, place, text) of the parts of a file: comment, tag and text of markup; comment, string and code of anything else; binary if it has a NUL."""
+    if text is None:
+        return []
+    if "\0" in text[:8192]:
+        return [("binary", 0, "")]
+    if suffix not in (".html", ".htm", ".xml"):
+        return [(s["kind"], k, s["text"]) for k, s in enumerate(spans(text))]
+    out, at = [], 0
+    for m in _MARKUP.finditer(text):
+        if m.start() > at:
+            out.append(("text", at, text[at : m.start()]))
+        out.append(("comment" if m[0].startswith("<!--") else "tag", m.start(), m[0]))
+        at = m.end()
+    return out + ([("text", at, text[at:])] if at < len(text) else [])
+
+
+@F.udtf(returnType="kind string, place int, part string")
+class Spans:
+    """span_rows() as a table function, for lateral joins: spans(text, suffix)."""
+
+    def eval(self, text: str, suffix: str):
+        yield from span_rows(text, suffix)
+
+
+def spanned(files: DataFrame, text: str, suffix: str) -> DataFrame:
+    """The columns of `files` but the text, with kind, place and part of each span; `suffix` is an SQL expression."""
+    spark = files.sparkSession
+    spark.udtf.register("veinstone_spans", Spans)
+    names = ", ".join(f"f.`{c}`" for c in files.columns if c != text)
+    return spark.sql(f"SELECT {names}, s.kind, s.place, s.part FROM {{files}} AS f, LATERAL veinstone_spans(f.`{text}`, {suffix}) AS s", files=files)
+
+
 def _dependencies(paths: pd.Series, texts: pd.Series) -> pd.Series:
     return pd.Series([dependencies(p, t or "") for p, t in zip(paths, texts, strict=True)], dtype=object)
 

@@ -97,8 +97,8 @@ def exact_copies(target: DataFrame, reference: DataFrame) -> DataFrame:
     return target.where("length(text) > 0").withColumn("h", key).join(r, F.col("h") == F.col("r")).select("id", "ref_id")
 
 
-#: Lines that bring in other modules or start a program: their first words.
-BOILERPLATE = ("import", "from", "if __name__")
+#: Lines that bring in other modules or start a program.
+BOILERPLATE = (r"^import [A-Za-z_][\w.]*( as \w+)?(, *[A-Za-z_][\w.]*( as \w+)?)*$", r"^from [.\w]+ import [\w*(]", r"^if __name__ ?== ?")
 #: Lines that any program has: bare keywords, and what is left of a line without its brackets, commas and colons.
 KEYWORDS = ("else", "try", "finally", "pass", "break", "continue", "return", "do", "end", "begin", "default")
 BRACKETS = "()[]{},:;"
@@ -107,8 +107,8 @@ BRACKETS = "()[]{},:;"
 def line_tier(line: Column, common: Column) -> Column:
     """boilerplate, generic (only brackets, one bare keyword or name, or only common words) or substantive."""
     begins = F.lit(False)
-    for words in BOILERPLATE:
-        begins = begins | line.startswith(words + " ")
+    for form in BOILERPLATE:
+        begins = begins | line.rlike(form)
     bare = F.trim(F.translate(line, BRACKETS, ""))
     words = F.regexp_extract_all(F.lower(line), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     distinct = F.exists(words, lambda w: ~F.array_contains(common, w))

@@ -173,27 +173,32 @@ def presummarised(candidates: DataFrame, n: int, least: int, make: Callable[[],
 def evaluated(index: Index, cases: DataFrame, repeat: int = 1, make: Callable[[], models.Model] = models.Extractive) -> DataFrame:
     """Results of all cases (id, question, ...), each asked `repeat` times, ready for evaluation.summary().
 
-    The cases of a run are one plan; a run that fails is recorded with an error for each of its cases.
+    The cases of a run are one plan; if that fails, each case is asked alone, and those that fail have an error.
     """
     numbered = cases.withColumn("query_id", F.xxhash64("id")).withColumnRenamed("question", "query")
     out = None
     for run in range(max(1, repeat)):
         began = time.monotonic()
+        asked = lambda some: [(*r, None) for r in ask(index, some, make).select("query_id", "text", "citations", "refused").collect()]
         try:
-            answers = [tuple(r) for r in ask(index, numbered.select("query_id", "query"), make).select("query_id", "text", "citations", "refused").collect()]
-            failed = None
-        except Exception as error:  # noqa: BLE001 - recorded
-            answers, failed = [], f"{type(error).__name__}: {error}"
+            answers = asked(numbered.select("query_id", "query"))
+        except Exception:  # noqa: BLE001 - looked at case by case
+            answers = []
+            for row in numbered.select("query_id", "query").collect():
+                try:
+                    answers += asked(index.spark.createDataFrame([(row.query_id, row["query"])], "query_id long, query string"))
+                except Exception as error:  # noqa: BLE001, PERF203 - recorded
+                    answers.append((row.query_id, None, None, None, f"{type(error).__name__}: {error}"))
         seconds = time.monotonic() - began
-        rows = index.spark.createDataFrame(answers, "q long, answer string, citations string, answer_refused boolean")
+        rows = index.spark.createDataFrame(answers, "q long, answer string, citations string, answer_refused boolean, failed string")
         joined = numbered.join(rows, F.col("query_id") == F.col("q"), "left")
         refused = F.coalesce("answer_refused", F.lit(True))
-        answer = F.coalesce("answer", F.lit(failed or ""))
+        answer = F.coalesce("answer", "failed", F.lit(""))
         made = joined.select(
             F.col("id").alias("case_id"), F.lit(run).alias("run_index"), "expected_answerable", refused.alias("refused"), answer.alias("answer"),
             evaluation.keyword_hit(answer, F.col("expected_keywords")).alias("keyword_hit"), evaluation.forbidden_hit(answer, refused, F.col("forbidden_keywords")).alias("forbidden_hit"),
             F.size(F.filter(F.split(F.coalesce("citations", F.lit("")), ","), lambda c: c != "")).cast("long").alias("citation_count"), F.lit(0).cast("long").alias("dangling_citations"),
-            F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("tokens"), F.lit(seconds).alias("duration_s"), F.lit(failed).cast("string").alias("error"),
+            F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("tokens"), F.lit(seconds).alias("duration_s"), F.col("failed").alias("error"),
         )
         out = made if out is None else out.unionByName(made)
     return out

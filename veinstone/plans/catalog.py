@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import index_queries, overlap_queries, pipeline_queries, quality_queries, retrieval_queries, state_queries, text_queries
+from . import audit_queries, index_queries, overlap_queries, pipeline_queries, quality_queries, retrieval_queries, state_queries, text_queries
 from .registry import Plan
 
-_MODULES = (text_queries, retrieval_queries, state_queries, overlap_queries, quality_queries, pipeline_queries, index_queries)
+_MODULES = (text_queries, retrieval_queries, state_queries, overlap_queries, quality_queries, pipeline_queries, index_queries, audit_queries)
 
 
 def queries() -> dict[str, Plan]:

@@ -132,7 +132,7 @@ _GENERIC = f"{_BARE} = '' OR {_BARE} IN ('else', 'try', 'finally', 'pass', 'brea
 @query("line_tiers", f"""
 WITH c AS (SELECT list(term) AS common FROM (SELECT term FROM (SELECT DISTINCT doc_id, unnest({_TOK}) AS term FROM documents) GROUP BY term HAVING count(*) >= greatest(1, ceil((SELECT count(*) FROM documents) * 0.1::DOUBLE)))),
 l AS ({_lines('documents', 'doc_id')})
-SELECT id, line_no, CASE WHEN starts_with(line, 'import ') OR starts_with(line, 'from ') OR starts_with(line, 'if __name__ ') THEN 'boilerplate' WHEN {_GENERIC} OR len(list_filter(regexp_extract_all(lower(line), '[\\p{{L}}\\p{{N}}]+'), lambda w: NOT list_contains(common, w))) = 0 THEN 'generic' ELSE 'substantive' END AS tier FROM l, c""")
+SELECT id, line_no, CASE WHEN regexp_matches(line, '^import [A-Za-z_][\\w.]*( as \\w+)?(, *[A-Za-z_][\\w.]*( as \\w+)?)*$') OR regexp_matches(line, '^from [.\\w]+ import [\\w*(]') OR regexp_matches(line, '^if __name__ ?== ?') THEN 'boilerplate' WHEN {_GENERIC} OR len(list_filter(regexp_extract_all(lower(line), '[\\p{{L}}\\p{{N}}]+'), lambda w: NOT list_contains(common, w))) = 0 THEN 'generic' ELSE 'substantive' END AS tier FROM l, c""")
 def line_tiers(spark, sf):
     docs = table(spark, sf, "documents")
     # Words of a tenth of all documents: few, by their own definition at most ten times a document's mean number of words.

@@ -47,6 +47,18 @@ def discover(spark: SparkSession, roots: list[str], max_mb: float = 50.0, suffix
     return found.where(~F.col("rel_path").rlike(r"(^|/)\.") & known & (F.col("length") <= int(max_mb * 1024 * 1024)))
 
 
+# Folders that hold no source of their own.
+SKIPPED = ("node_modules", "__pycache__", "venv", "dist", "build", "site-packages", "target")
+
+
+def source_tree(spark: SparkSession, roots: list[str], max_mb: float = 5.0, suffixes: tuple[str, ...] = ("",)) -> DataFrame:
+    """rel_path, suffix, text of the text files below the roots: not hidden, not in folders of built or foreign files, not too large, without NUL."""
+    found = discover(spark, roots, max_mb, suffixes).where(~F.col("rel_path").rlike("(^|/)(" + "|".join(SKIPPED) + ")/"))
+    plain = ~F.contains(F.substring("content", 1, 8192), F.lit(b"\0"))
+    suffix = F.lower(F.regexp_extract("rel_path", r"(\.[^./]*)$", 1))
+    return found.where(plain).select("rel_path", suffix.alias("suffix"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+
+
 def content_hash(content: Column) -> Column:
     return identity.digest(content)
 
