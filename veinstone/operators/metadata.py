@@ -82,28 +82,74 @@ def _path(json: Column, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(json, path, kind)
 
 
+# Years that a work may have.
+FIRST_YEAR, LAST_YEAR = 1000, 2999
+
+
+def _text(json: Column, path: str) -> Column:
+    """A string that isn't blank, without blanks around it."""
+    return F.nullif(text.strip(_path(json, path)), F.lit(""))
+
+
+def _year(json: Column, path: str) -> Column:
+    """A year in the range that works have, given as a number or as digits."""
+    found = F.coalesce(_path(json, path, "int"), _path(json, path).try_cast("int"))
+    return F.when(found.between(FIRST_YEAR, LAST_YEAR), found)
+
+
+def _some(names: Column) -> Column:
+    """The names that are there; null if there are none."""
+    kept = F.filter(names, lambda n: n.isNotNull() & (F.btrim(n) != ""))
+    return F.when(F.size(kept) > 0, kept)
+
+
 def crossref(payload: Column) -> Column:
-    """A work of Crossref as a patch."""
+    """A work of Crossref as a patch; titles, venues and abstracts without their markup."""
     v = F.try_parse_json(payload)
     names = F.transform(_path(v, "$.author", "array<struct<given string, family string, name string>>"), lambda a: F.coalesce(F.nullif(F.concat_ws(" ", a["given"], a["family"]), F.lit("")), a["name"]))
     first = lambda p: text.strip_markup(F.get(F.filter(_path(v, p, "array<string>"), lambda x: F.btrim(x) != ""), F.lit(0)))
     return F.struct(
         first("$.title").alias("title"),
         F.filter(names, lambda x: x.isNotNull()).alias("authors"),
-        _path(v, "$.issued['date-parts'][0][0]", "int").alias("year"),
+        _year(v, "$.issued['date-parts'][0][0]").alias("year"),
         text.normalize_doi(_path(v, "$.DOI")).alias("doi"),
         first("$['container-title']").alias("venue"),
+        text.strip_markup(_text(v, "$.abstract")).alias("abstract"),
         _path(v, "$['is-referenced-by-count']", "int").alias("citation_count"),
     )
 
 
+def openalex(payload: Column) -> Column:
+    """A work of OpenAlex as a patch; any part of it may be missing or null."""
+    v = F.try_parse_json(payload)
+    names = F.transform(_path(v, "$.authorships", "array<struct<author struct<display_name string>>>"), lambda a: a["author"]["display_name"])
+    return F.struct(
+        F.coalesce(_text(v, "$.title"), _text(v, "$.display_name")).alias("title"),
+        _some(names).alias("authors"),
+        _year(v, "$.publication_year").alias("year"),
+        text.normalize_doi(_path(v, "$.doi")).alias("doi"),
+        _text(v, "$.primary_location.source.display_name").alias("venue"),
+        _path(v, "$.cited_by_count", "int").alias("citation_count"),
+        _path(v, "$.open_access.is_oa", "boolean").alias("is_oa"),
+        _text(v, "$.open_access.oa_url").alias("oa_url"),
+        openalex_tier(payload).alias("quality_tier"),
+    )
+
+
+def unpaywall(payload: Column) -> Column:
+    """Whether a work is open, and where, by Unpaywall."""
+    v = F.try_parse_json(payload)
+    where = F.coalesce(_text(v, "$.best_oa_location.url_for_pdf"), _text(v, "$.best_oa_location.url"))
+    return F.struct(_path(v, "$.is_oa", "boolean").alias("is_oa"), where.alias("oa_url"))
+
+
 def semantic_scholar(payload: Column) -> Column:
     """A paper of Semantic Scholar as a patch."""
     v = F.try_parse_json(payload)
     return F.struct(
         _path(v, "$.title").alias("title"),
         F.filter(F.transform(_path(v, "$.authors", "array<struct<name string>>"), lambda a: a["name"]), lambda x: x.isNotNull()).alias("authors"),
-        _path(v, "$.year", "int").alias("year"),
+        _year(v, "$.year").alias("year"),
         text.normalize_doi(_path(v, "$.externalIds.DOI")).alias("doi"),
         _path(v, "$.citationCount", "int").alias("citation_count"),
     )

@@ -50,14 +50,16 @@ class Report(NamedTuple):
 
 def described(parsed: DataFrame) -> DataFrame:
     """Parsed files with DOI, title and keys: a printed DOI, else one made of an arXiv id."""
-    first = F.substring(F.get(F.col("parsed.pages.text"), F.lit(0)), 1, 4000)
-    arxiv = text.find_arxiv(first)
-    doi = F.coalesce(text.normalize_doi(text.find_doi(first)), F.lower(F.concat(F.lit("10.48550/arXiv."), arxiv)))
     name = F.regexp_replace(F.element_at(F.split("rel_path", "/"), -1), r"\.[^.]*$", "")
-    lines = F.filter(F.transform(text.lines(first), text.strip), lambda x: x != "")
-    heading = text.heading(F.get(lines, F.lit(0)), F.lit(False))["title"]
-    title = F.coalesce(F.nullif(text.normalize(heading), F.lit("")), name)
-    made = parsed.withColumn("doi", doi).withColumn("title", title)
+    # Each step is a column of its own, so that none is worked out for every use.
+    made = parsed.withColumn("_head", F.substring(F.get(F.col("parsed.pages.text"), F.lit(0)), 1, 4000))
+    made = made.withColumn("_doi", text.normalize_doi(text.find_doi(F.col("_head")))).withColumn("_arxiv", text.find_arxiv(F.col("_head")))
+    made = made.withColumn("doi", F.coalesce("_doi", F.lower(F.concat(F.lit("10.48550/arXiv."), "_arxiv"))))
+    made = made.withColumn("_line", F.get(F.filter(F.transform(text.lines(F.col("_head")), text.strip), lambda x: x != ""), F.lit(0)))
+    made = made.withColumn("_heading", text.heading(F.col("_line"), F.lit(False))["title"]).withColumn("_plain", text.normalize(F.col("_heading")))
+    # A heading that is a placeholder, or the file's own name, says nothing.
+    made = made.withColumn("_odd", (F.col("_plain") == "") | text.is_placeholder_title(F.col("_plain"), name))
+    made = made.withColumn("title", F.when(F.col("_odd"), name).otherwise(F.col("_plain"))).drop("_head", "_doi", "_arxiv", "_line", "_heading", "_plain", "_odd")
     return made.withColumn("source_key", identity.source_key(F.col("doi"), F.col("hash")))
 
 

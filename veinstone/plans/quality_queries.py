@@ -70,13 +70,13 @@ def _payloads(rows: list[tuple[int, object]]) -> Templates:
 
 
 CROSSREF = _payloads([
-    (1, {"title": ["", "<i>Deep</i> Nets @id@"], "author": [{"given": "Ada", "family": "Lovelace"}, {"family": "Turing"}, {"name": "A Group"}], "issued": {"date-parts": [[2019, 3]]}, "DOI": "10.1/ABC@id@", "container-title": ["J. Tests"], "is-referenced-by-count": 12}),
+    (1, {"title": ["", "<i>Deep</i> Nets @id@"], "author": [{"given": "Ada", "family": "Lovelace"}, {"family": "Turing"}, {"name": "A Group"}], "issued": {"date-parts": [[2019, 3]]}, "DOI": "10.1/ABC@id@", "container-title": ["J. Tests"], "is-referenced-by-count": 12, "abstract": "<jats:p>About @id@.</jats:p>"}),
     (2, {"title": [], "author": [], "DOI": None}),
     (3, "not json"),
 ])
 
 
-_WORKS = Templates("id long, title string, authors string, year int, doi string, venue string, citation_count int", [(1, "Deep Nets @id@", "Ada Lovelace|Turing|A Group", 2019, "10.1/abc@id@", "J. Tests", 12), (2, None, "", None, None, None, None), (3, None, None, None, None, None, None)])
+_WORKS = Templates("id long, title string, authors string, year int, doi string, venue string, abstract string, citation_count int", [(1, "Deep Nets @id@", "Ada Lovelace|Turing|A Group", 2019, "10.1/abc@id@", "J. Tests", "About @id@.", 12), (2, None, "", None, None, None, None, None), (3, None, None, None, None, None, None, None)])
 
 
 @query("map_crossref", f"SELECT * FROM {_WORKS.values}")
@@ -95,6 +95,30 @@ def map_s2(spark, sf):
     return made.withColumn("authors", F.array_join("authors", "|"))
 
 
+_OPEN = _payloads([
+    (1, {"title": " Work @id@ ", "display_name": "Other", "authorships": [{"author": {"display_name": "A. One"}}, {"author": None}, {}, {"author": {"display_name": "B @source@"}}], "publication_year": 2021, "doi": "https://doi.org/10.3/ABC@id@", "primary_location": {"source": {"display_name": "J. @id@", "type": "journal", "is_in_doaj": True}}, "cited_by_count": 7, "open_access": {"is_oa": True, "oa_url": "https://x.org/@id@"}}),
+    (2, {"title": None, "display_name": "Shown @id@", "authorships": [], "publication_year": "1999", "doi": None, "primary_location": None, "open_access": None}),
+    (3, {"title": "", "authorships": None, "publication_year": 99999, "primary_location": {"source": None}, "open_access": {"is_oa": False, "oa_url": None}}),
+    (4, "no json @id@"),
+])
+_OPEN_OUT = Templates("id long, title string, authors string, year int, doi string, venue string, citation_count int, is_oa boolean, oa_url string, quality_tier int", [(1, "Work @id@", "A. One|B @source@", 2021, "10.3/abc@id@", "J. @id@", 7, True, "https://x.org/@id@", 3), (2, "Shown @id@", None, 1999, None, None, None, None, None, None), (3, None, None, None, None, None, None, False, None, None), (4, None, None, None, None, None, None, None, None, None)])
+
+
+@query("map_openalex", f"SELECT * FROM {_OPEN_OUT.values}")
+def map_openalex(spark, sf):
+    made = _OPEN.df(spark, sf).select("id", metadata.openalex(F.col("payload")).alias("p")).select("id", "p.*")
+    return made.withColumn("authors", F.array_join("authors", "|"))
+
+
+_UNPAYWALL = _payloads([(1, {"is_oa": True, "best_oa_location": {"url_for_pdf": "https://y.org/@id@.pdf", "url": "u"}}), (2, {"is_oa": True, "best_oa_location": {"url_for_pdf": None, "url": "https://y.org/@id@"}}), (3, {"is_oa": False, "best_oa_location": None}), (4, {})])
+_UNPAYWALL_OUT = Templates("id long, is_oa boolean, oa_url string", [(1, True, "https://y.org/@id@.pdf"), (2, True, "https://y.org/@id@"), (3, False, None), (4, None, None)])
+
+
+@query("map_unpaywall", f"SELECT * FROM {_UNPAYWALL_OUT.values}")
+def map_unpaywall(spark, sf):
+    return _UNPAYWALL.df(spark, sf).select("id", metadata.unpaywall(F.col("payload")).alias("p")).select("id", "p.*")
+
+
 _loc = lambda **s: {"primary_location": {"source": s}}
 OPENALEX = _payloads([(1, _loc(type="journal", is_in_doaj=True)), (2, _loc(type="journal", is_in_doaj=False)), (3, _loc(type="repository")), (4, _loc(type="conference")), (5, _loc(type=None)), (6, {"primary_location": {"source": None}}), (7, {"primary_location": None}), (8, _loc(type="book series")), (9, _loc(type="Proceedings")), (10, {})])
 

@@ -38,9 +38,7 @@ class Answering:
 class Agent:
     max_steps: int = 12
     timeout_s: float = 500.0
-    max_cost: float | None = 1.0
     max_tokens: int | None = None
-    context_tokens: int = 32_000
     no_gain_limit: int = 2
 
 

@@ -52,8 +52,8 @@ class Endpoint(NamedTuple):
 
 
 def one(endpoint: Endpoint, key: str) -> tuple[int, str]:
-    """Status and body of one request; raises HttpError, TimeoutError or OSError."""
-    request = urllib.request.Request(endpoint.url.replace("{key}", urllib.parse.quote(key, safe="")), headers=dict(endpoint.headers))
+    """Status and body of one request; a key's slashes stay, as those of a DOI must, and all else is quoted. Raises HttpError, TimeoutError or OSError."""
+    request = urllib.request.Request(endpoint.url.replace("{key}", urllib.parse.quote(key, safe="/")), headers=dict(endpoint.headers))
     if urllib.parse.urlsplit(request.full_url).scheme not in ("http", "https"):
         raise ValueError("only http and https")
     try:
