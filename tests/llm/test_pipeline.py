@@ -46,3 +46,20 @@ def test_empty(spark, docs):
     for _, stage in C.STAGES:
         table = stage(spark, table, "")
         assert table.collect() == []
+
+
+def test_hard_rows(spark, docs, hard):
+    """Every stage on nulls, blanks, repeats and long texts, with columns whose names clash with inner ones."""
+    table = docs([(k, t, "en" if k != 3 else None, ["a", None][(k or 0) % 2]) for k, t in hard]).selectExpr("*", "1 AS size", "2 AS key", "3 AS hash", "4 AS repeats", "'x' AS ids", "5 AS node")
+    known = C.language_id(spark, table, "").collect()
+    assert sorted(r.doc_id if r.doc_id is not None else -1 for r in known) == [-1, 4, 5, 5, 6, 7, 8, 9]
+    short = C.line_dedup(spark, table, "").collect()
+    # The third copy of the three-line windows loses its lines, and so the whole document.
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in short) == [-1, 1, 2, 3, 4, 5, 5, 7, 8, 9]
+    single = C.near_dedup(spark, table, "").collect()
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in single) == [-1, 1, 4, 5, 7, 8, 9]
+    mixed = C.mix(spark, table, "")
+    taken = [-1 if r.doc_id is None else r.doc_id for r in mixed.collect()]
+    assert mixed.columns == C.COLUMNS and set(taken) <= {-1, 4, 5, 6, 7, 8, 9} and max(map(taken.count, taken)) <= 4
+    done = C.tokenize(spark, table, "").collect()
+    assert len(done) == len(hard) and all(r.round_trip for r in done) and {r.doc_id for r in done if r.n_tokens == 0} == {1, 2}

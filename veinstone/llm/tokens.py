@@ -9,6 +9,10 @@ of its first word and whether it has escapes; then 64-bit words. A word's upper
 values of how many bits fill its lower 60. Selector 0 is the escape: the next word is one raw value.
 Blocks begin with a word of their own, so that all blocks of a stream are coded and decoded in step by
 array operations; only a block with escapes is decoded word by word.
+
+Null and empty texts have no ids but the end id. Repeated rows are documents of their own, in an order that doesn't matter as they
+are equal; documents with one id go by a hash of their text, those without id last. Very long texts are encoded whole, and columns but
+doc_id and text left out. An empty table gives an empty set.
 """
 
 from __future__ import annotations
