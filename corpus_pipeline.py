@@ -5,6 +5,15 @@
 3. SimHash near-dedup on five-word shingles: one document of each group stays;
 4. mixing: documents are repeated, or left out, to meet the target weights of their sources;
 5. byte-level BPE: ids of every text, decoded again.
+
+Every stage takes nulls in any column, empty, blank and very long texts, ties, repeated rows, extra columns of any name and empty tables:
+
+1. null, empty and blank texts and those without a letter have no language and go; a null lang or doc_id is not learnt from;
+   repeated rows are judged alike; long texts are parsed whole.
+2. null and empty texts stay as they are; of repeated windows the first by doc_id (null last) stays; repeated rows are one document.
+3. of repeated rows and of texts without words one stays; rows with a null doc_id are the last choice of a group.
+4. rows of a null source are a source of their own; documents without words are left out; of equal rows as many are taken as the target wants.
+5. a null text is an empty one, with no ids; repeated rows have a row each.
 """
 
 from __future__ import annotations
