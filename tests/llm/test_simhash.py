@@ -115,7 +115,6 @@ def test_views_of_similar_sets_meet():
         # What differs is drawn at random, as hashes are.
         b = np.unique(np.r_[rng.permutation(a)[33:], rng.integers(0, 2**63, 33).astype(np.uint64)])
         met += bool((S.views(a) == S.views(b)).any())
-        assert abs(S.similarity(a[: S.SKETCH], b[: S.SKETCH], S.SKETCH) - 0.8) < S.MARGIN
     assert met >= 97
 
 
@@ -191,13 +190,32 @@ def test_edges_are_near_pairs_that_join_all(run):
 def test_prefixes_find_every_similar_pair():
     rng = np.random.default_rng(2)
     often = (np.arange(50, dtype=np.uint64), rng.integers(3, 100, 50))
-    for _ in range(2000):
+    similar = out = 0
+    for _ in range(4000):
         a = np.unique(rng.integers(0, 200, rng.integers(1, 60)).astype(np.uint64))
-        b = np.unique(np.r_[a[rng.random(len(a)) < 0.92], rng.integers(0, 200, rng.integers(0, 5)).astype(np.uint64)])
-        if len(b) and S.similarity(a, b) >= 0.8:
-            x, y = sorted((a, b), key=len)
-            index = S.prefixes(x, often, 0.8)[: len(x) - int(np.ceil(len(x) * (1.6 / 1.8) - 1e-9)) + 1]
-            assert np.intersect1d(index, S.prefixes(y, often, 0.8)).size
+        b = np.unique(np.r_[a[rng.random(len(a)) < rng.choice([0.7, 0.92])], rng.integers(0, 200, rng.integers(0, 5)).astype(np.uint64)])
+        if not len(b):
+            continue
+        x, y = sorted((a, b), key=len)
+        (xs, x_last), (ys, y_last) = (S.prefixes(t, often, 0.8) for t in (x, y))
+        may = S.possible(xs, x_last, len(x), ys, y_last, len(y), 0.8)
+        if S.similarity(a, b) >= 0.8:
+            similar += 1
+            assert may and np.intersect1d(xs[: len(x) - int(np.ceil(len(x) * (1.6 / 1.8) - 1e-9)) + 1], ys).size
+        else:
+            out += not may
+    assert similar > 500 and out > 1000
+
+
+def test_prefixes_sort_out_copies_that_are_not_similar_enough():
+    """Copies of one text with rare edits: their prefixes hold the edits, and tell 0.7 from 0.8."""
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))
+    often = (base, np.full(len(base), 50))
+    for kept, may in ((0.93, True), (0.8, False)):
+        a, b = (np.unique(np.r_[rng.permutation(base)[: int(kept * 400)], rng.integers(0, 2**63, int((1 - kept) * 400)).astype(np.uint64)]) for _ in range(2))
+        (xs, x_last), (ys, y_last) = (S.prefixes(t, often, 0.8) for t in (a, b))
+        assert S.possible(xs, x_last, len(a), ys, y_last, len(b), 0.8) == may
 
 
 def test_empty(docs):

@@ -20,13 +20,13 @@ other than doc_id and text are left out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, packed, partitions, released, small_batches, written
@@ -220,10 +220,10 @@ def near_duplicates(docs: DataFrame, n: int = 3, radius: int = 3, blocks: int =
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Samples of a document's shingles, shingles of each, and shingle hashes (32 bits of each) kept to sort out with.
-VIEWS, SAMPLE, SKETCH = 12, 4, 64
-#: How far below the least similarity an estimate may be: six standard errors of a sketch.
-MARGIN = 0.3
+#: Samples of a document's shingles, shingles of each, and how many partners a text gets by them.
+VIEWS, SAMPLE, PARTNERS = 12, 4, 6
+#: Texts in a block, of whose pairs each is a cell that a task judges; blocks at least.
+BLOCK_TEXTS, LEAST_BLOCKS = 2000, 8
 #: How many of the most frequent shingles have a place in the order of prefixes; the others are in that of their hashes.
 FREQUENT = 1 << 18
 _SEEDS = np.array([xxhash.xxh64_intdigest(b"view", k) for k in range(VIEWS)], np.uint64)
@@ -240,39 +240,69 @@ def views(hashes: np.ndarray) -> np.ndarray:
     return (w & x & (y | z)) | ((w | x) & y & z)
 
 
-def similarity(a: np.ndarray, b: np.ndarray, lowest: int | None = None) -> float:
-    """Jaccard of two sets of hashes, or its estimate from their `lowest` ones."""
-    union = np.union1d(a, b)[:lowest]
-    shared = np.intersect1d(np.intersect1d(a, b, assume_unique=True), union, assume_unique=True)
-    return len(shared) / len(union) if len(union) else 0.0
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard of two sorted sets of hashes."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    union = len(a) + len(b) - shared
+    return shared / union if union else 0.0
 
 
-def sketches(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, hash (of the text), fp, size (distinct shingles), views and sketch (lowest hashes) of every row."""
+def prefixes(distinct: np.ndarray, often: tuple[np.ndarray, np.ndarray], least: float) -> tuple[np.ndarray, int]:
+    """The shingle hashes that a text is found by, rarest first, and how often the last of them was seen; `often` has sorted hashes and their counts."""
+    size = len(distinct)
+    keys, counts = often
+    at = np.minimum(np.searchsorted(keys, distinct), max(len(keys) - 1, 0))
+    seen = np.where(keys[at] == distinct, counts[at], 0) if len(keys) else np.zeros(size, np.int64)
+    order = np.lexsort((distinct, seen))[: size - int(np.ceil(least * size - 1e-9)) + 1]
+    return distinct[order], int(seen[order[-1]]) if size else 0
+
+
+def possible(x: np.ndarray, x_last: int, x_size: int, y: np.ndarray, y_last: int, y_size: int, least: float) -> bool:
+    """Whether two texts may have a Jaccard of `least`, by their prefixes.
+
+    Take the one whose prefix ends first in the common order: what both share of its prefix is in the other's prefix too, and the rest
+    of it is all that they can share besides. Texts whose edits are rare shingles have these in their prefixes, so the bound is close.
+    """
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    if (x_last, int(x[-1])) <= (y_last, int(y[-1])):
+        most = shared + x_size - len(x)
+    else:
+        most = shared + y_size - len(y)
+    return most >= (x_size + y_size) * (least / (1 + least)) - 1e-9
+
+
+def sketches(docs: DataFrame, n: int, often: tuple[np.ndarray, np.ndarray], least: float) -> DataFrame:
+    """doc_id, hash (of the text), fp, size (distinct shingles), and, once in a task for each text that has any, views, prefix and last of every row."""
     small_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(often)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for batch in batches:
-            fps, sizes, own, kept = np.empty(batch.num_rows, np.uint64), [], [], []
-            for k, text in enumerate(batch.column(1).cast(pa.large_binary())):
+            fps, sizes, own, first, last = np.empty(batch.num_rows, np.uint64), [], [], [], []
+            for k, (text, name) in enumerate(zip(batch.column(1).cast(pa.large_binary()), batch.column(2).to_numpy(), strict=True)):
                 made = hashes_of(text.as_py() or b"", n)
                 fps[k] = majority(made)
                 distinct = np.unique(made)
                 sizes.append(len(distinct))
-                own.append(views(distinct).view(np.int64) if len(distinct) else np.empty(0, np.int64))
-                kept.append(np.unique((distinct[:SKETCH] >> np.uint64(32)).astype(np.uint32)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64)), pa.array(sizes, pa.int64()), pa.array(own, pa.list_(pa.int64())), pa.array(kept, pa.binary())], names=["doc_id", "hash", "fp", "size", "views", "sketch"])
+                again = name in done or not len(distinct)
+                done.add(name)
+                tokens, seen = (None, None) if again else prefixes(distinct, sent.value, least)
+                own.append(None if again else views(distinct).view(np.int64))
+                first.append(None if again else tokens.tobytes())
+                last.append(seen)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64)), pa.array(sizes, pa.int64()), pa.array(own, pa.list_(pa.int64())), pa.array(first, pa.binary()), pa.array(last, pa.int64())], names=["doc_id", "hash", "fp", "size", "views", "prefix", "last"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("hash")).mapInArrow(released(run), "doc_id long, hash long, fp long, size long, views array<long>, sketch binary")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("hash")).mapInArrow(released(run), "doc_id long, hash long, fp long, size long, views array<long>, prefix binary, last long")
 
 
 def _similar_pairs(nodes: DataFrame, least: float) -> DataFrame:
-    """(a, b) of nodes (hash, root, size, views, sketch) that share a sample's fingerprint, have different roots and may be similar enough.
+    """(a, b) of nodes (hash, root, size, views) that share a sample's fingerprint, have different roots and may be similar enough.
 
     Sets of a similarity s differ in size by the factor s at most, so a node goes to two of the classes of
-    such a factor. In each group of a sample's fingerprint and a class all members are compared with two
-    of them, others in each group; a group of common passages thus splits by size, and costs two
-    comparisons a member. What is lost here is found by the prefix join. Sketches only sort out.
+    such a factor. In each group of a sample's fingerprint and a class all members meet two
+    of them, others in each group; a group of common passages thus splits by size. Of those a node keeps the PARTNERS with which it
+    shares most groups: this only joins most texts at little cost, and the prefix join finds the others.
     """
     klass = F.floor(F.log(F.col("size").cast("double")) / -float(np.log(least)))
     each = nodes.where("size > 0").select("hash", "root", F.posexplode("views").alias("view", "key"), klass.alias("class")).select("hash", "root", "view", "key", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"))
@@ -281,22 +311,43 @@ def _similar_pairs(nodes: DataFrame, least: float) -> DataFrame:
     draw = F.struct(F.xxhash64("hash", "group"), "hash", "root")
     ends = each.groupBy("group").agg(F.min(draw).alias("x"), F.max(draw).alias("y"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     ends = ends.select(F.col("group").alias("g"), F.explode(F.array("x", "y")).alias("end")).select("g", F.col("end.hash").alias("a"), F.col("end.root").alias("a_root"))
-    pairs = each.join(ends, (F.col("group") == F.col("g")) & (F.col("root") != F.col("a_root"))).select(F.least("a", "hash").alias("a"), F.greatest("a", "hash").alias("b")).distinct()
-    return written(pairs, "candidates")
+    met = each.join(ends, (F.col("group") == F.col("g")) & (F.col("root") != F.col("a_root"))).groupBy("hash", "a").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("hash").orderBy(F.desc("n"), "a"))
+    best = met.withColumn("place", place).where(F.col("place") <= PARTNERS)
+    return best.select(F.least("a", "hash").alias("a"), F.greatest("a", "hash").alias("b")).distinct()
 
 
-def _sorted_out(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) without those whose sketches are farther below `least` than MARGIN."""
+def _judged(pairs: DataFrame, texts: DataFrame, good: Callable[[dict, dict], bool]) -> DataFrame:
+    """The pairs (a, b) whose rows of `texts` (hash and what is to be compared) `good` accepts.
 
-    def sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.array([similarity(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32), SKETCH) for x, y in zip(batch.column(2), batch.column(3), strict=True)])
-            good = pa.array(found >= least - MARGIN, pa.bool_())
-            yield pa.RecordBatch.from_arrays([c.filter(good) for c in batch.columns[:2]], names=["a", "b"])
+    Texts are dealt to blocks, and a pair of blocks is a cell. A row goes once to each cell in which it has pairs, however many:
+    a text that has thousands of partners is sent to as many cells as there are blocks at most, and pairs carry no rows.
+    """
+    n = texts.count()
+    blocks = max(LEAST_BLOCKS, -(-n // BLOCK_TEXTS))
+    block = lambda c: F.pmod(F.xxhash64(c, F.lit(5)), F.lit(blocks))
+    cells = pairs.select((block("a") * blocks + block("b")).alias("cell"), "a", "b")
+    needs = cells.select(F.col("cell").alias("at"), F.explode(F.array("a", "b")).alias("node")).distinct()
+    sent = needs.join(texts, F.col("node") == F.col("hash")).drop("node")
+    names = texts.columns
+
+    def judge(own: pa.Table, rows: pa.Table) -> pa.Table:
+        by = {r["hash"]: r for r in rows.select(names).to_pylist()}
+        a, b = own.column("a").to_pylist(), own.column("b").to_pylist()
+        kept = [x in by and y in by and good(by[x], by[y]) for x, y in zip(a, b, strict=True)]
+        return own.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    return cells.groupBy("cell").cogroup(sent.groupBy("at")).applyInArrow(judge, "a long, b long")
 
-    side = lambda c: nodes.select(F.col("hash").alias(f"{c}_node"), F.col("sketch").alias(f"{c}_sketch"))
-    met = pairs.join(side("a"), F.col("a") == F.col("a_node")).join(side("b"), F.col("b") == F.col("b_node"))
-    return written(met.select("a", "b", "a_sketch", "b_sketch").mapInArrow(released(sort_out), "a long, b long"), "left")
+
+def _sorted_out(pairs: DataFrame, lists: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) that may be similar enough by their prefixes (lists: hash, size, prefix, last); none that is similar enough goes."""
+
+    def good(x: dict, y: dict) -> bool:
+        return possible(np.frombuffer(x["prefix"], np.uint64), x["last"], x["size"], np.frombuffer(y["prefix"], np.uint64), y["last"], y["size"], least)
+
+    wanted = pairs.select(F.col("a").alias("w")).union(pairs.select("b")).distinct()
+    return written(_judged(pairs, lists.join(wanted, F.col("hash") == F.col("w"), "left_semi"), good), "left")
 
 
 def exact(pairs: DataFrame, docs: DataFrame, n: int, least: float) -> DataFrame:
@@ -308,29 +359,16 @@ def exact(pairs: DataFrame, docs: DataFrame, n: int, least: float) -> DataFrame:
             made = [np.unique(hashes_of(t.as_py() or b"", n)).tobytes() for t in batch.column(1).cast(pa.large_binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["hash", "set"])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [similarity(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) >= least for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+    def good(x: dict, y: dict) -> bool:
+        return similarity(np.frombuffer(x["set"], np.uint64), np.frombuffer(y["set"], np.uint64)) >= least
 
     texts = docs.select(F.xxhash64("text").alias("hash"), "text").join(wanted, F.col("hash") == F.col("w"), "left_semi")
     sets = written(texts.mapInArrow(released(run), "hash long, set binary").dropDuplicates(["hash"]), "sets")
-    side = lambda c: sets.select(F.col("hash").alias(f"{c}_node"), F.col("set").alias(f"{c}_set"))
-    met = pairs.join(side("a"), F.col("a") == F.col("a_node")).join(side("b"), F.col("b") == F.col("b_node"))
-    out = written(met.select("a", "b", "a_set", "b_set").mapInArrow(released(verify), "a long, b long"), "exact")
+    out = written(_judged(pairs, sets, good), "exact")
     discard(sets)
     return out
 
 
-def prefixes(distinct: np.ndarray, often: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
-    """The shingle hashes that a text is found by, rarest first; `often` has sorted hashes and their counts."""
-    size = len(distinct)
-    keys, counts = often
-    at = np.minimum(np.searchsorted(keys, distinct), max(len(keys) - 1, 0))
-    seen = np.where(keys[at] == distinct, counts[at], 0) if len(keys) else np.zeros(size, np.int64)
-    return distinct[np.lexsort((distinct, seen))[: size - int(np.ceil(least * size - 1e-9)) + 1]]
-
-
 def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The shingle hashes that are in most texts of a sample, and in how many. They only order the prefixes."""
 
@@ -346,34 +384,27 @@ def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], counts[order]
 
 
-def _prefix_pairs(docs: DataFrame, nodes: DataFrame, groups: DataFrame, n: int, least: float) -> DataFrame:
-    """(a, b) of all texts' hashes that may have a Jaccard of `least` and are in different groups (node, root).
+def _prefix_pairs(lists: DataFrame, groups: DataFrame, least: float) -> DataFrame:
+    """(a, b) of all texts' hashes (lists: hash, size, prefix) that may have a Jaccard of `least` and are in different groups (node, root).
 
     With all shingles in one order, a text x that has no more shingles than y shares, if they are similar
     enough, one of its first |x| - ceil(2t/(1+t)|x|) + 1 with the first |y| - ceil(t|y|) + 1 of y. At
     the first that they share, what is left of both must do for the overlap. No pair is lost by this.
     Rare shingles come first, so a passage of many texts is looked at only in texts of little else.
     """
-    spark = docs.sparkSession
-    often = spark.sparkContext.broadcast(frequent(docs, n))
-    entries = int((nodes.agg(F.sum("size").alias("n")).first().n or 0) * (1 - least))
+    spark = lists.sparkSession
+    entries = int((lists.agg(F.sum("size").alias("n")).first().n or 0) * (1 - least))
     buckets = partitions(spark, entries, TASK_VARIANTS // 2)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()
         for batch in batches:
             made = []
-            for text, own in zip(batch.column(0).cast(pa.large_binary()), batch.column(1).to_numpy(), strict=True):
-                if own in done:
-                    continue
-                done.add(own)
-                distinct = np.unique(hashes_of(text.as_py() or b"", n))
-                if len(distinct):
-                    first = prefixes(distinct, often.value, least)
-                    rows = np.empty((len(first), 3), np.uint64)
-                    rows[:, 0], rows[:, 1] = first, np.int64(own).view(np.uint64)
-                    rows[:, 2] = (np.uint64(len(distinct)) << np.uint64(32)) | np.arange(len(first), dtype=np.uint64)
-                    made.append(rows)
+            for own, size, prefix in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                first = np.frombuffer(prefix.as_py(), np.uint64)
+                rows = np.empty((len(first), 3), np.uint64)
+                rows[:, 0], rows[:, 1] = first, np.int64(own).view(np.uint64)
+                rows[:, 2] = (np.uint64(size) << np.uint64(32)) | np.arange(len(first), dtype=np.uint64)
+                made.append(rows)
             if made:
                 rows = np.concatenate(made)
                 to = (_mixed(rows[:, 0]) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
@@ -387,15 +418,14 @@ def _prefix_pairs(docs: DataFrame, nodes: DataFrame, groups: DataFrame, n: int,
         rows = np.frombuffer(b"".join(parts), np.uint64).reshape(-1, 3)
         del parts
         rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-        # Copies that several tasks have sent are one; shingles of one text alone find nothing.
-        rows = rows[np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]] if len(rows) else rows
+        # Shingles of one text alone find nothing.
         same = rows[1:, 0] == rows[:-1, 0]
         rows = rows[np.r_[False, same] | np.r_[same, False]] if len(rows) else rows
         for k in range(0, len(rows), 100_000):
             part = rows[k : k + 100_000]
             yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(part[:, c]).view(np.int64)) for c in (0, 1)), pa.array((part[:, 2] >> np.uint64(32)).astype(np.int64)), pa.array((part[:, 2] & np.uint64(0xFFFFFFFF)).astype(np.int64))], names=["token", "hash", "size", "at"])
 
-    sent = docs.select("text", F.xxhash64("text").alias("hash")).mapInArrow(released(emit), "bucket long, packed binary")
+    sent = lists.select("hash", "size", "prefix").mapInArrow(released(emit), "bucket long, packed binary")
     shared_table = written(sent.repartition(buckets, "bucket").mapInArrow(released(meet), "token long, hash long, size long, at long"), "shared")
     shared = shared_table.join(groups, F.col("hash") == F.col("node"), "left").select("token", "hash", "size", "at", F.coalesce("root", "hash").alias("root"))
     mixed = shared.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(F.col("token").alias("t"))
@@ -432,39 +462,44 @@ def keep_one(docs: DataFrame, n: int = 5, radius: int = 3, blocks: int = 4, leas
     all shingles of both. Candidates come cheaply first: fingerprints within `radius` bits, which finds texts that
     share nearly all shingles, and, as texts at `least` differ in some ten of 64 bits and no ball of that
     size can be emitted, fingerprints of samples of a few shingles. This joins most groups at a few
-    comparisons a text; sketches sort out pairs that are far from similar. A prefix join then finds every
-    pair of texts in different groups that may be similar enough, and they are verified too.
+    comparisons a text. A prefix join then finds every
+    pair of texts in different groups that may be similar enough, and they are verified too. What two texts share of their rarest shingles
+    bounds their similarity, and sorts out most pairs before their sets meet.
 
     Of repeated rows one stays. Only rows that go, or that are repeated, are looked up among the texts, so
     that texts are shuffled only where those are too many to be sent around. Null and empty texts and those without words are one
     group; very long texts are hashed whole; columns may have any names, and an empty table stays empty.
     """
-    own = written(sketches(docs, n), "sketches")
+    own = written(sketches(docs, n, frequent(docs, n), least), "sketches")
+    rows = written(own.select("doc_id", "hash"), "rows")
     distinct = written(own.select("fp").distinct(), "distinct")
     near = written(near_links(distinct, radius, blocks, edges=True), "bits")
     found = written(connected_components(near), "components")
     # Nodes of one component of fingerprints hang on the smallest of them: views needn't compare them.
     roots = distinct.join(found, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("g"), F.coalesce("root", "fp").alias("root"))
     smallest = own.select("hash", "fp").distinct().join(roots, F.col("fp") == F.col("g")).groupBy("root").agg(F.min("hash").alias("least")).withColumnRenamed("root", "r")
-    rooted = own.dropDuplicates(["hash"]).join(roots, F.col("fp") == F.col("g")).join(smallest, F.col("root") == F.col("r"))
-    nodes = written(rooted.select("hash", "fp", F.col("least").alias("root"), "size", "views", "sketch"), "nodes")
-    rows = written(own.select("doc_id", "hash"), "rows")
+    texts = own.where("size = 0 OR prefix IS NOT NULL")
+    rooted = texts.select("hash", "fp", "size", "views").dropDuplicates(["hash"]).join(roots, F.col("fp") == F.col("g")).join(smallest, F.col("root") == F.col("r"))
+    nodes = written(rooted.select("hash", "fp", F.col("least").alias("root"), "size", "views"), "nodes")
+    lists = written(texts.where("size > 0").select("hash", "size", "prefix", "last").dropDuplicates(["hash"]), "prefixes")
     for table in (own, distinct, found):
         discard(table)
-    candidates = _similar_pairs(nodes, least)
-    left = _sorted_out(candidates.unionByName(_bit_pairs(nodes.where("size > 0"), near)).distinct(), nodes, least)
+    candidates = written(_similar_pairs(nodes, least).unionByName(_bit_pairs(nodes.where("size > 0"), near)).distinct(), "candidates")
+    left = _sorted_out(candidates, lists, least)
     empty = nodes.where("size = 0").select("hash")
     void = empty.join(empty.agg(F.min("hash").alias("a"))).where("a <> hash").select("a", F.col("hash").alias("b"))
     verified = exact(left, docs, n, least)
     links = written(verified.unionByName(void), "near")
-    for table in (near, candidates, left, verified):
+    for table in (near, nodes, left, verified):
         discard(table)
     parts = written(connected_components(links), "found")
-    pairs = _prefix_pairs(docs, nodes, parts, n, least)
-    left = _sorted_out(pairs, nodes, least)
+    pairs = _prefix_pairs(lists, parts, least)
+    judged = candidates.select(F.col("a").alias("x"), F.col("b").alias("y"))
+    left = _sorted_out(pairs.join(judged, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti"), lists, least)
+    for table in (lists, candidates, pairs, parts):
+        discard(table)
     more = exact(left, docs, n, least)
     discard(left)
-    discard(parts)
     parts = written(connected_components(links.unionByName(more)), "groups")
     grouped = rows.join(parts, F.col("hash") == F.col("node"), "left").withColumn("group", F.coalesce("root", "hash"))
     first = grouped.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("group").alias("g"), "first.doc_id", "first.hash")
@@ -473,7 +508,7 @@ def keep_one(docs: DataFrame, n: int = 5, radius: int = 3, blocks: int = 4, leas
     # A row is known by its doc_id and the hash of its text.
     keys = met.groupBy("doc_id", "hash").agg(F.bool_or(stays).alias("stays"), F.count("*").alias("n")).where("NOT stays OR n > 1")
     keys = written(keys.select(F.col("doc_id").alias("gone_id"), F.col("hash").alias("gone_hash"), "stays"), "gone")
-    for table in (rows, nodes, links, more, pairs, parts):
+    for table in (rows, links, more, parts):
         discard(table)
     every = docs.select(F.col("doc_id").cast("long").alias("key_id"), F.xxhash64("text").alias("key_hash"), packed(docs).alias("row"))
     same = F.col("key_id").eqNullSafe(F.col("gone_id")) & (F.col("key_hash") == F.col("gone_hash"))
