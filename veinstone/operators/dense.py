@@ -52,8 +52,12 @@ def hash_embedding(text: Column, dims: int = 8) -> Column:
     """A deterministic stand-in for a model, over whole texts: characters add (code mod 97) / 97 to the bucket of their place."""
 
     def made(texts: pd.Series) -> pd.Series:
-        codes = (np.frombuffer((t or "").encode("utf-32-le", "replace"), np.uint32) % 97 / 97 for t in texts)
-        return pd.Series([np.bincount(np.arange(len(c)) % dims, c, dims).astype(np.float64) for c in codes])
+        # One matrix for a batch; its rows are the vectors.
+        out = np.zeros((len(texts), dims))
+        for k, t in enumerate(texts):
+            codes = np.frombuffer((t or "").encode("utf-32-le", "replace"), np.uint32) % 97 / 97
+            out[k] = np.bincount(np.arange(len(codes)) % dims, codes, dims)
+        return pd.Series(list(out))
 
     return F.pandas_udf(made, "array<double>")(text)
 

@@ -14,6 +14,7 @@ from ..functions import text
 from ..operators import dense, fusion, lexical
 from ..operators.postings import Postings
 from ..session import shared_dir, spread, stamp, table
+from . import ingest
 from .registry import Inline, Registry
 
 registry = Registry()
@@ -204,13 +205,11 @@ FROM (SELECT query_id, {_SUMS.format(v='x')} AS v FROM (SELECT query_id, {_VALUE
 (SELECT id, {_SUMS.format(v='x')} AS v FROM (SELECT doc_id AS id, {_VALUES.format(t='text')} AS x FROM documents)) d"""
 
 
-def _dense_text(spark, sf):
-    queries = QUERIES.df(spark).where("query <> ''").select("query_id", dense.hash_embedding(F.col("query")).alias("qv"))
-    docs = spread(table(spark, sf, "documents")).select(F.col("doc_id").alias("id"), dense.hash_embedding(F.col("text")).alias("dv"))
-    # A handful of queries, as literals of a broadcast side.
-    pairs = docs.join(F.broadcast(queries))
-    cosine = dense.dot(F.col("qv"), F.col("dv")) / (dense.norm(F.col("qv")) * dense.norm(F.col("dv")))
-    return pairs.select("query_id", "id", F.round(cosine, 6).alias("score"))
+def _dense_text(spark: SparkSession, sf: str, k: int) -> DataFrame:
+    """The k nearest texts of each query; the vectors of what is asked at once go to the texts as a matrix."""
+    asked = ingest.embedded(QUERIES.df(spark).where("query <> ''"), 8, ("query_id",), "query").collect()
+    docs = ingest.embedded(spread(table(spark, sf, "documents")).select(F.col("doc_id").alias("id"), "text"), 8, ("id",))
+    return dense.top_k(docs, sorted((r.query_id, list(r.embedding)) for r in asked), k, "id", "embedding")
 
 
 _HYBRID = f"""
@@ -221,7 +220,7 @@ SELECT query_id, id, score, rank FROM ({_ranked('f', K)}) UNION ALL SELECT query
 
 @query("hybrid_rrf", _HYBRID)
 def hybrid_rrf(spark, sf):
-    return fusion.hybrid(dense.ranked(_dense_text(spark, sf), 3 * K), _lexical(spark, sf, 3 * K), K)
+    return fusion.hybrid(_dense_text(spark, sf, 3 * K), _lexical(spark, sf, 3 * K), K)
 
 
 @query("rerank", f"""
