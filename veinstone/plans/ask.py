@@ -57,23 +57,6 @@ class Index:
         return {"version": self.store.current(), "files": row.files, "failed": row.failed, "sources": row.sources, "fragments": self.fragments.count()}
 
 
-class TableIndex(Index):
-    """An index over tables at hand, for plans that build and ask in one go."""
-
-    def __init__(self, fragments: DataFrame, sources: DataFrame, settings: Settings = Settings()):
-        self.spark, self.settings = fragments.sparkSession, settings
-        self._tables = (fragments, sources, ingest.embedded(fragments, settings.model.dims), ingest.terms(fragments))
-
-    def lexical(self, field: str, words: DataFrame, allowed: DataFrame | None) -> DataFrame:
-        column, length = (("tokens", "length"), ("stems", "stem_length"))[field == "english"]
-        rows = _scoped(self._tables[3], allowed)
-        return lexical.bm25(rows.select(F.col("fragment_id").alias("id"), F.col(column).alias("tokens"), F.col(length).alias("length")), words)
-
-    fragments = property(lambda self: self._tables[0])
-    sources = property(lambda self: self._tables[1])
-    vectors = property(lambda self: self._tables[2])
-
-
 def _scoped(rows: DataFrame, allowed: DataFrame | None) -> DataFrame:
     """None is everything; an empty scope is nothing."""
     return rows if allowed is None else rows.join(allowed.select("source_key").distinct(), "source_key", "left_semi")

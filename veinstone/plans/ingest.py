@@ -209,6 +209,18 @@ def build(spark: SparkSession, root: str, roots: list[str], settings: Settings =
     return Report(change.version, actions, number, store.read("fragments", FRAGMENTS).count(), len(doubles), failed, doubles)
 
 
+def stored(root: str, fragments: DataFrame, sources: DataFrame, settings: Settings) -> Segments:
+    """An index of one segment, of fragments (FRAGMENTS) and sources that are at hand."""
+    store = opened(fragments.sparkSession, root, settings)
+    change = store.change()
+    made = change.add("fragments", fragments.select(*_names(FRAGMENTS)))
+    change.add("sources", enrichment.enriched(sources, []).select(*_names(SOURCES)))
+    change.add("vectors", embedded(made, settings.model.dims))
+    _indexed(change, "terms", change.add("terms", terms(made)))
+    change.commit()
+    return store
+
+
 def checked(fragments: DataFrame, vectors: DataFrame, dims: int) -> None:
     """Every new fragment has its vector, or an error, and vectors have the index's dimension; otherwise nothing becomes visible."""
     n, row = fragments.count(), vectors.agg(F.count("*").alias("n"), F.count_if(F.size("embedding") != dims).alias("wrong")).first()

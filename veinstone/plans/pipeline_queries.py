@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import identity, structure, text
-from ..operators import chunking
-from ..session import spread, table
+from ..operators import chunking, dense, lexical
+from ..session import shared_dir, spread, table
 from . import ask, ingest, models
 from .registry import Inline, Registry, Templates
+from .retrieval_queries import body_index
 from .settings import Retrieval, Settings
 
 registry = Registry()
@@ -105,20 +107,18 @@ QUESTIONS = Inline("query_id long, query string", [(1, "there with ension"), (2,
 
 
 def _index(spark, sf):
-    """Documents as an index: each is a source of its own, titled by its first line."""
+    """Documents as a stored index: each is a source of its own, titled by its first line."""
     docs = table(spark, sf, "documents")
-    sources = docs.select(F.col("doc_id").cast("string").alias("source_key"), identity.digest(F.col("text")).alias("content_hash"), F.col("source").alias("rel_path"), F.get(text.lines(F.col("text")), F.lit(0)).alias("title"), F.lit(None).cast("string").alias("doi"), F.lit(False).alias("metadata_complete"))
-    return ask.TableIndex(_fragments(spark, sf), sources, Settings(retrieval=Retrieval(strategy="hybrid_rrf")))
+    sources = docs.select(F.col("doc_id").cast("string").alias("source_key"), identity.digest(F.col("text")).alias("content_hash"), F.col("source").alias("rel_path"), F.get(text.lines(F.col("text")), F.lit(0)).alias("title"), F.lit(None).cast("string").alias("doi"))
+    settings = Settings(retrieval=Retrieval(strategy="hybrid_rrf"))
+    return ask.Index(spark, ingest.stored(f"{shared_dir(spark)}/ask-{uuid.uuid4().hex}", _fragments(spark, sf), sources, settings), settings)
 
 
 @query("screen")
 def screen(spark, sf):
     """The best BM25 documents of each benchmark item, judged by the offline model."""
-    from ..operators import dense, lexical
-
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    docs = lexical.documents(spread(table(spark, sf, "documents")), "doc_id", text.tokens(F.col("text")))
-    found = dense.ranked(lexical.bm25(docs, lexical.query_terms(items, text.tokens(F.col("query")))), 5)
+    found = dense.ranked(body_index(spark, sf).best(lexical.query_terms(items, text.tokens(F.col("query"))), 5), 5)
     candidates = found.select("query_id", "id").join(items, "query_id").join(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
     return ask.screen(candidates, models.Extractive).select("query_id", "id", "summary", "relevance")
 

@@ -142,7 +142,7 @@ def index_of(spark: SparkSession, sf: str, name: str, tokens: Column) -> Posting
     return _built[key]
 
 
-def _body(spark: SparkSession, sf: str) -> Postings:
+def body_index(spark: SparkSession, sf: str) -> Postings:
     return index_of(spark, sf, "body", text.tokens(F.col("text")))
 
 
@@ -151,7 +151,7 @@ def _asked(spark: SparkSession) -> DataFrame:
 
 
 def _lexical(spark: SparkSession, sf: str, k: int) -> DataFrame:
-    return dense.ranked(_body(spark, sf).best(_asked(spark), k), k)
+    return dense.ranked(body_index(spark, sf).best(_asked(spark), k), k)
 
 
 @query("bm25_topk", f"SELECT query_id, id, score, rank FROM ({_ranked('(' + _bm25_sql(_BODY) + ')', 10)})")
@@ -162,13 +162,13 @@ def bm25_topk(spark, sf):
 @query("bm25_pruned", f"SELECT query_id, id, score, rank FROM ({_ranked('(' + _bm25_sql(_BODY) + ')', 3)})")
 def bm25_pruned(spark, sf):
     """The three best, with proof that stripes left closed hold none of them, however small the index."""
-    return dense.ranked(_body(spark, sf).best(_asked(spark), 3, few=0), 3)
+    return dense.ranked(body_index(spark, sf).best(_asked(spark), 3, few=0), 3)
 
 
 @query("index_postings", f"SELECT term, CAST(count(*) AS BIGINT) AS df, CAST(sum(tf) AS BIGINT) AS total, CAST(max(tf) AS INT) AS most, CAST(min(len) AS INT) AS shortest, CAST(sum(id) AS BIGINT) AS ids FROM (SELECT id, len(tok) AS len, term, count(*) AS tf FROM (SELECT id, tok, unnest(tok) AS term FROM ({_BODY})) GROUP BY ALL) GROUP BY term")
 def index_postings(spark, sf):
     """What the blocks of each term hold together."""
-    blocks = _body(spark, sf).rows.where("term IS NOT NULL")
+    blocks = body_index(spark, sf).rows.where("term IS NOT NULL")
     ids = F.sum(F.aggregate("ids", F.lit(0).cast("long"), lambda s, x: s + x))
     return blocks.groupBy("term").agg(F.sum("n").alias("df"), F.sum("total").alias("total"), F.max("most").alias("most"), F.min("shortest").alias("shortest"), ids.alias("ids"))
 
@@ -176,7 +176,7 @@ def index_postings(spark, sf):
 @query("bm25_scoped", f"SELECT query_id, id, score, rank FROM ({_ranked('(' + _bm25_sql(_BODY + chr(32) + 'WHERE lang = ' + chr(39) + 'fr' + chr(39)) + ')', 10)})")
 def bm25_scoped(spark, sf):
     french = table(spark, sf, "documents").where("lang = 'fr'").select(F.col("doc_id").alias("id"))
-    return dense.ranked(_body(spark, sf).scores(_asked(spark), french), 10)
+    return dense.ranked(body_index(spark, sf).scores(_asked(spark), french), 10)
 
 
 _TITLE = f"SELECT doc_id AS id, {_TOK.format('string_split(text, chr(10))[1]')} AS tok FROM documents"
@@ -186,7 +186,7 @@ _TITLE = f"SELECT doc_id AS id, {_TOK.format('string_split(text, chr(10))[1]')}
 def bm25_fields(spark, sf):
     """Body plus title, where the first line stands for the title; the CJK field gives the same terms here and so the same maximum."""
     title = index_of(spark, sf, "title", text.tokens(F.get(F.split("text", "\n"), F.lit(0))))
-    return dense.ranked(lexical.combined([_body(spark, sf).scores(_asked(spark))], title.scores(_asked(spark))), 10)
+    return dense.ranked(lexical.combined([body_index(spark, sf).scores(_asked(spark))], title.scores(_asked(spark))), 10)
 
 
 _ROUTES = "(SELECT label AS query_id, vec_id AS id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) AS INT) AS rank FROM embeddings UNION ALL SELECT label, vec_id, CAST(row_number() OVER (PARTITION BY label ORDER BY embedding[1] DESC, vec_id) AS INT) FROM embeddings WHERE vec_id % 3 <> 1)"
