@@ -55,7 +55,14 @@ def hard_split(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.posexplode(chunking.hard_split(F.col("text"))).alias("k", "part"))
 
 
-@query("pack_paragraphs")
+@query("pack_paragraphs", """
+WITH RECURSIVE p AS (SELECT doc_id, string_split(text, chr(10)) AS ps FROM documents),
+r AS (
+  SELECT doc_id, ps, 0 AS i, 0 AS k, '' AS held FROM p
+  UNION ALL
+  SELECT doc_id, ps, i + 1, CASE WHEN held = '' OR fits THEN k ELSE k + 1 END, CASE WHEN held = '' THEN part WHEN fits THEN held || chr(10) || chr(10) || part ELSE part END
+  FROM (SELECT *, ps[i + 1] AS part, length(held) + length(ps[i + 1]) + 2 <= 1500 AS fits FROM r WHERE i < len(ps)))
+SELECT doc_id, CAST(k AS INT) AS k, arg_max(held, i) AS part FROM r WHERE held <> '' GROUP BY doc_id, k""")
 def pack_paragraphs(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.posexplode(chunking.pack(F.split("text", "\n"), 1500)).alias("k", "part"))
 
