@@ -179,7 +179,7 @@ def test_settings(tmp_path, monkeypatch):
             settings.load(None, bad, tmp_path / "none")
 
 
-def test_command_line(spark, tmp_path, corpus, capsys):
+def test_command_line(spark, tmp_path, corpus, capsys, monkeypatch):
     at = ["--index", str(tmp_path / "i"), "--json"]
     assert cli.run([*at, "index", str(corpus)]) == 0
     assert json.loads(capsys.readouterr().out)["failed"] == 1
@@ -191,6 +191,12 @@ def test_command_line(spark, tmp_path, corpus, capsys):
     assert cli.run([*at, "status"]) == 0
     assert cli.run([*at, "config"]) == 0
     assert cli.run(["--profile", str(tmp_path / "none.json"), "config"]) == 1
+    assert cli.run([*at, "maintain"]) == 0
+    monkeypatch.setattr(cli, "_keep_session", lambda *_: 1 / 0)
+    capsys.readouterr()
+    assert cli.run([*at, "ask", "Graph search finds near neighbours"]) == 0
+    said = capsys.readouterr()
+    assert json.loads(said.out)["status"] == "SUCCESS" and "not kept" in said.err
     with pytest.raises(SystemExit) as wrong:
         cli.run(["nonsense"])
     assert wrong.value.code == 2
@@ -223,3 +229,18 @@ def test_prompts():
     for bad in (lambda: prompts.render("screen", question="q"), lambda: prompts.render("screen", "fr"), lambda: prompts.render("none")):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_audit_of_trees(spark, tmp_path, capsys):
+    for name, text in {"a/own.py": "import os\n\n\ndef total(rows):\n    return sum(rows)\n", "b/other.py": "import os\n\nPROMPT = 'a quite different piece of wording here'\n", "c/copy.py": "import os\n\n\ndef total(rows):\n    return sum(rows)\n"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    for k in range(20):  # words of few files are not common
+        (tmp_path / "a" / f"f{k}.py").write_text(f"other{k} = thing{k}\n")
+    at = ["--json", "audit", str(tmp_path / "a")]
+    assert cli.run([*at, str(tmp_path / "b")]) == 0
+    out = json.loads(capsys.readouterr().out)
+    assert out["passed"] and {c["name"] for c in out["checks"]} == {"ngrams", "blocks", "lines", "assets", "strings"}
+    assert cli.run([*at, str(tmp_path / "b"), str(tmp_path / "c")]) == 1
+    failed = {c["name"] for c in json.loads(capsys.readouterr().out)["checks"] if c["failed"]}
+    assert "assets" in failed and "lines" in failed

@@ -1,4 +1,4 @@
-"""Command line: index, ask, search, status, sessions, config. Exit 0 (a refusal too), 1 on an error, 2 on wrong usage."""
+"""Command line: index, maintain, ask, search, status, sessions, audit, config. Exit 0 (a refusal too), 1 on an error or a failed audit, 2 on wrong usage."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import sys
 
 from pyspark.sql import functions as F
 
-from .plans import ask, ingest, settings
+from .plans import ask, audit, ingest, settings
 from .session import build_session
 from .sources import records
 
@@ -27,6 +27,11 @@ def parser() -> argparse.ArgumentParser:
         one.add_argument("question")
         one.add_argument("-k", type=int, default=None)
     sub.add_parser("status")
+    one = sub.add_parser("maintain", help="merge small segments and remove files that no kept snapshot needs")
+    one.add_argument("--keep", type=int, default=2)
+    one = sub.add_parser("audit", help="compare a source tree with others")
+    one.add_argument("target")
+    one.add_argument("reference", nargs="+")
     one = sub.add_parser("sessions")
     one.add_argument("keyword")
     sub.add_parser("config")
@@ -46,13 +51,18 @@ def run(argv: list[str] | None = None) -> int:
         print(f"error: {error}", file=sys.stderr)
         return 1
     print(json.dumps(result, ensure_ascii=False, default=str) if args.json else _shown(result))
-    return 1 if args.command == "index" and not result["ok"] else 0
+    return 1 if not result.get("ok", True) or not result.get("passed", True) else 0
 
 
 def _command(spark, args, cfg) -> dict:
     if args.command == "index":
         report = ingest.build(spark, args.index, args.paths, cfg, args.rebuild)
         return {**report._asdict(), "ok": report.ok}
+    if args.command == "maintain":
+        merged, gone = ingest.maintain(spark, args.index, cfg, keep=args.keep)
+        return {"merged": merged, "removed": gone}
+    if args.command == "audit":
+        return audit.trees(spark, [args.target], args.reference)
     opened = ask.Index.open(spark, args.index, cfg)
     if args.command == "status":
         return opened.status()
@@ -68,10 +78,17 @@ def _command(spark, args, cfg) -> dict:
         return {"hits": [r.asDict() for r in found.collect()]}
     row = ask.ask(opened, asked).first().asDict()
     status = "REFUSED" if row["refused"] else "SUCCESS"
-    records.append_jsonl(spark.createDataFrame([(args.question, row["text"], status)], "question string, text string, status string"), sessions)
+    try:
+        _keep_session(spark, sessions, args.question, row["text"], status)
+    except Exception as error:  # noqa: BLE001 - the answer is there all the same
+        print(f"the session was not kept: {error}", file=sys.stderr)
     return {**row, "status": status}
 
 
+def _keep_session(spark, sessions: str, question: str, answer: str, status: str) -> None:
+    records.append_jsonl(spark.createDataFrame([(question, answer, status)], "question string, text string, status string"), sessions)
+
+
 def _shown(result: dict) -> str:
     return "\n".join(f"{k}: {v}" for k, v in result.items())
 

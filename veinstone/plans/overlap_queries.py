@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import overlap
 from ..session import spread, table
+from . import audit
 from .registry import Registry
 
 registry = Registry()
@@ -149,15 +150,4 @@ UNION ALL SELECT 'lines', count(*), count(*) > 0 FROM ({_COPIES})
 UNION ALL SELECT 'assets', count(*), count(*) > 0 FROM documents WHERE text IN (SELECT text FROM benchmark)""")
 def audit_report(spark, sf):
     docs, ref = spread(table(spark, sf, "documents")), table(spark, sf, "benchmark")
-    tokens = text.tokens(F.col("text"))
-    contained = overlap.containment(overlap.ngram_rows(docs, "doc_id", tokens, 8), overlap.ngram_rows(ref, "item_id", tokens, 8))
-    copies = _copies(spark, sf)
-    blocks = overlap.aligned_blocks(copies, 1).agg(F.coalesce(F.max("length"), F.lit(0)).alias("found"))
-    assets = overlap.exact_copies(docs.select(F.col("doc_id").alias("id"), "text"), ref.select(F.col("item_id").alias("id"), "text"))
-    row = lambda name, df, failed: df.select(F.lit(name).alias("name"), "found", failed.alias("failed"))
-    return (
-        contained.agg(F.count("*").alias("found"), F.count_if(~F.col("exempt") & (F.col("containment") > 0.05)).alias("bad")).select(F.lit("ngrams").alias("name"), "found", (F.col("bad") > 0).alias("failed"))
-        .unionByName(row("blocks", blocks, F.col("found") >= 5))
-        .unionByName(row("lines", copies.agg(F.count("*").alias("found")), F.col("found") > 0))
-        .unionByName(row("assets", assets.agg(F.count("*").alias("found")), F.col("found") > 0))
-    )
+    return audit.checks(docs.select(F.col("doc_id").alias("id"), "text"), ref.select(F.col("item_id").alias("id"), "text"))
