@@ -89,6 +89,6 @@ def test_cleaned(spark):
 
 def test_status_line():
     state = State("why", evidence={"a": {}, "b": {}})
-    assert state.line(9) == "papers=全部 evidence=2 cost=0.0000 USD"
+    assert state.line(9) == "all of 9 sources in scope; 2 pieces of evidence; spent 0.0000 USD"
     state.in_scope = 3
-    assert state.line(9, 0.12345, "EUR") == "papers=3/9 evidence=2 cost=0.1235 EUR"
+    assert state.line(9, 0.12345, "EUR") == "3 of 9 sources in scope; 2 pieces of evidence; spent 0.1235 EUR"

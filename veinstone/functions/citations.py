@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words of a title that don't name it.
-STEM_STOP = "a an and are as at be by for from in into is of on or the to toward towards using via with".split()
+STEM_STOP = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "into", "is", "of", "on", "or", "the", "to", "toward", "towards", "using", "via", "with")
 # Characters that BibTeX gives a meaning.
 BIBTEX = {"\\": r"\textbackslash{}", "&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"}
 

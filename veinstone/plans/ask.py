@@ -229,9 +229,8 @@ class State:
 
     def line(self, total: int, cost: float = 0.0, currency: str = "USD") -> str:
         """Sources in scope of all, pieces of evidence and cost, for the next prompt of a model."""
-        # Fixed value: the word for all.
-        papers = "全部" if self.in_scope is None else f"{self.in_scope}/{total}"
-        return f"papers={papers} evidence={len(self.evidence)} cost={cost:.4f} {currency}"
+        scope = "all" if self.in_scope is None else str(self.in_scope)
+        return f"{scope} of {total} sources in scope; {len(self.evidence)} pieces of evidence; spent {cost:.4f} {currency}"
 
 
 class Agent:
