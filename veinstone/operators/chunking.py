@@ -15,11 +15,11 @@ from ..functions.structure import Chunking
 FRAGMENT = "source_key string, document_hash string, chunk_index int, text string, section_path array<string>, page_start int, page_end int, char_count int"
 
 
-def fragments(docs: DataFrame, chunking: Chunking = Chunking(), walk_pages: Callable = structure.chunks, guarded: bool = False) -> DataFrame:
+def fragments(docs: DataFrame, chunking: Chunking = Chunking(), walk_pages: Callable = structure.chunks, guarded: bool = False, every: bool = False) -> DataFrame:
     """fragment_id and FRAGMENT columns of documents (source_key, document_hash, pages: array<struct<page_number, text>>).
 
-    Each document is walked in one task; nothing is shuffled. An empty document gives no row. `walk_pages` makes the
-    units of a document's pages. With `guarded` there is a column `error` too: a document that fails is one
+    Each document is walked in one task; nothing is shuffled. An empty document, or one of headings alone, gives no row; with
+    `every` it gives one without a fragment. `walk_pages` makes the units of a document's pages. With `guarded` there is a column `error` too: a document that fails is one
     row with it and without a fragment, and the others go on.
     """
     chunking.checked()
@@ -31,6 +31,8 @@ def fragments(docs: DataFrame, chunking: Chunking = Chunking(), walk_pages: Call
                 try:
                     made = walk_pages([(p["page_number"], p["text"] or "") for p in pages.as_py() or []], chunking)
                     rows += [(key.as_py(), digest.as_py(), k, u.text, list(u.path), u.first, u.last, len(u.text), None) for k, u in enumerate(made)]
+                    if every and not made:
+                        rows.append((key.as_py(), digest.as_py(), *[None] * 7))
                 except Exception as error:  # noqa: BLE001 - recorded with the document
                     if not guarded:
                         raise
@@ -41,7 +43,7 @@ def fragments(docs: DataFrame, chunking: Chunking = Chunking(), walk_pages: Call
 
     schema = f"{FRAGMENT}, error string"
     made = docs.select("source_key", "document_hash", "pages").mapInArrow(walk, schema)
-    named = F.when(F.col("error").isNull(), identity.fragment_id(F.col("source_key"), F.col("document_hash"), F.col("section_path"), F.col("chunk_index")))
+    named = F.when(F.col("chunk_index").isNotNull(), identity.fragment_id(F.col("source_key"), F.col("document_hash"), F.col("section_path"), F.col("chunk_index")))
     made = made.select(named.alias("fragment_id"), "*")
     return made if guarded else made.drop("error")
 
