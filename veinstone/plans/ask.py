@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -57,6 +58,27 @@ class Index:
         return {"version": self.store.current(), "files": row.files, "failed": row.failed, "sources": row.sources, "fragments": self.fragments.count()}
 
 
+class Scanned(Index):
+    """An index of fragments and sources alone, for questions asked once: vectors and terms are made as fragments are read.
+
+    A full-text index takes several times the disk of its texts, which a single run doesn't pay back.
+    """
+
+    @property
+    def vectors(self) -> DataFrame:
+        return ingest.embedded(self.fragments, self.settings.model.dims)
+
+    def lexical(self, field: str, words: DataFrame, allowed: DataFrame | None) -> DataFrame:
+        # Of each fragment only its length and the terms asked for are stored, in one pass.
+        asked = words.agg(F.collect_set("term").alias("asked"))
+        tokens, length = ("tokens", "length") if field == "words" else ("stems", "stem_length")
+        terms = ingest.terms(_scoped(self.fragments, allowed)).select(F.col("fragment_id").alias("id"), tokens, F.col(length).alias("length"))
+        hits = F.filter(tokens, lambda t: F.array_contains("asked", t))
+        path = f"{self.store.root}/asked/{uuid.uuid4().hex}"
+        terms.crossJoin(F.broadcast(asked)).select("id", hits.alias("tokens"), "length").write.parquet(path)
+        return lexical.bm25(self.spark.read.schema("id string, tokens array<string>, length int").parquet(path), words)
+
+
 def _scoped(rows: DataFrame, allowed: DataFrame | None) -> DataFrame:
     """None is everything; an empty scope is nothing."""
     return rows if allowed is None else rows.join(allowed.select("source_key").distinct(), "source_key", "left_semi")
@@ -191,8 +213,9 @@ def gather(index: Index, questions: DataFrame, found: DataFrame, make: Callable[
     """Evidence of the fragments found: key, summary, relevance, citation."""
     s = index.settings
     own = index.fragments.select(F.col("fragment_id").alias("id"), "source_key", "text", "page_start", "page_end")
-    judged = screen(found.select("query_id", "id").join(questions, "query_id").join(own.select("id", "text"), "id"), make)
-    keyed = judged.join(own.drop("text"), "id").withColumn("key", identity.evidence_key(F.col("source_key"), F.col("id")))
+    # A few fragments for each question are looked up among all: those are not shuffled.
+    judged = screen(own.select("id", "text").join(F.broadcast(found.select("query_id", "id").join(questions, "query_id")), "id"), make)
+    keyed = own.drop("text").join(F.broadcast(judged), "id").withColumn("key", identity.evidence_key(F.col("source_key"), F.col("id")))
     stems = index.sources.select("source_key", citations.stem(F.array().cast("array<string>"), F.lit(None).cast("int"), F.col("title")).alias("stem"))
     labelled = keyed.withColumn("label", text.page_label(F.col("page_start"), F.col("page_end")))
     return evidence.screened(evidence.cited(labelled, stems), s.answering.max_evidence, "query_id", s.screening.min_relevance)

@@ -209,14 +209,15 @@ def build(spark: SparkSession, root: str, roots: list[str], settings: Settings =
     return Report(change.version, actions, number, store.read("fragments", FRAGMENTS).count(), len(doubles), failed, doubles)
 
 
-def stored(root: str, fragments: DataFrame, sources: DataFrame, settings: Settings) -> Segments:
-    """An index of one segment, of fragments (FRAGMENTS) and sources that are at hand."""
+def stored(root: str, fragments: DataFrame, sources: DataFrame, settings: Settings, scanned: bool = False) -> Segments:
+    """An index of one segment, of fragments (FRAGMENTS) and sources that are at hand; if it is to be `scanned`, of nothing else."""
     store = opened(fragments.sparkSession, root, settings)
     change = store.change()
     made = change.add("fragments", fragments.select(*_names(FRAGMENTS)))
     change.add("sources", enrichment.enriched(sources, []).select(*_names(SOURCES)))
-    change.add("vectors", embedded(made, settings.model.dims))
-    _indexed(change, "terms", change.add("terms", terms(made)))
+    if not scanned:
+        change.add("vectors", embedded(made, settings.model.dims))
+        _indexed(change, "terms", change.add("terms", terms(made)))
     change.commit()
     return store
 
