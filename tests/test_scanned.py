@@ -29,3 +29,23 @@ def test_a_single_run_stores_no_full_text_index(spark, tmp_path, monkeypatch):
     tables = {name for at, names, _ in os.walk(f"{tmp_path}/shared") for name in names if not name.startswith((".", "_"))}
     assert {"fragments", "sources"} <= tables
     assert not tables & {"terms", "vectors", "words", "english"}
+
+
+def test_a_single_run_reads_fragments_before_its_plan(spark, tmp_path, monkeypatch):
+    """What is made of the fragments is held: the plan of the answers, which uses it several times, reads none of them."""
+    spark.createDataFrame([(k, t, "web") for k, t in enumerate(TEXTS)], "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(pipeline_queries, "shared_dir", lambda _: f"file://{tmp_path}/shared")
+    answers = pipeline_queries.ask_deterministic(spark, str(tmp_path))
+    assert answers.count() == 3
+    assert not [f for f in answers.inputFiles() if "/fragments/" in f or "/sources/" in f]
+
+
+def test_terms_asked_for_are_those_of_all_terms(spark):
+    texts = [*TEXTS, "Abilities, ability. Ponies pony; a version's versions, versioned: VERSIONS", "雨停了 rain 雨 rains1 raining"]
+    fragments = spark.createDataFrame([(f"f{k}", "s", t) for k, t in enumerate(texts)], "fragment_id string, source_key string, text string").coalesce(1)
+    words, stems = ["rain", "version", "雨停"], ["rain", "version", "poni", "abil", "river"]
+    want = {r.fragment_id: ([t for t in r.tokens if t in words], r.length, [t for t in r.stems if t in stems], r.stem_length) for r in ingest.terms(fragments).collect()}
+    found = {r.fragment_id: (r.tokens, r.length, r.stems, r.stem_length) for r in ingest.terms_among(fragments, words, stems).collect()}
+    assert found == want and len(found) == len(texts)
+    none = ingest.terms_among(fragments, [], []).collect()
+    assert {r.fragment_id: r.length for r in none} == {k: v[1] for k, v in want.items()} and not any(r.tokens or r.stems for r in none)

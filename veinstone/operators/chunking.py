@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identity, structure
 from ..functions.structure import Chunking
+from ..session import released, small_batches
 
 FRAGMENT = "source_key string, document_hash string, chunk_index int, text string, section_path array<string>, page_start int, page_end int, char_count int"
 
@@ -23,26 +24,27 @@ def fragments(docs: DataFrame, chunking: Chunking = Chunking(), walk_pages: Call
     row with it and without a fragment, and the others go on.
     """
     chunking.checked()
+    small_batches(docs.sparkSession)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for key, digest, pages in zip(*(c for c in batch.columns), strict=True):
+            for key, digest, pages in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
-                    made = walk_pages([(p["page_number"], p["text"] or "") for p in pages.as_py() or []], chunking)
-                    rows += [(key.as_py(), digest.as_py(), k, u.text, list(u.path), u.first, u.last, len(u.text), None) for k, u in enumerate(made)]
+                    made = walk_pages([(p["page_number"], p["text"] or "") for p in pages or []], chunking)
+                    rows += [(key, digest, k, u.text, list(u.path), u.first, u.last, len(u.text), None) for k, u in enumerate(made)]
                     if every and not made:
-                        rows.append((key.as_py(), digest.as_py(), *[None] * 7))
+                        rows.append((key, digest, *[None] * 7))
                 except Exception as error:  # noqa: BLE001 - recorded with the document
                     if not guarded:
                         raise
-                    rows.append((key.as_py(), digest.as_py(), *[None] * 6, f"{type(error).__name__}: {error}"))
+                    rows.append((key, digest, *[None] * 6, f"{type(error).__name__}: {error}"))
             columns = list(zip(*rows, strict=True)) or [()] * 9
             types = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in schema.split(", ")])
 
     schema = f"{FRAGMENT}, error string"
-    made = docs.select("source_key", "document_hash", "pages").mapInArrow(walk, schema)
+    made = docs.select("source_key", "document_hash", "pages").mapInArrow(released(walk), schema)
     named = F.when(F.col("chunk_index").isNotNull(), identity.fragment_id(F.col("source_key"), F.col("document_hash"), F.col("section_path"), F.col("chunk_index")))
     made = made.select(named.alias("fragment_id"), "*")
     return made if guarded else made.drop("error")

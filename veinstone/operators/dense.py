@@ -6,7 +6,7 @@ the order doesn't depend on how sums were grouped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import released, small_batches
+
 DIGITS = 6
 
 
@@ -62,11 +64,12 @@ def hash_embedding(text: Column, dims: int = 8) -> Column:
     return F.pandas_udf(made, "array<double>")(text)
 
 
-def score_batches(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int, id_col: str, vector_col: str, scope_col: str | None = None) -> DataFrame:
+def score_batches(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int, id_col: str, vector_col: str, scope_col: str | None = None, embed: Callable[[list[str]], np.ndarray] | None = None) -> DataFrame:
     """query_id, id, score (and scope): of each batch of rows the k best for each query, by matrix products.
 
     What leaves a batch is bounded by k for each query, so the ranked window behind it is small. Vectors that
-    are null, of another dimension than the queries, or hold a null take no part.
+    are null, of another dimension than the queries, or hold a null take no part. With `embed` the column holds texts, which become
+    vectors in the batch.
     """
     names = [id_col, vector_col] + ([scope_col] if scope_col else [])
     ids = np.array([q for q, _ in queries], np.int64)
@@ -77,7 +80,10 @@ def score_batches(vectors: DataFrame, queries: list[tuple[int, list[float]]], k:
             if not batch.num_rows or not len(ids):
                 continue
             own = batch.column(0)
-            made = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
+            if embed:
+                made = embed([t or "" for t in batch.column(1).to_pylist()])
+            else:
+                made = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
             scores = rounded(made @ matrix.T)
             for j, query in enumerate(ids):
                 # All ties at the border leave the batch; the window cuts them by id.
@@ -85,9 +91,11 @@ def score_batches(vectors: DataFrame, queries: list[tuple[int, list[float]]], k:
                 best = np.flatnonzero(scores[:, j] >= border)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), query)), own.take(pa.array(best)), pa.array(scores[best, j])], names=["query_id", "id", "score"])
 
+    if embed:
+        small_batches(vectors.sparkSession)
     kind = vectors.schema[id_col].dataType.simpleString()
-    vectors = vectors.where((F.size(vector_col) == matrix.shape[1]) & ~F.exists(vector_col, lambda x: x.isNull())) if len(ids) else vectors
-    return vectors.select(*names).mapInArrow(run, f"query_id long, id {kind}, score double")
+    vectors = vectors.where((F.size(vector_col) == matrix.shape[1]) & ~F.exists(vector_col, lambda x: x.isNull())) if len(ids) and not embed else vectors
+    return vectors.select(*names).mapInArrow(released(run), f"query_id long, id {kind}, score double")
 
 
 def ranked(scores: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), score: str = "score", tie: str = "id") -> DataFrame:

@@ -23,6 +23,11 @@ def documents(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), tokens.alias("tokens")).withColumn("length", F.size("tokens"))
 
 
+def among(tokens: Column, asked: list[str]) -> Column:
+    """The tokens that are asked for, repeated ones too."""
+    return F.filter(tokens, lambda t: t.isin(*asked))
+
+
 def bm25(docs: DataFrame, terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """query_id, id, score of the documents (id, tokens, length) that share a term with a query.
 

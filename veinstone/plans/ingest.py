@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import identity, stem, structure, text
-from ..operators import chunking, enrichment, postings, state, validation
+from ..operators import chunking, enrichment, lexical, postings, state, validation
 from ..operators.postings import Postings
+from ..session import released, small_batches
 from ..sources import files
 from ..sources.segments import Change, Segments
 from .settings import Settings
@@ -80,19 +82,22 @@ class Hashed(NamedTuple):
         return made
 
 
+def unit_vectors(texts: list[str], model: Embedder, dims: int) -> np.ndarray:
+    """A vector of unit length for each text; one that is zero stays so."""
+    made = np.asarray(model(texts), np.float64).reshape(len(texts), -1)
+    if made.shape[1] != dims or not np.isfinite(made).all():
+        raise ValueError(f"vectors of {made.shape[1]} numbers, {dims} wanted, all finite")
+    length = np.sqrt((made * made).sum(axis=1, keepdims=True))
+    return made / np.where(length > 0, length, 1)
+
+
 def embedded(rows: DataFrame, dims: int, keys: tuple[str, ...] = ("fragment_id", "source_key"), column: str = "text", embedder: Embedder | None = None, guarded: bool = False) -> DataFrame:
     """Key columns and `embedding`: whole texts embedded in batches, of unit length; vectors stay apart from the fragments.
 
     With `guarded` there is a column `error` too: if a batch fails, its texts are embedded one by one, and those that fail have it.
     """
-    model = embedder or Hashed(dims)
-
-    def vectors(texts: list[str]) -> np.ndarray:
-        made = np.asarray(model(texts), np.float64).reshape(len(texts), -1)
-        if made.shape[1] != dims or not np.isfinite(made).all():
-            raise ValueError(f"vectors of {made.shape[1]} numbers, {dims} wanted, all finite")
-        length = np.sqrt((made * made).sum(axis=1, keepdims=True))
-        return made / np.where(length > 0, length, 1)
+    vectors = functools.partial(unit_vectors, model=embedder or Hashed(dims), dims=dims)
+    small_batches(rows.sparkSession)
 
     def one(text: str) -> tuple[list | None, str | None]:
         try:
@@ -112,7 +117,7 @@ def embedded(rows: DataFrame, dims: int, keys: tuple[str, ...] = ("fragment_id",
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(made, pa.list_(pa.float64())), pa.array(errors, pa.string())], names=[*keys, "embedding", "error"])
 
     schema = rows.select(*keys).schema.add("embedding", T.ArrayType(T.DoubleType())).add("error", "string")
-    out = rows.select(*keys, column).mapInArrow(run, schema)
+    out = rows.select(*keys, column).mapInArrow(released(run), schema)
     return out if guarded else out.drop("error")
 
 
@@ -129,6 +134,24 @@ def terms(fragments: DataFrame) -> DataFrame:
     return fragments.select("fragment_id", "source_key", text.tokens(F.col("text")).alias("tokens")).mapInArrow(run, TERMS)
 
 
+def terms_among(fragments: DataFrame, words: list[str], stems: list[str]) -> DataFrame:
+    """terms() with all lengths, but of tokens and stems only those asked for: words that can't have such a stem are not stemmed."""
+    wanted = frozenset(stems)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [[s for s in map(stem.stem, own) if s in wanted] for own in batch.column(4).to_pylist()]
+            yield batch.set_column(4, "stems", pa.array(made, pa.list_(pa.string())))
+        stem.stem.cache_clear()
+
+    small_batches(fragments.sparkSession)
+    made = fragments.select("fragment_id", "source_key", F.col("text").rlike(f"[{text.CJK}]").alias("mixed"), text.tokens(F.col("text")).alias("all"))
+    other = F.when(F.col("mixed"), F.filter("all", lambda t: ~t.rlike(f"^[{text.CJK}]"))).otherwise(F.col("all"))
+    made = made.select("fragment_id", "source_key", "all", other.alias("other"))
+    few = made.select("fragment_id", "source_key", lexical.among(F.col("all"), words).alias("tokens"), F.size("all").alias("length"), F.filter("other", lambda t: stem.may_have(t, stems)).alias("stems"), F.size("other").alias("stem_length"))
+    return few.mapInArrow(released(run), TERMS)
+
+
 def opened(spark: SparkSession, root: str, settings: Settings) -> Segments:
     """The segmented tables of an index; those of other settings are another index."""
     return Segments(spark, f"{root}/{settings.fingerprint()}", TABLES)
