@@ -2,7 +2,7 @@
 
 import os
 
-from veinstone.operators import chunking
+from veinstone.operators import chunking, lexical
 from veinstone.plans import ask, ingest, pipeline_queries
 from veinstone.plans.settings import Retrieval, Settings
 
@@ -49,3 +49,16 @@ def test_terms_asked_for_are_those_of_all_terms(spark):
     assert found == want and len(found) == len(texts)
     none = ingest.terms_among(fragments, [], []).collect()
     assert {r.fragment_id: r.length for r in none} == {k: v[1] for k, v in want.items()} and not any(r.tokens or r.stems for r in none)
+
+
+def test_hits_of_a_frequent_term_are_not_dealt_by_it(spark):
+    docs = spark.range(300).selectExpr("CAST(id AS STRING) AS id", "IF(id % 50 = 0, array('rain', 'rain', 'hill'), array('rain')) AS tokens", "CAST(3 AS INT) AS length")
+    terms = spark.createDataFrame([(1, "rain"), (1, "hill"), (2, "hill"), (2, "none")], "query_id long, term string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = lexical.bm25(docs, terms, few=True)
+        assert "SortMergeJoin" not in few._jdf.queryExecution().executedPlan().toString()
+        assert sorted(few.collect()) == sorted(lexical.bm25(docs, terms).collect()) and few.count() == 306
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -28,22 +28,24 @@ def among(tokens: Column, asked: list[str]) -> Column:
     return F.filter(tokens, lambda t: t.isin(*asked))
 
 
-def bm25(docs: DataFrame, terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+def bm25(docs: DataFrame, terms: DataFrame, k1: float = K1, b: float = B, few: bool = False) -> DataFrame:
     """query_id, id, score of the documents (id, tokens, length) that share a term with a query.
 
     idf is ln(1 + (N - df + 0.5) / (df + 0.5)), over all documents given, however many match.
+    With `few` terms, they and their statistics are sent around: no task gets all hits of a frequent term.
     """
+    sent = F.broadcast if few else lambda rows: rows
     stats = docs.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     wanted = terms.select("term").distinct()
     # Tokens meet the terms asked for before anything is shuffled, if those are few enough to be sent around.
     # Outer, as otherwise a filter on the token array would be pushed down, and tokens be made twice; a null term meets nothing.
-    hits = docs.select("id", "length", F.explode_outer("tokens").alias("term")).join(wanted, "term", "left_semi")
+    hits = docs.select("id", "length", F.explode_outer("tokens").alias("term")).join(sent(wanted), "term", "left_semi")
     postings = hits.groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
     df = postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(stats))
     idf = df.select(F.col("term").alias("t"), "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    weighted = postings.join(idf, F.col("term") == F.col("t"))
+    weighted = postings.join(sent(idf), F.col("term") == F.col("t"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    return weighted.select("id", "term", part.alias("part")).join(terms, "term").groupBy("query_id", "id").agg(F.round(F.sum("part"), DIGITS).alias("score"))
+    return weighted.select("id", "term", part.alias("part")).join(sent(terms), "term").groupBy("query_id", "id").agg(F.round(F.sum("part"), DIGITS).alias("score"))
 
 
 def combined(body: list[DataFrame], title: DataFrame | None = None, boost: float = 1.0) -> DataFrame:

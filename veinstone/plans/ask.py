@@ -103,7 +103,7 @@ class Scanned(Index):
         docs = self.held(ingest.terms_among(_scoped(self.fragments, allowed), asked["words"], asked["english"]))
         columns = {"words": ("tokens", "length"), "english": ("stems", "stem_length")}
         made = lambda tokens, length: docs.select(F.col("fragment_id").alias("id"), F.col(tokens).alias("tokens"), F.col(length).alias("length"))
-        return [lexical.bm25(made(*columns[field]), words) for field, words in wanted.items()]
+        return [lexical.bm25(made(*columns[field]), words, few=True) for field, words in wanted.items()]
 
     def narrowed(self, docs: DataFrame, words: DataFrame) -> DataFrame:
         return self.held(docs.withColumn("tokens", lexical.among(F.col("tokens"), _terms(words))))
@@ -169,7 +169,7 @@ def search(index: Index, questions: DataFrame, k: int | None = None, strategy: s
 def _titles(index: Index, words: DataFrame, allowed: DataFrame | None) -> DataFrame:
     """BM25 over titles, given to each fragment of the source."""
     docs = lexical.documents(_scoped(index.sources, allowed), "source_key", text.tokens(text.normalize(F.col("title"))))
-    hits = lexical.bm25(index.narrowed(docs, words), words).withColumnRenamed("id", "source_key")
+    hits = lexical.bm25(index.narrowed(docs, words), words, few=True).withColumnRenamed("id", "source_key")
     return hits.join(index.fragments.select("source_key", "fragment_id"), "source_key").select("query_id", F.col("fragment_id").alias("id"), "score")
 
 
